@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marlquarry.llm.hyperminhash import DedupConfig, near_duplicates
+from marlquarry.llm.packing import pack
+from marlquarry.llm.secrets import scan_secrets
+from marlquarry.llm.toxicity import score, train
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +20,24 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), DedupConfig(shingle=3, percent=85, rows=6, bands=40))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash_dedup": op1_minhash_dedup}
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return score(documents, train(documents, _table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op4_secret_scan": op4_secret_scan,
+    "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
+}
 
 ORACLES: dict[str, str] = {}
