@@ -177,6 +177,77 @@ def _verified(cfg: DedupConfig):
     return run
 
 
+def _outside(cfg: DedupConfig):
+    """For a member and its family's frame: the shared count and the member's shingles outside the frame that can matter.
+
+    Two members that are linked share at least need = percent / 100 of either's shingles. What they share within the frame
+    is at most inside, so a member with inside < need shares need - inside shingles outside it with its partner, and by the
+    prefix principle one of its first size - need + 1 outside shingles in hash order. Other members give all of theirs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, frame = None, np.zeros(0, U64)
+        for batch in batches:
+            inside, outside = [], [np.zeros(0, U64)]
+            pivots, frames = batch.column("pivot").to_pylist(), batch.column("frame")
+            for at, texts in chunks(batch.column("text")):
+                for k, own in enumerate(Words(texts).shingles(cfg.shingle), at):
+                    if pivots[k] != last:  # rows come sorted by pivot
+                        last, frame = pivots[k], Words(frames.slice(k, 1)).shingles(cfg.shingle)[0]
+                    shared = np.isin(own, frame, assume_unique=True)
+                    got, need = int(shared.sum()), -(-cfg.percent * len(own) // 100)
+                    rest = own[~shared]
+                    inside.append(got)
+                    outside.append(rest if got >= need else rest[: len(own) - need + 1])
+            column = pa.ListArray.from_arrays(
+                pa.array(np.cumsum([len(x) for x in outside]), pa.int32()), pa.array(np.concatenate(outside).view(np.int64))
+            )
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("pivot", "rep", "n", "root")), pa.array(inside, pa.int64()), column],
+                names=["pivot", "rep", "n", "root", "inside", "outside"],
+            )
+
+    return run
+
+
+def _across(mixed: DataFrame, texts: DataFrame, cfg: DedupConfig, ws: Workspace) -> DataFrame:
+    """Pairs (a, b) of different roots, out of one bucket, that may be linked. mixed: pivot, rep, n, root.
+
+    Buckets of one pivot are a family. Its members are compared through their shingles outside a frame, the text of a few
+    of them, so what a whole family shares, a passage or the text that its copies derive from, makes no pairs. The frame
+    may be any text: it decides the work, not the result. Pairs that share nothing outside the frame need
+    min(inside) >= percent / (100 + percent) of their sizes together; those are found by (size, inside) first.
+    """
+    picks = [F.min_by("rep", F.xxhash64("rep", F.lit(i))).alias(f"r{i}") for i in range(4)]
+    frames = mixed.groupBy("pivot").agg(*picks).select("pivot", F.explode(F.array("pivot", *(f"r{i}" for i in range(4)))).alias("doc_id"))
+    frames = frames.join(texts, "doc_id").groupBy("pivot").agg(F.concat_ws("\n", F.collect_list("text")).alias("frame"))
+    both = mixed.join(texts.withColumnRenamed("doc_id", "rep"), "rep").join(frames, "pivot").sortWithinPartitions("pivot")
+    seen = ws.table(both.mapInArrow(_outside(cfg), "pivot long, rep long, n long, root long, inside long, outside array<long>"), "outside")
+    rows = seen.select("pivot", "rep", "n", "root", "inside", F.size("outside").alias("rest"), F.explode("outside").alias("shingle"))
+    # A shingle that one root alone has makes no pair.
+    shared = rows.groupBy("pivot", "shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").drop("x", "y")
+    rows = ws.table(rows.join(shared, ["pivot", "shingle"]), "shared")
+    twin = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "root", "inside", "rest")]
+    sizes = f"100 * least(n_a, n_b) >= {cfg.percent} * greatest(n_a, n_b)"
+    most = "least(inside_a, inside_b) + least(rest_a, rest_b)"
+    far = rows.select("pivot", "shingle", *twin("a")).join(rows.select("pivot", "shingle", *twin("b")), ["pivot", "shingle"])
+    # rest is cut for members that lie far from the frame, so the bound on what they share holds for the others only.
+    whole = f"100 * least(inside_a, inside_b) >= {cfg.percent} * greatest(n_a, n_b)"
+    bound = f"100 * ({most}) >= {cfg.percent} * (n_a + n_b - ({most}))"
+    far = far.filter(f"rep_a < rep_b and root_a <> root_b and {sizes} and (not ({whole}) or {bound})")
+
+    near = seen.filter(f"100 * inside >= {cfg.percent} * n").select("pivot", "rep", "n", "root", "inside")
+    kinds = near.groupBy("pivot", "n", "inside").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    kind = lambda x: kinds.select("pivot", *(F.col(c).alias(f"{c}_{x}") for c in ("n", "inside", "low", "high")))
+    inner = f"100 * least(inside_a, inside_b) >= {cfg.percent} * (n_a + n_b - least(inside_a, inside_b))"
+    kinds = kind("a").join(kind("b"), "pivot").filter(f"{sizes} and {inner} and (low_a <> high_b or high_a <> low_b)")
+    kinds = kinds.select("pivot", "n_a", "inside_a", "n_b", "inside_b")
+    pick = lambda x: near.select("pivot", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "root", "inside")))
+    close = kinds.join(pick("a"), ["pivot", "n_a", "inside_a"]).join(pick("b"), ["pivot", "n_b", "inside_b"]).filter("rep_a < rep_b and root_a <> root_b")
+    pairs = far.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).unionByName(close.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+    return pairs.distinct()
+
+
 def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, cfg: DedupConfig, ws: Workspace, label: str) -> DataFrame:
     """Of candidate pairs (a, b) of representatives, those that the full sets confirm."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
@@ -198,9 +269,9 @@ def near_duplicates(documents: DataFrame, cfg: DedupConfig | None = None) -> Dat
     doc_id is returned with a null component_id, kept, and linked with nothing. An empty table gives no rows.
 
     Equal sets are joined by their digest first, so a group of copies counts once. In a band's bucket every
-    representative is compared with the least one only (a star, linear in the bucket's size). Buckets whose members
-    then lie in different components compare just the pairs across components. So no link between components is
-    missed, and a large group of copies makes no pairs within itself.
+    representative is compared with the least one only (a star, linear in the bucket's size). Members of a bucket that
+    then lie in different components are compared if they share shingles that their pivot lacks, or lie so near to the
+    pivot that they need not (see _across). Both tests are exact, so no link between components is missed.
     """
     cfg = cfg or DedupConfig()
     spark = documents.sparkSession
@@ -221,22 +292,14 @@ def near_duplicates(documents: DataFrame, cfg: DedupConfig | None = None) -> Dat
 
     rooted = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-    rooted = ws.table(rooted.join(mixed, "key", "left_semi").filter("rep <> pivot"), "mixed")
-    x = rooted.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    y = rooted.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    across = (
-        x.join(y, "key")
-        .filter(f"a < b and root_a <> root_b and 100 * least(n_a, n_b) >= {cfg.percent} * greatest(n_a, n_b)")
-        .select("a", "b")
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
+    mixed = rooted.join(mixed, "key", "left_semi").filter("rep <> pivot").select("pivot", "rep", "n", "root").distinct()
+    across = _across(ws.table(mixed, "mixed"), texts, cfg, ws).join(first, ["a", "b"], "left_anti")
     more = _links(ws.table(across, "pairs-2"), reps, texts, cfg, ws, "across")
     roots = ws.table(connected_components(links.unionByName(more), ws, "cc-2"), "roots-2")
 
     rep_root = reps.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     classes = ws.table(rep_root.select("digest", F.coalesce("root", "rep").alias("component_id")), "classes")
-    ws.drop("members", "mixed", "pairs-1", "pairs-2", "texts")
+    ws.drop("members", "mixed", "outside", "shared", "pairs-1", "pairs-2", "texts")
     found = sketch.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
