@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marlquarry.llm.hyperminhash import DedupConfig, near_duplicates
+from marlquarry.llm.mixing import mix
 from marlquarry.llm.packing import pack
+from marlquarry.llm.quality import judge, oracle
 from marlquarry.llm.secrets import scan_secrets
 from marlquarry.llm.toxicity import score, train
 
@@ -20,10 +22,18 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), DedupConfig(shingle=3, percent=85, rows=6, bands=40))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -35,9 +45,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op3_quality": op3_quality,
     "op4_secret_scan": op4_secret_scan,
+    "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_quality": oracle()}
