@@ -12,6 +12,7 @@ from marlquarry.llm.packing import pack
 from marlquarry.llm.quality import judge, oracle
 from marlquarry.llm.secrets import scan_secrets
 from marlquarry.llm.toxicity import score, train
+from marlquarry.llm.warc import pages_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), DedupConfig(shingle=3, percent=85, rows=6, bands=40))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_warc": op2_warc,
     "op3_quality": op3_quality,
     "op4_secret_scan": op4_secret_scan,
     "op5_mixing": op5_mixing,
