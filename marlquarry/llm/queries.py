@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlquarry.llm.audio import media_digests
 from marlquarry.llm.hyperminhash import DedupConfig, near_duplicates
+from marlquarry.llm.licenses import scan_licenses
 from marlquarry.llm.mixing import mix
+from marlquarry.llm.order import training_order
 from marlquarry.llm.packing import pack
 from marlquarry.llm.quality import judge, oracle
 from marlquarry.llm.secrets import scan_secrets
@@ -48,6 +51,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents, train(documents, _table(spark, sf_dir, "labels")))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(_table(spark, sf_dir, "documents"))
+
+
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_warc": op2_warc,
@@ -56,6 +71,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_license_scan": op8_license_scan,
+    "op9_audio": op9_audio,
+    "op10_training_order": op10_training_order,
 }
 
 ORACLES: dict[str, str] = {"op3_quality": oracle()}
