@@ -104,18 +104,22 @@ def features(texts: pa.Array, cfg: PuConfig, wanted: tuple[np.ndarray, np.ndarra
     return both >> cfg.bits, both & ((1 << cfg.bits) - 1)
 
 
-def _sets(cfg: PuConfig):
+def _sets(cfg: PuConfig, known: np.ndarray | None = None):
+    """Feature sets of texts; known: the features to keep."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = None
+        if known is not None:
+            keep = np.zeros(1 << cfg.bits, dtype=bool)
+            keep[known] = True
         for batch in batches:
             for at, texts in chunks(batch.column("text")):
                 row, feature = features(texts, cfg)
-                part = batch.slice(at, len(texts))
+                if keep is not None:
+                    row, feature = row[keep[feature]], feature[keep[feature]]
                 cut = np.searchsorted(row, np.arange(len(texts) + 1))
                 packed = [feature[a:b].astype("<u4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("positive"), part.column("drawn"), pa.array(packed, pa.binary())],
-                    names=["doc_id", "positive", "drawn", "features"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array(packed, pa.binary())], names=["doc_id", "features"])
 
     return run
 
@@ -124,34 +128,45 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(sets: list[np.ndarray], positive: np.ndarray, drawn: np.ndarray, prior: float, cfg: PuConfig) -> PuModel:
-    """Train on feature sets; positive marks confirmed rows, drawn those of the draw from all texts. A row may be both."""
-    lengths = np.array([len(s) for s in sets], dtype=np.int64)
-    if not positive.any() or not drawn.any() or not lengths.sum():
+def frequent(sets: list[np.ndarray], cfg: PuConfig) -> np.ndarray:
+    """Features of at least min_positive_rows of the sets."""
+    if not sets:
+        return np.zeros(0, np.int64)
+    ids, times = np.unique(np.concatenate(sets), return_counts=True)
+    return ids[times >= cfg.min_positive_rows].astype(np.int64)
+
+
+def fit(confirmed: list[np.ndarray], drawn: list[np.ndarray], prior: float, cfg: PuConfig) -> PuModel:
+    """Train on the feature sets of confirmed toxic texts and of texts drawn from all, which may be toxic as well."""
+    ids = frequent(confirmed, cfg)
+    if not len(ids) or not drawn:
         return PuModel(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))), prior, cfg)
-    ids, flat = np.unique(np.concatenate(sets).astype(np.int64), return_inverse=True)
-    in_pos = np.bincount(flat[np.repeat(positive, lengths)], minlength=len(ids))
-    in_unl = np.bincount(flat[np.repeat(drawn, lengths)], minlength=len(ids))
-    share_pos, share_unl = in_pos / positive.sum(), (in_unl + 1) / drawn.sum()
-    expected = share_unl * positive.sum()
-    useful = (in_pos >= cfg.min_positive_rows) & (in_pos - expected > cfg.min_z * np.sqrt(expected)) & (share_pos > 2 * share_unl)
+
+    def only(sets: list[np.ndarray]) -> list[np.ndarray]:
+        places = (np.minimum(np.searchsorted(ids, s), len(ids) - 1) for s in sets)
+        return [at[ids[at] == s] for at, s in zip(places, sets, strict=True)]
+
+    confirmed, drawn = only(confirmed), only(drawn)
+    count = lambda sets: np.bincount(np.concatenate(sets), minlength=len(ids))
+    in_pos = count(confirmed)
+    expected = (count(drawn) + 1) / len(drawn) * len(confirmed)
+    useful = (in_pos - expected > cfg.min_z * np.sqrt(expected)) & (in_pos > 2 * expected)
     column, n = np.cumsum(useful) - 1, int(useful.sum())
-    kept = [column[s[useful[s]]] for s in np.split(flat, np.cumsum(lengths)[:-1])]
     w, b = np.zeros(n), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
-    kept_of = lambda rows: (np.repeat(np.arange(len(rows)), [len(kept[i]) for i in rows]), np.concatenate([kept[i] for i in rows]).astype(np.int64))
-    pos, unl = np.flatnonzero(positive), np.flatnonzero(drawn)
-    (own_p, flat_p), (own_u, flat_u) = kept_of(pos), kept_of(unl)
+    flatten = lambda sets: (np.repeat(np.arange(len(sets)), [useful[x].sum() for x in sets]), column[np.concatenate(sets)][useful[np.concatenate(sets)]])
+    (own_p, flat_p), (own_u, flat_u) = flatten(confirmed), flatten(drawn)
+    n_p, n_u = len(confirmed), len(drawn)
     for step in range(1, cfg.steps + 1):
-        z_p = np.bincount(own_p, w[flat_p], len(pos)) + b
-        z_u = np.bincount(own_u, w[flat_u], len(unl)) + b
+        z_p = np.bincount(own_p, w[flat_p], n_p) + b
+        z_u = np.bincount(own_u, w[flat_u], n_u) + b
         s_p, s_u = _sigmoid(z_p), _sigmoid(z_u)
         negative = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
         # Derivatives of the logistic losses with respect to the scores; a negative risk under zero is driven back up.
         if negative >= 0:
-            d_p, d_u = prior * (s_p - 1) / len(pos) - prior * s_p / len(pos), s_u / len(unl)
+            d_p, d_u = prior * (s_p - 1) / n_p - prior * s_p / n_p, s_u / n_u
         else:
-            d_p, d_u = prior * s_p / len(pos), -s_u / len(unl)
+            d_p, d_u = prior * s_p / n_p, -s_u / n_u
         grad = np.bincount(flat_p, d_p[own_p], n) + np.bincount(flat_u, d_u[own_u], n) + cfg.l2 * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= cfg.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -183,17 +198,18 @@ def train(documents: DataFrame, labels: DataFrame, cfg: PuConfig | None = None)
         prior = (share or 0.0) - ((share or 0.0) * (1 - (share or 0.0)) / max(n, 1)) ** 0.5
     prior = min(max(float(prior), 1e-4), 0.5)
     order = F.xxhash64("doc_id")
-    toxic = known.filter("toxic = 1").select("doc_id", F.lit(True).alias("positive")).orderBy(order, "doc_id").limit(cfg.positives)
+    toxic = known.filter("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(cfg.positives)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     others = docs.select("doc_id").filter(~held_out()).orderBy(order, "doc_id").limit(cfg.unlabelled)
-    # At most positives + unlabelled ids: a proven bound for the broadcast and for what the driver gathers.
-    ids = others.select("doc_id", F.lit(False).alias("positive"), F.lit(True).alias("drawn")).unionByName(toxic.withColumn("drawn", F.lit(False)))
-    ids = ids.groupBy("doc_id").agg(F.max("positive").alias("positive"), F.max("drawn").alias("drawn"))
-    sample = docs.join(F.broadcast(ids), "doc_id").mapInArrow(_sets(cfg), "doc_id long, positive boolean, drawn boolean, features binary")
-    rows = sample.limit(2 * (cfg.positives + cfg.unlabelled)).toArrow().sort_by([("doc_id", "ascending"), ("features", "ascending")])
-    sets = [np.frombuffer(x.as_py(), dtype="<u4") for x in rows.column("features")]
-    positive, drawn = (np.array(rows.column(c).to_pylist(), dtype=bool) for c in ("positive", "drawn"))
-    return fit(sets, positive, drawn, prior, cfg)
+
+    def gather(ids: DataFrame, known: np.ndarray | None, most: int) -> list[np.ndarray]:
+        # At most so many ids: a proven bound for the broadcast and for what the driver gathers.
+        rows = docs.join(F.broadcast(ids), "doc_id").mapInArrow(_sets(cfg, known), "doc_id long, features binary").limit(2 * most).toArrow()
+        rows = rows.sort_by([("doc_id", "ascending"), ("features", "ascending")])
+        return [np.frombuffer(x.as_py(), dtype="<u4") for x in rows.column("features")]
+
+    confirmed = gather(toxic, None, cfg.positives)
+    return fit(confirmed, gather(others, frequent(confirmed, cfg), cfg.unlabelled), prior, cfg)
 
 
 def _scores(model: PuModel, keep: list[str]):
