@@ -153,8 +153,8 @@ def tensors(mels: np.ndarray, spans: np.ndarray, cfg: AudioConfig) -> np.ndarray
     return ((sums[high] - sums[low]) / (high - low)[:, :, None]).astype(np.float32)
 
 
-def describe(media: bytes, cfg: AudioConfig) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """Samples read back from media, time spans in milliseconds and tensors of its segments."""
+def describe(media: bytes, cfg: AudioConfig) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Samples read back from media, time spans in milliseconds and tensors of its segments, and the tensor of the whole."""
     rate, payload = decode_wav(media)
     if rate != cfg.rate:
         raise ValueError(f"{rate} samples a second, not {cfg.rate}")
@@ -163,7 +163,7 @@ def describe(media: bytes, cfg: AudioConfig) -> tuple[bytes, np.ndarray, np.ndar
     spans = segments(energy, cfg)
     ms = 1000 / cfg.target
     times = np.stack([spans[:, 0] * cfg.hop * ms, ((spans[:, 1] - 1) * cfg.hop + cfg.frame) * ms], axis=1)
-    return payload, times, tensors(mels, spans, cfg)
+    return payload, times, tensors(mels, spans, cfg), tensors(mels, np.array([[0, len(mels)]]), cfg)
 
 
 MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -173,7 +173,7 @@ def media_digests(documents: DataFrame, cfg: AudioConfig | None = None) -> DataF
     """One row for every row of documents (doc_id, text): checks of the stored sound and a digest of its features.
 
     A null text is empty and gives one block of zero bytes. Equal texts have equal rows but for doc_id. feature has the
-    count of segments, the checksum of their spans and that of their tensors in half decibels.
+    count of segments, the checksum of their spans and those of their tensors and of the whole's, in half decibels.
     """
     cfg = cfg or AudioConfig()
 
@@ -183,11 +183,10 @@ def media_digests(documents: DataFrame, cfg: AudioConfig | None = None) -> DataF
             for text in batch.column("text"):
                 data = (text.as_py() or "").encode()
                 media = encode_wav(pad_payload(data), cfg.rate)
-                payload, times, cube = describe(media, cfg)
-                sums = zlib.crc32(times.astype("<i8").tobytes()), zlib.crc32(np.round(cube * 2).astype("<i2").tobytes())
-                rows.append(
-                    (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{len(times)}:{sums[0]:08x}:{sums[1]:08x}")
-                )
+                payload, times, cube, whole = describe(media, cfg)
+                sums = [zlib.crc32(x.astype("<i8").tobytes()) for x in (times, np.round(cube * 2), np.round(whole * 2))]
+                feature = ":".join([str(len(times)), *(f"{x:08x}" for x in sums)])
+                rows.append((len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             columns = list(zip(*rows, strict=True)) or [()] * 7
             types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
@@ -210,7 +209,7 @@ def audio_segments(media: DataFrame, cfg: AudioConfig | None = None) -> DataFram
             for key, sound in zip(batch.column("id").to_pylist(), batch.column("media"), strict=True):
                 if not sound.is_valid:
                     continue
-                _, times, cube = describe(sound.as_py(), cfg)
+                _, times, cube, _ = describe(sound.as_py(), cfg)
                 n, width = len(times), cfg.steps * cfg.mels
                 tensor = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(cube.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
