@@ -29,8 +29,8 @@ class PuConfig:
     """positives, unlabelled: most sample rows that training gathers (its documented bound). The class prior is the toxic
     share of all labelled training rows unless prior says otherwise."""
 
-    positives: int = 8192
-    unlabelled: int = 20480
+    positives: int = 4096
+    unlabelled: int = 16384
     bits: int = 24
     prefixes: tuple[int, ...] = (4, 5, 6)
     min_positive_rows: int = 4
