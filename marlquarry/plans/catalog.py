@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from marlquarry.plans import rank_queries
+
+_MODULES = (rank_queries,)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
