@@ -178,7 +178,8 @@ def min_max(ranked: DataFrame) -> DataFrame:
 def fuse_weighted(lexical: DataFrame, dense: DataFrame, k: int = 5, alpha: float = 0.5, candidate_k: int = 50) -> DataFrame:
     """(1 - alpha) of the scaled lexical score plus alpha of the scaled dense one; a missing side counts 0."""
     both = _both(min_max(lexical), min_max(dense))
-    score = F.round((1 - alpha) * F.coalesce("a_score", F.lit(0.0)) + alpha * F.coalesce("b_score", F.lit(0.0)), 6)
+    # The small term rounds decimal ties up whatever their binary form is.
+    score = F.round((1 - alpha) * F.coalesce("a_score", F.lit(0.0)) + alpha * F.coalesce("b_score", F.lit(0.0)) + 1e-10, 6)
     return _fused(both.withColumn("score", score), k, candidate_k + 1)
 
 
