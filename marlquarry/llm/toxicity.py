@@ -35,7 +35,7 @@ class PuConfig:
     prefixes: tuple[int, ...] = (4, 5, 6)
     min_positive_rows: int = 4
     #: Standard deviations by which a feature's positive rows must exceed what the unlabelled foretell.
-    min_z: float = 7.0
+    min_z: float = 5.2
     steps: int = 400
     rate: float = 0.05
     l2: float = 3e-5
@@ -124,6 +124,19 @@ def _sets(cfg: PuConfig, known: np.ndarray | None = None):
     return run
 
 
+def _occurrences(cfg: PuConfig):
+    """A row for each feature of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in chunks(batch.column("text")):
+                row, feature = features(texts, cfg)
+                positive = batch.column("positive").slice(at, len(texts)).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(feature), positive], names=["feature", "positive"])
+
+    return run
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -193,23 +206,29 @@ def train(documents: DataFrame, labels: DataFrame, cfg: PuConfig | None = None)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     prior = cfg.prior
     if prior is None:
-        # One standard error under the labelled share: a prior that is too high makes the negatives' risk fall below zero.
-        share, n = known.agg(F.avg("toxic"), F.count("*")).first()
-        prior = (share or 0.0) - ((share or 0.0) * (1 - (share or 0.0)) / max(n, 1)) ** 0.5
+        prior = known.agg(F.avg("toxic")).first()[0] or 0.0
     prior = min(max(float(prior), 1e-4), 0.5)
     order = F.xxhash64("doc_id")
     toxic = known.filter("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(cfg.positives)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     others = docs.select("doc_id").filter(~held_out()).orderBy(order, "doc_id").limit(cfg.unlabelled)
 
-    def gather(ids: DataFrame, known: np.ndarray | None, most: int) -> list[np.ndarray]:
-        # At most so many ids: a proven bound for the broadcast and for what the driver gathers.
-        rows = docs.join(F.broadcast(ids), "doc_id").mapInArrow(_sets(cfg, known), "doc_id long, features binary").limit(2 * most).toArrow()
-        rows = rows.sort_by([("doc_id", "ascending"), ("features", "ascending")])
-        return [np.frombuffer(x.as_py(), dtype="<u4") for x in rows.column("features")]
-
-    confirmed = gather(toxic, None, cfg.positives)
-    return fit(confirmed, gather(others, frequent(confirmed, cfg), cfg.unlabelled), prior, cfg)
+    # At most so many ids: a proven bound for the broadcasts and for what the driver gathers.
+    picked = lambda ids: docs.join(F.broadcast(ids), "doc_id")
+    n_toxic, n_others = toxic.count(), others.count()
+    rows = picked(toxic).withColumn("positive", F.lit(True)).unionByName(picked(others).withColumn("positive", F.lit(False)))
+    sums = rows.mapInArrow(_occurrences(cfg), "feature long, positive boolean").groupBy("feature")
+    sums = sums.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
+    expected = (F.col("u") + 1) * (n_toxic / max(n_others, 1))
+    useful = (F.col("p") >= cfg.min_positive_rows) & (F.col("p") - expected > cfg.min_z * F.sqrt(expected)) & (F.col("p") > 2 * expected)
+    known = np.sort(sums.filter(useful).select("feature").toArrow().column(0).to_numpy())
+
+    def gather(ids: DataFrame, most: int) -> list[np.ndarray]:
+        found = picked(ids).mapInArrow(_sets(cfg, known), "doc_id long, features binary").limit(2 * most).toArrow()
+        found = found.sort_by([("doc_id", "ascending"), ("features", "ascending")])
+        return [np.frombuffer(x.as_py(), dtype="<u4") for x in found.column("features")]
+
+    return fit(gather(toxic, cfg.positives), gather(others, cfg.unlabelled), prior, cfg)
 
 
 def _scores(model: PuModel, keep: list[str]):
