@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +28,15 @@ from marlquarry.llm.workspace import Workspace, with_temp_dir
 
 @dataclass(frozen=True)
 class OrderConfig:
-    """length: ids of a sequence. shard: slots of a shard. dtype: '<u2' holds vocabularies of up to 65,536 ids."""
+    """length: ids of a sequence. shard: slots of a shard. dtype: '<u2' holds vocabularies of up to 65,536 ids.
 
-    length: int = 512
-    shard: int = 16_384
+    Sequences travel to their shards compressed, with a dictionary from up to `sample` of them (its documented bound).
+    """
+
+    length: int = 1024
+    shard: int = 8192
+    sample: int = 256
+    level: int = 6
     key: int = 0x5EED
     rounds: int = 6
     dtype: str = "<u2"
@@ -63,47 +69,84 @@ def permute(x: np.ndarray, n: int, key: int, rounds: int = 6, back: bool = False
     return out.astype(np.int64)
 
 
-SEQUENCES = "part int, local long, doc_id long, start long, length long, ids_crc32 long, ids binary"
+SEQUENCE = "part int, local long, doc_ids array<long>, lengths array<int>, start long, length long, ids_crc32 long, ids binary"
 
 
 def sequences(documents: DataFrame, cfg: OrderConfig) -> DataFrame:
-    """Every document's ids, closed by the end id, in sequences of cfg.length; the last of a document may be shorter."""
+    """The ids of all documents, each closed by the end id, one after another in sequences of cfg.length.
+
+    Only the last sequence of a task may be shorter. doc_ids and lengths say whose ids follow each other in a sequence, and how
+    many; start is how many ids of the first document came in sequences before.
+    """
     top = np.iinfo(np.dtype(cfg.dtype)).max
+    types = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    names = [x.split()[0] for x in SEQUENCE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, local = TaskContext.get().partitionId(), 0
+        part, local, filled = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple[int | None, int, np.ndarray]] = []
+        rows: list[tuple] = []
+
+        def close() -> None:
+            nonlocal held, filled, local
+            ids = np.concatenate([x for _, _, x in held])
+            rows.append((part, local, [d for d, _, _ in held], [len(x) for _, _, x in held], held[0][1], len(ids), zlib.crc32(ids.tobytes()), ids.astype(cfg.dtype).tobytes()))
+            held, filled, local = [], 0, local + 1
+
+        def batch_of() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * len(types)
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = []
-                piece = batch.slice(at, 512)
-                for doc_id, text in zip(piece.column("doc_id").to_pylist(), piece.column("text"), strict=True):
-                    ids = document_ids(text.as_py(), cfg.tokenizer)
-                    if ids.max() > top:
-                        raise ValueError(f"ids up to {ids.max()} don't fit in {cfg.dtype}")
-                    for start in range(0, len(ids), cfg.length):
-                        own = ids[start : start + cfg.length]
-                        rows.append((part, local, doc_id, start, len(own), zlib.crc32(own.tobytes()), own.astype(cfg.dtype).tobytes()))
-                        local += 1
-                columns = list(zip(*rows, strict=True)) or [()] * 7
-                types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in SEQUENCES.split(", ")])
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                ids = document_ids(text.as_py(), cfg.tokenizer)
+                if ids.max() > top:
+                    raise ValueError(f"ids up to {ids.max()} don't fit in {cfg.dtype}")
+                at = 0
+                while at < len(ids):
+                    own = ids[at : at + cfg.length - filled]
+                    held.append((doc_id, at, own))
+                    at, filled = at + len(own), filled + len(own)
+                    if filled == cfg.length:
+                        close()
+                if len(rows) >= 2048:
+                    yield batch_of()
+        if held:
+            close()
+        yield batch_of()
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, SEQUENCES)
+    return docs.mapInArrow(run, SEQUENCE)
+
+
+def _dictionary(found: DataFrame, cfg: OrderConfig) -> bytes:
+    """A zstandard dictionary of a bounded sample of sequences; empty where there are too few."""
+    rows = found.select("ids").limit(cfg.sample).collect()
+    if len(rows) < 64:
+        return b""
+    return zstandard.train_dictionary(1 << 16, [bytes(r["ids"]) for r in rows]).as_bytes()
+
+
+def _with_dictionary(words: bytes) -> dict:
+    return {"dict_data": zstandard.ZstdCompressionDict(words)} if words else {}
 
 
-def _slots(n: int, cfg: OrderConfig):
+def _slots(n: int, cfg: OrderConfig, words: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=cfg.level, **_with_dictionary(words))
         for batch in batches:
             slot = permute(batch.column("number").to_numpy(), n, cfg.key, cfg.rounds)
+            ids = pa.array([press.compress(x.as_buffer()) for x in batch.column("ids")], pa.binary())
+            batch = batch.set_column(batch.schema.get_field_index("ids"), "ids", ids)
             yield batch.append_column("slot", pa.array(slot)).append_column("shard", pa.array(slot // cfg.shard))
 
     return run
 
 
-def _shard_writer(folder: str, cfg: OrderConfig):
+def _shard_writer(folder: str, cfg: OrderConfig, words: bytes):
     """Writes the sorted slots of whole shards. A shard's file gets its name when it is complete; a task that runs again
     writes the same bytes. Rows of the written records follow."""
     width = np.dtype(cfg.dtype).itemsize * cfg.length
@@ -112,6 +155,7 @@ def _shard_writer(folder: str, cfg: OrderConfig):
         files, root = fs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
         shard, sink, temp = None, None, ""
+        unpack = zstandard.ZstdDecompressor(**_with_dictionary(words))
 
         def close() -> None:
             if sink is not None:
@@ -124,16 +168,16 @@ def _shard_writer(folder: str, cfg: OrderConfig):
                     close()
                     shard, temp = own, f"_tmp-{uuid.uuid4().hex}"
                     sink = files.open_output_stream(f"{root}/{temp}", compression=None)
-                sink.write(int(lengths).to_bytes(4, "little") + ids.as_py().ljust(width, b"\0"))
+                sink.write(int(lengths).to_bytes(4, "little") + unpack.decompress(ids.as_buffer()).ljust(width, b"\0"))
             offset = pc.multiply(pc.subtract(batch.column("slot"), pc.multiply(batch.column("shard"), cfg.shard)), cfg.stride)
-            keep = ("doc_id", "start", "length", "ids_crc32", "number", "slot", "shard")
+            keep = ("doc_ids", "lengths", "start", "length", "ids_crc32", "number", "slot", "shard")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), offset], names=[*keep, "offset"])
         close()
 
     return run
 
 
-ORDER = "doc_id long, start long, length long, ids_crc32 long, number long, slot long, shard long, offset long"
+ORDER = "doc_ids array<long>, lengths array<int>, start long, length long, ids_crc32 long, number long, slot long, shard long, offset long"
 
 
 def materialise(documents: DataFrame, folder: str | None = None, cfg: OrderConfig | None = None) -> tuple[DataFrame, str]:
@@ -155,11 +199,12 @@ def materialise(documents: DataFrame, folder: str | None = None, cfg: OrderConfi
         total += row["n"]
     starts = F.broadcast(spark.createDataFrame(first, "part int, first long"))
     numbered = found.join(starts, "part").withColumn("number", F.col("first") + F.col("local")).drop("part", "local", "first")
-    slotted = numbered.mapInArrow(_slots(total, cfg), "doc_id long, start long, length long, ids_crc32 long, ids binary, number long, slot long, shard long")
+    words = _dictionary(found, cfg)
+    slotted = numbered.mapInArrow(_slots(total, cfg, words), "doc_ids array<long>, lengths array<int>, start long, length long, ids_crc32 long, ids binary, number long, slot long, shard long")
     # Shard k is the range of slots from k * cfg.shard on; each range is a partition of its own, and all are equally large.
     shards = max(1, -(-total // cfg.shard))
     dealt = slotted.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
-    rows = ws.table(dealt.mapInArrow(_shard_writer(folder, cfg), ORDER), "order")
+    rows = ws.table(dealt.mapInArrow(_shard_writer(folder, cfg, words), ORDER), "order")
     ws.drop("sequences")
     files, root = fs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
