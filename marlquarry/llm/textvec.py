@@ -112,9 +112,10 @@ class Words:
         h = self.hashes()
         n = len(h)
         step = mix(np.arange(1, k + 1, dtype=U64))
-        window = np.zeros(max(0, n - k + 1), dtype=U64)
+        m = max(0, n - k + 1)
+        window = np.zeros(m, dtype=U64)
         for j in range(k):
-            window = mix(window + h[j : n - k + 1 + j] * (step[j] | U64(1)))
+            window = mix(window + h[j : j + m] * (step[j] | U64(1)))
         out = []
         for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True):
             if b - a >= k:
