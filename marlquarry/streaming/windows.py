@@ -37,6 +37,6 @@ def as_of(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
 def stream_tumbling(spark: SparkSession, path: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """The same counts of a stream of Parquet files with a watermark; append mode gives closed windows."""
     schema = spark.read.parquet(path).schema
-    events = spark.readStream.schema(schema).parquet(path).withWatermark("ts", late)
+    events = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     made = events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"))
     return made.select(F.col("w.start").alias("window_start"), "event_type", "n")
