@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,29 +123,46 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_topk(docs: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
-    """Exact dot-product top-k of queries (query_id, embedding) over docs (doc_id, embedding), in blocks.
+def _blocks(df: DataFrame, key: str, size: int, name: str) -> DataFrame:
+    """Rows of up to size vectors: ids and one matrix, row after row."""
+    kind = df.schema[key].dataType.simpleString()
 
-    Queries are gathered as one matrix and go with the tasks, so their number is for the caller to bound; each task
-    multiplies blocks of its documents and keeps k a query, then the lists meet in one window.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                vectors = np.stack([np.asarray(v, dtype=np.float64) for v in part.column(1).to_pylist()])
+                ids = pa.array([part.column(0).to_pylist()], pa.list_(batch.schema.field(0).type))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([vectors.tobytes()], pa.binary())], names=[f"{name}_ids", f"{name}_matrix"])
+
+    rows = df.select(key, "embedding").filter(f"embedding is not null and {key} is not null")
+    return rows.mapInArrow(run, f"{name}_ids array<{kind}>, {name}_matrix binary")
+
+
+def dense_topk(docs: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096, query_block: int = 1024) -> DataFrame:
+    """Exact dot-product top-k of queries (query_id, embedding) over docs (doc_id, embedding), block by block.
+
+    Each block of queries meets each block of documents once, as two matrices; a pair of blocks gives k a query, and the
+    lists meet in one window. Neither side passes through the driver.
     """
-    rows = queries.select("query_id", "embedding").orderBy("query_id").toPandas()
-    ids = rows["query_id"].to_numpy()
-    matrix = np.stack(rows["embedding"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, 0))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for at in range(0, len(part), block):
-                own = part.iloc[at : at + block]
-                if not len(own) or not len(ids):
-                    continue
-                doc = own["doc_id"].to_numpy()
-                scores = np.stack(own["embedding"].to_numpy()).astype(np.float64) @ matrix.T
-                best = np.lexsort((np.broadcast_to(-doc[:, None], scores.shape), -np.round(scores, ORDER_DIGITS)), axis=0)[:k]
-                yield pd.DataFrame({"query_id": np.tile(ids, len(best)), "doc_id": doc[best].reshape(-1), "score": np.take_along_axis(scores, best, 0).reshape(-1)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, q, d_ids, d in zip(*batch.columns, strict=True):
+                left, right = np.array(q_ids.as_py()), np.array(d_ids.as_py())
+                q = np.frombuffer(q.as_py()).reshape(len(left), -1)
+                scores = q @ np.frombuffer(d.as_py()).reshape(len(right), -1).T
+                # Places of ids in falling order break ties of scores.
+                place = np.empty(len(right), dtype=np.int64)
+                place[np.argsort(right)[::-1]] = np.arange(len(right))
+                best = np.lexsort((np.broadcast_to(place, scores.shape), -np.round(scores, ORDER_DIGITS)), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(left, best.shape[1])), pa.array(right[best].reshape(-1)), pa.array(np.take_along_axis(scores, best, 1).reshape(-1))], names=["query_id", "doc_id", "score"]
+                )
 
     kind = queries.schema["query_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
-    near = docs.select("doc_id", "embedding").filter("embedding is not null").mapInPandas(run, f"query_id {kind[0]}, doc_id {kind[1]}, score double")
+    pairs = _blocks(queries, "query_id", query_block, "q").crossJoin(_blocks(docs, "doc_id", block, "d"))
+    near = pairs.mapInArrow(run, f"query_id {kind[0]}, doc_id {kind[1]}, score double")
     return top_k(near, k).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 

@@ -121,8 +121,8 @@ sg as (select query_id, doc_id, round({score}, 6) as score from g)
 select query_id, doc_id, score, rank from (select *, cast(row_number() over (partition by query_id order by score desc, doc_id desc) as int) as rank from sg) where rank <= 5"""
 
 
-HEARD = """heard as (select pair_id, reference, heard from (select conv_id * 1000 + turn as pair_id, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 400) as reference,
-  lead(substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 400)) over (partition by conv_id order by turn) as heard from conversations) where heard is not null)"""
+HEARD = """heard as (select pair_id, reference, heard from (select conv_id * 1000 + turn as pair_id, regexp_replace(text, '[^ -~]', '', 'g') as reference,
+  lead(regexp_replace(text, '[^ -~]', '', 'g')) over (partition by conv_id order by turn) as heard from conversations) where heard is not null)"""
 _CH = lambda c: f"regexp_replace(lower({c}), '[^0-9a-z가-힣]', '', 'g')"
 FLAG = lambda **w: "array_to_string(list_filter([" + ", ".join(f"case when {c} then '{n}' end" for n, c in w.items()) + "], lambda x: x is not null), ',')"
 

@@ -226,7 +226,7 @@ def _heard(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of ASCII conversation turns that follow each other."""
     rows = I.table(spark, sf, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
-    pairs = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 400).alias("reference"), F.lead(F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 400)).over(w).alias("heard"))
+    pairs = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.regexp_replace("text", "[^ -~]", "").alias("reference"), F.lead(F.regexp_replace("text", "[^ -~]", "")).over(w).alias("heard"))
     return pairs.filter("heard is not null")
 
 

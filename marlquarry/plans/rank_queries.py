@@ -46,8 +46,8 @@ def bm25_zero_pad(spark: SparkSession, sf: str) -> DataFrame:
 
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     e = I.table(spark, sf, "embeddings")
-    queries = e.filter("vec_id < 50").select(F.col("vec_id").alias("query_id"), "embedding")
-    return R.dense_topk(e.filter("vec_id >= 50").select(F.col("vec_id").alias("doc_id"), "embedding"), queries, K)
+    queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return R.dense_topk(e.select(F.col("vec_id").alias("doc_id"), "embedding"), queries, K)
 
 
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,7 +81,7 @@ def maxsim(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
-    w = R.tfidf(I.documents(spark, sf).select("doc_id", "text"), 2, 2000)
+    w = R.tfidf(I.documents(spark, sf).select("doc_id", "text"))
     return w.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.max("weight"), 6).alias("max_weight"), F.round(F.sum("weight"), 4).alias("sum_weight"))
 
 
@@ -152,7 +152,7 @@ def overlap_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     values = M.paired(*_runs(spark, sf)).select("query_id", F.col("delta_rr").alias("value"))
-    return M.bootstrap_ci(values, 1000)
+    return M.bootstrap_ci(values)
 
 
 def grain_coverage(spark: SparkSession, sf: str) -> DataFrame:
@@ -245,7 +245,7 @@ ORACLES: dict[str, str] = {
     "bm25_topk": f"with {BASE} select * from bm where rank <= 5",
     "bm25_zero_pad": f"with {BASE} select * from full5",
     "dense_topk": f"""select query_id, doc_id, round(score, 6) as score, rank from (select *, cast(row_number() over (partition by query_id order by round(score, 8) desc, doc_id desc) as int) as rank
-from (select q.vec_id as query_id, d.vec_id as doc_id, {DOT.format('q.embedding', 'd.embedding')} as score from embeddings q, embeddings d where q.vec_id < 50 and d.vec_id >= 50)) where rank <= 5""",
+from (select q.vec_id as query_id, d.vec_id as doc_id, {DOT.format('q.embedding', 'd.embedding')} as score from embeddings q, embeddings d where q.vec_id % 100 = 0)) where rank <= 5""",
     "hybrid_rrf": _fused("coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0)", "(select * from bm where rank <= 50)", "(select * from dn where rank <= 50)"),
     "hybrid_weighted": _fused("0.5 * coalesce(a.score, 0) + 0.5 * coalesce(b.score, 0) + 1e-10", _scaled("bm"), _scaled("dn")),
     "rerank_scorer": f"""with {BASE} select query_id, doc_id, round(score, 6) as score, base_rank, rank from (select *, cast(row_number() over (partition by query_id order by score desc, base_rank, doc_id) as int) as rank
@@ -255,14 +255,14 @@ from bm join benchmark b on b.item_id = query_id join documents d on d.doc_id =
 from (select query_id, bm.doc_id, bm.rank as base_rank, round(bm.score + least(0.05::double * ({_HITS(PLACES)}), 0.10::double) + least(0.02::double * ({_HITS(STORY)}), 0.06::double), 6) as score
 from bm join documents d on d.doc_id = bm.doc_id where bm.rank <= 20)) where rank <= 5""",
     "maxsim": f"""with top as (select query_id, doc_id, rank as base_rank from (select *, row_number() over (partition by query_id order by round(score, 8) desc, doc_id desc) as rank
-from (select q.vec_id as query_id, d.vec_id as doc_id, {DOT.format('q.embedding', 'd.embedding')} as score from embeddings q, embeddings d where q.vec_id < 50 and d.vec_id >= 50)) where rank <= 5),
+from (select q.vec_id as query_id, d.vec_id as doc_id, {DOT.format('q.embedding', 'd.embedding')} as score from embeddings q, embeddings d where q.vec_id % 100 = 0)) where rank <= 5),
 s as (select query_id, doc_id, base_rank, i, max({DOT.format('q.embedding[i * 16 + 1 : i * 16 + 16]', 'd.embedding[j * 16 + 1 : j * 16 + 16]')}) as best from top join embeddings q on q.vec_id = query_id
 join embeddings d on d.vec_id = doc_id, range(4) a(i), range(4) b(j) group by all),
 m as (select query_id, doc_id, base_rank, sum(best) / 4 as score from s group by all)
 select query_id, doc_id, round(score, 6) as score, cast(base_rank as int) as base_rank, cast(row_number() over (partition by query_id order by round(score, 8) desc, base_rank, doc_id) as int) as rank from m""",
     "tfidf_weights": f"""with t as (select doc_id, {TOK.format('text')} as t from documents),
 c as (select doc_id, term, count(*) as tf from (select doc_id, unnest(t) as term from t union all select doc_id, t[i] || ' ' || t[i + 1] from (select doc_id, t, unnest(range(1, len(t))) as i from t)) group by all),
-v as (select term, count(*) as df from c group by term order by sum(tf) desc, term limit 2000), n as (select count(*) as n from documents),
+v as (select term, count(*) as df from c group by term order by sum(tf) desc, term limit 50000), n as (select count(*) as n from documents),
 r as (select doc_id, term, tf * (ln((1 + n) / (1 + df)::double) + 1) as raw from c join v using (term), n), w as (select doc_id, raw / sqrt(sum(raw * raw) over (partition by doc_id)) as weight from r)
 select doc_id, count(*) as n_terms, round(max(weight), 6) as max_weight, round(sum(weight), 4) as sum_weight from w group by doc_id""",
     "qrels": f"with {BASE} select query_id, doc_id, grade from rel",
@@ -287,7 +287,7 @@ select {', '.join(f"count(*) filter (g = '{x}') as {x}" for x in ('both_hit', 'b
 round(coalesce(count(*) filter (g in ('both_hit', 'bm25_only', 'dense_only')) / nullif(count(*) filter (g <> 'abstain'), 0)::double, 0), 6) as oracle_union_recall from g""",
     "bootstrap_ci": f"""with {BASE}, v as (select query_id, round(b.rr - a.rr, 6) as value from {A} a join {B} b using (query_id)),
 l as (select value, row_number() over (order by value, query_id) - 1 as place from v), n as (select count(*) as n from v),
-d as (select i, ((((((i * 7919 + j * 104729 + 42) % 2147483648) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648) // 65536 % n as place from range(1000) a(i), n, range((select n from n)) b(j)),
+d as (select i, ((((((i * 7919 + j * 104729 + 42) % 2147483648) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648) // 65536 % n as place from range(10000) a(i), n, range((select n from n)) b(j)),
 m as (select i, avg(value) as m from d join l using (place) group by i)
 select round(avg(value), 6) as mean, count(*) as n, (select round(quantile_cont(m, 0.025), 6) from m) as ci_low, (select round(quantile_cont(m, 0.975), 6) from m) as ci_high from v""",
     "grain_coverage": f"""with {BASE}, g as (select doc_id, source || ':' || lang as parent_id, source as root_id from documents),
