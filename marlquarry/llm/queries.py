@@ -76,4 +76,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_training_order": op10_training_order,
 }
 
-ORACLES: dict[str, str] = {"op3_quality": oracle()}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BASE32 = UPPER + "234567"
+
+DEDUP_SQL = f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 3 then [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select distinct doc_id as node, doc_id as root from documents union select r.node, e.b from r join e on e.a = r.root),
+c as (select node, min(root) as component_id from r group by 1)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from documents join c on node = doc_id left join n using (doc_id)
+"""
+
+_DIGITS = " || ".join(f"substr('{BASE32}', 1 + ((('0x' || substr(h, {5 * g + 1}, 5))::int >> {15 - 5 * d}) & 31), 1)" for g in range(8) for d in range(4))
+WARC_SQL = f"""
+with p as (select page_id, coalesce(html, '') as t, sha1(coalesce(html, '')) as h from pages), b as (select h, max(page_id) as best from p group by 1)
+select page_id, strlen(t) as payload_bytes, {_DIGITS} as payload_digest, case when page_id = best then 'response' else 'revisit' end as record_type, case when page_id < best then best end as refers_to from p join b using (h)
+"""
+
+ORACLES: dict[str, str] = {"op1_minhash_dedup": DEDUP_SQL, "op2_warc": WARC_SQL, "op3_quality": oracle()}
