@@ -39,7 +39,8 @@ def token_stats(docs: DataFrame) -> DataFrame:
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
     """token and df, the number of documents that hold it."""
-    return docs.select(F.explode(F.array_distinct(tokens("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    # The filter holds for every token; with it all uses of the counts have one plan, and one exchange.
+    return docs.select(F.explode(F.array_distinct(tokens("text"))).alias("token")).filter("token is not null").groupBy("token").agg(F.count("*").alias("df"))
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
@@ -58,7 +59,8 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float =
     idf = vocabulary.join(wanted, "token", "left_semi").join(mean).select(
         "token", "avgdl", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf")
     )
-    tf = toks.select("doc_id", "dl", F.explode("t").alias("token")).join(wanted, "token").groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
+    # An inner explode would have the optimizer test the array's size first, and so cut every text into tokens twice.
+    tf = toks.select("doc_id", "dl", F.explode_outer("t").alias("token")).join(wanted, "token").groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     terms = tf.join(idf, "token").select("doc_id", "token", weight.alias("weight"))
     return q.join(terms, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
