@@ -3,7 +3,9 @@
 Paragraphs (lines with a word) become sets of hashed word n-grams. A sparse multinomial logistic regression, trained
 with numpy on variations of templates and on paragraphs that name no licence, gives a family with a probability; the
 unknown class takes what stays under a threshold calibrated on held-out variations. A prediction counts only if the
-paragraph also holds enough of one of its family's templates.
+paragraph also holds enough of one of its family's templates. Statements that run over several lines are found by
+joining the lines between blank ones: where enough of a template stands together across a line's end, the words from
+its first to its last n-gram are classified as a paragraph is.
 """
 
 from __future__ import annotations
@@ -145,6 +147,11 @@ class LicenseModel:
     cfg: LicenseConfig
 
 
+#: Bytes that make a word more than the marker of a comment: letters, digits and all beyond ASCII.
+_SAYS = np.zeros(256, dtype=bool)
+_SAYS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
 class Paragraphs:
     """Lines with a word in a slice of texts: row, byte span in data and hashed n-grams by paragraph."""
 
@@ -165,20 +172,13 @@ class Paragraphs:
         self.row = rows[self.first[:-1]]
         self.begin = w.start[self.first[:-1]]
         self.end = w.end[self.first[1:] - 1] if len(own) else np.zeros(0, np.int64)
-        number = np.cumsum(new) - 1
-        h = w.span_hash(start, end)
-        shift = U64(64 - cfg.bits)
-        grams, owner = [], []
-        gram = np.zeros(len(h), dtype=U64)
-        for k in range(cfg.grams):
-            n = len(h) - k
-            if n <= 0:
-                break
-            gram = mix(gram[:n] * U64(0x9E3779B97F4A7C15) + h[k:])
-            whole = number[:n] == number[k:]
-            grams.append((gram[whole] >> shift).astype(np.int64))
-            owner.append(number[:n][whole])
-        self.gram, self.owner = (np.concatenate(grams), np.concatenate(owner)) if grams else (np.zeros(0, np.int64),) * 2
+        self.number = np.cumsum(new) - 1
+        self.hash = w.span_hash(start, end)
+        self.gram, first, _ = _grams(self.hash, self.number, cfg)
+        self.owner = self.number[first]
+        self.line, self.word_row = lines[w.start], rows
+        said = np.cumsum(np.concatenate(([0], _SAYS[w.data])))
+        self.says = said[end] > said[start]
 
     def __len__(self) -> int:
         return len(self.row)
@@ -194,6 +194,23 @@ class Paragraphs:
         return both >> bits, both & ((1 << bits) - 1)
 
 
+def _grams(h: np.ndarray, number: np.ndarray, cfg: LicenseConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed n-grams of words that have one number: the n-gram, its first word and how many more it has."""
+    shift = U64(64 - cfg.bits)
+    grams, first, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    gram = np.zeros(len(h), dtype=U64)
+    for k in range(cfg.grams):
+        n = len(h) - k
+        if n <= 0:
+            break
+        gram = mix(gram[:n] * U64(0x9E3779B97F4A7C15) + h[k:])
+        whole = np.flatnonzero(number[:n] == number[k:])
+        grams.append((gram[whole] >> shift).astype(np.int64))
+        first.append(whole)
+        more.append(np.full(len(whole), k))
+    return np.concatenate(grams), np.concatenate(first), np.concatenate(more)
+
+
 def _vary(template: str, rng: np.random.Generator) -> str:
     words = template.split()
     if len(words) > 5 and rng.random() < 0.5:
@@ -280,23 +297,120 @@ def train(background: list[str], cfg: LicenseConfig | None = None) -> LicenseMod
     return LicenseModel(families, licensed, w.astype(np.float32), b.astype(np.float32), threshold, tuple(templates), cfg)
 
 
+def _chances(owner: np.ndarray, column: np.ndarray, model: LicenseModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owners, the places of their first pairs, and the probabilities of their families; owner is sorted."""
+    some, at, count = np.unique(owner, return_index=True, return_counts=True)
+    z = np.add.reduceat(model.weights[column], at, axis=0) / np.sqrt(count)[:, None] + model.bias
+    z = np.exp(z - z.max(1, keepdims=True))
+    return some, np.append(at, len(owner)), z / z.sum(1, keepdims=True)
+
+
 def classify(p: Paragraphs, model: LicenseModel, wanted: np.ndarray) -> Iterator[tuple[int, int, int, str, float]]:
-    """(row, byte start, byte end, family, probability) of the licensed ones of paragraphs."""
+    """(row, byte start, byte end, family, probability) of the licensed ones of paragraphs and of statements over several."""
     owner, gram = p.sets(wanted)
     if not len(owner):
         return
     column = np.searchsorted(model.ids, gram)
-    some, at, count = np.unique(owner, return_index=True, return_counts=True)
-    z = np.add.reduceat(model.weights[column], at, axis=0) / np.sqrt(count)[:, None] + model.bias
-    z = np.exp(z - z.max(1, keepdims=True))
-    z /= z.sum(1, keepdims=True)
+    some, at, z = _chances(owner, column, model)
     best = z.argmax(1)
+    named: set[tuple[int, int]] = set()
     for k in np.flatnonzero((best > 0) & (z[np.arange(len(best)), best] >= model.threshold)).tolist():
-        own = column[at[k] : at[k] + count[k]]
+        own = column[at[k] : at[k + 1]]
         found = max(np.isin(t, own).mean() if len(t) else 0.0 for t in model.templates[best[k] - 1])
         if found >= model.cfg.confirm:
-            n, offset = some[k], p.words.offs[p.row[some[k]]]
-            yield int(p.row[n]), int(p.begin[n] - offset), int(p.end[n] - offset), model.families[best[k]], float(z[k, best[k]])
+            named.add((int(some[k]), int(best[k])))
+            yield _span(p, some[k], some[k], model.families[best[k]], z[k, best[k]])
+    for first, last, family, chance in wrapped(p, model, wanted):
+        # Where a line alone names the family, the lines around it add nothing.
+        if not any((n, family) in named for n in range(first, last + 1)):
+            yield _span(p, first, last, model.families[family], chance)
+
+
+def _span(p: Paragraphs, first: int, last: int, family: str, chance: float) -> tuple[int, int, int, str, float]:
+    row = int(p.row[first])
+    return row, int(p.begin[first] - p.words.offs[row]), int(p.end[last] - p.words.offs[row]), family, float(chance)
+
+
+def _windows(first: np.ndarray, end: np.ndarray, column: np.ndarray, need: int) -> Iterator[tuple[int, int]]:
+    """For each place where it changes, the shortest stretch of words up to there with `need` distinct n-grams."""
+    latest: dict[int, int] = {}
+    order = np.lexsort((first, end))
+    for a, b, c in zip(first[order].tolist(), end[order].tolist(), column[order].tolist(), strict=True):
+        latest[c] = max(a, latest.get(c, -1))
+        if len(latest) >= need:
+            yield sorted(latest.values())[-need], b
+
+
+def wrapped(p: Paragraphs, model: LicenseModel, wanted: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """(first paragraph, last paragraph, family number, probability) of statements that run over several lines.
+
+    Lines are joined up to a blank one; words without a letter or digit (comment markers) are left out, so a line of them
+    is blank. A stretch counts if it holds cfg.confirm of a template's n-grams in at most twice the template's words.
+    """
+    kept = np.flatnonzero(p.says)
+    if not len(kept):
+        return []
+    line, row = p.line[kept], p.word_row[kept]
+    new = np.concatenate(([True], (np.diff(line) > 1) | (np.diff(row) > 0)))
+    block = np.cumsum(new) - 1
+    edges = np.append(np.flatnonzero(new), len(kept))
+    several = (line[edges[1:] - 1] > line[edges[:-1]])[block]
+    kept, line, block = kept[several], line[several], block[several]
+    gram, first, more = _grams(p.hash[kept], block, model.cfg)
+    keep = wanted[gram]
+    column, first, end = np.searchsorted(model.ids, gram[keep]), first[keep], (first + more)[keep] + 1
+    owner = block[first]
+    order = np.lexsort((column, owner))
+    column, first, end, owner = column[order], first[order], end[order], owner[order]
+    if not len(owner):
+        return []
+    holds, sizes, words, family = _incidence(model)
+    some = np.concatenate(([True], (np.diff(owner) > 0) | (np.diff(column) > 0))) & holds.any(1)[column]
+    pairs = np.flatnonzero(some)
+    if not len(pairs):
+        return []
+    blocks, at = np.unique(owner[pairs], return_index=True)
+    need = np.maximum(np.ceil(model.cfg.confirm * sizes - 1e-9), 1).astype(np.int64)
+    counts = np.add.reduceat(holds[column[pairs]], at, axis=0, dtype=np.uint16)
+    stretches: dict[tuple[int, int], list[list[int]]] = {}
+    for k, t in zip(*np.nonzero(counts >= need), strict=True):
+        low, high = np.searchsorted(owner, [blocks[k], blocks[k] + 1])
+        own = low + np.flatnonzero(holds[column[low:high], t])
+        spans = stretches.setdefault((int(blocks[k]), int(t)), [])
+        for a, b in _windows(first[own], end[own], column[own], int(need[t])):
+            if b - a <= 2 * words[t] and line[a] < line[b - 1]:
+                if spans and a < spans[-1][1]:
+                    spans[-1][1] = b
+                else:
+                    spans.append([a, b])
+    found: dict[int, list[tuple[int, int, float]]] = {}
+    for (k, t), spans in stretches.items():
+        low, high = np.searchsorted(owner, [k, k + 1])
+        for a, b in spans:
+            inside = np.unique(column[low:high][(first[low:high] >= a) & (end[low:high] <= b)])
+            _, _, z = _chances(np.zeros(len(inside), np.int64), inside, model)
+            if z[0].argmax() == family[t] and z[0].max() >= model.threshold:
+                found.setdefault(int(family[t]), []).append((int(p.number[kept[a]]), int(p.number[kept[b - 1]]), float(z[0].max())))
+    out: list[tuple[int, int, int, float]] = []
+    for f, spans in found.items():
+        joined: list[tuple[int, int, float]] = []
+        for a, b, chance in sorted(spans):
+            if joined and a <= joined[-1][1]:
+                joined[-1] = (joined[-1][0], max(b, joined[-1][1]), max(chance, joined[-1][2]))
+            else:
+                joined.append((a, b, chance))
+        out += [(a, b, f, chance) for a, b, chance in joined]
+    return out
+
+
+def _incidence(model: LicenseModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which template holds which n-gram, and of each template the distinct n-grams, the words and the family's number."""
+    all_of = [(t, len(text.split()), k) for k, name in enumerate(model.families[1:], 1) for t, text in zip(model.templates[k - 1], TEMPLATES[name], strict=True)]
+    holds = np.zeros((len(model.ids), len(all_of)), dtype=np.uint8)
+    for k, (t, _, _) in enumerate(all_of):
+        holds[t, k] = 1
+    sizes, words, family = (np.array(x) for x in zip(*((len(t), n, f) for t, n, f in all_of), strict=True))
+    return holds, sizes, words, family
 
 
 def background(documents: DataFrame, cfg: LicenseConfig | None = None) -> list[str]:
@@ -317,7 +431,7 @@ SCAN = "doc_id long, n_paragraphs long, families string, spans string, least_pro
 def scan_licenses(documents: DataFrame, model: LicenseModel | None = None, cfg: LicenseConfig | None = None) -> DataFrame:
     """One row for every row of documents (doc_id, text): the families that it names, sorted, and their spans.
 
-    spans: family:start:end in code points, by start. Null and blank texts have no paragraphs and name nothing; then families and
+    spans: family:start:end in code points, by start, over whole lines; n_paragraphs counts the lines with a word. Null and blank texts have no paragraphs and name nothing; then families and
     spans are empty and least_probability is null. Repeated rows are scanned each. Whole texts are read.
     """
     cfg = cfg or LicenseConfig()

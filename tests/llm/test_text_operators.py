@@ -218,6 +218,50 @@ def test_license_variations_and_unknown(spark, model):
     assert L.scan_licenses(spark.createDataFrame([], DOCS), model).collect() == []
 
 
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "gpl": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "lgpl": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "apache": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.""",
+}
+
+
+def test_wrapped_licenses(spark, model):
+    marked = {f: "\n".join(f" * {line}".rstrip() for line in t.split("\n")) for f, t in WRAPPED.items()}
+    narrow = {f: re.sub(r"((?:\S+ ){4})", r"\1\n", " ".join(t.split("\n\n")[0].split())) for f, t in WRAPPED.items()}
+    texts = [(f, f"Some tool\n\n{t}\n\nThe end.") for kind in (WRAPPED, marked, narrow) for f, t in kind.items()]
+    got = {r.doc_id: r for r in L.scan_licenses(docs(spark, [t for _, t in texts]), model).collect()}
+    assert [got[i].families for i in range(len(texts))] == [f for f, _ in texts]
+    mit = [texts[0][1][int(a) : int(b)] for _, a, b in (s.split(":") for s in got[0].spans.split(","))]
+    assert mit[0].startswith("Permission is hereby") and mit[-1].endswith("portions of the Software.")
+    # Two licences in one block of lines; a statement's halves apart, and its lines in another order, name none.
+    others = ["Choose: released under the\nMIT license or licensed under the Apache\nLicense, version 2.0.", WRAPPED["bsd"].split("\n")[0] + "\n\nwhere\n\nmodification", "use the software\nto whom copies of this\nnotice is granted\nfree public license"]
+    got = {r.doc_id: r for r in L.scan_licenses(docs(spark, others), model).collect()}
+    assert [got[i].families for i in range(3)] == ["apache,mit", "", ""]
+
+
 # Mixing
 
 
