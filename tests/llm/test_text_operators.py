@@ -296,3 +296,26 @@ def test_mix_edge_rows(spark):
     assert M.mix(spark.createDataFrame([], DOCS)).collect() == [] and M.sample(spark.createDataFrame([], DOCS)).collect() == []
     blank = M.mix(docs(spark, [None, ""])).collect()
     assert [r.selected for r in blank] == [False, False]
+
+
+@pytest.mark.parametrize("dense", [400_000, 10])
+def test_mix_fits_every_source(spark, dense):
+    """More sources than any fixed number of cells: each has its own target, on the driver and over a table."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"word{int(x)}" for x in rng.integers(0, 50, int(rng.integers(1, 30)))), ("en", "de", None)[int(rng.integers(3))], None if i % 331 == 330 else f"h{i % 331}", 0) for i in range(6000)]
+    df, cfg = spark.createDataFrame([*rows, (-1, None, "en", "h1", 0), (-1, None, "en", "h1", 0)], DOCS), M.MixConfig(dense=dense, budget=0.4)
+    got = M.mix(df, cfg).collect()
+    assert len(got) == len(rows) + 2
+    for axis, power in (("source", 0.7), ("lang", 0.7), ("topic", 0.5)):
+        have, fit = {}, {}
+        for r in got:
+            have[r[axis]] = have.get(r[axis], 0) + r.n_tokens
+            fit[r[axis]] = fit.get(r[axis], 0) + r.n_tokens * r.weight
+        have = {k: n for k, n in have.items() if n}
+        scale = sum(n**power for n in have.values()) / sum(have.values())
+        assert len(have) == {"source": 331, "lang": 3}.get(axis, len(have))
+        assert all(abs(fit[k] * scale / n**power - 1) < 1e-5 for k, n in have.items())
+    assert abs(sum(r.n_tokens * r.probability for r in got) / sum(r.n_tokens for r in got) - 0.4) < 1e-6
+    assert sorted(r.doc_id for r in M.sample(df, cfg).collect()) == sorted(r.doc_id for r in got if r.selected)
+    other = {r.doc_id: r.weight for r in M.mix(df, M.MixConfig(budget=0.4)).collect()}
+    assert all(abs(other[r.doc_id] - r.weight) < 1e-6 * (1 + r.weight) for r in got)
