@@ -101,8 +101,13 @@ def tfidf(docs: DataFrame, n: int = 2, max_features: int = 50_000) -> DataFrame:
     return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
-def svd_vectors(weights: DataFrame, dim: int = 128) -> DataFrame:
-    """doc_id and a unit vector of dim for each document of weights (doc_id, term, weight), by truncated SVD."""
+def svd_vectors(weights: DataFrame, dim: int = 128, docs: DataFrame | None = None) -> DataFrame:
+    """doc_id and a unit vector for each document of weights (doc_id, term, weight), by truncated SVD.
+
+    docs: documents of which each gets a row; those without a weight have a vector of zeros. The vectors have dim numbers, or
+    one fewer than there are terms or documents; components without a singular value are zero.
+    """
+    from pyspark import StorageLevel
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
@@ -110,15 +115,28 @@ def svd_vectors(weights: DataFrame, dim: int = 128) -> DataFrame:
     size = terms.count()
     rows = weights.join(terms, "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("column", "weight"))).alias("x"))
     matrix = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r["doc_id"], Vectors.sparse(size, [e["column"] for e in r["x"]], [e["weight"] for e in r["x"]]))))
-    svd = matrix.computeSVD(min(dim, size), computeU=True)
-    scale = np.array(svd.s.toArray())
-
-    def unit(row: IndexedRow) -> tuple[int, list[float]]:
-        v = row.vector.toArray() * scale
-        length = float(np.linalg.norm(v)) or 1.0
-        return int(row.index), [float(x) for x in v / length]
-
-    return weights.sparkSession.createDataFrame(svd.U.rows.map(unit), "doc_id long, embedding array<double>")
+    # Each step of the eigensolver reads all rows: they are kept as the JVM's vectors, on disk where memory ends.
+    stored = matrix._java_matrix_wrapper._java_model.rows()
+    stored.persist(matrix.rows.ctx._getJavaStorageLevel(StorageLevel.MEMORY_AND_DISK))
+    n_docs = docs.select("doc_id").distinct().count() if docs is not None else stored.count()
+    width = max(1, min(dim, size - 1, n_docs - 1))
+    if size and stored.count():
+        svd = matrix.computeSVD(min(width, size), computeU=True)
+        scale = np.array(svd.s.toArray())
+
+        def unit(row: IndexedRow) -> tuple[int, list[float]]:
+            v = np.zeros(width)
+            v[: len(scale)] = row.vector.toArray() * scale
+            length = float(np.linalg.norm(v)) or 1.0
+            return int(row.index), [float(x) for x in v / length]
+
+        found = weights.sparkSession.createDataFrame(svd.U.rows.map(unit), "doc_id long, embedding array<double>")
+    else:
+        found = weights.sparkSession.createDataFrame([], "doc_id long, embedding array<double>")
+    if docs is None:
+        return found
+    zeros = F.array_repeat(F.lit(0.0), width)
+    return docs.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("embedding", zeros).alias("embedding"))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -87,8 +87,8 @@ def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 def svd_dense(spark: SparkSession, sf: str) -> DataFrame:
     docs = I.documents(spark, sf).select("doc_id", "text")
-    v = R.svd_vectors(R.tfidf(docs, 1, 1000), 16)
-    return v.select("doc_id", F.size("embedding").alias("dim"))
+    v = R.svd_vectors(R.tfidf(docs), docs=docs)
+    return v.select("doc_id", F.size("embedding").alias("dim"), "embedding")
 
 
 def qrels(spark: SparkSession, sf: str) -> DataFrame:

@@ -146,6 +146,32 @@ def test_svd_keeps_cosines(spark):
     assert v[0] @ v[1] > 0.5 > 0.3 > abs(v[0] @ v[2]) and math.isclose(np.linalg.norm(v[3]), 1.0)
 
 
+def test_svd_query_against_brute_force(spark, tmp_path):
+    """The registered query: 1- and 2-grams, 128 numbers, a row for every document."""
+    from marlquarry.plans.rank_queries import svd_dense
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, int(rng.integers(2, 40))) if x < 1500) or "w1" for _ in range(160)] + ["", None, "alone"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in svd_dense(spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(len(texts))) and {r.dim for r in got.values()} == {128}
+    words = [(t or "").split() for t in texts]
+    grams = [w + [f"{a} {b}" for a, b in zip(w, w[1:])] for w in words]  # noqa: B905
+    place = {g: k for k, g in enumerate(sorted({g for x in grams for g in x}))}
+    tf = np.zeros((len(texts), len(place)))
+    for i, x in enumerate(grams):
+        for g in x:
+            tf[i, place[g]] += 1
+    x = tf * (np.log((1 + len(texts)) / (1 + (tf > 0).sum(0))) + 1)
+    norm = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    u, s, _ = np.linalg.svd(norm(x), full_matrices=False)
+    assert s[127] - s[128] > 1e-6
+    want, own = norm(u[:, :128] * s[:128]), np.array([got[i].embedding for i in range(len(texts))])
+    sure = np.linalg.norm(u[:, :128] * s[:128], axis=1) > 1e-6
+    assert np.allclose((own @ own.T)[np.ix_(sure, sure)], (want @ want.T)[np.ix_(sure, sure)], atol=1e-6)
+    assert not own[160].any() and not own[161].any()
+
+
 # Metrics
 
 
