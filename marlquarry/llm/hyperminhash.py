@@ -34,9 +34,7 @@ class DedupConfig:
     rows: int = 5
     bands: int = 40
     mantissa: int = 10
-    #: Pairs whose smaller set has so few shingles go to the full sets without an estimate.
-    always_verify: int = 100
-    #: Standard deviations by which an estimate may miss the threshold.
+    #: Standard deviations by which an estimate may miss the threshold; registers count as far as the smaller set fills them.
     slack: float = 5.0
 
     @property
@@ -145,7 +143,7 @@ def _band_keys(cfg: DedupConfig):
 
 
 def _near(cfg: DedupConfig):
-    floor = cfg.percent / 100 - cfg.slack * (cfg.percent / 100 * (1 - cfg.percent / 100) / cfg.registers) ** 0.5
+    least = cfg.percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +151,8 @@ def _near(cfg: DedupConfig):
                 continue
             n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
             got = estimate(_matrix(batch.column("regs_a"), cfg), _matrix(batch.column("regs_b"), cfg), n_a, n_b, cfg)
-            keep = (got >= floor) | (np.minimum(n_a, n_b) < cfg.always_verify)
+            filled = np.minimum(np.minimum(n_a, n_b), cfg.registers)
+            keep = got >= least - cfg.slack * np.sqrt(least * (1 - least) / filled)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -177,79 +176,128 @@ def _verified(cfg: DedupConfig):
     return run
 
 
-def _outside(cfg: DedupConfig):
-    """For a member and its family's frame: the shared count and the member's shingles outside the frame that can matter.
+def _frame_counts(cfg: DedupConfig):
+    """Compares the members of a family with the texts of its frame, which come before them.
 
-    Two members that are linked share at least need = percent / 100 of either's shingles. What they share within the frame
-    is at most inside, so a member with inside < need shares need - inside shingles outside it with its partner, and by the
-    prefix principle one of its first size - need + 1 outside shingles in hash order. Other members give all of theirs.
+    A member's links are the frame's texts that it is similar enough to, by the full sets. Linked members share at least
+    need = percent / 100 of either's shingles. What they share within a frame text is at most inside, so a member with
+    inside < need shares need - inside shingles outside it with its partner, and by the prefix principle one of its
+    first size - need + 1 outside shingles in hash order. Other members give all of theirs. A member goes with each
+    frame text that lies about as near to it as its nearest one does, and with all of them at once (sub 0) if none is near.
+    Sets of two linked members differ in at most slack shingles, so they have one of these in common.
     """
+    part = cfg.percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, frame = None, np.zeros(0, U64)
+        family, frame, union = None, [], np.zeros(0, U64)
         for batch in batches:
-            inside, outside = [], [np.zeros(0, U64)]
-            pivots, frames = batch.column("pivot").to_pylist(), batch.column("frame")
+            pivots, salts = batch.column("pivot").to_pylist(), batch.column("salt").to_pylist()
+            reps, roots, refs = (batch.column(c).to_pylist() for c in ("rep", "root", "ref"))
+            rows: list[tuple] = []
+            outside = [np.zeros(0, U64)]
             for at, texts in chunks(batch.column("text")):
                 for k, own in enumerate(Words(texts).shingles(cfg.shingle), at):
-                    if pivots[k] != last:  # rows come sorted by pivot
-                        last, frame = pivots[k], Words(frames.slice(k, 1)).shingles(cfg.shingle)[0]
-                    shared = np.isin(own, frame, assume_unique=True)
-                    got, need = int(shared.sum()), -(-cfg.percent * len(own) // 100)
-                    rest = own[~shared]
-                    inside.append(got)
-                    outside.append(rest if got >= need else rest[: len(own) - need + 1])
-            column = pa.ListArray.from_arrays(
-                pa.array(np.cumsum([len(x) for x in outside]), pa.int32()), pa.array(np.concatenate(outside).view(np.int64))
-            )
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("pivot", "rep", "n", "root")), pa.array(inside, pa.int64()), column],
-                names=["pivot", "rep", "n", "root", "inside", "outside"],
-            )
+                    if (pivots[k], salts[k]) != family:
+                        family, frame, union = (pivots[k], salts[k]), [], None
+                    if refs[k] is not None:  # sorted: the frame's texts come first
+                        frame.append((refs[k], roots[k], own))
+                        continue
+                    n, need = len(own), -(-cfg.percent * len(own) // 100)
+                    slack = int((1 - part) / part * n)
+                    within = [np.isin(own, x, assume_unique=True) for _, _, x in frame]
+                    inside = [int(w.sum()) for w in within]
+                    best = max(inside, default=0)
+                    links = [(root, ref) for (ref, root, x), i in zip(frame, inside, strict=True) if 100 * i >= cfg.percent * (n + len(x) - i) and ref != reps[k]]
+                    root = min([roots[k], *(r for r, _ in links)])
+                    subs = [(s, w) for s, (w, i) in enumerate(zip(within, inside, strict=True), 1) if i >= best - slack and best >= 0.8 * n - 2 * slack]
+                    if best <= 0.8 * n:
+                        if union is None:
+                            union = np.unique(np.concatenate([np.zeros(0, U64), *(x for _, _, x in frame)]))
+                        subs.append((0, np.isin(own, union, assume_unique=True)))
+                    for j, (sub, shared) in enumerate(subs):
+                        got, rest = int(shared.sum()), own[~shared]
+                        rows.append((pivots[k], sub, reps[k], n, root, got, [ref for _, ref in links] if j == 0 else []))
+                        outside.append(rest if got >= need else rest[: n - need + 1])
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            arrays = [pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 6, pa.list_(pa.int64())), strict=True)]
+            ends = pa.array(np.cumsum([len(x) for x in outside]), pa.int32())
+            arrays.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(outside).view(np.int64))))
+            yield pa.RecordBatch.from_arrays(arrays, names=["pivot", "sub", "rep", "n", "root", "inside", "links", "outside"])
 
     return run
 
 
-def _across(mixed: DataFrame, texts: DataFrame, cfg: DedupConfig, ws: Workspace) -> DataFrame:
-    """Pairs (a, b) of different roots, out of one bucket, that may be linked. mixed: pivot, rep, n, root.
-
-    Buckets of one pivot are a family. Its members are compared through their shingles outside a frame, the text of a few
-    of them, so what a whole family shares, a passage or the text that its copies derive from, makes no pairs. The frame
-    may be any text: it decides the work, not the result. Pairs that share nothing outside the frame need
-    min(inside) >= percent / (100 + percent) of their sizes together; those are found by (size, inside) first.
+#: Members that are compared with one copy of a frame; a larger family has several copies, each in a place of its own.
+PLACE = 256
+#: Members that may share a shingle outside a frame and be paired through it; more make a family of their own.
+CROWD = 256
+
+
+def _seen(mixed: DataFrame, texts: DataFrame, cfg: DedupConfig, ws: Workspace, level: int) -> DataFrame:
+    """Members of families (pivot, rep, n, root) after comparison with their frames, see _frame_counts."""
+    picks = [F.min_by(F.struct("rep", "root"), F.xxhash64("rep", F.lit(i + 8 * level))).alias(f"r{i}") for i in range(5)]
+    sums = mixed.groupBy("pivot").agg(F.count("*").alias("members"), *picks)
+    places = F.expr(f"cast(members div {PLACE} + 1 as int)")
+    copies = sums.select("pivot", F.array_distinct(F.array(*(f"r{i}" for i in range(5)))).alias("r"), F.explode(F.sequence(F.lit(0), places - 1)).alias("salt"))
+    copies = copies.select("pivot", "salt", F.explode("r").alias("r")).select("pivot", "salt", F.col("r.rep").alias("doc_id"), F.col("r.root").alias("root"))
+    frames = copies.join(texts, "doc_id").select("pivot", "salt", F.col("doc_id").alias("ref"), F.lit(None).cast("long").alias("rep"), "root", "text")
+    large = sums.filter(f"members >= {PLACE}").select("pivot", places.alias("places"))
+    placed = mixed.join(large, "pivot", "left").withColumn("salt", F.pmod(F.xxhash64("rep"), F.coalesce("places", F.lit(1)).cast("long")).cast("int"))
+    rows = placed.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("pivot", "salt", F.lit(None).cast("long").alias("ref"), "rep", "root", "text")
+    rows = frames.unionByName(rows).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("ref").asc_nulls_last())
+    schema = "pivot long, sub long, rep long, n long, root long, inside long, links array<long>, outside array<long>"
+    return ws.table(rows.mapInArrow(_frame_counts(cfg), schema), f"outside-{level}")
+
+
+def _across(mixed: DataFrame, texts: DataFrame, cfg: DedupConfig, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) found on the way, and pairs (a, b) of different roots, out of one bucket, that may be linked.
+
+    mixed: pivot, rep, n, root. Buckets of one pivot are a family. Its members are compared through their shingles outside
+    frames, texts of a few of them, so what a whole family shares, a passage or the text that its copies derive from, makes no
+    pairs. Frames may be any texts: they decide the work, not the result. Pairs that share nothing outside a frame need
+    min(inside) >= percent / (100 + percent) of their sizes together; those are found by (size, inside) first. A shingle
+    that more than CROWD members have outside their frame makes no pairs either: its holders are a family at the next level,
+    whose frame holds it. What all of a family hold grows with each level, so the levels end.
     """
-    picks = [F.min_by("rep", F.xxhash64("rep", F.lit(i))).alias(f"r{i}") for i in range(4)]
-    frames = mixed.groupBy("pivot").agg(*picks).select("pivot", F.explode(F.array("pivot", *(f"r{i}" for i in range(4)))).alias("doc_id"))
-    frames = frames.join(texts, "doc_id").groupBy("pivot").agg(F.concat_ws("\n", F.collect_list("text")).alias("frame"))
-    both = mixed.join(texts.withColumnRenamed("doc_id", "rep"), "rep").join(frames, "pivot").sortWithinPartitions("pivot")
-    seen = ws.table(both.mapInArrow(_outside(cfg), "pivot long, rep long, n long, root long, inside long, outside array<long>"), "outside")
-    rows = seen.select("pivot", "rep", "n", "root", "inside", F.size("outside").alias("rest"), F.explode("outside").alias("shingle"))
-    # A shingle that one root alone has makes no pair.
-    shared = rows.groupBy("pivot", "shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").drop("x", "y")
-    rows = ws.table(rows.join(shared, ["pivot", "shingle"]), "shared")
-    twin = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "root", "inside", "rest")]
+    links, pairs, level = None, None, 0
+    group = ["pivot", "sub"]
     sizes = f"100 * least(n_a, n_b) >= {cfg.percent} * greatest(n_a, n_b)"
-    most = "least(inside_a, inside_b) + least(rest_a, rest_b)"
-    far = rows.select("pivot", "shingle", *twin("a")).join(rows.select("pivot", "shingle", *twin("b")), ["pivot", "shingle"])
-    # rest is cut for members that lie far from the frame, so the bound on what they share holds for the others only.
-    whole = f"100 * least(inside_a, inside_b) >= {cfg.percent} * greatest(n_a, n_b)"
-    bound = f"100 * ({most}) >= {cfg.percent} * (n_a + n_b - ({most}))"
-    far = far.filter(f"rep_a < rep_b and root_a <> root_b and {sizes} and (not ({whole}) or {bound})")
-
-    near = seen.filter(f"100 * inside >= {cfg.percent} * n").select("pivot", "rep", "n", "root", "inside")
-    kinds = near.groupBy("pivot", "n", "inside").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    kind = lambda x: kinds.select("pivot", *(F.col(c).alias(f"{c}_{x}") for c in ("n", "inside", "low", "high")))
-    inner = f"100 * least(inside_a, inside_b) >= {cfg.percent} * (n_a + n_b - least(inside_a, inside_b))"
-    kinds = kind("a").join(kind("b"), "pivot").filter(f"{sizes} and {inner} and (low_a <> high_b or high_a <> low_b)")
-    kinds = kinds.select("pivot", "n_a", "inside_a", "n_b", "inside_b")
-    pick = lambda x: near.select("pivot", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "root", "inside")))
-    close = kinds.join(pick("a"), ["pivot", "n_a", "inside_a"]).join(pick("b"), ["pivot", "n_b", "inside_b"]).filter("rep_a < rep_b and root_a <> root_b")
-    pairs = far.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).unionByName(close.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
-    return pairs.distinct()
+    twin = lambda rows, names, x: rows.select(*group, *(F.col(c).alias(f"{c}_{x}") for c in names))
+    while True:
+        seen = _seen(mixed, texts, cfg, ws, level)
+        own = seen.select(F.col("rep").alias("a"), F.explode("links").alias("b"))
+        rows = seen.select(*group, "rep", "n", "root", "inside", F.size("outside").alias("rest"), F.explode("outside").alias("shingle"))
+        # A shingle that one root alone has makes no pair.
+        shared = rows.groupBy(*group, "shingle").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("holders")).filter("x < y")
+        rows = ws.table(rows.join(shared.drop("x", "y"), [*group, "shingle"]), f"shared-{level}")
+        few = rows.filter(f"holders <= {CROWD}")
+        most = "least(inside_a, inside_b) + least(rest_a, rest_b)"
+        side = lambda x, few=few: few.select(*group, "shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "root", "inside", "rest")))
+        # rest is cut for members that lie far from the frame, so the bound on what they share holds for the others only.
+        whole = f"100 * least(inside_a, inside_b) >= {cfg.percent} * greatest(n_a, n_b)"
+        bound = f"100 * ({most}) >= {cfg.percent} * (n_a + n_b - ({most}))"
+        far = side("a").join(side("b"), [*group, "shingle"]).filter(f"rep_a < rep_b and root_a <> root_b and {sizes} and (not ({whole}) or {bound})")
+
+        near = seen.filter(f"100 * inside >= {cfg.percent} * n").select(*group, "rep", "n", "root", "inside")
+        kinds = near.groupBy(*group, "n", "inside").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        inner = f"100 * least(inside_a, inside_b) >= {cfg.percent} * (n_a + n_b - least(inside_a, inside_b))"
+        kind = lambda x, kinds=kinds: twin(kinds, ("n", "inside", "low", "high"), x)
+        kinds = kind("a").join(kind("b"), group).filter(f"{sizes} and {inner} and (low_a <> high_b or high_a <> low_b)")
+        kinds = kinds.select(*group, "n_a", "inside_a", "n_b", "inside_b")
+        pick = lambda x, near=near: twin(near, ("rep", "n", "root", "inside"), x)
+        close = kinds.join(pick("a"), [*group, "n_a", "inside_a"]).join(pick("b"), [*group, "n_b", "inside_b"]).filter("rep_a < rep_b and root_a <> root_b")
+        both = [x.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")) for x in (far, close)]
+        links = own if links is None else links.unionByName(own)
+        pairs = both[0].unionByName(both[1]) if pairs is None else pairs.unionByName(both[0]).unionByName(both[1])
+        crowds = rows.filter(f"holders > {CROWD}").select(F.xxhash64(*group, "shingle").alias("pivot"), "rep", "n", "root").distinct()
+        if crowds.isEmpty():
+            return links, pairs.distinct()
+        level += 1
+        mixed = ws.table(crowds, f"mixed-{level}")
 
 
 def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, cfg: DedupConfig, ws: Workspace, label: str) -> DataFrame:
-    """Of candidate pairs (a, b) of representatives, those that the full sets confirm."""
+    """Of candidate pairs (a, b) of representatives, those that the estimates leave and the full sets confirm."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {cfg.percent} * greatest(n_a, n_b)")
     near = ws.table(near.mapInArrow(_near(cfg), "a long, b long"), f"{label}-near")
@@ -270,8 +318,8 @@ def near_duplicates(documents: DataFrame, cfg: DedupConfig | None = None) -> Dat
 
     Equal sets are joined by their digest first, so a group of copies counts once. In a band's bucket every
     representative is compared with the least one only (a star, linear in the bucket's size). Members of a bucket that
-    then lie in different components are compared if they share shingles that their pivot lacks, or lie so near to the
-    pivot that they need not (see _across). Both tests are exact, so no link between components is missed.
+    then lie in different components are compared if they share shingles that a frame of members lacks, or lie so near to
+    that frame that they need not (see _across). Both tests are exact, so no link between components is missed.
     """
     cfg = cfg or DedupConfig()
     spark = documents.sparkSession
@@ -284,23 +332,25 @@ def near_duplicates(documents: DataFrame, cfg: DedupConfig | None = None) -> Dat
     bands = reps.mapInArrow(_band_keys(cfg), "key long, rep long, n long")
     stars = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot < last").drop("last")
     members = ws.table(bands.join(stars, "key"), "members")
-    first = ws.table(members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs-1")
+    first = members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     ids = members.select(F.explode(F.array("rep", "pivot")).alias("doc_id")).distinct()
     texts = ws.table(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     links = _links(first, reps, texts, cfg, ws, "star")
-    roots = ws.table(connected_components(links, ws, "cc-1"), "roots-1")
+    roots = connected_components(links, ws, "cc-1")
 
     rooted = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-    mixed = rooted.join(mixed, "key", "left_semi").filter("rep <> pivot").select("pivot", "rep", "n", "root").distinct()
-    across = _across(ws.table(mixed, "mixed"), texts, cfg, ws).join(first, ["a", "b"], "left_anti")
-    more = _links(ws.table(across, "pairs-2"), reps, texts, cfg, ws, "across")
-    roots = ws.table(connected_components(links.unionByName(more), ws, "cc-2"), "roots-2")
+    mixed = ws.table(rooted.join(mixed, "key", "left_semi").select("pivot", "rep", "n", "root").distinct(), "mixed-0")
+    framed, across = _across(mixed, texts, cfg, ws)
+    more = _links(across.join(first, ["a", "b"], "left_anti"), reps, texts, cfg, ws, "across")
+    roots = connected_components(links.unionByName(framed).unionByName(more), ws, "cc-2")
 
     rep_root = reps.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = ws.table(rep_root.select("digest", F.coalesce("root", "rep").alias("component_id")), "classes")
-    ws.drop("members", "mixed", "outside", "shared", "pairs-1", "pairs-2", "texts")
-    found = sketch.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
+    classes = rep_root.select("digest", F.coalesce("root", "rep").alias("component_id"))
+    found = sketch.select("doc_id", "n_shingles", "digest")
+    # Rows without shingles have no class to meet, and would all meet in one place.
+    empty = found.filter("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    found = found.filter("digest is not null").join(classes, "digest", "left").select("doc_id", "n_shingles", "component_id").unionByName(empty)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))

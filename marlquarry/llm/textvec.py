@@ -12,7 +12,7 @@ U64 = np.uint64
 #: The ASCII white space that separates words, and an odd base for the rolling hash.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 BASE = 0x9E3779B97F4A7C15
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _CODES = _rng.integers(1, 2**63, size=256, dtype=np.uint64) * U64(2) + U64(1)

@@ -87,6 +87,22 @@ def test_families_near_the_threshold(spark):
     assert {i: (n, c) for i, n, c, _ in found(spark, rows, cfg)} == brute(rows, 3, 85)
 
 
+def test_crowds_and_places(spark, monkeypatch):
+    """Families of which parts share further passages, compared in many places and through crowds of few members."""
+    monkeypatch.setattr(H, "CROWD", 24)
+    monkeypatch.setattr(H, "PLACE", 16)
+    rng = random.Random(11)
+    passage = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(n))
+    first, second, third = passage("ijkl", 70), passage("mnop", 25), passage("qrst", 12)
+    texts = family(rng, 40, 60, 5) + family(rng, 30, 90, 9)
+    for i in range(60):
+        texts.append(" ".join([first, second if i % 2 else "", third if i % 3 == 0 else "", passage("uvwx", 6 + i % 9)]))
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    for cfg in [H.DedupConfig(shingle=3, percent=85, rows=6, bands=40)]:
+        assert {i: (n, c) for i, n, c, _ in found(spark, rows, cfg)} == brute(rows, cfg.shingle, cfg.percent)
+
+
 def test_truncated_copies(spark):
     """Prefixes of one text link in a chain of which the ends don't."""
     base = [f"w{i}" for i in range(200)]
