@@ -180,11 +180,11 @@ def _frame_counts(cfg: DedupConfig):
     """Compares the members of a family with the texts of its frame, which come before them.
 
     A member's links are the frame's texts that it is similar enough to, by the full sets. Linked members share at least
-    need = percent / 100 of either's shingles. What they share within a frame text is at most inside, so a member with
+    need = percent / 100 of either's shingles. What they share within the frame is at most inside, so a member with
     inside < need shares need - inside shingles outside it with its partner, and by the prefix principle one of its
-    first size - need + 1 outside shingles in hash order. Other members give all of theirs. A member goes with each
-    frame text that lies about as near to it as its nearest one does, and with all of them at once (sub 0) if none is near.
-    Sets of two linked members differ in at most slack shingles, so they have one of these in common.
+    first size - need + 1 outside shingles in hash order. Other members, and those of large families, give all of theirs.
+    subs are the frame texts that lie about as near to a member as its nearest one does: the sets of two linked members
+    differ in at most slack shingles, so they have one of these in common.
     """
     part = cfg.percent / 100
 
@@ -192,7 +192,7 @@ def _frame_counts(cfg: DedupConfig):
         family, frame, union = None, [], np.zeros(0, U64)
         for batch in batches:
             pivots, salts = batch.column("pivot").to_pylist(), batch.column("salt").to_pylist()
-            reps, roots, refs = (batch.column(c).to_pylist() for c in ("rep", "root", "ref"))
+            reps, roots, refs, large = (batch.column(c).to_pylist() for c in ("rep", "root", "ref", "large"))
             rows: list[tuple] = []
             outside = [np.zeros(0, U64)]
             for at, texts in chunks(batch.column("text")):
@@ -202,98 +202,97 @@ def _frame_counts(cfg: DedupConfig):
                     if refs[k] is not None:  # sorted: the frame's texts come first
                         frame.append((refs[k], roots[k], own))
                         continue
+                    if union is None:
+                        union = np.unique(np.concatenate([np.zeros(0, U64), *(x for _, _, x in frame)]))
                     n, need = len(own), -(-cfg.percent * len(own) // 100)
                     slack = int((1 - part) / part * n)
-                    within = [np.isin(own, x, assume_unique=True) for _, _, x in frame]
-                    inside = [int(w.sum()) for w in within]
-                    best = max(inside, default=0)
+                    shared = np.isin(own, union, assume_unique=True)
+                    got, rest, near = int(shared.sum()), own[~shared], own[shared]
+                    inside = [int(np.isin(near, x, assume_unique=True).sum()) for _, _, x in frame]
                     links = [(root, ref) for (ref, root, x), i in zip(frame, inside, strict=True) if 100 * i >= cfg.percent * (n + len(x) - i) and ref != reps[k]]
-                    root = min([roots[k], *(r for r, _ in links)])
-                    subs = [(s, w) for s, (w, i) in enumerate(zip(within, inside, strict=True), 1) if i >= best - slack and best >= 0.8 * n - 2 * slack]
-                    if best <= 0.8 * n:
-                        if union is None:
-                            union = np.unique(np.concatenate([np.zeros(0, U64), *(x for _, _, x in frame)]))
-                        subs.append((0, np.isin(own, union, assume_unique=True)))
-                    for j, (sub, shared) in enumerate(subs):
-                        got, rest = int(shared.sum()), own[~shared]
-                        rows.append((pivots[k], sub, reps[k], n, root, got, [ref for _, ref in links] if j == 0 else []))
-                        outside.append(rest if got >= need else rest[: n - need + 1])
+                    subs = [s for s, i in enumerate(inside) if i >= max(inside) - slack]
+                    rows.append((pivots[k], reps[k], n, min([roots[k], *(r for r, _ in links)]), got, subs, [ref for _, ref in links]))
+                    outside.append(rest if got >= need or large[k] else rest[: n - need + 1])
             columns = list(zip(*rows, strict=True)) or [()] * 7
-            arrays = [pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 6, pa.list_(pa.int64())), strict=True)]
+            arrays = [pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 5, *[pa.list_(pa.int64())] * 2), strict=True)]
             ends = pa.array(np.cumsum([len(x) for x in outside]), pa.int32())
             arrays.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(outside).view(np.int64))))
-            yield pa.RecordBatch.from_arrays(arrays, names=["pivot", "sub", "rep", "n", "root", "inside", "links", "outside"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["pivot", "rep", "n", "root", "inside", "subs", "links", "outside"])
 
     return run
 
 
 #: Members that are compared with one copy of a frame; a larger family has several copies, each in a place of its own.
 PLACE = 256
-#: Members that may share a shingle outside a frame and be paired through it; more make a family of their own.
+#: Members that may be paired through a shingle outside the frame; one that more of them hold counts as inside it.
 CROWD = 256
 
 
-def _seen(mixed: DataFrame, texts: DataFrame, cfg: DedupConfig, ws: Workspace, level: int) -> DataFrame:
+def _seen(mixed: DataFrame, texts: DataFrame, cfg: DedupConfig, ws: Workspace) -> DataFrame:
     """Members of families (pivot, rep, n, root) after comparison with their frames, see _frame_counts."""
-    picks = [F.min_by(F.struct("rep", "root"), F.xxhash64("rep", F.lit(i + 8 * level))).alias(f"r{i}") for i in range(5)]
+    picks = [F.min_by(F.struct("rep", "root"), F.xxhash64("rep", F.lit(i))).alias(f"r{i}") for i in range(5)]
     sums = mixed.groupBy("pivot").agg(F.count("*").alias("members"), *picks)
     places = F.expr(f"cast(members div {PLACE} + 1 as int)")
     copies = sums.select("pivot", F.array_distinct(F.array(*(f"r{i}" for i in range(5)))).alias("r"), F.explode(F.sequence(F.lit(0), places - 1)).alias("salt"))
     copies = copies.select("pivot", "salt", F.explode("r").alias("r")).select("pivot", "salt", F.col("r.rep").alias("doc_id"), F.col("r.root").alias("root"))
-    frames = copies.join(texts, "doc_id").select("pivot", "salt", F.col("doc_id").alias("ref"), F.lit(None).cast("long").alias("rep"), "root", "text")
-    large = sums.filter(f"members >= {PLACE}").select("pivot", places.alias("places"))
-    placed = mixed.join(large, "pivot", "left").withColumn("salt", F.pmod(F.xxhash64("rep"), F.coalesce("places", F.lit(1)).cast("long")).cast("int"))
-    rows = placed.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("pivot", "salt", F.lit(None).cast("long").alias("ref"), "rep", "root", "text")
+    none = F.lit(None).cast("long")
+    frames = copies.join(texts, "doc_id").select("pivot", "salt", F.col("doc_id").alias("ref"), none.alias("rep"), "root", F.lit(False).alias("large"), "text")
+    large = sums.filter(f"members > least({PLACE}, {CROWD})").select("pivot", places.alias("places"), (F.col("members") > CROWD).alias("large"))
+    salt = F.pmod(F.xxhash64("rep"), F.coalesce("places", F.lit(1)).cast("long")).cast("int")
+    placed = mixed.join(large, "pivot", "left").withColumn("salt", salt).withColumn("large", F.coalesce("large", F.lit(False)))
+    rows = placed.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("pivot", "salt", none.alias("ref"), "rep", "root", "large", "text")
     rows = frames.unionByName(rows).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("ref").asc_nulls_last())
-    schema = "pivot long, sub long, rep long, n long, root long, inside long, links array<long>, outside array<long>"
-    return ws.table(rows.mapInArrow(_frame_counts(cfg), schema), f"outside-{level}")
+    schema = "pivot long, rep long, n long, root long, inside long, subs array<long>, links array<long>, outside array<long>"
+    return ws.table(rows.mapInArrow(_frame_counts(cfg), schema), "outside")
+
+
+def _without_crowds(seen: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """seen, where the outside shingles that more than CROWD members hold count as inside, and the others are cut to those needed."""
+    each = seen.select("pivot", "rep", F.explode("outside").alias("shingle"))
+    crowds = each.groupBy("pivot", "shingle").agg(F.count("*").alias("holders")).filter(f"holders > {CROWD}").select("pivot", "shingle")
+    held = each.join(crowds, ["pivot", "shingle"]).groupBy("pivot", "rep").agg(F.collect_list("shingle").alias("held"))
+    rows = seen.join(held, ["pivot", "rep"], "left").withColumn("held", F.coalesce("held", F.array().cast("array<long>")))
+    rows = rows.withColumn("inside", F.col("inside") + F.size("held")).withColumn("outside", F.array_except("outside", "held"))
+    need = f"({cfg.percent} * n + 99) div 100"
+    return rows.withColumn("outside", F.expr(f"if(inside >= {need}, outside, slice(outside, 1, cast(n - {need} + 1 as int)))")).select(seen.columns)
 
 
 def _across(mixed: DataFrame, texts: DataFrame, cfg: DedupConfig, ws: Workspace) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) found on the way, and pairs (a, b) of different roots, out of one bucket, that may be linked.
 
-    mixed: pivot, rep, n, root. Buckets of one pivot are a family. Its members are compared through their shingles outside
-    frames, texts of a few of them, so what a whole family shares, a passage or the text that its copies derive from, makes no
-    pairs. Frames may be any texts: they decide the work, not the result. Pairs that share nothing outside a frame need
-    min(inside) >= percent / (100 + percent) of their sizes together; those are found by (size, inside) first. A shingle
-    that more than CROWD members have outside their frame makes no pairs either: its holders are a family at the next level,
-    whose frame holds it. What all of a family hold grows with each level, so the levels end.
+    mixed: pivot, rep, n, root. Buckets of one pivot are a family. Its members are compared through their shingles outside a
+    frame: the texts of a few members, and what more than CROWD of them hold. So what many of a family share, passages or the
+    text that its copies derive from, makes no pairs. The frame may be any set: it decides the work, not the result. Pairs that
+    share nothing outside it need min(inside) >= percent / (100 + percent) of their sizes together; those are found by
+    (size, inside) first, among members that lie near the same text of the frame.
     """
-    links, pairs, level = None, None, 0
-    group = ["pivot", "sub"]
+    seen = _seen(mixed, texts, cfg, ws)
+    links = seen.select(F.col("rep").alias("a"), F.explode("links").alias("b"))
+    seen = _without_crowds(seen, cfg)
+    rows = seen.select("pivot", "rep", "n", "root", "inside", F.size("outside").alias("rest"), F.explode("outside").alias("shingle"))
+    # A shingle that one root alone has makes no pair.
+    shared = rows.groupBy("pivot", "shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").drop("x", "y")
+    rows = ws.table(rows.join(shared, ["pivot", "shingle"]), "shared")
     sizes = f"100 * least(n_a, n_b) >= {cfg.percent} * greatest(n_a, n_b)"
-    twin = lambda rows, names, x: rows.select(*group, *(F.col(c).alias(f"{c}_{x}") for c in names))
-    while True:
-        seen = _seen(mixed, texts, cfg, ws, level)
-        own = seen.select(F.col("rep").alias("a"), F.explode("links").alias("b"))
-        rows = seen.select(*group, "rep", "n", "root", "inside", F.size("outside").alias("rest"), F.explode("outside").alias("shingle"))
-        # A shingle that one root alone has makes no pair.
-        shared = rows.groupBy(*group, "shingle").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("holders")).filter("x < y")
-        rows = ws.table(rows.join(shared.drop("x", "y"), [*group, "shingle"]), f"shared-{level}")
-        few = rows.filter(f"holders <= {CROWD}")
-        most = "least(inside_a, inside_b) + least(rest_a, rest_b)"
-        side = lambda x, few=few: few.select(*group, "shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "root", "inside", "rest")))
-        # rest is cut for members that lie far from the frame, so the bound on what they share holds for the others only.
-        whole = f"100 * least(inside_a, inside_b) >= {cfg.percent} * greatest(n_a, n_b)"
-        bound = f"100 * ({most}) >= {cfg.percent} * (n_a + n_b - ({most}))"
-        far = side("a").join(side("b"), [*group, "shingle"]).filter(f"rep_a < rep_b and root_a <> root_b and {sizes} and (not ({whole}) or {bound})")
-
-        near = seen.filter(f"100 * inside >= {cfg.percent} * n").select(*group, "rep", "n", "root", "inside")
-        kinds = near.groupBy(*group, "n", "inside").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        inner = f"100 * least(inside_a, inside_b) >= {cfg.percent} * (n_a + n_b - least(inside_a, inside_b))"
-        kind = lambda x, kinds=kinds: twin(kinds, ("n", "inside", "low", "high"), x)
-        kinds = kind("a").join(kind("b"), group).filter(f"{sizes} and {inner} and (low_a <> high_b or high_a <> low_b)")
-        kinds = kinds.select(*group, "n_a", "inside_a", "n_b", "inside_b")
-        pick = lambda x, near=near: twin(near, ("rep", "n", "root", "inside"), x)
-        close = kinds.join(pick("a"), [*group, "n_a", "inside_a"]).join(pick("b"), [*group, "n_b", "inside_b"]).filter("rep_a < rep_b and root_a <> root_b")
-        both = [x.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")) for x in (far, close)]
-        links = own if links is None else links.unionByName(own)
-        pairs = both[0].unionByName(both[1]) if pairs is None else pairs.unionByName(both[0]).unionByName(both[1])
-        crowds = rows.filter(f"holders > {CROWD}").select(F.xxhash64(*group, "shingle").alias("pivot"), "rep", "n", "root").distinct()
-        if crowds.isEmpty():
-            return links, pairs.distinct()
-        level += 1
-        mixed = ws.table(crowds, f"mixed-{level}")
+    twin = lambda rows, by, names, x: rows.select(*by, *(F.col(c).alias(f"{c}_{x}") for c in names))
+    most = "least(inside_a, inside_b) + least(rest_a, rest_b)"
+    side = lambda x: twin(rows, ["pivot", "shingle"], ("rep", "n", "root", "inside", "rest"), x)
+    # rest is cut for members that lie far from the frame, so the bound on what they share holds for the others only.
+    whole = f"100 * least(inside_a, inside_b) >= {cfg.percent} * greatest(n_a, n_b)"
+    bound = f"100 * ({most}) >= {cfg.percent} * (n_a + n_b - ({most}))"
+    far = side("a").join(side("b"), ["pivot", "shingle"]).filter(f"rep_a < rep_b and root_a <> root_b and {sizes} and (not ({whole}) or {bound})")
+
+    near = seen.filter(f"100 * inside >= {cfg.percent} * n").select("pivot", F.explode("subs").alias("sub"), "rep", "n", "root", "inside")
+    kinds = near.groupBy("pivot", "sub", "n", "inside").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    inner = f"100 * least(inside_a, inside_b) >= {cfg.percent} * (n_a + n_b - least(inside_a, inside_b))"
+    kind = lambda x: twin(kinds, ["pivot", "sub"], ("n", "inside", "low", "high"), x)
+    kinds = kind("a").join(kind("b"), ["pivot", "sub"]).filter(f"{sizes} and {inner} and (low_a <> high_b or high_a <> low_b)")
+    kinds = kinds.select("pivot", "sub", "n_a", "inside_a", "n_b", "inside_b")
+    pick = lambda x: twin(near, ["pivot", "sub"], ("rep", "n", "root", "inside"), x)
+    close = kinds.join(pick("a"), ["pivot", "sub", "n_a", "inside_a"]).join(pick("b"), ["pivot", "sub", "n_b", "inside_b"])
+    close = close.filter("rep_a < rep_b and root_a <> root_b")
+    ends = lambda pairs: pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    return links, ends(far).unionByName(ends(close)).distinct()
 
 
 def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, cfg: DedupConfig, ws: Workspace, label: str) -> DataFrame:
@@ -340,7 +339,7 @@ def near_duplicates(documents: DataFrame, cfg: DedupConfig | None = None) -> Dat
 
     rooted = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-    mixed = ws.table(rooted.join(mixed, "key", "left_semi").select("pivot", "rep", "n", "root").distinct(), "mixed-0")
+    mixed = ws.table(rooted.join(mixed, "key", "left_semi").select("pivot", "rep", "n", "root").distinct(), "mixed")
     framed, across = _across(mixed, texts, cfg, ws)
     more = _links(across.join(first, ["a", "b"], "left_anti"), reps, texts, cfg, ws, "across")
     roots = connected_components(links.unionByName(framed).unionByName(more), ws, "cc-2")
