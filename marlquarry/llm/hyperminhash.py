@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from marlquarry.llm.components import connected_components
 from marlquarry.llm.textvec import U64, Words, chunks, mix
-from marlquarry.llm.workspace import Workspace
+from marlquarry.llm.workspace import Workspace, split_join
 
 
 @dataclass(frozen=True)
@@ -239,7 +239,7 @@ def _seen(mixed: DataFrame, texts: DataFrame, cfg: DedupConfig, ws: Workspace) -
     frames = copies.join(texts, "doc_id").select("pivot", "salt", F.col("doc_id").alias("ref"), none.alias("rep"), "root", F.lit(False).alias("large"), "text")
     large = sums.filter(f"members > least({PLACE}, {CROWD})").select("pivot", places.alias("places"), (F.col("members") > CROWD).alias("large"))
     salt = F.pmod(F.xxhash64("rep"), F.coalesce("places", F.lit(1)).cast("long")).cast("int")
-    placed = mixed.join(large, "pivot", "left").withColumn("salt", salt).withColumn("large", F.coalesce("large", F.lit(False)))
+    placed = split_join(mixed, large, ["pivot"], "left").withColumn("salt", salt).withColumn("large", F.coalesce("large", F.lit(False)))
     rows = placed.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("pivot", "salt", none.alias("ref"), "rep", "root", "large", "text")
     rows = frames.unionByName(rows).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("ref").asc_nulls_last())
     schema = "pivot long, rep long, n long, root long, inside long, subs array<long>, links array<long>, outside array<long>"
@@ -250,7 +250,7 @@ def _without_crowds(seen: DataFrame, cfg: DedupConfig) -> DataFrame:
     """seen, where the outside shingles that more than CROWD members hold count as inside, and the others are cut to those needed."""
     each = seen.select("pivot", "rep", F.explode("outside").alias("shingle"))
     crowds = each.groupBy("pivot", "shingle").agg(F.count("*").alias("holders")).filter(f"holders > {CROWD}").select("pivot", "shingle")
-    held = each.join(crowds, ["pivot", "shingle"]).groupBy("pivot", "rep").agg(F.collect_list("shingle").alias("held"))
+    held = split_join(each, crowds, ["shingle", "pivot"]).groupBy("pivot", "rep").agg(F.collect_list("shingle").alias("held"))
     rows = seen.join(held, ["pivot", "rep"], "left").withColumn("held", F.coalesce("held", F.array().cast("array<long>")))
     rows = rows.withColumn("inside", F.col("inside") + F.size("held")).withColumn("outside", F.array_except("outside", "held"))
     need = f"({cfg.percent} * n + 99) div 100"
@@ -325,12 +325,13 @@ def near_duplicates(documents: DataFrame, cfg: DedupConfig | None = None) -> Dat
     ws = Workspace(spark, "near-duplicates")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = ws.table(docs.mapInArrow(_sketches(cfg), "doc_id long, n_shingles long, digest binary, regs binary"), "sketch")
+    ws.expect(sketch.count())
     classes = sketch.filter("digest is not null and doc_id is not null").groupBy("digest")
     reps = ws.table(classes.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "reps")
 
     bands = reps.mapInArrow(_band_keys(cfg), "key long, rep long, n long")
     stars = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot < last").drop("last")
-    members = ws.table(bands.join(stars, "key"), "members")
+    members = ws.table(split_join(bands, stars, ["key"]), "members")
     first = members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     ids = members.select(F.explode(F.array("rep", "pivot")).alias("doc_id")).distinct()
     texts = ws.table(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
@@ -339,7 +340,7 @@ def near_duplicates(documents: DataFrame, cfg: DedupConfig | None = None) -> Dat
 
     rooted = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-    mixed = ws.table(rooted.join(mixed, "key", "left_semi").select("pivot", "rep", "n", "root").distinct(), "mixed")
+    mixed = ws.table(split_join(rooted, mixed, ["key"], "left_semi").select("pivot", "rep", "n", "root").distinct(), "mixed")
     framed, across = _across(mixed, texts, cfg, ws)
     more = _links(across.join(first, ["a", "b"], "left_anti"), reps, texts, cfg, ws, "across")
     roots = connected_components(links.unionByName(framed).unionByName(more), ws, "cc-2")
