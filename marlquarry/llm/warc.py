@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlquarry.llm.workspace import Workspace, with_temp_dir
+from marlquarry.llm.workspace import Workspace, split_join, with_temp_dir
 
 BLOCK = 1 << 18
 #: The lines that start and separate records, and the profile of a revisit.
@@ -93,20 +93,23 @@ def parse_record(record: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 def inflate(read: Callable[[int], bytes]) -> Iterator[bytes]:
-    """Blocks of a gzip file of one or many members, each inflated once and none larger than BLOCK."""
-    stream, data = zlib.decompressobj(31), read(BLOCK)
+    """Blocks of a gzip file of one or many members, each inflated once and none larger than BLOCK. A file that ends within
+    a member, before its checksum, is an error."""
+    stream, data, begun = zlib.decompressobj(31), read(BLOCK), False
     while data:
         out = stream.decompress(data, BLOCK)
         if out:
             yield out
-        data = stream.unconsumed_tail
+        data, begun = stream.unconsumed_tail, True
         if stream.eof:
-            data = stream.unused_data
+            data, begun = stream.unused_data, False
             stream = zlib.decompressobj(31)
         if not data:
             data = read(BLOCK)
     if tail := stream.flush():
         yield tail
+    if begun and not stream.eof:
+        raise ValueError("the archive is cut short")
 
 
 def split_records(blocks: Iterator[bytes]) -> Iterator[bytes]:
@@ -135,7 +138,10 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def _commit(files: fs.FileSystem, written: str, final: str) -> None:
-    """Give a finished file its name. A second attempt of a task writes the same bytes under the same name."""
+    """Give a finished file its name. A second attempt of a task takes the place of what the first has left; it holds the
+    same records."""
+    if files.get_file_info(final).type != fs.FileType.NotFound:
+        files.delete_file(final)
     files.move(written, final)
 
 
@@ -251,13 +257,17 @@ def read_archives(archives: DataFrame) -> DataFrame:
 def with_revisits(pages: DataFrame, cfg: WarcConfig) -> DataFrame:
     """page_id, url, payload, digest and refers_to: of equal payloads the one with the largest page_id is the response.
 
-    Only digests and ids are shuffled for it; a null html is an empty payload. Rows without a page_id are responses,
-    as are all rows with the largest page_id of their payload.
+    Only digests and ids are grouped; the ids of the revisits are written as a table, whose size then decides whether it is
+    broadcast to the payloads or these are dealt by page_id. A null html is an empty payload. Rows without a page_id are
+    responses, as are all rows with the largest page_id of their payload.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("sha", F.sha1("payload"))
-    best = rows.filter(F.octet_length("payload") >= cfg.min_revisit).groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return rows.join(best, "sha", "left").select("page_id", "url", "payload", F.col("sha").alias("digest"), F.when(F.col("page_id") < F.col("first"), F.col("first")).alias("refers_to"))
+    rows = rows.withColumn("digest", F.sha1("payload"))
+    ids = rows.filter(f"page_id is not null and octet_length(payload) >= {int(cfg.min_revisit)}").select("page_id", "digest")
+    best = ids.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).filter("least < refers_to").drop("least")
+    revisits = split_join(ids, best, ["digest"]).filter("page_id < refers_to").distinct()
+    revisits = Workspace(pages.sparkSession, "warc-revisits").table(revisits, "revisits")
+    return rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, cfg: WarcConfig | None = None) -> DataFrame:
@@ -277,7 +287,12 @@ def archive_pages(pages: DataFrame, folder: str | None = None, cfg: WarcConfig |
             yield batch.set_column(batch.schema.get_field_index("digest"), "digest", digest)
 
     raw = ws.table(write_archives(records.mapInArrow(base32, records.schema), folder, cfg), "raw")
-    return ws.table(normalise(raw.repartition("archive"), cfg), "normalised")
+    return ws.table(normalise(_each_alone(raw), cfg), "normalised")
+
+
+def _each_alone(archives: DataFrame) -> DataFrame:
+    """One row per archive, dealt by range into as many partitions as there are rows."""
+    return archives.repartitionByRange(max(1, archives.count()), "archive")
 
 
 def pages_round_trip(pages: DataFrame, cfg: WarcConfig | None = None) -> DataFrame:
@@ -287,4 +302,4 @@ def pages_round_trip(pages: DataFrame, cfg: WarcConfig | None = None) -> DataFra
     and html are ignored.
     """
     made = archive_pages(pages, cfg=cfg)
-    return read_archives(made.repartition("archive")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(_each_alone(made)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -57,6 +57,20 @@ def test_warc_round_trip(spark, sf):
     assert W.pages_round_trip(spark.createDataFrame([], pages.schema)).collect() == []
 
 
+def test_cut_archives_are_errors():
+    records = [W.make_record(i, "u", b"x" * 2000 + bytes([i]) * 300, "D", None) for i in range(5)]
+    press = zlib.compressobj(3, zlib.DEFLATED, 31)
+    whole = b"".join(map(press.compress, records[:3])) + press.flush(zlib.Z_FULL_FLUSH)
+    cut, whole = whole, whole + b"".join(map(press.compress, records[3:])) + press.flush()
+    for body, ok in ((whole, True), (cut, False), (whole[:-4], False), (whole + cut, False), (b"", True)):
+        source = io.BytesIO(body)
+        if ok:
+            assert list(W.split_records(W.inflate(source.read))) == (records if body else [])
+        else:
+            with pytest.raises(ValueError):
+                list(W.split_records(W.inflate(source.read)))
+
+
 def test_normaliser_makes_members(tmp_path):
     cfg = W.WarcConfig()
     records = [W.make_record(i, f"http://x/{i}", (f"payload {i}\r\n\r\n" * i).encode(), "A" * 32, None if i % 3 else i + 1) for i in range(40)]
