@@ -290,6 +290,35 @@ def test_mix_weights_and_draws(spark):
     assert drawn == {r.doc_id for r in rows if r.selected}
 
 
+@pytest.mark.parametrize("dense", [400_000, 5])
+def test_drawn_shares_meet_the_targets(spark, dense):
+    """Cells that would be drawn more than whole are made up for, and the budget falls as far as the least source needs."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for source, n in (("a", 9000), ("b", 800), ("c", 200)):
+        for k in range(n // 10):
+            words = rng.integers(0, 40, 10) + (40 if rng.random() < 0.3 else 0)
+            rows.append((len(rows), " ".join(f"word{int(x)}" for x in words), "en" if rng.random() < 0.6 else "de", source, 0, f"t{k % 3}"))
+    df = spark.createDataFrame(rows, DOCS + ", kind string")
+    cfg = M.MixConfig(dense=dense, topic="kind", targets={"source": {"a": 0.5, "b": 0.35, "c": 0.15}, "lang": {"en": 0.5, "de": 0.5}}, floor=0.1)
+    got = M.mix(df, cfg).collect()
+    drawn = sum(r.n_tokens * r.probability for r in got)
+    share = lambda axis, v: sum(r.n_tokens * r.probability for r in got if getattr(r, axis) == v) / drawn
+    assert all(abs(share("source", k) - v) < 1e-3 for k, v in cfg.targets["source"].items())
+    assert all(abs(share("lang", k) - v) < 1e-3 for k, v in cfg.targets["lang"].items())
+    assert drawn / 10_000 <= 200 / 0.15 / 10_000 + 1e-6 and max(r.probability for r in got) <= 1
+    assert {(r.axis, r.value): round(r.drawn_share, 3) for r in M.shares(M.mix(df, cfg)).collect()}["source", "b"] == 0.35
+    assert sorted(r.doc_id for r in M.sample(df, cfg).collect()) == sorted(r.doc_id for r in got if r.selected)
+
+
+def test_topics_part_different_texts(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"{'abcd'[i % 4] * 3}{int(x)}" for x in rng.integers(0, 60, 50)) for i in range(400)]
+    cfg = M.MixConfig(topics=4, sample=200)
+    got = {r.doc_id: r.topic for r in M.mix(docs(spark, texts), cfg).collect()}
+    assert [len({got[i] for i in range(k, 400, 4)}) for k in range(4)] == [1] * 4 and len(set(got.values())) == 4
+
+
 def test_mix_edge_rows(spark):
     rows = sorted(M.mix(docs(spark, ODD)).collect(), key=lambda r: r.doc_id)
     assert len(rows) == len(ODD) and [r.n_tokens for r in rows[:4]] == [0, 0, 0, 1]
