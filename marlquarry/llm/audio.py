@@ -1,14 +1,16 @@
 """Media columns: texts as lossless 8-bit audio, and features of audio.
 
-Samples are stored as 8-bit PCM in a RIFF container and read back from it. Features come from the read samples: a
+Samples are stored as 8-bit PCM in a RIFF container and read back from it. Features come from the samples: a
 polyphase resampler, overlapped log-mel frames, segments of energy with hysteresis, and for each segment a tensor of one
-shape with its time span. All is computed in blocks, so memory follows neither the length of a sound nor a batch.
+shape with its time span. Media and tensors are Arrow files, the tensors of Arrow's fixed-shape type. Resampling and
+frames run in blocks; what is held at once is a slice of texts, and of its longest sound the samples and log-mel frames.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,9 +19,13 @@ from math import gcd
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs, ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlquarry.llm.textvec import chunks
+from marlquarry.llm.workspace import Workspace, with_temp_dir
+
 
 @dataclass(frozen=True)
 class AudioConfig:
@@ -37,6 +43,8 @@ class AudioConfig:
     least_frames: int = 2
     steps: int = 16
     block: int = 4096
+    #: Bytes of text, about, whose media and tensors make one record batch of the files.
+    batch_bytes: int = 4 << 20
 
 
 def pad_payload(data: bytes) -> bytes:
@@ -169,31 +177,107 @@ def describe(media: bytes, cfg: AudioConfig) -> tuple[bytes, np.ndarray, np.ndar
 MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def media_digests(documents: DataFrame, cfg: AudioConfig | None = None) -> DataFrame:
-    """One row for every row of documents (doc_id, text): checks of the stored sound and a digest of its features.
+def _schemas(cfg: AudioConfig) -> tuple[pa.Schema, pa.Schema]:
+    """Of a media file, and of its tensor file. row counts the rows of a media file; segment -1 is the whole sound."""
+    media = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.large_binary())])
+    tensor = pa.fixed_shape_tensor(pa.float16(), [cfg.steps, cfg.mels])
+    return media, pa.schema([("row", pa.int64()), ("segment", pa.int32()), ("start_ms", pa.float64()), ("end_ms", pa.float64()), ("tensor", tensor)])
+
+
+FILES = "media string, tensors string, n_rows long"
+
 
-    A null text is empty and gives one block of zero bytes. Equal texts have equal rows but for doc_id. feature has the
-    count of segments, the checksum of their spans and those of their tensors and of the whole's, in half decibels.
+def store_media(documents: DataFrame, folder: str | None = None, cfg: AudioConfig | None = None) -> DataFrame:
+    """Write the sounds of documents (doc_id, text) and their segments' tensors; a row for each pair of files.
+
+    A null text is empty and gives one block of zero bytes; repeated rows are stored each; an empty table writes no rows.
+    Record batch i of a tensor file belongs to record batch i of the media file. Files have names of their own for
+    each attempt of a task; only those in the returned table count. folder is a URI that all executors share.
     """
     cfg = cfg or AudioConfig()
+    spark = documents.sparkSession
+    folder = folder or with_temp_dir(spark, "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in batch.column("text"):
-                data = (text.as_py() or "").encode()
-                media = encode_wav(pad_payload(data), cfg.rate)
-                payload, times, cube, whole = describe(media, cfg)
-                sums = [zlib.crc32(x.astype("<i8").tobytes()) for x in (times, np.round(cube * 2), np.round(whole * 2))]
-                feature = ":".join([str(len(times)), *(f"{x:08x}" for x in sums)])
-                rows.append((len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=[x.split()[0] for x in MEDIA.split(", ")])
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        name, row = uuid.uuid4().hex, 0
+        media_schema, tensor_schema = _schemas(cfg)
+        paths = [f"{name}.media.arrow", f"{name}.tensors.arrow"]
+        options = ipc.IpcWriteOptions(compression="zstd")
+        with files.open_output_stream(f"{root}/{paths[0]}", compression=None) as a, files.open_output_stream(f"{root}/{paths[1]}", compression=None) as b:
+            with ipc.new_file(a, media_schema, options=options) as media_file, ipc.new_file(b, tensor_schema, options=options) as tensor_file:
+                for batch in batches:
+                    for at, texts in chunks(batch.column("text"), cfg.batch_bytes):
+                        sounds, sizes, owners, numbers, times, cubes = [], [], [], [], [], []
+                        for text in texts:
+                            data = (text.as_py() or "").encode()
+                            sound = encode_wav(pad_payload(data), cfg.rate)
+                            _, spans, cube, whole = describe(sound, cfg)
+                            owners += [row + len(sounds)] * (len(spans) + 1)
+                            numbers += range(-1, len(spans))
+                            times += [np.array([[0.0, len(data) * 1000 / cfg.rate]]), spans]
+                            cubes += [whole, cube]
+                            sounds.append(sound)
+                            sizes.append(len(data))
+                        first = np.arange(row, row + len(sounds))
+                        media_file.write(pa.RecordBatch.from_arrays([pa.array(first), batch.column("doc_id").slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(sounds, pa.large_binary())], schema=media_schema))
+                        values = pa.array(np.concatenate(cubes).astype(np.float16).reshape(-1))
+                        tensors = pa.ExtensionArray.from_storage(tensor_schema.field("tensor").type, pa.FixedSizeListArray.from_arrays(values, cfg.steps * cfg.mels))
+                        spans = np.concatenate(times)
+                        tensor_file.write(pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(numbers, pa.int32()), pa.array(spans[:, 0]), pa.array(spans[:, 1]), tensors], schema=tensor_schema))
+                        row += len(sounds)
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{p}"]) for p in paths] + [pa.array([row])], names=[x.split()[0] for x in FILES.split(", ")])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, MEDIA)
+    return Workspace(spark, "media-files").table(docs.mapInArrow(run, FILES), "files")
+
+
+def read_media(files: DataFrame, cfg: AudioConfig | None = None) -> DataFrame:
+    """Checks of stored sounds and a digest of their stored tensors (MEDIA), from the files that store_media() names."""
+    cfg = cfg or AudioConfig()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for media_path, tensor_path in zip(batch.column("media").to_pylist(), batch.column("tensors").to_pylist(), strict=True):
+                files, a = fs.FileSystem.from_uri(media_path)
+                b = fs.FileSystem.from_uri(tensor_path)[1]
+                with files.open_input_file(a) as x, files.open_input_file(b) as y:
+                    media_file, tensor_file = ipc.open_file(x), ipc.open_file(y)
+                    for i in range(media_file.num_record_batches):
+                        yield digested(media_file.get_batch(i), tensor_file.get_batch(i))
+
+    def digested(media: pa.RecordBatch, tensors: pa.RecordBatch) -> pa.RecordBatch:
+        first = np.searchsorted(tensors.column("row").to_numpy(), media.column("row").to_numpy())
+        ends = np.append(first[1:], tensors.num_rows)
+        cubes = tensors.column("tensor").to_numpy_ndarray()
+        spans = np.stack([tensors.column(c).to_numpy() for c in ("start_ms", "end_ms")], 1)
+        rows = []
+        for k, (sound, a, b) in enumerate(zip(media.column("media"), first, ends, strict=True)):
+            stored = sound.as_py()
+            rate, payload = decode_wav(stored)
+            if rate != cfg.rate:
+                raise ValueError(f"{rate} samples a second, not {cfg.rate}")
+            sums = [zlib.crc32(np.round(x.astype(np.float64) * scale).astype("<i8").tobytes()) for x, scale in ((spans[a + 1 : b], 1), (cubes[a + 1 : b], 2), (cubes[a : a + 1], 2))]
+            feature = ":".join([str(b - a - 1), *(f"{x:08x}" for x in sums)])
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+        return pa.RecordBatch.from_arrays([media.column("doc_id"), media.column("n_bytes"), *arrays], names=[x.split()[0] for x in MEDIA.split(", ")])
+
+    return files.repartitionByRange(max(1, files.count()), "media").mapInArrow(run, MEDIA)
+
+
+def media_digests(documents: DataFrame, cfg: AudioConfig | None = None) -> DataFrame:
+    """One row for every row of documents (doc_id, text): checks of the stored sound and a digest of its stored features.
+
+    Sounds and tensors are written and read back, see store_media(). Equal texts have equal rows but for doc_id; very long
+    texts are one sound each. feature has the count of segments, the checksum of their spans and those of their tensors
+    and of the whole's, in half decibels.
+    """
+    cfg = cfg or AudioConfig()
+    return read_media(store_media(documents, cfg=cfg), cfg)
 
 
 def audio_segments(media: DataFrame, cfg: AudioConfig | None = None) -> DataFrame:

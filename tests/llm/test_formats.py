@@ -11,6 +11,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from tokenizers import Tokenizer
 
@@ -135,6 +137,28 @@ def test_pack_whole_documents(spark, sf, reference_ids):
 # Audio
 
 
+def test_stored_tensors(spark, tmp_path):
+    """What is stored has Arrow's fixed shape and a time span, and is what the sound gives when it is described anew."""
+    texts = ["quiet " * 400 + "LOUD~~~~" * 300 + "quiet " * 300, "", None, "x" * 5000]
+    cfg = A.AudioConfig()
+    files = A.store_media(docs(spark, texts).coalesce(1), f"file://{tmp_path}", cfg).collect()
+    assert [r.n_rows for r in files] == [4]
+    with pa.OSFile(files[0].media.removeprefix("file://")) as f:
+        media = pa.ipc.open_file(f).read_all()
+    with pa.OSFile(files[0].tensors.removeprefix("file://")) as f:
+        tensors = pa.ipc.open_file(f).read_all()
+    assert tensors.schema.field("tensor").type == pa.fixed_shape_tensor(pa.float16(), [cfg.steps, cfg.mels])
+    for k, text in enumerate(texts):
+        sound = A.encode_wav(A.pad_payload((text or "").encode()), cfg.rate)
+        assert media["media"][k].as_py() == sound
+        _, spans, cube, whole = A.describe(sound, cfg)
+        own = tensors.filter(pa.compute.equal(tensors["row"], k))
+        assert own["segment"].to_pylist() == list(range(-1, len(spans)))
+        assert np.array_equal(np.stack([own["start_ms"].to_numpy()[1:], own["end_ms"].to_numpy()[1:]], 1), spans)
+        stored = own["tensor"].combine_chunks().to_numpy_ndarray()
+        assert np.array_equal(stored, np.concatenate((whole, cube)).astype(np.float16))
+
+
 def test_media_round_trip(spark):
     texts = [*ODD, "x" * 64, "y" * 63]
     rows = {r.doc_id: r for r in A.media_digests(docs(spark, texts)).collect()}
