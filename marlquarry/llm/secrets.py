@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns plus dictionary-primed zstandard novelty.
 
-A long token in a sensitive context is compressed after the text that stands before it, by a compressor
+A long token in a sensitive context is compressed after the text that stands on both sides of it, by a compressor
 primed with identifiers of code and of prose. What the token adds to the frame, its marginal bytes, is
 near its length only when neither the dictionary nor its surroundings foretell it.
 """
@@ -62,7 +62,7 @@ wrapper write yield ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 012345
 
 @dataclass(frozen=True)
 class NoveltyConfig:
-    """context: characters before a candidate that prime the compressor besides the dictionary. min_ratio: marginal bytes
+    """context: characters on each side of a candidate that prime the compressor besides the dictionary. min_ratio: marginal bytes
     per character from which a candidate is incompressible. Both letters and digits are needed (min_classes)."""
 
     context: int = 256
@@ -79,8 +79,8 @@ class _Novelty:
         self.press = zstandard.ZstdCompressor(level=cfg.level, dict_data=primed, write_content_size=False, write_dict_id=False)
 
     def marginal(self, text: str, start: int, end: int) -> int:
-        """Bytes that text[start:end] adds to the compressed text before it."""
-        head = text[max(0, start - self.cfg.context) : start].encode()
+        """Bytes that text[start:end] adds to the compressed text after and before it."""
+        head = (text[end : end + self.cfg.context] + text[max(0, start - self.cfg.context) : start]).encode()
         return len(self.press.compress(head + text[start:end].encode())) - len(self.press.compress(head))
 
     def spans(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
