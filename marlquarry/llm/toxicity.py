@@ -150,7 +150,11 @@ def frequent(sets: list[np.ndarray], cfg: PuConfig) -> np.ndarray:
 
 
 def fit(confirmed: list[np.ndarray], drawn: list[np.ndarray], prior: float, cfg: PuConfig) -> PuModel:
-    """Train on the feature sets of confirmed toxic texts and of texts drawn from all, which may be toxic as well."""
+    """Train on the feature sets of confirmed toxic texts and of texts drawn from all, which may be toxic as well.
+
+    Only features that confirmed texts have more often than chance would are kept, and their weights are held at 0 or more:
+    a text is toxic for what it says, never clean for it, so a toxic passage in a long clean text is not outweighed.
+    """
     ids = frequent(confirmed, cfg)
     if not len(ids) or not drawn:
         return PuModel(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))), prior, cfg)
@@ -211,7 +215,7 @@ def train(documents: DataFrame, labels: DataFrame, cfg: PuConfig | None = None)
     order = F.xxhash64("doc_id")
     toxic = known.filter("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(cfg.positives)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    others = docs.select("doc_id").filter(~held_out()).orderBy(order, "doc_id").limit(cfg.unlabelled)
+    others = docs.select("doc_id").distinct().filter(~held_out()).orderBy(order, "doc_id").limit(cfg.unlabelled)
 
     # At most so many ids: a proven bound for the broadcasts and for what the driver gathers.
     picked = lambda ids: docs.join(F.broadcast(ids), "doc_id")
@@ -223,12 +227,13 @@ def train(documents: DataFrame, labels: DataFrame, cfg: PuConfig | None = None)
     useful = (F.col("p") >= cfg.min_positive_rows) & (F.col("p") - expected > cfg.min_z * F.sqrt(expected)) & (F.col("p") > 2 * expected)
     known = np.sort(sums.filter(useful).select("feature").toArrow().column(0).to_numpy())
 
-    def gather(ids: DataFrame, most: int) -> list[np.ndarray]:
-        found = picked(ids).mapInArrow(_sets(cfg, known), "doc_id long, features binary").limit(2 * most).toArrow()
-        found = found.sort_by([("doc_id", "ascending"), ("features", "ascending")])
+    def gather(ids: DataFrame) -> list[np.ndarray]:
+        found = picked(ids).mapInArrow(_sets(cfg, known), "doc_id long, features binary")
+        # Rows that repeat an id count once, so at most as many rows as ids reach the driver.
+        found = found.groupBy("doc_id").agg(F.min("features").alias("features")).toArrow().sort_by("doc_id")
         return [np.frombuffer(x.as_py(), dtype="<u4") for x in found.column("features")]
 
-    return fit(gather(toxic, cfg.positives), gather(others, cfg.unlabelled), prior, cfg)
+    return fit(gather(toxic), gather(others), prior, cfg)
 
 
 def _scores(model: PuModel, keep: list[str]):
