@@ -1,9 +1,10 @@
 """Best-fit packing of token sequences, improved by swap-based local search.
 
 Documents longer than a sequence are cut; full pieces are sequences of their own. The short ones are dealt at random
-into groups of a bounded size. In a group best fit, longest first, gives a packing; local search then moves and
-exchanges pieces between underfull bins so that the sum of squared fills grows, until no exchange helps, and bins that
-have run empty go.
+into groups of a bounded size. In a group best fit, longest first, gives a packing; where it has more bins than the ids need,
+local search moves and exchanges pieces between underfull bins so that the sum of squared fills grows, and bins that have
+run empty go. The search looks at windows of bins of like fill and makes a fixed number of passes, see PackConfig: no
+piece is left out, but a few more bins than an endless search would need may remain.
 """
 
 from __future__ import annotations

@@ -36,9 +36,9 @@ class Workspace:
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.files: int | None = None
 
-    def expect(self, rows: int, per_file: int = 20_000) -> None:
-        """From now on a table has at most a file for each per_file of so many rows, but two for each core at least."""
-        self.files = max(2 * self.spark.sparkContext.defaultParallelism, rows // per_file)
+    def expect(self, rows: int, per_file: int = 10_000) -> None:
+        """From now on a table has at most a file for each per_file of so many rows, but one for each core at least."""
+        self.files = max(self.spark.sparkContext.defaultParallelism, rows // per_file)
 
     def table(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
         path = f"{self.path}/{name}"
