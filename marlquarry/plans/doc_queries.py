@@ -59,7 +59,8 @@ def parser_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def leak_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return N.leak_flags(I.documents(spark, sf), "doc_id", "text")
+    made = I.documents(spark, sf).select("doc_id", "text").unionByName(spark.createDataFrame(I.LEAKY, "doc_id long, text string"))
+    return N.leak_flags(made, "doc_id", "text")
 
 
 def consecutive_blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,9 +155,11 @@ def _turns(spark: SparkSession, sf: str) -> DataFrame:
     rows = I.table(spark, sf, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = rows.select("conv_id", "turn", "role", "text", F.lag("text").over(w).alias("user_context")).filter("role = 'user'")
-    return rows.select(
+    rows = rows.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query_text"), F.pmod("turn", F.lit(3)).alias("n_places"), (F.col("turn") > 0).alias("has_context"), "user_context"
     )
+    asked = spark.createDataFrame(I.QUESTIONS, "query_id long, query_text string, n_places int, user_context string")
+    return rows.unionByName(asked.withColumn("has_context", F.col("user_context").isNotNull()))
 
 
 def classify_turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,16 +196,34 @@ def class_prf(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tradeoff_tags(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = K._runs(spark, sf)
-    pairs = K.M.paired(a, b).select("query_id", F.col("a_hit_1").alias("a_precision"), F.col("b_hit_1").alias("b_precision"), F.col("a_hit_5").alias("a_recall"), F.col("b_hit_5").alias("b_recall"), F.lit(5.0).alias("a_ms"), F.lit(4.0).alias("b_ms"))
+    d = lambda c: F.col(f"b_{c}") - F.col(f"a_{c}")
+    of = lambda n: F.pmod("query_id", F.lit(n))
+    pairs = K.M.paired(*K._runs(spark, sf)).select(
+        "query_id", F.when(of(5) == 0, "no_answer").otherwise("place_fact").alias("query_type"), d("hit_1").alias("d_precision"), d("hit_5").alias("d_recall"), d("hit_3").alias("d_correct"),
+        (of(7) - 4).alias("d_citations"), F.when(of(6) == 0, 1).otherwise(0).alias("d_unsupported"), (of(3) - 1).alias("d_ms"),
+    )
     return Q.tradeoff_tags(pairs)
 
 
-def guardrail_routes(spark: SparkSession, sf: str) -> DataFrame:
+def _two_packs(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence of the first policy and of the parent-boosting one, side by side; covered targets stand for what answers cite."""
     ranked, corpus, targets, queries = _evidence(spark, sf)
-    side = lambda p, n: E.pack_metrics(E.pack(ranked, corpus, p), targets, queries).select("query_id", F.col("child_covered").alias(f"{n}_child"), F.col("doc_covered").alias(f"{n}_doc"), F.when(F.col("order_proxy") > 0, F.round(1 / F.nullif("order_proxy", F.lit(0.0)))).alias(f"{n}_first"), F.col("chars").alias(f"{n}_chars"))
-    pairs = queries.join(side(E.POLICIES[0], "a"), "query_id").join(side(E.POLICIES[2], "b"), "query_id").withColumn("budget", F.lit(4200))
-    return Q.guardrail_routes(pairs)
+
+    def side(policy: str, n: str) -> DataFrame:
+        m = E.pack_metrics(E.pack(ranked, corpus, policy), targets, queries)
+        named = {"direct": F.col("child_covered") | F.col("parent_covered"), "doc": F.col("doc_covered"), "correct": F.col("child_covered"), "precision": F.col("child_covered").cast("double"), "recall": F.round(1 - F.col("duplicate_doc_rate"), 6)}
+        named |= {"order": F.col("order_proxy"), "duplicates": F.col("duplicate_parent_rate"), "buildable": F.col("n_items") > 0, "truncated": F.pmod("query_id", F.lit(11)) - 9, "over_budget": F.col("chars") > 4200, "ms": F.col("n_items")}
+        return m.select("query_id", *(c.alias(f"{n}_{k}") for k, c in named.items()))
+
+    return side(E.POLICIES[0], "a").join(side(E.POLICIES[2], "b"), "query_id")
+
+
+def guardrail_routes(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.guardrail_routes(_two_packs(spark, sf))
+
+
+def regression_tags(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.regression_tags(_two_packs(spark, sf))
 
 
 def postings_expand(spark: SparkSession, sf: str) -> DataFrame:
@@ -301,7 +322,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         normalize_pages, page_elements, page_offsets, block_quality, parser_quality, leak_scan, consecutive_blocks, stratified_sample, parent_segments,
         child_chunks, child_groups, chunk_quality, chunk_ablation, pack_metrics, pack_summary, evidence_context, evidence_stats, citation_eval, citation_summary,
-        classify_turns, guard_turns, route_turns, rewrite_followups, confusion_matrix, class_prf, tradeoff_tags, guardrail_routes, postings_expand, graph_score,
+        classify_turns, guard_turns, route_turns, rewrite_followups, confusion_matrix, class_prf, tradeoff_tags, guardrail_routes, regression_tags, postings_expand, graph_score,
         graph_community, tree_score, wer_cer, cer, char_f1, speech_ratio, score_aggregates, dataset_profile, dataset_shortfall, resolvability, table_manifest,
         catalog_quality, event_tumbling, event_sliding, event_session, event_as_of,
     )

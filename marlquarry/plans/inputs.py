@@ -48,3 +48,33 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents with a word, as blocks: doc_id, source, line (from 0), text."""
     rows = documents(spark, sf_dir).select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     return rows.filter(F.trim("text") != "")
+
+
+#: Questions beside the conversations': id, text, places that it names, and the turn before it.
+QUESTIONS = [
+    (-1, "지금 경복궁 대기 시간이 얼마나 되나요?", 1, None),
+    (-2, "광화문에서 북촌으로 걸어서 가는 길을 알려 주세요", 2, None),
+    (-3, "두 왕의 갈등은 어떻게 이어졌나요?", 2, None),
+    (-4, "이 문에 얽힌 이야기를 관광객에게 짧게 설명해 주세요", 1, None),
+    (-5, "이 일대의 큰 흐름을 요약해 주세요", 0, None),
+    (-6, "이 전각의 이름은 무슨 의미인가요?", 1, None),
+    (-7, "그 사람은 왜 그랬어? 누가 시켰어?", 0, "앞 질문"),
+    (-8, "그 사람은 왜 그랬어? 누가 시켰어?", 0, None),
+    (-9, "두 장소의 연결을 개괄해 주세요", 2, None),
+    (-10, "두 사건이 연결된 이유와 배경이 궁금해요", 2, None),
+    (-11, "is there a live crowd count RIGHT  NOW?", 0, None),
+    (-12, "alive crowds, rightnow", 0, None),
+    (-13, "광장을 지나 동선을 이어갈 때 걸으며 볼 것", 3, None),
+    (-14, "천도의 영향을 비교해 줘", 2, "도성"),
+    (-15, "거기 " + "아주 " * 12 + "긴 질문인데 뭐가 있어", 0, "도성"),
+    (-16, "이 터의 배치는 어떤 관계를 보여 주나요, 전체 권역 요약", 2, None),
+    (-17, "", 0, None),
+    (-18, "도심 동선과 도심 공간", 1, None),
+]
+
+#: Texts with what may not be public, and texts that look like it.
+LEAKY = [
+    (-1, "see C:\\data\\x"), (-2, "see d:/data"), (-3, "\\\\host\\share"), (-4, "//host/share"), (-5, "at /HOME/me"), (-6, "at(/home/me)"), (-7, "/workspace/x"), (-8, "a /runner/ b"), (-9, "https://a.b"),
+    (-10, "key sk-abc"), (-11, "the secret password"), (-12, "Password=x"), (-13, "API_KEY=1"), (-14, "api_key: 1"), (-15, "GHP_x"), (-16, "Bearer  x"), (-17, "half_done"), (-18, "  one line \n"), (-19, "two\nlines"),
+    (-20, "가" * 600), (-21, "가" * 601), (-22, " " * 700), (-23, "a\rb"), (-24, None), (-25, "xoxb-1 hf_2 github_pat_3"), (-26, "AKIA0000 private key"), (-27, "access_token=1"), (-28, "e:x"),
+]

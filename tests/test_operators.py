@@ -340,11 +340,16 @@ def test_context_and_its_stats(spark):
 
 
 def test_routing(spark):
-    q = spark.createDataFrame([(1, "walk from here to there", 0, False), (2, "how do they connect", 2, False), (3, "so why is it that", 0, True), (4, "zz", 0, False), (5, "an overview: compare eras overall", 0, False)], "query_id long, query_text string, n_places int, has_context boolean")
+    q = spark.createDataFrame(
+        [(1, "광화문에서 북촌으로 걸어가는 동선", 2, False), (2, "두 사건의 갈등과 영향을 비교해 줘", 2, False), (3, "그건 왜 그랬어?", 0, True), (4, "zz", 0, False), (5, "두 곳의 연결을 개괄해 줘", 2, False), (6, "지금 예약 되나요", 1, False), (7, "연결된 배경", 0, False)],
+        "query_id long, query_text string, n_places int, has_context boolean",
+    )
     got = {r.query_id: r for r in X.route(X.guard(X.classify(q))).collect()}
     assert got[1].predicted == "route_context" and got[2].guarded == "relationship" and got[2].execution_mode == "hybrid_weighted"
-    assert got[3].predicted == "voice_followup" and got[4].fallback_used and got[4].confidence == 0.35
-    assert got[5].guard_reasons in ("block_overview_tie_risk", "not_relationship_prediction")
+    assert got[3].predicted == "voice_followup" and got[4].fallback_used and got[4].confidence == 0.35 and got[4].matched_rules == "fallback_place_fact"
+    assert got[5].predicted == "relationship" and got[5].guard_reasons == "block_overview_tie_risk,block_weak_relationship_intent" and got[5].guarded == "overview"
+    assert got[6].predicted == "no_answer" and not got[6].should_retrieve and got[6].matched_rules == "no_answer_live_or_action_request,place_ids_fact_default"
+    assert got[7].predicted == "relationship" and got[7].guarded == "place_fact" and got[7].guard_reasons == "block_fact_reason_risk,block_weak_relationship_intent"
 
 
 def test_citation_scores(spark):
@@ -408,7 +413,7 @@ def test_parsed_elements(spark):
 
 
 def test_leaks_and_islands(spark):
-    df = spark.createDataFrame([(1, "see C:\\x"), (2, "my API_KEY"), (3, "a\nb"), (4, "fine"), (5, None)], "id long, t string")
+    df = spark.createDataFrame([(1, "see C:\\x"), (2, "my API_KEY=1"), (3, "a\nb"), (4, "the secret password"), (5, None)], "id long, t string")
     got = {r.id: (r.private_path, r.secret_like, r.source_like) for r in N.leak_flags(df, "id", "t").collect()}
     assert got == {1: (True, False, False), 2: (False, True, False), 3: (False, False, True), 4: (False,) * 3, 5: (False,) * 3}
     prose = "these are plain words of a sentence that runs on for a while"
@@ -466,8 +471,11 @@ def test_eval_tables_catalog_and_cache(spark, tmp_path):
 
 
 def test_decisions(spark):
-    row = spark.createDataFrame([(0.1, 0.05, 0.2), (-0.1, -0.2, -0.01), (0.0, -0.1, 0.1)], "mean double, ci_low double, ci_high double")
-    assert [r.decision for r in D.locked_decision(row).collect()] == ["adopt", "reject", "inconclusive"]
+    row = spark.createDataFrame([(0.1, 0.05, 0.2), (-0.1, -0.2, -0.01), (0.0, -0.1, 0.1)], "mean double, ci_low double, ci_high double").withColumn("p95_delta_ms", F.lit(1.0))
+    row = row.select("*", *(F.lit(0).alias(c) for c in D.STOPS))
+    kept = "keep_shadow_without_locked_improvement_claim"
+    assert [(r.interval_tag, r.decision) for r in D.locked_decision(row).collect()] == [("positive_ci_excludes_zero", "support_relationship_route_candidate"), ("negative_ci_excludes_zero", kept), ("ci_includes_zero", kept)]
+    assert {r.decision for r in D.locked_decision(row.withColumn("live_call_count", F.lit(1))).collect()} == {"blocked_by_stop_condition"}
     runs = spark.createDataFrame([("a", "x", "c", 5), ("a", "y", "c", 5)], "run_label string, dataset string, corpus string, top_k int")
     assert D.invariants(runs).first().failures == ["duplicate_run_label", "dataset_mismatch"]
     tags = spark.createDataFrame([("x,y",), ("x",), ("",)], "tags string")
