@@ -8,35 +8,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlquarry.functions.scalars import graph_tokens
+from marlquarry.functions.scalars import GRAPH_TOKEN, graph_tokens
+
+#: Fixed values of graph ranking: documents per term, neighbours, pool, tokens of a query, words that are no tokens, and words
+#: that speak of relations.
+DOCS_PER_TERM, NEIGHBOURS, POOL, QUERY_TOKENS = 350, 24, 120, 14
+STOPWORDS = (
+    "그리고", "그러나", "그래서", "대한", "대해", "무엇", "어떤", "어떻게", "왜", "있어", "있는", "했다", "한다", "관련", "관계", "설명", "알려", "말해", "차이", "영향", "이유", "사이",
+    "history", "docent",
+)
+RELATION_HINTS = ("권력", "정치", "왕", "왕조", "신하", "궁궐", "도성", "천도", "개혁", "전쟁", "제도", "사건", "인물", "장소", "한양", "조선")
+#: Fixed values of tree ranking: groups per term, neighbours, pool, tokens of a query, words that are no tokens, and words of narration.
+GROUPS_PER_TERM, TREE_NEIGHBOURS, GROUP_POOL, TREE_TOKENS = 250, 32, 160, 18
+TREE_STOPWORDS = (
+    "그리고", "그러나", "그래서", "대한", "대해", "무엇", "어떤", "어떻게", "왜", "있어", "있는", "했다", "한다", "관련", "설명", "알려", "말해", "이야기", "근거", "짧게", "서울", "한양", "관광", "도슨트",
+    "history", "docent",
+)
+NARRATIVE_HINTS = ("배경", "사건", "일화", "인물", "정치", "왕", "궁궐", "도성", "변화", "문화", "제도", "생활", "조선", "근대", "광화문", "경복궁", "종로", "북촌")
+
+
+def postings(docs: DataFrame, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
+    """token, doc_id."""
+    return docs.select(F.explode(graph_tokens("text", stopwords)).alias("token"), "doc_id")
 
-DOCS_PER_TERM, NEIGHBOURS, POOL, QUERY_TOKENS = 350, 24, 120, 32
 
+def query_tokens(queries: DataFrame, stopwords: tuple[str, ...] = STOPWORDS, most: int = QUERY_TOKENS) -> DataFrame:
+    """query_id, token: the `most` most frequent tokens of a query, its context and its places; of equal ones the first.
 
-def postings(docs: DataFrame, stopwords: tuple[str, ...] = ()) -> DataFrame:
-    """token, doc_id."""
-    return docs.select(F.explode(graph_tokens("text", stopwords)).alias("token"), "doc_id")
+    queries: query_id, query_text and, where there are such, user_context and place_ids (an array).
+    """
+    parts = ["query_text", *(c for c in ("user_context",) if c in queries.columns)]
+    text = F.concat_ws(" ", *parts, *([F.array_join("place_ids", " ")] if "place_ids" in queries.columns else []))
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"({GRAPH_TOKEN})"), F.lit(1)), lambda x: F.lower(x))
+    rows = queries.select("query_id", F.posexplode(found).alias("at", "token")).filter(~F.col("token").rlike("^[0-9]+$") & ~F.col("token").isin(*stopwords))
+    counts = rows.groupBy("query_id", "token").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "at"))
+    return counts.withColumn("place", place).filter(F.col("place") <= most).select("query_id", "token")
+
+
+def capped(post: DataFrame, wanted: DataFrame, owner: str = "doc_id", most: int = DOCS_PER_TERM) -> DataFrame:
+    """Postings of wanted tokens, the first `most` owners of each. Each task first keeps its own first ones."""
+    w = Window.partitionBy("token").orderBy(owner)
+    own = post.join(wanted.select("token").distinct(), "token", "left_semi")
+    return own.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).drop("place")
 
 
-def query_tokens(queries: DataFrame, stopwords: tuple[str, ...] = ()) -> DataFrame:
-    """query_id, token: the first QUERY_TOKENS distinct tokens in token order."""
-    return queries.select("query_id", F.explode(F.slice(graph_tokens("query_text", stopwords), 1, QUERY_TOKENS)).alias("token"))
+def _neighbour_counts(post: DataFrame, qt: DataFrame, owner: str, most: int) -> DataFrame:
+    """token, near, n: how many of a token's owners hold each other token. Counted once per token, whichever queries have it."""
+    held = post.groupBy(owner).agg(F.collect_set("token").alias("held"))
+    pairs = capped(post, qt, owner, most).join(held, owner).select("token", F.explode("held").alias("near"))
+    return pairs.groupBy("token", "near").agg(F.count("*").alias("n"))
 
 
-def capped(post: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Postings of wanted tokens, the first DOCS_PER_TERM documents of each."""
-    w = Window.partitionBy("token").orderBy("doc_id")
-    own = post.join(wanted.select("token").distinct(), "token", "left_semi")
-    return own.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= DOCS_PER_TERM).drop("place")
+def _nearest(qt: DataFrame, counts: DataFrame, most: int) -> DataFrame:
+    near = qt.join(counts, "token").groupBy("query_id", F.col("near").alias("token")).agg(F.sum("n").alias("n"))
+    near = near.join(qt, ["query_id", "token"], "left_anti")
+    w = Window.partitionBy("query_id").orderBy(F.desc("n"), "token")
+    return near.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).drop("place")
 
 
 def expand(post: DataFrame, qt: DataFrame) -> DataFrame:
     """query_id, token, n: the tokens that most often share a document with a query's tokens, ties in token order."""
-    met = qt.join(capped(post, qt), "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("m"))
-    near = met.join(post, "doc_id").groupBy("query_id", "token").agg(F.sum("m").alias("n"))
-    near = near.join(qt, ["query_id", "token"], "left_anti")
-    w = Window.partitionBy("query_id").orderBy(F.desc("n"), "token")
-    return near.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= NEIGHBOURS).drop("place")
+    return _nearest(qt, _neighbour_counts(post, qt, "doc_id", DOCS_PER_TERM), NEIGHBOURS)
 
 
 def baseline_scores(ranked: DataFrame) -> DataFrame:
@@ -52,13 +85,15 @@ def _count(rows: DataFrame, post: DataFrame, tokens: DataFrame, name: str) -> Da
     return rows.join(hit, ["query_id", "doc_id"], "left").fillna(0, [name])
 
 
-def graph_rank(docs: DataFrame, queries: DataFrame, ranked: DataFrame, strategy: str, hints: tuple[str, ...], k: int = 5) -> DataFrame:
+def graph_rank(docs: DataFrame, queries: DataFrame, ranked: DataFrame, strategy: str, hints: tuple[str, ...] = RELATION_HINTS, k: int = 5) -> DataFrame:
     """Rescore the baseline's documents and a pool of POOL others by shared tokens, pairs of them and relation words.
 
-    strategy: 'entity_path' weighs direct tokens and pairs, 'community_hint' direct and expanded tokens.
+    strategy: 'entity_path' weighs direct tokens and pairs, 'community_hint' direct and expanded tokens. Scores are ordered at
+    nine digits and shown at six.
     """
-    post, qt = postings(docs), query_tokens(queries)
-    near = expand(post, qt).select("query_id", "token")
+    # A few rows for each query, which all steps below use.
+    post, qt, ranked = postings(docs), query_tokens(queries).persist(), ranked.persist()
+    near = expand(post, qt).select("query_id", "token").persist()
     weighted = qt.withColumn("w", F.lit(3)).unionByName(near.withColumn("w", F.lit(1)))
     found = weighted.join(capped(post, weighted), "token").groupBy("query_id", "doc_id").agg(F.sum("w").alias("s"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "doc_id"))
@@ -82,25 +117,75 @@ def graph_rank(docs: DataFrame, queries: DataFrame, ranked: DataFrame, strategy:
     else:
         raise ValueError(strategy)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("doc_id"))
-    return rows.withColumn("score", F.round(score, 6)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+    rows = rows.withColumn("score", F.round(score, 9)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return rows.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-def tree_rank(docs: DataFrame, queries: DataFrame, ranked: DataFrame, k: int = 5, per_group: int = 2, groups: int = 3) -> DataFrame:
-    """Rank groups (docs.group_id) by shared tokens less a penalty for size, take their best documents, then fill from the baseline.
+#: Weights of the baseline, of direct and expanded tokens and of narration in a group's score.
+TREE_WEIGHTS = {"parent_summary": (0.48, 0.32, 0.16, 0.04), "summary_node": (0.38, 0.30, 0.22, 0.07)}
+#: The same for a document within its group, and what a group of whole documents has more.
+CHILD_WEIGHTS, DOC_BONUS = (0.50, 0.32, 0.13, 0.05), 0.03
 
-    The penalty is min(log20(n) * .02, .10); a document is listed once.
+
+def tree_rank(docs: DataFrame, queries: DataFrame, ranked: DataFrame, strategy: str = "parent_summary", hints: tuple[str, ...] = NARRATIVE_HINTS, k: int = 5) -> DataFrame:
+    """Rank groups of chunks, take the best of each, then fill from the baseline; a chunk is listed once.
+
+    docs: doc_id, text, parent_id, root_id. Groups are the parents; 'summary_node' adds the roots, as 'doc::' groups, and takes two
+    chunks of a group instead of one. A group's tokens are those of its chunks; its score is weighed as in TREE_WEIGHTS, less
+    min(.02 * log20(size), .10). Scores are ordered at nine digits and shown at six.
     """
-    post, qt = postings(docs), query_tokens(queries)
-    own = docs.select("doc_id", "group_id")
-    members = own.groupBy("group_id").agg(F.count("*").alias("size"))
-    nq = qt.groupBy("query_id").agg(F.count("*").alias("nq"))
-    held = qt.join(post.join(own, "doc_id").select("group_id", "token").distinct(), "token").groupBy("query_id", "group_id").agg(F.count("*").alias("n"))
+    if strategy not in TREE_WEIGHTS:
+        raise ValueError(strategy)
+    roots, ranked = strategy == "summary_node", ranked.persist()
+    own = docs.select("doc_id", "text", F.col("parent_id").cast("string").alias("parent"), F.concat(F.lit("doc::"), F.col("root_id").cast("string")).alias("root"))
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("parent").alias("group_id")), *([F.struct(F.lit(1).alias("kind"), F.col("root").alias("group_id"))] if roots else []))
+    member = own.select("doc_id", F.inline(kinds))
+    post = postings(docs, TREE_STOPWORDS)
+    held = member.join(post, "doc_id").select("kind", "group_id", "token").distinct()
+    qt = query_tokens(queries, TREE_STOPWORDS, TREE_TOKENS).persist()
+
+    counts = None
+    for kind in range(1 + roots):
+        part = _neighbour_counts(held.filter(F.col("kind") == kind).select("token", "group_id"), qt, "group_id", GROUPS_PER_TERM)
+        counts = part if counts is None else counts.unionByName(part).groupBy("token", "near").agg(F.sum("n").alias("n"))
+    near = _nearest(qt, counts, TREE_NEIGHBOURS).select("query_id", "token")
+    # At most TREE_TOKENS + TREE_NEIGHBOURS rows for a query; used by each of the steps below, as the baseline's few rows are.
+    every = qt.withColumn("w", F.lit(3)).unionByName(near.withColumn("w", F.lit(1))).persist()
+    base = baseline_scores(ranked).persist()
+    group_base = base.join(member, "doc_id").groupBy("query_id", "kind", "group_id").agg(F.max("base").alias("base"))
+    pool = group_base.select("query_id", "kind", "group_id")
+    for kind in range(1 + roots):
+        found = every.join(capped(held.filter(F.col("kind") == kind), every, "group_id", GROUPS_PER_TERM), "token").groupBy("query_id", "kind", "group_id").agg(F.sum("w").alias("s"))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "group_id"))
+        pool = pool.unionByName(found.withColumn("place", place).filter(F.col("place") <= GROUP_POOL // (1 + kind)).select("query_id", "kind", "group_id"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("kind", "group_id"))
+    pool = pool.distinct().withColumn("place", place).filter(F.col("place") <= GROUP_POOL).drop("place").persist()
+
+    sizes = every.groupBy("query_id").agg(F.count_if(F.col("w") == 3).alias("nq"), F.count("*").alias("ne"))
+    shared = lambda rows, by: rows.join(every, "query_id").join(by, [*(c for c in by.columns if c != "token"), "token"]).groupBy(*rows.columns).agg(F.count_if(F.col("w") == 3).alias("direct"), F.count("*").alias("wide"))
+    hinted = lambda by: by.filter(F.col("token").isin(*hints)).groupBy(*(c for c in by.columns if c != "token")).agg(F.count("*").alias("hints"))
+
+    def scored(rows: DataFrame, by: DataFrame, bases: DataFrame, weights: tuple[float, ...], full: int) -> DataFrame:
+        keys = [c for c in by.columns if c != "token"]
+        out = rows.join(shared(rows, by), rows.columns, "left").join(bases, ["query_id", *keys], "left").join(hinted(by), keys, "left").join(sizes, "query_id", "left")
+        out = out.fillna(0, ["direct", "wide", "hints", "nq", "ne"]).fillna(0.0, ["base"])
+        at = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+        b, d, w, h = weights
+        return out.withColumn("value", b * F.col("base") + d * at("direct", "nq") + w * at("wide", "ne") + h * F.least(F.col("hints") / full, F.lit(1.0)))
+
+    members = member.groupBy("kind", "group_id").agg(F.count("*").alias("size"))
+    groups = scored(pool, held, group_base, TREE_WEIGHTS[strategy], 7).join(members, ["kind", "group_id"])
     penalty = F.least(F.log(F.col("size").cast("double")) / F.log(F.lit(20.0)) * 0.02, F.lit(0.10))
-    scored = held.join(members, "group_id").join(nq, "query_id").withColumn("gs", F.round(F.col("n") / F.col("nq") - penalty, 6))
-    best = scored.withColumn("gr", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gs"), "group_id"))).filter(F.col("gr") <= groups)
-    hits = qt.join(post, "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("n")).join(own, "doc_id").join(best.select("query_id", "group_id", "gr", "gs"), ["query_id", "group_id"])
-    w = Window.partitionBy("query_id", "group_id").orderBy(F.desc("n"), "doc_id")
-    picked = hits.withColumn("c", F.row_number().over(w)).filter(F.col("c") <= per_group).select("query_id", "doc_id", F.col("gs").alias("score"), (F.col("gr") * 10 + F.col("c")).alias("place"))
+    groups = groups.withColumn("gs", F.round(F.col("value") + F.col("kind") * DOC_BONUS - penalty, 9))
+    groups = groups.withColumn("gr", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gs"), F.desc("group_id"))))
+    # k groups with a chunk each fill the list, and a chunk lies in two groups at most.
+    groups = groups.filter(F.col("gr") <= k * (1 + roots)).select("query_id", "kind", "group_id", "gr", "gs")
+    rows = groups.join(member, ["kind", "group_id"]).select("query_id", "doc_id", "gr", "gs")
+    chunks = scored(rows.select("query_id", "doc_id").distinct(), post, base, CHILD_WEIGHTS, 5).select("query_id", "doc_id", F.round("value", 9).alias("cs"))
+    rows = rows.join(chunks, ["query_id", "doc_id"])
+    rows = rows.withColumn("c", F.row_number().over(Window.partitionBy("query_id", "gr").orderBy(F.desc("cs"), F.desc("doc_id")))).filter(F.col("c") <= 1 + roots)
+    first = F.min_by(F.struct("gr", "c", F.round(F.col("gs") + 0.25 * F.col("cs"), 9).alias("score")), F.struct("gr", "c"))
+    picked = rows.groupBy("query_id", "doc_id").agg(first.alias("f")).select("query_id", "doc_id", "f.score", (F.col("f.gr") * 10 + F.col("f.c")).alias("place"))
     rest = ranked.select("query_id", "doc_id", "score", (F.col("rank") + 1000).alias("place")).join(picked.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    every = picked.unionByName(rest)
-    return every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).filter(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+    made = picked.unionByName(rest).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place")))
+    return made.filter(F.col("rank") <= k).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from marlquarry.operators.graph import DOCS_PER_TERM, NEIGHBOURS, POOL, QUERY_TOKENS
 from marlquarry.plans.inputs import LEAKY, QUESTIONS
 from marlquarry.plans.rank_queries import A, B, BASE
 
@@ -119,13 +118,56 @@ GUARDED = f"""{CLASSIFIED}, gd as (select *, predicted = 'relationship' as is_re
 gx as (select *, is_rel and (tie or (not strong and reason0) or not strong) as guard_applied from gd),
 gy as (select *, case when guard_applied then best else predicted end as guarded from gx)"""
 
-GTOK = "list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({}, '[A-Za-z0-9가-힣]{{2,}}'), lambda x: lower(x)), lambda x: not regexp_matches(x, '^[0-9]+$'))))"
-POST = f"""gt as (select doc_id, {GTOK.format("coalesce(text, '')")} as t from documents), post as (select doc_id, unnest(t) as token from gt),
-gq as (select item_id as query_id, unnest(({GTOK.format('text')})[1:{QUERY_TOKENS}]) as token from benchmark),
-cp as (select * from (select *, row_number() over (partition by token order by doc_id) as place from post) where place <= {DOCS_PER_TERM}),
+GSTOP = "('그리고', '그러나', '그래서', '대한', '대해', '무엇', '어떤', '어떻게', '왜', '있어', '있는', '했다', '한다', '관련', '관계', '설명', '알려', '말해', '차이', '영향', '이유', '사이', 'history', 'docent')"
+TSTOP = "('그리고', '그러나', '그래서', '대한', '대해', '무엇', '어떤', '어떻게', '왜', '있어', '있는', '했다', '한다', '관련', '설명', '알려', '말해', '이야기', '근거', '짧게', '서울', '한양', '관광', '도슨트', 'history', 'docent')"
+
+
+def _post(stop: str, most: int) -> str:
+    """Postings of documents and the most frequent tokens of queries."""
+    words = lambda x: f"regexp_extract_all(coalesce({x}, ''), '[A-Za-z0-9가-힣]{{2,}}')"
+    keep = f"not regexp_matches(token, '^[0-9]+$') and token not in {stop}"
+    return f"""post as (select distinct doc_id, token from (select doc_id, lower(unnest({words('text')})) as token from documents) where {keep}),
+gn as (select query_id, token, count(*) as n, min(spot) as spot from (select item_id as query_id, lower(unnest({words('text')})) as token, generate_subscripts({words('text')}, 1) as spot from benchmark) where {keep} group by query_id, token),
+gq as (select query_id, token from (select query_id, token, row_number() over (partition by query_id order by n desc, spot) as place from gn) where place <= {most})"""
+
+
+POST = f"""{_post(GSTOP, 14)},
+cp as (select * from (select *, row_number() over (partition by token order by doc_id) as place from post) where place <= 350),
 met as (select query_id, doc_id, count(*) as m from gq join cp using (token) group by all),
 nb as (select query_id, token, sum(m)::bigint as n from met join post using (doc_id) where (query_id, token) not in (select query_id, token from gq) group by all),
-ex as (select query_id, token, n from (select *, row_number() over (partition by query_id order by n desc, token) as place from nb) where place <= {NEIGHBOURS})"""
+ex as (select query_id, token, n from (select *, row_number() over (partition by query_id order by n desc, token) as place from nb) where place <= 24)"""
+
+
+def tree(roots: bool) -> str:
+    b, d, w, h = ("0.38", "0.30", "0.22", "0.07") if roots else ("0.48", "0.32", "0.16", "0.04")
+    more = " union all select 1, 'doc::' || source, doc_id from documents" if roots else ""
+    return f"""with {BASE}, {_post(TSTOP, 18)}, mb as (select 0 as kind, source || ':' || lang as g, doc_id from documents{more}),
+gt as (select distinct kind, g, token from mb join post using (doc_id)), sz as (select kind, g, count(*) as size from mb group by all),
+cg as (select * from (select *, row_number() over (partition by kind, token order by g) as place from gt) where place <= 250),
+nb as (select query_id, o.token, count(*) as n from gq join cg c on c.token = gq.token join gt o on o.kind = c.kind and o.g = c.g where (query_id, o.token) not in (select query_id, token from gq) group by all),
+ev as (select query_id, token, 3 as w from gq union all select query_id, token, 1 from (select *, row_number() over (partition by query_id order by n desc, token) as place from nb) where place <= 32),
+bl as (select query_id, doc_id, greatest(case when hi - lo < 1e-9 then 1.0 / rank else (score - lo) / nullif(hi - lo, 0) end, 1.0 / (rank + 1)) as base
+  from (select *, min(score) over (partition by query_id) as lo, max(score) over (partition by query_id) as hi from bm where rank <= 20)),
+gb as (select query_id, kind, g, max(base) as base from bl join mb using (doc_id) group by all),
+fg as (select query_id, kind, g, sum(w) as s from ev join cg using (token) group by all),
+pl as (select query_id, kind, g from gb union select query_id, kind, g from (select *, row_number() over (partition by query_id, kind order by s desc, g) as place from fg) where place <= case when kind = 0 then 160 else 80 end),
+pool as (select query_id, kind, g from (select *, row_number() over (partition by query_id order by kind, g) as place from pl) where place <= 160),
+ns as (select query_id, count(*) filter (w = 3) as nq, count(*) as ne from ev group by 1),
+gs as (select query_id, kind, g, count(*) filter (w = 3) as direct, count(*) as wide from pool join ev using (query_id) join gt using (kind, g, token) group by all),
+gh as (select kind, g, count(*) as hints from gt where token in {HINTS} group by all),
+sg as (select query_id, kind, g, round({b}::double * coalesce(base, 0) + {d}::double * coalesce(direct, 0) / nq + {w}::double * coalesce(wide, 0) / ne + {h}::double * least(coalesce(hints, 0) / 7.0, 1.0)
+  + kind * 0.03::double - least(ln(size::double) / ln(20.0::double) * 0.02::double, 0.10::double), 9) as score from pool join ns using (query_id) join sz using (kind, g) left join gs using (query_id, kind, g) left join gb using (query_id, kind, g) left join gh using (kind, g)),
+rg as (select *, row_number() over (partition by query_id order by score desc, g desc) as gr from sg), tk as (select query_id, doc_id, gr, score from rg join mb using (kind, g) where gr <= 12),
+ds as (select query_id, doc_id, count(*) filter (w = 3) as direct, count(*) as wide from (select distinct query_id, doc_id from tk) join ev using (query_id) join post using (doc_id, token) group by all),
+dh as (select doc_id, count(*) as hints from post where token in {HINTS} group by 1),
+cs as (select tk.*, round(0.50::double * coalesce(base, 0) + 0.32::double * coalesce(direct, 0) / nq + 0.13::double * coalesce(wide, 0) / ne + 0.05::double * least(coalesce(hints, 0) / 5.0, 1.0), 9) as own
+  from tk join ns using (query_id) left join ds using (query_id, doc_id) left join bl using (query_id, doc_id) left join dh using (doc_id)),
+pk as (select query_id, doc_id, score + 0.25::double * own as score, gr * 10 + c as place from (select *, row_number() over (partition by query_id, gr order by own desc, doc_id desc) as c from cs) where c <= {1 + roots}),
+fp as (select query_id, doc_id, score, place from (select *, row_number() over (partition by query_id, doc_id order by place) as k from pk) where k = 1),
+al as (select * from fp union all select query_id, doc_id, score, rank + 1000 from bm where rank <= 20 and (query_id, doc_id) not in (select query_id, doc_id from fp))
+select query_id, doc_id, round(score, 6) as score, rank from (select *, cast(row_number() over (partition by query_id order by place) as int) as rank from al) where rank <= 5"""
+
+
 HINTS = "('the', 'and', 'of', 'tion')"
 
 
@@ -134,13 +176,13 @@ def graph(score: str) -> str:
   from (select *, min(score) over (partition by query_id) as lo, max(score) over (partition by query_id) as hi from bm where rank <= 20)),
 ev as (select query_id, token, 3 as w from gq union all select query_id, token, 1 from ex),
 fs as (select query_id, doc_id, sum(w) as s from ev join cp using (token) group by all),
-pool as (select query_id, doc_id from (select *, row_number() over (partition by query_id order by s desc, doc_id) as place from fs) where place <= {POOL} union select query_id, doc_id from bm where rank <= 20),
+pool as (select query_id, doc_id from (select *, row_number() over (partition by query_id order by s desc, doc_id) as place from fs) where place <= 120 union select query_id, doc_id from bm where rank <= 20),
 dc as (select query_id, doc_id, count(*) as direct from gq join post using (token) group by all), xc as (select query_id, doc_id, count(*) as wide from ev join post using (token) group by all),
 rc as (select doc_id, count(*) as related from post where token in {HINTS} group by all), nq as (select query_id, count(*) as nq from gq group by all), ne as (select query_id, count(*) as ne from ev group by all),
 g as (select query_id, doc_id, coalesce(base, 0) as base, coalesce(direct, 0)::double / nq as dr, coalesce(wide, 0)::double / ne as wr, coalesce(direct, 0) * (coalesce(direct, 0) - 1) / 2.0 / greatest(nq * (nq - 1) / 2.0, 1) as pr, least(coalesce(related, 0) / 4.0, 1.0) as rr
   from pool left join bl using (query_id, doc_id) left join dc using (query_id, doc_id) left join xc using (query_id, doc_id) left join rc using (doc_id) join nq using (query_id) join ne using (query_id)),
-sg as (select query_id, doc_id, round({score}, 6) as score from g)
-select query_id, doc_id, score, rank from (select *, cast(row_number() over (partition by query_id order by score desc, doc_id desc) as int) as rank from sg) where rank <= 5"""
+sg as (select query_id, doc_id, round({score}, 9) as score from g)
+select query_id, doc_id, round(score, 6) as score, rank from (select *, cast(row_number() over (partition by query_id order by score desc, doc_id desc) as int) as rank from sg) where rank <= 5"""
 
 
 HEARD = """heard as (select pair_id, reference, heard from (select conv_id * 1000 + turn as pair_id, regexp_replace(text, '[^ -~]', '', 'g') as reference,
@@ -221,13 +263,8 @@ select query_id, case when tags = '' then 'no_material_change' else tags end as
     "postings_expand": f"with {POST} select query_id, token, n from ex",
     "graph_score": graph("0.52::double * base + 0.24::double * dr + 0.18::double * pr + 0.06::double * rr"),
     "graph_community": graph("0.46::double * base + 0.18::double * dr + 0.26::double * wr + 0.10::double * rr"),
-    "tree_score": f"""with {BASE}, {POST}, ow as (select doc_id, source || ':' || lang as group_id from documents), mb as (select group_id, count(*) as size from ow group by 1), nq as (select query_id, count(*) as nq from gq group by 1),
-hd as (select query_id, group_id, count(*) as n from gq join (select distinct group_id, token from post join ow using (doc_id)) using (token) group by all),
-bs as (select * from (select *, row_number() over (partition by query_id order by gs desc, group_id) as gr from (select query_id, group_id, round(n / nq::double - least(ln(size::double) / ln(20.0::double) * 0.02::double, 0.10::double), 6) as gs from hd join mb using (group_id) join nq using (query_id))) where gr <= 3),
-ht as (select query_id, doc_id, group_id, gr, gs, row_number() over (partition by query_id, group_id order by n desc, doc_id) as c from (select query_id, doc_id, count(*) as n from gq join post using (token) group by all) join ow using (doc_id) join bs using (query_id, group_id)),
-pk as (select query_id, doc_id, gs as score, gr * 10 + c as place from ht where c <= 2),
-al as (select * from pk union all select query_id, doc_id, score, rank + 1000 from bm where rank <= 20 and (query_id, doc_id) not in (select query_id, doc_id from pk))
-select query_id, doc_id, score, rank from (select *, cast(row_number() over (partition by query_id order by place) as int) as rank from al) where rank <= 5""",
+    "tree_parent": tree(False),
+    "tree_summary": tree(True),
     "cer": f"with {HEARD} select pair_id, round(levenshtein({_CH('reference')}, {_CH('heard')}) / greatest(length({_CH('reference')}), 1)::double, 6) as cer from heard",
     "char_f1": f"""with {HEARD}, r as (select pair_id, ch, count(*) as r from (select pair_id, unnest(string_split({_CH('reference')}, '')) as ch from heard) where ch <> '' group by all),
 h as (select pair_id, ch, count(*) as h from (select pair_id, unnest(string_split({_CH('heard')}, '')) as ch from heard) where ch <> '' group by all),

@@ -238,9 +238,12 @@ def graph_community(spark: SparkSession, sf: str) -> DataFrame:
     return G.graph_rank(I.documents(spark, sf), I.passages(spark, sf), K._bm25(spark, sf, 20), "community_hint", HINTS)
 
 
-def tree_score(spark: SparkSession, sf: str) -> DataFrame:
-    docs = I.documents(spark, sf).withColumn("group_id", F.concat("source", F.lit(":"), "lang"))
-    return G.tree_rank(docs, I.passages(spark, sf), K._bm25(spark, sf, 20))
+def _tree(strategy: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        docs = I.documents(spark, sf).withColumn("parent_id", F.concat("source", F.lit(":"), "lang")).withColumn("root_id", F.col("source"))
+        return G.tree_rank(docs, I.passages(spark, sf), K._bm25(spark, sf, 20), strategy, HINTS)
+
+    return run
 
 
 def _heard(spark: SparkSession, sf: str) -> DataFrame:
@@ -323,9 +326,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         normalize_pages, page_elements, page_offsets, block_quality, parser_quality, leak_scan, consecutive_blocks, stratified_sample, parent_segments,
         child_chunks, child_groups, chunk_quality, chunk_ablation, pack_metrics, pack_summary, evidence_context, evidence_stats, citation_eval, citation_summary,
         classify_turns, guard_turns, route_turns, rewrite_followups, confusion_matrix, class_prf, tradeoff_tags, guardrail_routes, regression_tags, postings_expand, graph_score,
-        graph_community, tree_score, wer_cer, cer, char_f1, speech_ratio, score_aggregates, dataset_profile, dataset_shortfall, resolvability, table_manifest,
+        graph_community, wer_cer, cer, char_f1, speech_ratio, score_aggregates, dataset_profile, dataset_shortfall, resolvability, table_manifest,
         catalog_quality, event_tumbling, event_sliding, event_session, event_as_of,
     )
-} | {f"evidence_pack_p{k}": _pack(p) for k, p in enumerate(E.POLICIES)}
+} | {"tree_parent": _tree("parent_summary"), "tree_summary": _tree("summary_node")} | {f"evidence_pack_p{k}": _pack(p) for k, p in enumerate(E.POLICIES)}
 
 from marlquarry.plans.doc_oracles import ORACLES  # noqa: E402,F401

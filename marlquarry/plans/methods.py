@@ -69,7 +69,8 @@ METHODS: dict[str, Callable[[Inputs], DataFrame]] = {
     "rewritten_bm25": lambda x: _bm25(x, queries=x.queries.drop("query_text").join(x.rewritten.select("query_id", F.col("rewritten").alias("query_text")), "query_id")),
     "graph_entity_path": lambda x: G.graph_rank(x.docs, x.queries, _bm25(x, 20), "entity_path", x.hints, x.k),
     "graph_community_hint": lambda x: G.graph_rank(x.docs, x.queries, _bm25(x, 20), "community_hint", x.hints, x.k),
-    "tree_groups": lambda x: G.tree_rank(x.docs, x.queries, _bm25(x, 20), x.k),
+    "tree_parent_summary": lambda x: G.tree_rank(x.docs, x.queries, _bm25(x, 20), "parent_summary", k=x.k),
+    "tree_summary_node": lambda x: G.tree_rank(x.docs, x.queries, _bm25(x, 20), "summary_node", k=x.k),
 }
 
 

@@ -486,7 +486,7 @@ def test_decisions(spark):
 
 
 def test_method_registry(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).withColumn("group_id", F.col("source"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).withColumn("parent_id", F.concat("source", F.lit("/"), "lang")).withColumn("root_id", F.col("source"))
     q = spark.read.parquet(f"{sf}/benchmark.parquet").limit(4).selectExpr("item_id as query_id", "text as query_text", "'retrieve' as expected")
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     x = methods.Inputs(docs, q, e.selectExpr("vec_id as doc_id", "embedding").join(docs.select("doc_id"), "doc_id", "left_semi"), e.selectExpr("vec_id as query_id", "embedding").join(q.select("query_id"), "query_id", "left_semi"),
