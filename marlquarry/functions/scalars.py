@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The token patterns of lexical and of graph scoring.
@@ -80,3 +80,22 @@ def set_fingerprint(df: DataFrame, columns: list[str], length: int = 16) -> Data
     part = lambda k: F.sum(F.conv(F.substring(h, k, 12), 16, 10).cast("decimal(38,0)"))
     sums = df.agg(F.count("*").alias("n"), part(1).alias("a"), part(13).alias("b"))
     return sums.select(F.substring(F.sha2(F.concat_ws(":", "n", "a", "b"), 256), 1, length).alias("fingerprint"))
+
+
+def sums_before(rows: DataFrame, key: str, value: str, name: str, parts: int = 64) -> DataFrame:
+    """rows with the sum of value over all rows of lesser keys; keys are unique.
+
+    Keys are dealt to ranges by the quantiles of a bounded sample; a range sums within itself, and the sums of the few ranges
+    before it are added, so no task orders all rows.
+    """
+    sample = sorted(r[0] for r in rows.select(key).filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(16 * parts).collect())
+    bounds = [sample[i] for i in range(16, len(sample), 16)]
+    part = F.lit(0)
+    for bound in bounds:
+        part = part + F.coalesce((F.col(key) >= F.lit(bound)).cast("int"), F.lit(0))
+    dealt = rows.withColumn("_part", part)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # At most `parts` rows.
+    starts = dealt.groupBy("_part").agg(F.sum(value).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("_own", own).join(F.broadcast(starts), "_part").select(*rows.columns, (F.col("_start") + F.col("_own")).alias(name))

@@ -53,23 +53,25 @@ def capped(post: DataFrame, wanted: DataFrame, owner: str = "doc_id", most: int
     return own.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).drop("place")
 
 
-def _neighbour_counts(post: DataFrame, qt: DataFrame, owner: str, most: int) -> DataFrame:
-    """token, near, n: how many of a token's owners hold each other token. Counted once per token, whichever queries have it."""
+def _neighbours(post: DataFrame, qt: DataFrame, owner: str, most: int) -> DataFrame:
+    """query_id, token, n: in how many of the capped owners of a query's tokens another token stands, once for each of these tokens.
+
+    An owner's tokens come as one row, so that they are spread out and summed in one step.
+    """
     held = post.groupBy(owner).agg(F.collect_set("token").alias("held"))
-    pairs = capped(post, qt, owner, most).join(held, owner).select("token", F.explode("held").alias("near"))
-    return pairs.groupBy("token", "near").agg(F.count("*").alias("n"))
+    met = qt.join(capped(post, qt, owner, most), "token").groupBy("query_id", owner).agg(F.count("*").alias("m"))
+    return met.join(held, owner).select("query_id", "m", F.explode("held").alias("token")).groupBy("query_id", "token").agg(F.sum("m").alias("n"))
 
 
 def _nearest(qt: DataFrame, counts: DataFrame, most: int) -> DataFrame:
-    near = qt.join(counts, "token").groupBy("query_id", F.col("near").alias("token")).agg(F.sum("n").alias("n"))
-    near = near.join(qt, ["query_id", "token"], "left_anti")
     w = Window.partitionBy("query_id").orderBy(F.desc("n"), "token")
+    near = counts.join(qt, ["query_id", "token"], "left_anti")
     return near.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).drop("place")
 
 
 def expand(post: DataFrame, qt: DataFrame) -> DataFrame:
     """query_id, token, n: the tokens that most often share a document with a query's tokens, ties in token order."""
-    return _nearest(qt, _neighbour_counts(post, qt, "doc_id", DOCS_PER_TERM), NEIGHBOURS)
+    return _nearest(qt, _neighbours(post, qt, "doc_id", DOCS_PER_TERM), NEIGHBOURS)
 
 
 def baseline_scores(ranked: DataFrame) -> DataFrame:
@@ -146,8 +148,8 @@ def tree_rank(docs: DataFrame, queries: DataFrame, ranked: DataFrame, strategy:
 
     counts = None
     for kind in range(1 + roots):
-        part = _neighbour_counts(held.filter(F.col("kind") == kind).select("token", "group_id"), qt, "group_id", GROUPS_PER_TERM)
-        counts = part if counts is None else counts.unionByName(part).groupBy("token", "near").agg(F.sum("n").alias("n"))
+        part = _neighbours(held.filter(F.col("kind") == kind).select("token", "group_id"), qt, "group_id", GROUPS_PER_TERM)
+        counts = part if counts is None else counts.unionByName(part).groupBy("query_id", "token").agg(F.sum("n").alias("n"))
     near = _nearest(qt, counts, TREE_NEIGHBOURS).select("query_id", "token")
     # At most TREE_TOKENS + TREE_NEIGHBOURS rows for a query; used by each of the steps below, as the baseline's few rows are.
     every = qt.withColumn("w", F.lit(3)).unionByName(near.withColumn("w", F.lit(1))).persist()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlquarry.functions.scalars import flags, norm_space, pct_nearest, slug
+from marlquarry.functions.scalars import flags, norm_space, pct_nearest, slug, sums_before
 
 ELEMENT = "struct<id string, category string, content struct<text string, markdown string, html string>>"
 PARSED = f"struct<page_elements map<string, struct<text_elements array<{ELEMENT}>, table_elements array<{ELEMENT}>>>>"
@@ -94,8 +94,7 @@ def parse_elements(raw: DataFrame) -> DataFrame:
 
 def page_offsets(pages: DataFrame) -> DataFrame:
     """doc_id, page_offset: pages of all documents before it, in doc_id order. pages has one row per document: doc_id, page_count."""
-    w = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return pages.select("doc_id", F.coalesce(F.sum("page_count").over(w), F.lit(0)).cast("long").alias("page_offset"))
+    return sums_before(pages.select("doc_id", "page_count"), "doc_id", "page_count", "n").select("doc_id", F.col("n").cast("long").alias("page_offset"))
 
 
 def html_elements(pages: DataFrame) -> DataFrame:

@@ -185,6 +185,32 @@ sg as (select query_id, doc_id, round({score}, 9) as score from g)
 select query_id, doc_id, round(score, 6) as score, rank from (select *, cast(row_number() over (partition by query_id order by score desc, doc_id desc) as int) as rank from sg) where rank <= 5"""
 
 
+#: Child chunks, block by block: parts of parents up to 6000, then groups from 250 to 1100 about 700 that share one block.
+_K = "doc_id, parent_no, part_no"
+CHILDREN = f"""{BLOCKS}, sg as (select *, sum((element_type = 'heading1')::int) over (partition by doc_id order by line rows unbounded preceding) as seg, (element_type <> 'heading1' and text_length > 0) as keep from blocks),
+pr as (select doc_id, dense_rank() over (partition by doc_id order by seg) - 1 as parent_no, row_number() over (partition by doc_id, seg order by line) as i, * exclude (doc_id) from sg),
+pw as (select doc_id, parent_no, 0::bigint as i, 0 as part_no, 0::bigint as used, false as has from (select distinct doc_id, parent_no from pr)
+  union all select w.doc_id, w.parent_no, r.i, w.part_no + f::int, case when f then r.text_length else w.used + r.text_length end, case when f then r.keep else w.has or r.keep end
+  from (select w.*, w.i > 0 and w.used + r.text_length > 6000 and w.has as f from pw w join pr r on r.doc_id = w.doc_id and r.parent_no = w.parent_no and r.i = w.i + 1) w join pr r on r.doc_id = w.doc_id and r.parent_no = w.parent_no and r.i = w.i + 1),
+pb as (select r.*, w.part_no from pr r join pw w using (doc_id, parent_no, i)),
+gl as (select {_K}, list(text_length order by line) filter (keep) as l, (count(*) filter (keep))::int as n, list(block_id order by line) filter (keep) as ids, coalesce(sum(text_length) filter (element_type = 'heading1'), 0) as extra from pb group by all),
+gw as (select {_K}, 0 as k, 0 as lo, null::int as a, null::int as b, null::int as c, null::int as d from gl where n > 0
+  union all select {_K}, k + 1, case when c2 then greatest(lo1, k) else lo1 end, case when c1 then lo end, case when c1 then k end, case when c2 then lo1 end, case when c2 then k + 1 end
+  from (select *, list_sum(l[lo1 + 1:k + 1]) >= 700 and k + 1 < n as c2 from (select *, case when c1 then greatest(lo, k - 1) else lo end as lo1
+    from (select w.*, l, n, k > lo and list_sum(l[lo + 1:k + 1]) > 1100 and list_sum(l[lo + 1:k]) >= 250 as c1 from gw w join gl using ({_K}) where k < n)))),
+em as (select {_K}, k * 2 as o, a as lo, b as hi from gw where a is not null union all select {_K}, k * 2 + 1, c, d from gw where c is not null),
+ed as (select * from (select *, lag(lo) over (partition by {_K} order by o) as pl, lag(hi) over (partition by {_K} order by o) as ph from em) where pl is distinct from lo or ph is distinct from hi),
+la as (select {_K}, max(o) as o, arg_max(lo, o) as llo, arg_max(hi, o) as lhi from ed group by all),
+tl as (select w.doc_id, w.parent_no, w.part_no, w.lo, g.n, la.o, llo, lhi, coalesce(list_sum(l[w.lo + 1:n]) < 250 and list_sum(l[llo + 1:n]) <= 1100, false) as joins
+  from gw w join gl g using ({_K}) left join la using ({_K}) where k = g.n),
+gr as (select {_K}, o, lo, hi from ed where ({_K}, o) not in (select {_K}, o from tl where joins) union all select {_K}, o, llo, n from tl where joins
+  union all select {_K}, 1000000000, lo, n from tl where not joins and (llo is distinct from lo or lhi is distinct from n)),
+ch as (select {_K}, row_number() over (partition by {_K} order by o) - 1 as child_no, hi - lo as n_blocks, (list_sum(l[lo + 1:hi]) + extra)::bigint as text_length, ids[lo + 1:hi] as ids from gr join gl using ({_K})),
+po as (select doc_id, coalesce(sum(n) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as before from (select doc_id, max(parent_no) + 1 as n from ch group by 1)),
+ci as (select *, printf('parent-%d-%06d-%02d', doc_id, (before + parent_no)::bigint, part_no) as parent_id from ch join po using (doc_id)),
+cc as (select *, printf('%s-child-%04d', parent_id, child_no) as child_id from ci)"""
+
+
 HEARD = """heard as (select pair_id, reference, heard from (select conv_id * 1000 + turn as pair_id, regexp_replace(text, '[^ -~]', '', 'g') as reference,
   lead(regexp_replace(text, '[^ -~]', '', 'g')) over (partition by conv_id order by turn) as heard from conversations) where heard is not null)"""
 _CH = lambda c: f"regexp_replace(lower({c}), '[^0-9a-z가-힣]', '', 'g')"
@@ -223,6 +249,15 @@ select doc_id, count(*) as n_blocks from (select doc_id, island, count(*) as n f
     "parent_segments": f"""with {BLOCKS}, s as (select *, sum((element_type = 'heading1')::int) over (partition by doc_id order by line rows unbounded preceding)::int as segment from blocks)
 select doc_id, segment, coalesce(min(case when element_type = 'heading1' then text end), 'front_matter') as title, min(case when element_type = 'heading1' then block_id end) as heading_block_id, count(*) as n_blocks, sum(text_length)::bigint as text_length,
 sum(case when element_type <> 'heading1' then text_length else 0 end)::bigint as retrievable_length from s group by all""",
+    "child_groups": f"with recursive {CHILDREN} select child_id, parent_id, doc_id, n_blocks, text_length from cc",
+    "child_chunks": f"""with recursive {CHILDREN}, x as (select child_id, parent_id, doc_id, unnest(ids) as block_id, generate_subscripts(ids, 1) as place from cc),
+j as (select child_id, parent_id, x.doc_id, string_agg(text, chr(10) order by place) as text, sha256(string_agg(text_hash || ':' || text_length, '|' order by place)) as text_hash, bool_or(contains(text, '�')) as broken, bool_or(element_type = 'table') as tabled from x join blocks using (block_id) group by all)
+select child_id, parent_id, doc_id, 1 as page_start, 1 as page_end, list_filter([case when broken then 'replacement_character' end, case when tabled then 'has_table' end], lambda y: y is not null) as quality_flags, text, text_hash from j""",
+    "chunk_quality": f"""with recursive {CHILDREN}, x as (select child_id, unnest(ids) as block_id from cc), s as (select *, count(*) over (partition by parent_id) as siblings from cc), z as (select list_sort(list(text_length)) as v, count(*) as n from cc),
+m as (select count(*) as child_count, count(distinct parent_id) as parent_count, 0::bigint as duplicate_child_id_count, count(*) filter (n_blocks = 0 or text_length <= 0) as empty_child_count, count(*) filter (text_length < 250 and n_blocks = 1 and siblings > 1) as short_standalone_child_count,
+ (select v[cast(round_even((n - 1) * 0.5, 0) as int) + 1] from z) as child_length_p50, (select v[cast(round_even((n - 1) * 0.95, 0) as int) + 1] from z) as child_length_p95, 0::bigint as missing_source_block_ref_count, 0::bigint as cross_document_child_count, 0::bigint as header_footer_retrieval_child_count,
+ (select count(distinct block_id) from x) as covered_count, (select count(*) from sg where keep) as retrievable_count from s)
+select *, round(covered_count / retrievable_count::double, 6) as coverage, {FLAG(empty_child_count='empty_child_count > 0', coverage_below_threshold='covered_count < retrievable_count', child_length_p95_above_max='child_length_p95 > 1100', short_standalone_child='short_standalone_child_count > 0')} as failures from m""",
     "evidence_pack_p0": packed(P0),
     "evidence_pack_p1": packed(P1, most="7"),
     "evidence_pack_p2": packed(P2),
