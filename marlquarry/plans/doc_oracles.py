@@ -55,6 +55,13 @@ P2 = ONCE.format(
 )
 P4 = "select *, rank as ord, 0 as place from (select *, row_number() over (partition by query_id, parent_id order by rank) as k from cand) where query_type <> 'voice_followup' or k = 1"
 VOICE = ("case when o.query_type = 'voice_followup' then 2600 else 4200 end", "case when w.query_type = 'voice_followup' then 3 else 5 end")
+#: Diversity: one candidate a step, by scaled score less .25 for a parent and .10 for a document taken before.
+MMR = """cs as (select *, (score - lo) / greatest(hi - lo, 1e-9) as scaled from (select *, min(score) over (partition by query_id) as lo, max(score) over (partition by query_id) as hi from cand)),
+mm as (select query_id, 0::bigint as k, 0::bigint as doc_id, []::bigint[] as docs, []::varchar[] as parents, []::varchar[] as roots from (select distinct query_id from cs)
+  union all select query_id, k + 1, doc_id, list_append(docs, doc_id), list_append(parents, parent_id), list_append(roots, root_id) from (select m.query_id, k, docs, parents, roots, c.doc_id, c.parent_id, c.root_id,
+    row_number() over (partition by m.query_id order by scaled - 0.25::double * list_contains(parents, c.parent_id)::int - 0.10::double * list_contains(roots, c.root_id)::int desc, rank) as place
+    from mm m join cs c on c.query_id = m.query_id and not list_contains(docs, c.doc_id)) where place = 1)"""
+P3 = "select c.*, k as ord, 0 as place from cand c join (select query_id, doc_id, k from mm where k > 0) using (query_id, doc_id)"
 PACK0 = f"with recursive {EVIDENCE}, {greedy(P0)}"
 
 PM = """pm as (select query_id, count(*) as n_items, sum(text_length) as chars, bool_or(hc) as child_covered, bool_or(hp) as parent_covered, bool_or(hd) as doc_covered, min(case when hc or hp or hd then pack_rank end) as first,
@@ -218,6 +225,23 @@ FLAG = lambda **w: "array_to_string(list_filter([" + ", ".join(f"case when {c} t
 
 
 
+#: The context of evidence, item by item within 4200 characters.
+CONTEXT = """it as (select query_id, row_number() over (partition by query_id order by pack_rank) as i, '[evidence:' || pack_rank || '] child_id=' || doc_id || ' doc_id=' || root_id || chr(10) || trim(text) as part
+  from packed join documents using (doc_id) where trim(text) <> ''),
+cx as (select query_id, 0::bigint as i, 4200::bigint as room, []::varchar[] as parts, 0::bigint as chars, 0 as cut from (select distinct query_id from it)
+  union all select query_id, i, case when room > 0 then room - length(own) - 2 else room end, case when room > 0 then list_append(parts, own) else parts end, case when room > 0 and cut = 0 then chars + least(length(part), room) else chars end, greatest(cut, (room > 0 and cut = 0 and length(part) > room)::int)
+  from (select x.query_id, it.i, room, parts, chars, cut, part, case when length(part) > room then rtrim(substr(part, 1, greatest(room - 3, 0))) || '...' else part end as own from cx x join it on it.query_id = x.query_id and it.i = x.i + 1)),
+ce as (select query_id, arg_max(parts, i) as parts, arg_max(chars, i) as chars, arg_max(cut, i) as cut, max(i) as n from cx group by 1)"""
+
+
+def _summary(policy: str, ctes: str) -> str:
+    return f"""select '{policy}' as policy, * from (with recursive {EVIDENCE}, {ctes}, {PM} select query_type, coalesce(child_covered, false)::int as c, coalesce(parent_covered, false)::int as p, coalesce(doc_covered, false)::int as d, round(coalesce(1.0 / first, 0), 6) as o, coalesce(chars, 0) as chars from eq left join pm using (query_id))"""
+
+
+def _state(source: str, n: str, *limits: str) -> str:
+    return f"""(with recursive {EVIDENCE}, {greedy(source, *limits)}, {PM} select query_id, case when child_covered or parent_covered then 'direct' when doc_covered then 'doc_only' else 'miss' end as {n}, first as {n}_first from eq left join pm using (query_id))"""
+
+
 def _side(source: str, n: str) -> str:
     """Measures of one policy's evidence, its columns prefixed."""
     return f"""(with recursive {EVIDENCE}, {greedy(source)}, {PM} select query_id, coalesce(child_covered or parent_covered, false) as {n}_direct, coalesce(doc_covered, false) as {n}_doc, coalesce(child_covered, false) as {n}_correct,
@@ -261,6 +285,13 @@ select *, round(covered_count / retrievable_count::double, 6) as coverage, {FLAG
     "evidence_pack_p0": packed(P0),
     "evidence_pack_p1": packed(P1, most="7"),
     "evidence_pack_p2": packed(P2),
+    "evidence_pack_p3": f"with recursive {EVIDENCE}, {MMR}, {greedy(P3)} select query_id, pack_rank::int as pack_rank, doc_id, parent_id, rank::bigint as rank, text_length::bigint as text_length, clipped from packed",
+    "evidence_context": f"{PACK0}, {CONTEXT} select query_id, length(array_to_string(parts, chr(10) || chr(10))) as n_chars, sha256(array_to_string(parts, chr(10) || chr(10))) as digest from ce",
+    "evidence_stats": f"{PACK0}, {CONTEXT} select query_id, n as n_text, chars as context_chars, cut as truncated from ce",
+    "pack_summary": f"""with m as ({' union all '.join(_summary(p, c) for p, c in (("P0_rank_order", greedy(P0)), ("P1_parent_expansion", greedy(P1, most="7")), ("P2_best_first_with_parent", greedy(P2)), ("P3_mmr_diversity", f"{MMR}, {greedy(P3)}"), ("P4_voice_compact", greedy(P4, *VOICE))))})
+select policy, coalesce(query_type, 'all') as query_type, count(*) as n_queries, round(avg(c), 6) as child_covered, round(avg(p), 6) as parent_covered, round(avg(d), 6) as doc_covered, round(avg(o), 6) as order_proxy, sum(chars)::bigint as chars from m group by grouping sets ((policy), (policy, query_type))""",
+    "evidence_movement": f"""select count(*) filter (b_first < a_first) as improved, count(*) filter (b_first > a_first) as regressed, count(*) filter (a = 'doc_only' and b = 'direct') as doc_only_to_direct, count(*) filter (a = 'direct' and b = 'doc_only') as direct_to_doc_only, count(*) filter (a = 'direct' and b = 'miss') as direct_to_miss
+from {_state(P0, 'a')} join {_state(P4, 'b', *VOICE)} using (query_id)""",
     "evidence_pack_p4": packed(P4, *VOICE),
     "pack_metrics": f"""{PACK0}, {PM} select query_id, coalesce(n_items, 0) as n_items, coalesce(chars, 0)::bigint as chars, coalesce(child_covered, false) as child_covered, coalesce(parent_covered, false) as parent_covered, coalesce(doc_covered, false) as doc_covered,
 coalesce(dp, 0) as duplicate_parent_rate, coalesce(dd, 0) as duplicate_doc_rate, round(coalesce(1.0 / first, 0), 6) as order_proxy from eq left join pm using (query_id)""",
