@@ -5,9 +5,14 @@ Caps on postings are part of these operators: documents per term in id order, ne
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlquarry.functions.lineage import written
 from marlquarry.functions.scalars import GRAPH_TOKEN, graph_tokens
 
 #: Fixed values of graph ranking: documents per term, neighbours, pool, tokens of a query, words that are no tokens, and words
@@ -53,25 +58,92 @@ def capped(post: DataFrame, wanted: DataFrame, owner: str = "doc_id", most: int
     return own.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).drop("place")
 
 
-def _neighbours(post: DataFrame, qt: DataFrame, owner: str, most: int) -> DataFrame:
-    """query_id, token, n: in how many of the capped owners of a query's tokens another token stands, once for each of these tokens.
+#: Queries, about, that are expanded in one pass over the postings; with the caps on tokens and owners this bounds what a pass sends along.
+BLOCK = 256
+#: Products of postings and queries that are summed at once.
+STEP = 1 << 22
 
-    An owner's tokens come as one row, so that they are spread out and summed in one step.
-    """
-    held = post.groupBy(owner).agg(F.collect_set("token").alias("held"))
-    met = qt.join(capped(post, qt, owner, most), "token").groupBy("query_id", owner).agg(F.count("*").alias("m"))
-    return met.join(held, owner).select("query_id", "m", F.explode("held").alias("token")).groupBy("query_id", "token").agg(F.sum("m").alias("n"))
 
+def _nearest_of(block: pa.Table, own: pa.Table, most: int):
+    """For lists (token, owners), sorted by token: the `most` best tokens of each query in a task, with their sums.
 
-def _nearest(qt: DataFrame, counts: DataFrame, most: int) -> DataFrame:
+    block: query_id, owner and in how many of the query's tokens the owner stands; own: the queries' own tokens, which are left out.
+    """
+    owners, at = np.unique(np.asarray(block["owner"]), return_inverse=True)
+    ids, query = np.unique(block["query_id"].to_numpy(), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    first = np.searchsorted(at[order], np.arange(len(owners) + 1))
+    query, weight = query[order], block["m"].to_numpy()[order].astype(float)
+    mine: dict[str, list[int]] = {}
+    for token, q in zip(own["token"].to_pylist(), own["query_id"].to_pylist(), strict=True):
+        mine.setdefault(token, []).append(int(np.searchsorted(ids, q)))
+
+    def sums(place: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """Rows by queries: sums of the weights of the owners at place."""
+        size = first[place + 1] - first[place]
+        each = np.repeat(first[place] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        return np.bincount(np.repeat(row, size) * len(ids) + query[each], weight[each], rows * len(ids)).reshape(rows, len(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_n, best_t = np.zeros((0, len(ids))), np.zeros((0, len(ids)), dtype=object)
+        for batch in batches:
+            lists = batch.column("owners")
+            place = np.searchsorted(owners, np.asarray(lists.flatten()))
+            cost = np.concatenate(([0], np.cumsum(first[place + 1] - first[place])))[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+            tokens = batch.column("token").to_pylist()
+            start, ends = 0, np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            while start < len(tokens):
+                stop = max(start + 1, min(int(np.searchsorted(cost, cost[start] + STEP, side="right")) - 1, start + STEP // len(ids)))
+                n = sums(place[ends[start] : ends[stop]], np.repeat(np.arange(stop - start), np.diff(ends[start : stop + 1])), stop - start)
+                for k in range(start, stop):
+                    if tokens[k] in mine:
+                        n[k - start, mine[tokens[k]]] = 0
+                names = np.array(tokens[start:stop], dtype=object)
+                top = np.argsort(-n, axis=0, kind="stable")[:most]
+                # Tokens come in order, so that of equal sums the one found earlier is the lesser.
+                best_n, best_t = np.concatenate((best_n, np.take_along_axis(n, top, 0))), np.concatenate((best_t, names[top]))
+                top = np.argsort(-best_n, axis=0, kind="stable")[:most]
+                best_n, best_t = np.take_along_axis(best_n, top, 0), np.take_along_axis(best_t, top, 0)
+                start = stop
+        row, column = np.nonzero(best_n)
+        arrays = [pa.array(ids[column], pa.int64()), pa.array(best_t[row, column].tolist(), pa.string()), pa.array(best_n[row, column].astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "token", "n"])
+
+    return run
+
+
+def nearest(parts: list[tuple[DataFrame, str, int]], qt: DataFrame, most: int) -> DataFrame:
+    """query_id, token, n: the `most` tokens that most often stand with a query's tokens, ties in token order.
+
+    parts: postings, the name of their owner, and how many owners of a token count. n sums over the query's tokens and the parts.
+    Each pass takes about BLOCK queries: their owners and own tokens, about BLOCK * tokens * owners rows at most, go along with the tasks,
+    which hold whole tokens and return their best few.
+    """
+    met = None
+    lists = None
+    for k, (post, owner, cap) in enumerate(parts):
+        key = F.concat(F.lit(f"{k}:"), F.col(owner).cast("string"))
+        one = qt.join(capped(post, qt, owner, cap), "token").groupBy("query_id", key.alias("owner")).agg(F.count("*").alias("m"))
+        own = post.select("token", key.alias("owner"))
+        met, lists = (one, own) if met is None else (met.unionByName(one), lists.unionByName(own))
+    met = written(met.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-qt.select("query_id").distinct().count() // BLOCK))))), "met")
+    found = None
+    for (block,) in sorted(met.select("block").distinct().collect()):
+        own = met.filter(F.col("block") == block)
+        sent = own.select("query_id", "owner", "m").toArrow()
+        tokens = qt.join(own.select("query_id").distinct(), "query_id", "left_semi").toArrow()
+        rows = lists.join(own.select("owner").distinct(), "owner", "left_semi").groupBy("token").agg(F.collect_list("owner").alias("owners"))
+        rows = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_nearest_of(sent, tokens, most), "query_id long, token string, n long")
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        return qt.select("query_id", "token", F.lit(0).cast("long").alias("n")).limit(0)
     w = Window.partitionBy("query_id").orderBy(F.desc("n"), "token")
-    near = counts.join(qt, ["query_id", "token"], "left_anti")
-    return near.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).drop("place")
+    return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).drop("place")
 
 
 def expand(post: DataFrame, qt: DataFrame) -> DataFrame:
     """query_id, token, n: the tokens that most often share a document with a query's tokens, ties in token order."""
-    return _nearest(qt, _neighbours(post, qt, "doc_id", DOCS_PER_TERM), NEIGHBOURS)
+    return nearest([(post, "doc_id", DOCS_PER_TERM)], qt, NEIGHBOURS)
 
 
 def baseline_scores(ranked: DataFrame) -> DataFrame:
@@ -94,8 +166,8 @@ def graph_rank(docs: DataFrame, queries: DataFrame, ranked: DataFrame, strategy:
     nine digits and shown at six.
     """
     # A few rows for each query, which all steps below use.
-    post, qt, ranked = postings(docs), query_tokens(queries).persist(), ranked.persist()
-    near = expand(post, qt).select("query_id", "token").persist()
+    post, qt, ranked = written(postings(docs), "graph-postings"), written(query_tokens(queries), "graph-tokens"), written(ranked, "graph-base")
+    near = written(expand(post, qt).select("query_id", "token"), "graph-near")
     weighted = qt.withColumn("w", F.lit(3)).unionByName(near.withColumn("w", F.lit(1)))
     found = weighted.join(capped(post, weighted), "token").groupBy("query_id", "doc_id").agg(F.sum("w").alias("s"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "doc_id"))
@@ -138,22 +210,19 @@ def tree_rank(docs: DataFrame, queries: DataFrame, ranked: DataFrame, strategy:
     """
     if strategy not in TREE_WEIGHTS:
         raise ValueError(strategy)
-    roots, ranked = strategy == "summary_node", ranked.persist()
+    roots, ranked = strategy == "summary_node", written(ranked, "tree-base")
     own = docs.select("doc_id", "text", F.col("parent_id").cast("string").alias("parent"), F.concat(F.lit("doc::"), F.col("root_id").cast("string")).alias("root"))
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("parent").alias("group_id")), *([F.struct(F.lit(1).alias("kind"), F.col("root").alias("group_id"))] if roots else []))
     member = own.select("doc_id", F.inline(kinds))
-    post = postings(docs, TREE_STOPWORDS)
-    held = member.join(post, "doc_id").select("kind", "group_id", "token").distinct()
-    qt = query_tokens(queries, TREE_STOPWORDS, TREE_TOKENS).persist()
+    # Tokens of chunks and of groups are read by several steps.
+    post = written(postings(docs, TREE_STOPWORDS), "tree-postings")
+    held = written(member.join(post, "doc_id").select("kind", "group_id", "token").distinct(), "tree-groups")
+    qt = written(query_tokens(queries, TREE_STOPWORDS, TREE_TOKENS), "tree-tokens")
 
-    counts = None
-    for kind in range(1 + roots):
-        part = _neighbours(held.filter(F.col("kind") == kind).select("token", "group_id"), qt, "group_id", GROUPS_PER_TERM)
-        counts = part if counts is None else counts.unionByName(part).groupBy("query_id", "token").agg(F.sum("n").alias("n"))
-    near = _nearest(qt, counts, TREE_NEIGHBOURS).select("query_id", "token")
+    near = nearest([(held.filter(F.col("kind") == kind), "group_id", GROUPS_PER_TERM) for kind in range(1 + roots)], qt, TREE_NEIGHBOURS).select("query_id", "token")
     # At most TREE_TOKENS + TREE_NEIGHBOURS rows for a query; used by each of the steps below, as the baseline's few rows are.
-    every = qt.withColumn("w", F.lit(3)).unionByName(near.withColumn("w", F.lit(1))).persist()
-    base = baseline_scores(ranked).persist()
+    every = written(qt.withColumn("w", F.lit(3)).unionByName(near.withColumn("w", F.lit(1))), "tree-every")
+    base = baseline_scores(ranked)
     group_base = base.join(member, "doc_id").groupBy("query_id", "kind", "group_id").agg(F.max("base").alias("base"))
     pool = group_base.select("query_id", "kind", "group_id")
     for kind in range(1 + roots):
@@ -161,7 +230,7 @@ def tree_rank(docs: DataFrame, queries: DataFrame, ranked: DataFrame, strategy:
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "group_id"))
         pool = pool.unionByName(found.withColumn("place", place).filter(F.col("place") <= GROUP_POOL // (1 + kind)).select("query_id", "kind", "group_id"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("kind", "group_id"))
-    pool = pool.distinct().withColumn("place", place).filter(F.col("place") <= GROUP_POOL).drop("place").persist()
+    pool = written(pool.distinct().withColumn("place", place).filter(F.col("place") <= GROUP_POOL).drop("place"), "tree-pool")
 
     sizes = every.groupBy("query_id").agg(F.count_if(F.col("w") == 3).alias("nq"), F.count("*").alias("ne"))
     shared = lambda rows, by: rows.join(every, "query_id").join(by, [*(c for c in by.columns if c != "token"), "token"]).groupBy(*rows.columns).agg(F.count_if(F.col("w") == 3).alias("direct"), F.count("*").alias("wide"))
@@ -181,7 +250,7 @@ def tree_rank(docs: DataFrame, queries: DataFrame, ranked: DataFrame, strategy:
     groups = groups.withColumn("gs", F.round(F.col("value") + F.col("kind") * DOC_BONUS - penalty, 9))
     groups = groups.withColumn("gr", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gs"), F.desc("group_id"))))
     # k groups with a chunk each fill the list, and a chunk lies in two groups at most.
-    groups = groups.filter(F.col("gr") <= k * (1 + roots)).select("query_id", "kind", "group_id", "gr", "gs")
+    groups = written(groups.filter(F.col("gr") <= k * (1 + roots)).select("query_id", "kind", "group_id", "gr", "gs"), "tree-ranked")
     rows = groups.join(member, ["kind", "group_id"]).select("query_id", "doc_id", "gr", "gs")
     chunks = scored(rows.select("query_id", "doc_id").distinct(), post, base, CHILD_WEIGHTS, 5).select("query_id", "doc_id", F.round("value", 9).alias("cs"))
     rows = rows.join(chunks, ["query_id", "doc_id"])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlquarry.functions import scalars as S
+from marlquarry.functions.lineage import written
 from marlquarry.operators import chunking as C
 from marlquarry.operators import evidence as E
 from marlquarry.operators import graph as G
@@ -227,7 +228,7 @@ def regression_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def postings_expand(spark: SparkSession, sf: str) -> DataFrame:
-    return G.expand(G.postings(I.documents(spark, sf)), G.query_tokens(I.passages(spark, sf)))
+    return G.expand(written(G.postings(I.documents(spark, sf)), "postings"), written(G.query_tokens(I.passages(spark, sf)), "tokens"))
 
 
 def graph_score(spark: SparkSession, sf: str) -> DataFrame:
