@@ -40,7 +40,7 @@ def test_stages_against_brute_force(spark, sf):
         assert stage.columns == columns, name
     got = {r.doc_id: r.text for r in stage.collect()}
     assert got == masked
-    mixed = M.mix(stage).collect()
+    mixed = M.mix(stage, cp.MIXING).collect()
     chosen = {r.doc_id for r in mixed if r.selected}
     rows = cp.run(spark, sf).collect()
     assert {r.doc_id for r in rows} == chosen
