@@ -132,6 +132,21 @@ def pack_metrics(packs: DataFrame, targets: DataFrame, queries: DataFrame) -> Da
     return out.fillna(0, ["n_items", "chars", "duplicate_parent_rate", "duplicate_doc_rate"]).fillna(False, ["child_covered", "parent_covered", "doc_covered"])
 
 
+def public_rows(packs: DataFrame, metrics: DataFrame, comparison_id: str, policy: str) -> DataFrame:
+    """A row for each packed item, without texts; a query without evidence has one row, its item null, no characters, recoverable.
+
+    metrics: query_id, query_type and what pack_metrics gives. An item is recoverable if its ids of all three grains are there.
+    """
+    item = packs.select(
+        "query_id", "pack_rank", F.col("rank").alias("source_rank"), F.col("doc_id").alias("child_id"), "parent_id", F.col("root_id").alias("doc_id"), F.col("text_length").alias("estimated_chars"),
+        (F.col("doc_id").isNotNull() & F.col("parent_id").isNotNull() & F.col("root_id").isNotNull()).alias("citation_recoverable"),
+    )
+    covered = ("child", "parent", "doc")
+    of_pack = metrics.select("query_id", "query_type", *(F.col(f"{c}_covered").alias(f"target_{c}_covered") for c in covered))
+    made = of_pack.join(item, "query_id", "left").fillna(0, ["estimated_chars"]).fillna(True, ["citation_recoverable"])
+    return made.withColumns({"comparison_id": F.lit(comparison_id), "policy_id": F.lit(policy)})
+
+
 def pack_summary(metrics: DataFrame) -> DataFrame:
     """By policy, and by policy and query type, in one pass; metrics has policy and query_type."""
     share = lambda c: F.round(F.avg(F.col(c).cast("double")), 6).alias(c)

@@ -21,6 +21,75 @@ def shortfall(items: DataFrame, domain: DataFrame, keys: list[str], target: int)
     return domain.join(have, keys, "left").fillna(0, ["n"]).withColumn("shortfall", F.greatest(F.lit(target) - F.col("n"), F.lit(0)))
 
 
+def subset(items: DataFrame, wanted: dict[str, list], order: list[str]) -> DataFrame:
+    """Items whose columns hold one of the wanted values, in a fixed order. ValueError where there are none."""
+    made = items
+    for column, values in wanted.items():
+        made = made.filter(F.col(column).isin(*values))
+    if made.isEmpty():
+        raise ValueError(f"no item has the wanted {', '.join(wanted)}")
+    return made.orderBy(*order)
+
+
+def input_faults(queries: DataFrame, answers: DataFrame) -> DataFrame:
+    """One row of counts over both sides (query_id, query_type): ids on one side only, ids of another type than their query, ids held more than once; passed if none.
+
+    Sides are grouped by id before they meet, so repeated ids make no pairs.
+    """
+    side = lambda df, n: df.groupBy("query_id").agg(F.count("*").alias(n), F.min("query_type").alias(f"{n}_low"), F.max("query_type").alias(f"{n}_high"))
+    both = side(queries, "q").join(side(answers, "a"), "query_id", "full")
+    other = ~(F.col("q_low").eqNullSafe(F.col("a_low")) & F.col("q_high").eqNullSafe(F.col("a_high")))
+    met = F.col("q").isNotNull() & F.col("a").isNotNull()
+    made = both.agg(
+        F.count_if(~met).alias("unmatched_ids"),
+        F.count_if(met & other).alias("type_mismatches"),
+        F.count_if((F.coalesce("q", F.lit(0)) > 1) | (F.coalesce("a", F.lit(0)) > 1)).alias("repeated_ids"),
+    )
+    return made.withColumn("passed", (F.col("unmatched_ids") == 0) & (F.col("type_mismatches") == 0) & (F.col("repeated_ids") == 0))
+
+
+# Fixed values of the benchmark: types of queries, items of each type and the state of review by split, items by expected behaviour.
+RUBRIC_TYPES = ("place_fact", "place_story", "relationship", "overview", "route_context", "voice_followup", "no_answer")
+RUBRIC_SPLITS = {"dev": (10, "reviewed"), "test": (5, "locked")}
+RUBRIC_BEHAVIOURS = {"retrieve": 90, "abstain": 15}
+
+
+def benchmark_rubric(items: DataFrame) -> DataFrame:
+    """One row: n_items, the comma-joined failures against the exact counts of the benchmark, and passed.
+
+    items: split, query_type, review_status, expected, requires_context, user_context, n_child_targets. A null state is a wrong one.
+    Cells of split and type are counted first, so the last step sees a handful of rows.
+    """
+    states = F.lit(False)
+    for split, (_, state) in RUBRIC_SPLITS.items():
+        states = states | ((F.col("split") == split) & ~F.col("review_status").eqNullSafe(F.lit(state)))
+    bare = F.col("requires_context") & (F.trim(F.coalesce("user_context", F.lit(""))) == "")
+    cells = items.groupBy("split", "query_type").agg(
+        F.count("*").alias("n"),
+        F.count_if(states).alias("wrong_state"),
+        *(F.count_if(F.col("expected") == b).alias(b) for b in RUBRIC_BEHAVIOURS),
+        F.count_if(bare).alias("bare"),
+        F.count_if((F.col("expected") == "retrieve") & (F.coalesce("n_child_targets", F.lit(0)) == 0)).alias("no_child"),
+    )
+    total = lambda c, where=F.lit(True): F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
+    wrong = {"private_benchmark_query_count_mismatch": total("n") != len(RUBRIC_TYPES) * sum(n for n, _ in RUBRIC_SPLITS.values())}
+    for split, (each, _) in RUBRIC_SPLITS.items():
+        wrong[f"private_benchmark_{split}_query_count_mismatch"] = total("n", F.col("split") == split) != each * len(RUBRIC_TYPES)
+    for split, (_, state) in RUBRIC_SPLITS.items():
+        wrong[f"private_benchmark_{split}_status_not_{state}"] = total("wrong_state", F.col("split") == split) > 0
+    for split, (each, _) in RUBRIC_SPLITS.items():
+        exact = (F.col("split") == split) & F.col("query_type").isin(*RUBRIC_TYPES) & (F.col("n") == each)
+        wrong[f"private_benchmark_{split}_query_type_count_mismatch"] = F.count_if(exact) != len(RUBRIC_TYPES)
+    answers = F.lit(False)
+    for behaviour, n in RUBRIC_BEHAVIOURS.items():
+        answers = answers | (total(behaviour) != n)
+    wrong["private_benchmark_answerability_distribution_mismatch"] = answers
+    wrong["requires_context_without_user_context"] = total("bare") > 0
+    wrong["answerable_without_child_target"] = total("no_child") > 0
+    made = cells.agg(total("n").alias("n_items"), F.array_join(flags(**wrong), ",").alias("failures"))
+    return made.withColumn("passed", F.col("failures") == "")
+
+
 def resolvability(refs: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Distinct ids of refs that known has, and that it lacks."""
     ids = refs.select(key).distinct()

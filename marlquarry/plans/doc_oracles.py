@@ -351,3 +351,18 @@ case when count(quality) > 1 then round(stddev_pop(quality), 6) end as stddev fr
 (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval '6 hours' then 0 else 1 end as s from events)) group by user_id, g""",
     "event_as_of": """select l.event_id, r.v as last_value from (select * from events where event_type <> 'purchase') l asof left join (select user_id, ts, max(value) as v from events where event_type = 'purchase' group by all) r on l.user_id = r.user_id and l.ts >= r.ts""",
 }
+
+ORACLES["rewrite_summary"] = f"""select count(*) as n, count(*) filter (rewritten <> '') as success_count, count(*) filter (changed) as changed_count, count(*) filter (rewritten = '') as invalid_count,
+round(coalesce(count(*) filter (rewritten = '') / nullif(count(*), 0)::double, 0), 6) as invalid_rate, count(*) filter (places = '') as no_answer_guard_count from ({ORACLES["rewrite_followups"]})"""
+ORACLES["label_summary"] = f"""select (select sum(n) from ({ORACLES["confusion_matrix"]}))::bigint as n, (select round(sum(case when expected = predicted then n else 0 end) / sum(n)::double, 6) from ({ORACLES["confusion_matrix"]})) as accuracy,
+round(avg(precision), 6) as macro_precision, round(avg(recall), 6) as macro_recall, round(avg(f1), 6) as macro_f1 from ({ORACLES["class_prf"]})"""
+ORACLES["public_pack_rows"] = f"""{PACK0}, {PM} select 'first' as comparison_id, 'P0_rank_order' as policy_id, eq.query_id, eq.query_type, p.pack_rank, p.rank as source_rank, p.doc_id as child_id, p.parent_id, p.root_id as doc_id,
+coalesce(p.text_length, 0) as estimated_chars, true as citation_recoverable, coalesce(pm.child_covered, false) as target_child_covered, coalesce(pm.parent_covered, false) as target_parent_covered, coalesce(pm.doc_covered, false) as target_doc_covered
+from eq left join packed p on p.query_id = eq.query_id left join pm on pm.query_id = eq.query_id"""
+ORACLES["order_subset"] = "select o_orderkey, o_orderpriority from orders where o_orderstatus = 'F' and o_orderpriority in ('1-URGENT', '2-HIGH')"
+ORACLES["input_faults"] = """with q as (select c_custkey as id, case when c_acctbal > 0 then 'F' else 'O' end as t, count(*) over (partition by c_custkey) as n from customer),
+f as (select coalesce(q.id, o.o_custkey) as id, bool_or(q.id is null or o.o_custkey is null) as alone, bool_or(q.t <> o.o_orderstatus) as other, max(q.n) > 1 or count(o.o_custkey) > 1 as many from q full join orders o on q.id = o.o_custkey group by 1),
+c as (select count(*) filter (alone) as unmatched_ids, count(*) filter (other) as type_mismatches, count(*) filter (many) as repeated_ids from f) select *, unmatched_ids + type_mismatches + repeated_ids = 0 as passed from c"""
+ORACLES["benchmark_rubric"] = """with c as (select count(*) as n, count(*) filter (o_orderstatus = 'F') as t, count(*) filter (o_orderstatus <> 'F') as d from orders)
+select n as n_items, concat_ws(',', case when n <> 105 then 'private_benchmark_query_count_mismatch' end, case when d <> 70 then 'private_benchmark_dev_query_count_mismatch' end, case when t <> 35 then 'private_benchmark_test_query_count_mismatch' end,
+case when d > 0 then 'private_benchmark_dev_status_not_reviewed' end, 'private_benchmark_dev_query_type_count_mismatch', 'private_benchmark_test_query_type_count_mismatch', 'private_benchmark_answerability_distribution_mismatch') as failures, false as passed from c"""

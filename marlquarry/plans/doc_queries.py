@@ -121,6 +121,13 @@ def pack_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return E.pack_metrics(E.pack(ranked, corpus, E.POLICIES[0]), targets, queries)
 
 
+def public_pack_rows(spark: SparkSession, sf: str) -> DataFrame:
+    ranked, corpus, targets, queries = _evidence(spark, sf)
+    packs = E.pack(ranked, corpus, E.POLICIES[0])
+    metrics = E.pack_metrics(packs, targets, queries).join(queries.select("query_id", "query_type"), "query_id")
+    return E.public_rows(packs, metrics, "first", E.POLICIES[0])
+
+
 def pack_summary(spark: SparkSession, sf: str) -> DataFrame:
     ranked, corpus, targets, queries = _evidence(spark, sf)
     made = None
@@ -183,6 +190,11 @@ def rewrite_followups(spark: SparkSession, sf: str) -> DataFrame:
     return R.rewrite(_turns(spark, sf).withColumn("query_type", F.lit("voice_followup")), names.unionByName(short))
 
 
+def rewrite_summary(spark: SparkSession, sf: str) -> DataFrame:
+    made = rewrite_followups(spark, sf).withColumns({"invalid": F.col("rewritten") == "", "abstains": F.col("places") == ""})
+    return R.rewrite_summary(made)
+
+
 def _label_pairs(spark: SparkSession, sf: str) -> DataFrame:
     rows = I.table(spark, sf, "labels").join(I.documents(spark, sf).select("doc_id", "text"), "doc_id")
     return rows.select("doc_id", F.col("quality").cast("string").alias("expected"), F.when(F.length("text") > 1000, "1").otherwise("0").alias("predicted"))
@@ -196,6 +208,10 @@ def class_prf(spark: SparkSession, sf: str) -> DataFrame:
     return R.class_scores(_label_pairs(spark, sf), spark.createDataFrame([("0",), ("1",), ("2",)], "label string"))
 
 
+def label_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return R.label_summary(_label_pairs(spark, sf), spark.createDataFrame([("0",), ("1",), ("2",)], "label string"))
+
+
 def tradeoff_tags(spark: SparkSession, sf: str) -> DataFrame:
     d = lambda c: F.col(f"b_{c}") - F.col(f"a_{c}")
     of = lambda n: F.pmod("query_id", F.lit(n))
@@ -286,6 +302,29 @@ def dataset_shortfall(spark: SparkSession, sf: str) -> DataFrame:
     return Q.shortfall(docs, domain, ["source", "lang"], 12)
 
 
+def order_subset(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = {"o_orderstatus": ["F"], "o_orderpriority": ["1-URGENT", "2-HIGH"]}
+    return Q.subset(I.table(spark, sf, "orders"), wanted, ["o_orderpriority", "o_orderkey"]).select("o_orderkey", "o_orderpriority")
+
+
+def input_faults(spark: SparkSession, sf: str) -> DataFrame:
+    asked = I.table(spark, sf, "customer").select(F.col("c_custkey").alias("query_id"), F.when(F.col("c_acctbal") > 0, "F").otherwise("O").alias("query_type"))
+    return Q.input_faults(asked, I.table(spark, sf, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderstatus").alias("query_type")))
+
+
+def benchmark_rubric(spark: SparkSession, sf: str) -> DataFrame:
+    items = I.table(spark, sf, "orders").select(
+        F.when(F.col("o_orderstatus") == "F", "test").otherwise("dev").alias("split"),
+        F.lit("overview").alias("query_type"),
+        F.when(F.col("o_orderstatus") == "F", "locked").otherwise(F.col("o_orderpriority")).alias("review_status"),
+        F.lit("retrieve").alias("expected"),
+        (F.col("o_totalprice") < 0).alias("requires_context"),
+        F.lit(None).cast("string").alias("user_context"),
+        F.lit(1).alias("n_child_targets"),
+    )
+    return Q.benchmark_rubric(items)
+
+
 def resolvability(spark: SparkSession, sf: str) -> DataFrame:
     return Q.resolvability(I.table(spark, sf, "labels"), I.documents(spark, sf), "doc_id")
 
@@ -325,9 +364,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         normalize_pages, page_elements, page_offsets, block_quality, parser_quality, leak_scan, consecutive_blocks, stratified_sample, parent_segments,
-        child_chunks, child_groups, chunk_quality, chunk_ablation, pack_metrics, pack_summary, evidence_context, evidence_stats, citation_eval, citation_summary,
-        classify_turns, guard_turns, route_turns, rewrite_followups, confusion_matrix, class_prf, tradeoff_tags, guardrail_routes, regression_tags, postings_expand, graph_score,
-        graph_community, wer_cer, cer, char_f1, speech_ratio, score_aggregates, dataset_profile, dataset_shortfall, resolvability, table_manifest,
+        child_chunks, child_groups, chunk_quality, chunk_ablation, pack_metrics, public_pack_rows, pack_summary, evidence_context, evidence_stats, citation_eval, citation_summary,
+        classify_turns, guard_turns, route_turns, rewrite_followups, rewrite_summary, confusion_matrix, class_prf, label_summary, tradeoff_tags, guardrail_routes, regression_tags, postings_expand, graph_score,
+        graph_community, wer_cer, cer, char_f1, speech_ratio, score_aggregates, dataset_profile, dataset_shortfall, order_subset, input_faults, benchmark_rubric, resolvability, table_manifest,
         catalog_quality, event_tumbling, event_sliding, event_session, event_as_of,
     )
 } | {"tree_parent": _tree("parent_summary"), "tree_summary": _tree("summary_node")} | {f"evidence_pack_p{k}": _pack(p) for k, p in enumerate(E.POLICIES)}

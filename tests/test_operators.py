@@ -506,3 +506,39 @@ def test_streamed_windows_equal_batch(spark, sf, tmp_path):
     got = {(r.window_start, r.event_type): r.n for r in spark.sql("select * from win").collect()}
     want = {(r.window_start, r.event_type): r.n for r in W.tumbling(events).collect()}
     assert got and all(want[k] == n for k, n in got.items()) and len(want) - len(got) < 40
+
+
+def _rubric_items(spark):
+    """The 105 items that the rubric asks for: 15 of each type, 10 of them for dev."""
+    rows = []
+    for kind in ("place_fact", "place_story", "relationship", "overview", "route_context", "voice_followup", "no_answer"):
+        for i in range(15):
+            dev, gone = i < 10, kind == "no_answer"
+            rows.append(("dev" if dev else "test", kind, "reviewed" if dev else "locked", "abstain" if gone else "retrieve", kind == "voice_followup", "earlier", 0 if gone else 1))
+    return spark.createDataFrame(rows, "split string, query_type string, review_status string, expected string, requires_context boolean, user_context string, n_child_targets int")
+
+
+def test_benchmark_rubric(spark):
+    items = _rubric_items(spark)
+    assert Q.benchmark_rubric(items).collect()[0].asDict() == {"n_items": 105, "failures": "", "passed": True}
+    state = items.withColumn("review_status", F.when(F.col("split") == "test", F.lit(None)).otherwise(F.col("review_status")))
+    assert Q.benchmark_rubric(state).collect()[0]["failures"] == "private_benchmark_test_status_not_locked"
+    bare = items.withColumn("user_context", F.lit(" ")).withColumn("n_child_targets", F.lit(0))
+    assert Q.benchmark_rubric(bare).collect()[0]["failures"] == "requires_context_without_user_context,answerable_without_child_target"
+    moved = items.withColumn("query_type", F.when(F.col("query_type") == "overview", "place_fact").otherwise(F.col("query_type")))
+    assert Q.benchmark_rubric(moved).collect()[0]["failures"] == "private_benchmark_dev_query_type_count_mismatch,private_benchmark_test_query_type_count_mismatch"
+    none = Q.benchmark_rubric(items.filter("false")).collect()[0]
+    assert none["n_items"] == 0 and not none["passed"]
+
+
+def test_subset_and_input_faults(spark):
+    items = _rubric_items(spark)
+    made = Q.subset(items, {"split": ["dev"], "query_type": ["overview", "relationship"]}, ["query_type"]).collect()
+    assert [r["query_type"] for r in made] == ["overview"] * 10 + ["relationship"] * 10
+    with pytest.raises(ValueError):
+        Q.subset(items, {"split": ["train"]}, ["query_type"])
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "a")], "query_id int, query_type string")
+    told = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (3, None), (5, "a")], "query_id int, query_type string")
+    assert tuple(Q.input_faults(asked, told).collect()[0]) == (2, 1, 1, False)
+    assert tuple(Q.input_faults(asked, asked).collect()[0]) == (0, 0, 0, True)
+    assert tuple(Q.input_faults(asked.filter("false"), told.filter("false")).collect()[0]) == (0, 0, 0, True)
