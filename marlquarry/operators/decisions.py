@@ -76,6 +76,72 @@ def type_deltas(pairs: DataFrame, types: DataFrame, metric: str) -> DataFrame:
     return types.join(own, "query_type", "left").fillna(0, ["n"])
 
 
+def strategy_summary(rows: DataFrame, k: int = 5) -> DataFrame:
+    """Per strategy: recall of targets by grain and rank, what only the document or nothing covers in k ranks, and mean metrics.
+
+    rows: strategy_id, child_rank, parent_rank, doc_rank (null: not found), rr, ndcg, hard_case, latency_ms. The p95 sorts the
+    latencies of a strategy's queries in one row.
+    """
+    within = lambda grain, n: F.coalesce(F.col(f"{grain}_rank") <= n, F.lit(False))
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    child, parent, doc = (within(g, k) for g in ("child", "parent", "doc"))
+    recalls = [share(within(g, n)).alias(f"{g}_recall_{n}") for g in ("child", "parent") for n in (1, 3, 5)]
+    return rows.groupBy("strategy_id").agg(
+        F.count("*").alias("n_queries"), *recalls, share(within("doc", 5)).alias("doc_recall_5"), share(child | parent).alias("child_or_parent_recall"),
+        F.count_if(doc & ~child & ~parent).alias("doc_only_count"), F.count_if(~doc & ~child & ~parent).alias("full_miss_count"), F.count_if("hard_case").alias("hard_case_count"),
+        F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg_5"), F.round(pct_nearest("latency_ms", 0.95), 6).alias("p95_ms"),
+    )
+
+
+def select_strategy(summaries: DataFrame, baseline: str) -> DataFrame:
+    """One row: the best strategy but the baseline, its deltas, what is kept and why. Ties go to the lesser id.
+
+    Adopted if direct recall rises, diagnosed further if only fewer queries are missed, in either case if the p95 is no more
+    than 100 ms, or the baseline's own p95, above the baseline's.
+    """
+    own = F.col("strategy_id") == baseline
+    order = F.struct((-F.col("child_or_parent_recall")).alias("r"), "doc_only_count", "full_miss_count", (-F.col("mrr")).alias("m"), (-F.col("ndcg_5")).alias("g"), "p95_ms", "strategy_id")
+    base = F.struct("child_or_parent_recall", "doc_only_count", "full_miss_count", "p95_ms")
+    x = summaries.agg(F.min(F.when(~own, order)).alias("best"), F.min(F.when(own, base)).alias("base"))
+    recall = F.round(-F.col("best.r") - F.col("base.child_or_parent_recall"), 6)
+    p95 = F.round(F.col("best.p95_ms") - F.col("base.p95_ms"), 6)
+    fewer = (F.col("best.doc_only_count") < F.col("base.doc_only_count")) | (F.col("best.full_miss_count") < F.col("base.full_miss_count"))
+    quick = F.col("p95_delta") <= F.greatest(F.lit(100.0), F.col("base.p95_ms"))
+    made = x.withColumns({"best_id": F.col("best.strategy_id"), "recall_delta": recall, "p95_delta": p95})
+    made = made.withColumn("decision", F.when((F.col("recall_delta") > 0) & quick, "adopt_candidate").when(fewer & quick, "needs_more_diagnosis").otherwise("reject_candidates"))
+    kept = F.when(F.col("decision") == "reject_candidates", baseline).otherwise(F.col("best_id"))
+    return made.select("best_id", kept.alias("selected_id"), "recall_delta", "p95_delta", "decision")
+
+
+def hard_case_causes(rows: DataFrame) -> DataFrame:
+    """query_id, the likely cause of a hard case and its diagnostic tags.
+
+    rows: query_id, child_covered, parent_covered, doc_covered, retrieval_rank, pack_rank (null: none), recoverable, rewritten,
+    correctness_regression, unsupported_regression, and deltas citation_count, citation_precision, citation_recall (null: no answer).
+    """
+    child, parent, doc = (F.col(f"{g}_covered") for g in ("child", "parent", "doc"))
+    worse = F.col("correctness_regression") | F.col("unsupported_regression")
+    cause = (
+        F.when(child & parent & doc & worse, "generation_contract_candidate")
+        .when(~(child | parent | doc), "retrieval_or_packing_miss")
+        .when(~child, "target_grain_mismatch")
+        .otherwise("monitor_only")
+    )
+    covered = flags(target_child_in_pack=child, target_parent_in_pack=parent, target_doc_in_pack=doc)
+    ranks = F.array(*(F.concat(F.lit(f"target_{n}_"), F.col(n).cast("string")) for n in ("retrieval_rank", "pack_rank")))
+    rest = flags(
+        citation_recoverable=F.col("recoverable"),
+        query_rewrite_changed=F.col("rewritten"),
+        query_rewrite_not_changed=~F.col("rewritten"),
+        generation_correctness_regression=F.col("correctness_regression"),
+        generation_unsupported_regression=F.col("unsupported_regression"),
+        v2_citation_count_reduction=F.col("citation_count") < 0,
+        v2_precision_regression=F.col("citation_precision") < 0,
+        v2_recall_regression=F.col("citation_recall") < 0,
+    )
+    return rows.select("query_id", cause.alias("cause"), F.array_join(F.concat(covered, F.array_compact(ranks), rest), ",").alias("tags"))
+
+
 def generation_costs(rows: DataFrame) -> DataFrame:
     """Calls, tokens, cost and latency of generated queries, and whether to adopt them.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import html
 
 import pandas as pd
@@ -18,6 +20,8 @@ PRIVATE_PATH = r"([A-Za-z]:[\\/]|\\\\[^\\/]+[\\/][^\\/]+)"
 POSIX_PATH = r"(?iU)(^|\s)/(home|users|mnt|var|tmp|private|runner|workspace|root)/"
 SECRET_MARKERS = ("sk-", "api_key=", "apikey=", "ghp_", "github_pat_", "hf_", "xoxb-", "bearer ", "password=", "token=", "secret=")
 LONGEST = 600
+#: What a line of a file must not hold. A credential counts if more than quotes follows it.
+LINE_LEAKS = (r"[A-Za-z]:\\", r"sk-[A-Za-z0-9]", r"""(?i)(api[_-]?key|apikey|password|token|secret)\s*[:=]\s*(["']+\s+\S|["']*[^\s"'])""")
 
 
 def strip_tags(text: Column) -> Column:
@@ -127,6 +131,13 @@ def leak_flags(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.select(key, has_private_path(v).alias("private_path"), has_secret_marker(v).alias("secret_like"), is_source_like(v).alias("source_like"))
 
 
+def line_leaks(df: DataFrame, key: str, value: str) -> DataFrame:
+    """key and number, from 1, of each line of a text that holds a drive path, a key or a credential with a value. Null texts have no lines."""
+    rows = df.select(key, F.posexplode(F.split(value, r"\r\n|\r|\n")).alias("place", "line"))
+    found = reduce(lambda a, b: a | b, (F.col("line").rlike(p) for p in LINE_LEAKS))
+    return rows.filter(found).select(key, (F.col("place") + 1).alias("line_number"))
+
+
 def string_values(df: DataFrame, key: str) -> DataFrame:
     """key and each string in any column, nested ones and keys included, by way of JSON as a variant."""
     variant = df.select(key, F.parse_json(F.to_json(F.struct(*(c for c in df.columns if c != key)))).alias("v"))

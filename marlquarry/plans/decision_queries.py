@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlquarry.operators import decisions as D
 from marlquarry.operators import evidence as E
+from marlquarry.operators import metrics as M
 from marlquarry.operators import quality as Q
 from marlquarry.operators import routing as R
 from marlquarry.plans import doc_queries as Doc
@@ -117,6 +118,33 @@ def method_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return methods.compare(x, rel, ["bm25", "dense", "hybrid_rrf"])
 
 
+def strategy_summary(spark: SparkSession, sf: str) -> DataFrame:
+    rel = I.qrels(spark, sf)
+    asked = I.judged_queries(spark, sf, rel)
+    grains = Doc._grains(spark, sf)
+    targets = rel.join(grains, "doc_id").select("query_id", "doc_id", "parent_id", "root_id")
+    made = None
+    for name, ranked, ms in (("bm25", K._bm25(spark, sf, 20), 20.0), ("dense", K._dense(spark, sf, 20), 30.0), ("hybrid_rrf", K.hybrid_rrf(spark, sf), 130.0)):
+        own = M.grain_coverage(ranked, grains, targets, asked).join(M.per_query(ranked, rel, asked).select("query_id", "rr", "ndcg"), "query_id")
+        own = own.withColumns({"strategy_id": F.lit(name), "latency_ms": F.lit(ms), "hard_case": F.contains("tags", F.lit("child_miss"))})
+        made = own if made is None else made.unionByName(own)
+    return D.strategy_summary(made)
+
+
+def strategy_choice(spark: SparkSession, sf: str) -> DataFrame:
+    return D.select_strategy(strategy_summary(spark, sf), "bm25")
+
+
+def hard_case_causes(spark: SparkSession, sf: str) -> DataFrame:
+    ranked, corpus, targets, queries = Doc._evidence(spark, sf)
+    rows = E.pack_metrics(E.pack(ranked, corpus, E.POLICIES[0]), targets, queries).join(queries.select("query_id", "query_type"), "query_id")
+    first = F.when(F.col("order_proxy") > 0, F.round(1 / F.col("order_proxy")).cast("int"))
+    rows = rows.withColumns({"pack_rank": first, "retrieval_rank": first, "recoverable": F.lit(True), "rewritten": F.col("query_type") == "voice_followup"})
+    rows = rows.withColumns({"correctness_regression": F.col("duplicate_parent_rate") > 0.3, "unsupported_regression": F.col("n_items") < 3})
+    lacking = F.when(F.col("n_items") > 0, F.col("n_items") - 4)
+    return D.hard_case_causes(rows.withColumns({"citation_count": lacking, "citation_precision": F.col("duplicate_doc_rate") * -1, "citation_recall": F.lit(None).cast("double")}))
+
+
 def corpus_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return D.fingerprints(I.passages(spark, sf), I.documents(spark, sf).select("doc_id", "text"))
 
@@ -125,7 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         overlap_decision, locked_decision, shadow_decision, type_deltas, rank_movement, guard_effect, failure_tags, failure_summary, score_margins, answer_contract, evidence_movement,
-        request_reuse, policy_floor, expected_behaviour, method_comparison, corpus_fingerprint,
+        request_reuse, policy_floor, expected_behaviour, method_comparison, strategy_summary, strategy_choice, hard_case_causes, corpus_fingerprint,
     )
 }
 
@@ -176,3 +204,24 @@ select query_type, id, case when id = 0 then 'reject_active_route_for_now' when
 
 ORACLES["citation_summary"] = f"""with c as ({DOC["citation_eval"]}) select coalesce(expected, 'all') as expected, count(*) as n, round(avg(case when expected = 'retrieve' then citation_precision end), 6) as precision,
 round(avg(case when expected = 'retrieve' then citation_recall end), 6) as recall, round(avg(abstention_correct::int), 6) as abstention_accuracy, count(*) filter (unsupported_claim) as unsupported_count from c group by grouping sets ((expected), ())"""
+
+
+def _strategy(name: str, run: str, metrics: str, ms: float) -> str:
+    least = lambda key, of: f"(select min(rank) from {run} x join g using (doc_id) join tg on tg.query_id = x.query_id and tg.{key} = g.{key} where x.query_id = jq.query_id and rank <= 20) as {of}"
+    return f"select '{name}' as strategy_id, query_id, {least('doc_id', 'c')}, {least('parent_id', 'p')}, {least('root_id', 'd')}, rr, ndcg, {ms}::double as ms from jq join {metrics} using (query_id) where expected = 'retrieve'"
+
+
+_STRATEGIES = f"""with {BASE}, rf as ({RRF}), g as (select doc_id, source || ':' || lang as parent_id, source as root_id from documents), tg as (select distinct query_id, doc_id, parent_id, root_id from rel join g using (doc_id)),
+r as ({_strategy('bm25', 'bm', A, 20)} union all {_strategy('dense', 'dn', B, 30)} union all {_strategy('hybrid_rrf', 'rf', K.per_query_sql('rf'), 130)}),
+w as (select *, coalesce(c <= 5, false) as ci, coalesce(p <= 5, false) as pi, coalesce(d <= 5, false) as di from r),
+s as (select strategy_id, count(*) as n_queries, {', '.join(f"round(avg(coalesce({g[0]} <= {n}, false)::int), 6) as {g}_recall_{n}" for g in ('child', 'parent') for n in (1, 3, 5))}, round(avg(di::int), 6) as doc_recall_5, round(avg((ci or pi)::int), 6) as child_or_parent_recall,
+count(*) filter (di and not ci and not pi) as doc_only_count, count(*) filter (not di and not ci and not pi) as full_miss_count, count(*) filter (c is null) as hard_case_count, round(avg(rr), 6) as mrr, round(avg(ndcg), 6) as ndcg_5, max(ms) as p95_ms from w group by 1)"""
+ORACLES["strategy_summary"] = f"{_STRATEGIES} select * from s"
+ORACLES["strategy_choice"] = f"""{_STRATEGIES}, a as (select * from s where strategy_id = 'bm25'), b as (select * from s where strategy_id <> 'bm25' order by child_or_parent_recall desc, doc_only_count, full_miss_count, mrr desc, ndcg_5 desc, p95_ms, strategy_id limit 1),
+m as (select b.strategy_id as best_id, round(b.child_or_parent_recall - a.child_or_parent_recall, 6) as recall_delta, round(b.p95_ms - a.p95_ms, 6) as p95_delta, (b.doc_only_count < a.doc_only_count or b.full_miss_count < a.full_miss_count) as fewer, b.p95_ms - a.p95_ms <= greatest(100, a.p95_ms) as quick from a, b),
+v as (select *, case when recall_delta > 0 and quick then 'adopt_candidate' when fewer and quick then 'needs_more_diagnosis' else 'reject_candidates' end as decision from m)
+select best_id, case when decision = 'reject_candidates' then 'bm25' else best_id end as selected_id, recall_delta, p95_delta, decision from v"""
+ORACLES["hard_case_causes"] = f"""with m as ({DOC["pack_metrics"]}), x as (select *, query_id % 3 = 0 as rw, case when order_proxy > 0 then round(1 / order_proxy)::int end as f, child_covered as c, parent_covered as p, doc_covered as d, duplicate_parent_rate > 0.3 as worse, n_items < 3 as few from m)
+select query_id, case when c and p and d and (worse or few) then 'generation_contract_candidate' when not (c or p or d) then 'retrieval_or_packing_miss' when not c then 'target_grain_mismatch' else 'monitor_only' end as cause,
+concat_ws(',', case when c then 'target_child_in_pack' end, case when p then 'target_parent_in_pack' end, case when d then 'target_doc_in_pack' end, 'target_retrieval_rank_' || f, 'target_pack_rank_' || f, 'citation_recoverable', case when rw then 'query_rewrite_changed' else 'query_rewrite_not_changed' end,
+case when worse then 'generation_correctness_regression' end, case when few then 'generation_unsupported_regression' end, case when n_items between 1 and 3 then 'v2_citation_count_reduction' end, case when duplicate_doc_rate > 0 then 'v2_precision_regression' end) as tags from x"""

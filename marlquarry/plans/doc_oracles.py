@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlquarry.plans.inputs import LEAKY, QUESTIONS
+from marlquarry.plans.inputs import LEAKY, QUESTIONS, TOLD
 from marlquarry.plans.rank_queries import A, B, BASE
 
 SPACE = "[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x0B]+"
@@ -366,3 +366,7 @@ c as (select count(*) filter (alone) as unmatched_ids, count(*) filter (other) a
 ORACLES["benchmark_rubric"] = """with c as (select count(*) as n, count(*) filter (o_orderstatus = 'F') as t, count(*) filter (o_orderstatus <> 'F') as d from orders)
 select n as n_items, concat_ws(',', case when n <> 105 then 'private_benchmark_query_count_mismatch' end, case when d <> 70 then 'private_benchmark_dev_query_count_mismatch' end, case when t <> 35 then 'private_benchmark_test_query_count_mismatch' end,
 case when d > 0 then 'private_benchmark_dev_status_not_reviewed' end, 'private_benchmark_dev_query_type_count_mismatch', 'private_benchmark_test_query_type_count_mismatch', 'private_benchmark_answerability_distribution_mismatch') as failures, false as passed from c"""
+ORACLES["line_leaks"] = f"""with d as (select doc_id, text from documents union all select * from {_values(LEAKY + TOLD, 'doc_id, text')}),
+l as (select doc_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) as line, generate_subscripts(string_split_regex(text, '\\r\\n|\\r|\\n'), 1) as n from d),
+c as (select *, trim(trim(regexp_extract(line, '(?i)(?:api[_-]?key|apikey|password|token|secret)[ \\t]*[:=](.*)$', 1), ' ' || chr(9)), chr(34) || chr(39)) as v from l)
+select doc_id, n::int as line_number from c where regexp_matches(line, '[A-Za-z]:\\\\') or regexp_matches(line, 'sk-[A-Za-z0-9]') or v <> ''"""

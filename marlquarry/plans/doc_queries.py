@@ -64,6 +64,11 @@ def leak_scan(spark: SparkSession, sf: str) -> DataFrame:
     return N.leak_flags(made, "doc_id", "text")
 
 
+def line_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    told = spark.createDataFrame(I.LEAKY, "doc_id long, text string").unionByName(spark.createDataFrame(I.TOLD, "doc_id long, text string"))
+    return N.line_leaks(I.documents(spark, sf).select("doc_id", "text").unionByName(told), "doc_id", "text")
+
+
 def consecutive_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return N.consecutive_blocks(I.lines(spark, sf))
 
@@ -363,7 +368,7 @@ def event_as_of(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        normalize_pages, page_elements, page_offsets, block_quality, parser_quality, leak_scan, consecutive_blocks, stratified_sample, parent_segments,
+        normalize_pages, page_elements, page_offsets, block_quality, parser_quality, leak_scan, line_leaks, consecutive_blocks, stratified_sample, parent_segments,
         child_chunks, child_groups, chunk_quality, chunk_ablation, pack_metrics, public_pack_rows, pack_summary, evidence_context, evidence_stats, citation_eval, citation_summary,
         classify_turns, guard_turns, route_turns, rewrite_followups, rewrite_summary, confusion_matrix, class_prf, label_summary, tradeoff_tags, guardrail_routes, regression_tags, postings_expand, graph_score,
         graph_community, wer_cer, cer, char_f1, speech_ratio, score_aggregates, dataset_profile, dataset_shortfall, order_subset, input_faults, benchmark_rubric, resolvability, table_manifest,

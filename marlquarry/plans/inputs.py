@@ -73,6 +73,9 @@ QUESTIONS = [
 ]
 
 #: Texts with what may not be public, and texts that look like it.
+TOLD = [
+    (-51, "token: ''"), (-52, "a\nSecret =\n"), (-53, "password = \"\" x"), (-54, "api-key:'v'"), (-55, "token='' '"), (-56, "one\r\nsk-a\rD:\\x"), (-57, "sk- d:/x"), (-58, ""), (-59, "token \nsecret: 1"),
+]
 LEAKY = [
     (-1, "see C:\\data\\x"), (-2, "see d:/data"), (-3, "\\\\host\\share"), (-4, "//host/share"), (-5, "at /HOME/me"), (-6, "at(/home/me)"), (-7, "/workspace/x"), (-8, "a /runner/ b"), (-9, "https://a.b"),
     (-10, "key sk-abc"), (-11, "the secret password"), (-12, "Password=x"), (-13, "API_KEY=1"), (-14, "api_key: 1"), (-15, "GHP_x"), (-16, "Bearer  x"), (-17, "half_done"), (-18, "  one line \n"), (-19, "two\nlines"),

@@ -542,3 +542,27 @@ def test_subset_and_input_faults(spark):
     assert tuple(Q.input_faults(asked, told).collect()[0]) == (2, 1, 1, False)
     assert tuple(Q.input_faults(asked, asked).collect()[0]) == (0, 0, 0, True)
     assert tuple(Q.input_faults(asked.filter("false"), told.filter("false")).collect()[0]) == (0, 0, 0, True)
+
+
+def test_select_strategy(spark):
+    schema = "strategy_id string, child_or_parent_recall double, doc_only_count long, full_miss_count long, mrr double, ndcg_5 double, p95_ms double"
+    choose = lambda *rows: tuple(D.select_strategy(spark.createDataFrame(list(rows), schema), "base").collect()[0])
+    base = ("base", 0.5, 2, 2, 0.4, 0.4, 30.0)
+    assert choose(base, ("b", 0.6, 2, 2, 0.4, 0.4, 130.0), ("a", 0.6, 2, 2, 0.4, 0.4, 130.0)) == ("a", "a", 0.1, 100.0, "adopt_candidate")
+    assert choose(base, ("a", 0.6, 2, 2, 0.4, 0.4, 131.0)) == ("a", "base", 0.1, 101.0, "reject_candidates")
+    assert choose(base, ("a", 0.5, 2, 1, 0.4, 0.4, 30.0), ("b", 0.5, 2, 2, 0.9, 0.4, 30.0)) == ("a", "a", 0.0, 0.0, "needs_more_diagnosis")
+
+
+def test_hard_case_causes(spark):
+    schema = """query_id int, child_covered boolean, parent_covered boolean, doc_covered boolean, retrieval_rank int, pack_rank int, recoverable boolean, rewritten boolean,
+      correctness_regression boolean, unsupported_regression boolean, citation_count int, citation_precision double, citation_recall double"""
+    rows = [
+        (1, True, True, True, 2, 1, True, False, True, False, -1, 0.0, -0.5),
+        (2, False, False, False, None, None, False, True, True, False, None, None, None),
+        (3, False, True, True, 4, None, True, False, False, False, None, -0.1, None),
+        (4, True, True, True, 1, 1, True, False, False, False, 0, 0.0, 0.0),
+    ]
+    made = {r["query_id"]: (r["cause"], r["tags"].split(",")) for r in D.hard_case_causes(spark.createDataFrame(rows, schema)).collect()}
+    assert [made[i][0] for i in (1, 2, 3, 4)] == ["generation_contract_candidate", "retrieval_or_packing_miss", "target_grain_mismatch", "monitor_only"]
+    assert made[1][1][3:] == ["target_retrieval_rank_2", "target_pack_rank_1", "citation_recoverable", "query_rewrite_not_changed", "generation_correctness_regression", "v2_citation_count_reduction", "v2_recall_regression"]
+    assert made[2][1] == ["query_rewrite_changed", "generation_correctness_regression"]
