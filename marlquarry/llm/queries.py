@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlquarry.llm import audit
 from marlquarry.llm.audio import media_digests
 from marlquarry.llm.hyperminhash import DedupConfig, near_duplicates
 from marlquarry.llm.licenses import scan_licenses
@@ -14,6 +15,7 @@ from marlquarry.llm.order import training_order
 from marlquarry.llm.packing import pack
 from marlquarry.llm.quality import judge, oracle
 from marlquarry.llm.secrets import scan_secrets
+from marlquarry.llm.token_counts import count_tokens
 from marlquarry.llm.toxicity import score, train
 from marlquarry.llm.warc import pages_round_trip
 
@@ -63,6 +65,14 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_warc": op2_warc,
@@ -74,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_audio": op9_audio,
     "op10_training_order": op10_training_order,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_token_counts": op12_token_counts,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -97,4 +109,4 @@ with p as (select page_id, coalesce(html, '') as t, sha1(coalesce(html, '')) as
 select page_id, strlen(t) as payload_bytes, {_DIGITS} as payload_digest, case when page_id = best then 'response' else 'revisit' end as record_type, case when page_id < best then best end as refers_to from p join b using (h)
 """
 
-ORACLES: dict[str, str] = {"op1_minhash_dedup": DEDUP_SQL, "op2_warc": WARC_SQL, "op3_quality": oracle()}
+ORACLES: dict[str, str] = {"op1_minhash_dedup": DEDUP_SQL, "op2_warc": WARC_SQL, "op3_quality": oracle(), "op11_filter_audit": audit.oracle()}
