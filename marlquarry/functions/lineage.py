@@ -7,16 +7,15 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table below spark.checkpoint.dir, computed once and read back with its columns pruned.
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new path below spark.checkpoint.dir.
 
-    A lost executor costs no step before it. Where the setting is absent and all runs in one process, as in tests, the folder is a
-    temporary one that goes with the process; on a cluster without it this is an error.
+    Where the setting is absent and all runs in one process, as in tests, it lies in a temporary folder that goes with the
+    process; on a cluster without it this is an error.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if spark.sparkContext.master.split("[")[0] != "local":
@@ -25,6 +24,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         folder = f"file://{made}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table below spark.checkpoint.dir, computed once and read back with its columns pruned.
+
+    A lost executor costs no step before it.
+    """
+    path = shared_folder(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -24,15 +24,7 @@ HINTS = ("the", "and", "of", "tion")
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines as blocks; one of fewer than 30 characters is a heading, one with '|' a table."""
-    text = S.norm_space(F.col("text"))
-    kind = F.when(F.length("text") < 30, "heading1").when(F.contains(F.col("text"), F.lit("|")), "table").otherwise("paragraph")
-    rows = I.lines(spark, sf).withColumn("text", text)
-    return rows.select(
-        F.format_string("block-%d-%05d", "doc_id", "line").alias("block_id"), "doc_id", F.lit(1).alias("page_local"), F.lit(1).alias("page_global"), F.col("line").alias("element_index"),
-        kind.alias("element_type"), "text", F.sha2("text", 256).alias("text_hash"), F.char_length("text").cast("long").alias("text_length"),
-        F.when(F.contains(F.col("text"), F.lit("�")), F.array(F.lit("replacement_character"))).otherwise(F.array().cast("array<string>")).alias("quality_flags"),
-    )
+    return N.line_blocks(I.documents(spark, sf))
 
 
 def normalize_pages(spark: SparkSession, sf: str) -> DataFrame:

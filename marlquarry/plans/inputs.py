@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlquarry.operators.normalize import text_lines
 from marlquarry.operators.retrieval import containment
 
 
@@ -46,8 +47,7 @@ def doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents with a word, as blocks: doc_id, source, line (from 0), text."""
-    rows = documents(spark, sf_dir).select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return rows.filter(F.trim("text") != "")
+    return text_lines(documents(spark, sf_dir), "source")
 
 
 #: Questions beside the conversations': id, text, places that it names, and the turn before it.

@@ -12,7 +12,8 @@ import __spark_entry__ as entry
 
 ROOT = Path(__file__).resolve().parent.parent
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = {k: f for k, f in entry.catalog.QUERIES.items()}
+QUERIES = entry.catalog.QUERIES | entry.jobs.QUERIES
+ORACLES = entry.catalog.ORACLES | entry.jobs.ORACLES
 
 
 def rounded(v):
@@ -34,7 +35,7 @@ def duck(sf):
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query_against_oracle(spark, sf, duck, name):
     table = QUERIES[name](spark, sf).toArrow()
-    sql = entry.catalog.ORACLES.get(name)
+    sql = ORACLES.get(name)
     if sql is None:
         assert table.num_columns > 0
         return
@@ -56,6 +57,7 @@ def test_entry(spark):
 
 def test_imports_without_the_llm_folders(tmp_path):
     shutil.copytree(ROOT / "marlquarry", tmp_path / "marlquarry", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(ROOT / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
-    assert said.stdout.split() == [str(len(entry.catalog.QUERIES)), str(len(entry.catalog.ORACLES))], said.stderr
+    assert said.stdout.split() == [str(len(QUERIES)), str(len(ORACLES))], said.stderr
