@@ -14,6 +14,8 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlquarry.llm.workspace import Workspace
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: The filters' letters, in the order of their bits; E, equal texts, is found over the whole table.
 FILTERS = "ABCDE"
@@ -57,6 +59,8 @@ def failures(documents: DataFrame, labels: DataFrame) -> DataFrame:
         F.min("doc_id").alias("least"),
         F.min_by("n", "doc_id").alias("first"),
     )
+    # Read twice below: without a table of its own each branch would read the texts.
+    kinds = Workspace(documents.sparkSession, "audit").table(kinds, "kinds")
     least = kinds.groupBy("digest").agg(F.min("least").alias("very_least"))
     kinds = kinds.join(least, "digest")
     same = F.col("known") - F.when(F.col("least") == F.col("very_least"), F.col("first")).otherwise(0)
