@@ -60,14 +60,29 @@ def load(path: str | None = None) -> tuple[Tokenizer, int]:
     return found, 1 + max([1, *(len(t["content"]) for t in told["added_tokens"])])
 
 
-def word_starts(encoded: Encoding, at: int) -> dict[int, int]:
-    """Places in the text where a word starts, with the number of the token that starts there; the chunk starts at `at`."""
-    words, offsets = encoded.word_ids, encoded.offsets
-    return {at + offsets[i][0]: i for i in range(len(words)) if i == 0 or words[i] != words[i - 1]}
+def word_starts(encoded: Encoding, at: int, low: int, high: int) -> dict[int, int]:
+    """Places of the text in low .. high where a word of the chunk starts, with the number of the token that starts there.
 
+    The chunk starts at `at`. Tokens are looked at from the nearer end of the chunk, and only as far as needed.
+    """
+    n, found = len(encoded), {}
+    place = lambda i: at + encoded.token_to_chars(i)[0]
+    near_end = n > 0 and high - place(0) > place(n - 1) - low
+    for i in reversed(range(n)) if near_end else range(n):
+        p = place(i)
+        if p < low if near_end else p > high:
+            break
+        if low <= p <= high and (i == 0 or encoded.token_to_word(i) != encoded.token_to_word(i - 1)):
+            found[p] = i
+    return found
+
+
+#: A chunk's encoding and the range of its tokens that are the text's next ones.
+Piece = tuple[Encoding, int, int]
 
-def spliced(text: str, cfg: CountConfig) -> Iterator[list[int]]:
-    """The ids of a text, chunk by chunk. At no time are more than two chunks' encodings held.
+
+def spliced(text: str, cfg: CountConfig) -> Iterator[Piece]:
+    """The tokens of a text, chunk by chunk. At no time are more than two chunks' encodings held.
 
     Where the overlap shows no common word start, it is doubled, back to where the left chunk is known to be right; if
     it holds none at all, a single word fills it, and the chunk itself is doubled until that word ends.
@@ -79,24 +94,31 @@ def spliced(text: str, cfg: CountConfig) -> Iterator[list[int]]:
     end = min(len(text), cfg.chunk)
     left = encode(at, end)
     while end < len(text):
-        settled = {p: i for p, i in word_starts(left, at).items() if known < p <= end - margin}
-        overlap, common = cfg.overlap, None
-        while settled and common is None:
+        overlap = cfg.overlap
+        while True:
             begin = max(known, end - overlap)
-            stop = min(len(text), end + cfg.chunk - cfg.overlap)
-            right = encode(begin, stop)
-            starts = word_starts(right, begin)
-            common = max(settled.keys() & starts.keys(), default=None)
-            if common is None and begin == known:
+            settled = word_starts(left, at, max(begin, known + 1), end - margin)
+            if settled:
+                stop = min(len(text), end + cfg.chunk - cfg.overlap)
+                right = encode(begin, stop)
+                starts = word_starts(right, begin, begin, end - margin)
+                common = max(settled.keys() & starts.keys(), default=None)
+                if common is not None:
+                    yield left, first, settled[common]
+                    at, known, first, end, left = begin, common, starts[common], stop, right
+                    break
+            if begin == known:
+                end = min(len(text), 2 * end - known)
+                at, first, left = known, 0, encode(known, end)
                 break
             overlap *= 2
-        if common is None:
-            end = min(len(text), 2 * end - known)
-            at, first, left = known, 0, encode(known, end)
-            continue
-        yield left.ids[first : settled[common]]
-        at, known, first, end, left = begin, common, starts[common], stop, right
-    yield left.ids[first:]
+    yield left, first, len(left)
+
+
+def token_ids(text: str, cfg: CountConfig) -> Iterator[int]:
+    """The ids of a text of any length."""
+    for encoded, a, b in spliced(text, cfg):
+        yield from encoded.ids[a:b]
 
 
 def counts(texts: list[str], cfg: CountConfig) -> list[int]:
@@ -113,7 +135,7 @@ def counts(texts: list[str], cfg: CountConfig) -> list[int]:
 
     for i, text in enumerate(texts):
         if len(text) > cfg.chunk:
-            found[i] = sum(map(len, spliced(text, cfg)))
+            found[i] = sum(b - a for _, a, b in spliced(text, cfg))
             continue
         held.append(i)
         size += len(text)
