@@ -111,7 +111,9 @@ def current(spark: SparkSession, output: str) -> DataFrame:
 
 
 def refresh(spark: SparkSession, documents: str, output: str, checkpoint: str, cfg: RefreshConfig | None = None) -> DataFrame:
-    """Take what is new below documents (Parquet: doc_id, text, lang, source) and return current(). Waits for the stream's end."""
+    """Take what is new in documents (a folder or pattern of Parquet files: doc_id, text, lang, source) and return current(). Waits
+    for the stream's end.
+    """
     cfg = cfg or RefreshConfig()
     for name, schema, by in (("versions", VERSIONS, ["batch"]), ("chunks", CHUNKS, ["batch", "lang"])):
         spark.createDataFrame([], schema).write.mode("ignore").partitionBy(*by).parquet(f"{output}/{name}")

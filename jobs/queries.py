@@ -19,7 +19,8 @@ def job1_chunk_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "job1")
     cfg = chunk_refresh.RefreshConfig.read(os.path.join(HERE, "chunk_refresh.json"))
     for _ in range(2):
-        found = chunk_refresh.refresh(spark, f"{sf_dir}/documents.parquet", f"{folder}/out", f"{folder}/mark", cfg)
+        # A stream's path is a folder or a pattern; the table may be one file.
+        found = chunk_refresh.refresh(spark, f"{sf_dir}/documents.parquet*", f"{folder}/out", f"{folder}/mark", cfg)
     return found
 
 

@@ -54,6 +54,34 @@ def pct_nearest(x: Column | str, p: float) -> Column:
     return F.when(F.size(values) > 0, F.element_at(values, at))
 
 
+def nearest_percentiles(rows: DataFrame, by: list[str], value: str, at: dict[str, float], parts: int = 64) -> DataFrame:
+    """by and a column for each of at: the value at place round((n - 1) * p), ties to even, of each group's values (percentile A).
+
+    Values are counted before they meet. Their ranges, by the quantiles of a bounded sample, add up to the places where each begins;
+    running sums within the ranges that hold a wanted place find the value. So no group's values are listed in one row, and no
+    task orders a whole group. Null values are left out; a group of nulls only has no row.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    sample = sorted(r[0] for r in rows.select(value).filter(F.col(value).isNotNull()).orderBy(F.xxhash64(value, F.monotonically_increasing_id())).limit(16 * parts).collect())
+    bounds = sorted({sample[i] for i in range(16, len(sample), 16)})
+    part = F.lit(0)
+    for bound in bounds:
+        part = part + (F.col("_v") >= F.lit(bound)).cast("int")
+    dealt = counts.withColumn("_part", part)
+    group = Window.partitionBy(*by)
+    # At most `parts` rows a group.
+    ranges = dealt.groupBy(*by, "_part").agg(F.sum("_c").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(*by, "_part", "_n", before.alias("_before"), F.sum("_n").over(group).alias("_all"))
+    wanted = F.array(*(F.struct(F.lit(name).alias("_name"), F.bround((F.col("_all") - 1) * F.lit(float(p))).cast("long").alias("_place")) for name, p in at.items()))
+    asked = ranges.select("*", F.inline(wanted)).filter("_place >= _before and _place < _before + _n")
+    asked = asked.select(*(F.col(c).alias(f"_asked_{c}") for c in (*by, "_part")), "_before", "_name", "_place")
+    rest = dealt.join(asked, [F.col(c).eqNullSafe(F.col(f"_asked_{c}")) for c in (*by, "_part")])
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*by, "_part", "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = rest.withColumn("_upto", upto).filter("_place < _upto").groupBy(*by, "_name").agg(F.min("_v").alias("_v"))
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in at))
+
+
 def pct_linear(x: Column | str, p: float) -> Column:
     """Aggregate: interpolated percentile (percentile B)."""
     return F.percentile(x, F.lit(float(p)))

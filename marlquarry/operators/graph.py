@@ -5,10 +5,9 @@ Caps on postings are part of these operators: documents per term in id order, ne
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,66 +57,72 @@ def capped(post: DataFrame, wanted: DataFrame, owner: str = "doc_id", most: int
     return own.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).drop("place")
 
 
-#: Queries, about, that are expanded in one pass over the postings; with the caps on tokens and owners this bounds what a pass sends along.
+#: Queries, about, whose owners meet a range of tokens in one task; with the caps on tokens and owners this bounds a task's share.
 BLOCK = 256
+#: Postings, about, of a block and a range of tokens.
+RANGE = 2_000_000
 #: Products of postings and queries that are summed at once.
 STEP = 1 << 22
 
 
-def _nearest_of(block: pa.Table, own: pa.Table, most: int):
-    """For lists (token, owners), sorted by token: the `most` best tokens of each query in a task, with their sums.
+def _block_product(most: int):
+    """The `most` best tokens of each query of a block within a range of tokens, by the sums of weights over shared owners.
 
-    block: query_id, owner and in how many of the query's tokens the owner stands; own: the queries' own tokens, which are left out.
+    One side: query_id, owner and in how many of the query's tokens the owner stands; the other: token, owner.
     """
-    owners, at = np.unique(np.asarray(block["owner"]), return_inverse=True)
-    ids, query = np.unique(block["query_id"].to_numpy(), return_inverse=True)
-    order = np.argsort(at, kind="stable")
-    first = np.searchsorted(at[order], np.arange(len(owners) + 1))
-    query, weight = query[order], block["m"].to_numpy()[order].astype(float)
-    mine: dict[str, list[int]] = {}
-    for token, q in zip(own["token"].to_pylist(), own["query_id"].to_pylist(), strict=True):
-        mine.setdefault(token, []).append(int(np.searchsorted(ids, q)))
-
-    def sums(place: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-        """Rows by queries: sums of the weights of the owners at place."""
-        size = first[place + 1] - first[place]
-        each = np.repeat(first[place] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        return np.bincount(np.repeat(row, size) * len(ids) + query[each], weight[each], rows * len(ids)).reshape(rows, len(ids))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_n, best_t = np.zeros((0, len(ids))), np.zeros((0, len(ids)), dtype=object)
-        for batch in batches:
-            lists = batch.column("owners")
-            place = np.searchsorted(owners, np.asarray(lists.flatten()))
-            cost = np.concatenate(([0], np.cumsum(first[place + 1] - first[place])))[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
-            tokens = batch.column("token").to_pylist()
-            start, ends = 0, np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            while start < len(tokens):
-                stop = max(start + 1, min(int(np.searchsorted(cost, cost[start] + STEP, side="right")) - 1, start + STEP // len(ids)))
-                n = sums(place[ends[start] : ends[stop]], np.repeat(np.arange(stop - start), np.diff(ends[start : stop + 1])), stop - start)
-                for k in range(start, stop):
-                    if tokens[k] in mine:
-                        n[k - start, mine[tokens[k]]] = 0
-                names = np.array(tokens[start:stop], dtype=object)
-                top = np.argsort(-n, axis=0, kind="stable")[:most]
-                # Tokens come in order, so that of equal sums the one found earlier is the lesser.
-                best_n, best_t = np.concatenate((best_n, np.take_along_axis(n, top, 0))), np.concatenate((best_t, names[top]))
-                top = np.argsort(-best_n, axis=0, kind="stable")[:most]
-                best_n, best_t = np.take_along_axis(best_n, top, 0), np.take_along_axis(best_t, top, 0)
-                start = stop
+
+    def run(key: tuple, met: pa.Table, lists: pa.Table) -> pa.Table:
+        owner, token = (pc.dictionary_encode(lists[c].combine_chunks()) for c in ("owner", "token"))
+        at = pc.index_in(met["owner"].combine_chunks(), owner.dictionary)
+        met, at = met.filter(pc.is_valid(at)), np.asarray(at.drop_null())
+        ids, query = np.unique(met["query_id"].to_numpy(), return_inverse=True)
+        # Queries of each owner, and owners of each token, as ranges; tokens in their order, so that of equal sums the lesser comes first.
+        order = np.argsort(at, kind="stable")
+        first = np.searchsorted(at[order], np.arange(len(owner.dictionary) + 1))
+        query, weight = query[order], met["m"].to_numpy()[order].astype(float)
+        by_name = np.asarray(pc.sort_indices(token.dictionary))
+        rank = np.empty(len(by_name), dtype=np.int64)
+        rank[by_name] = np.arange(len(by_name))
+        place = rank[np.asarray(token.indices)]
+        order = np.argsort(place, kind="stable")
+        owned, ends = np.asarray(owner.indices)[order], np.searchsorted(place[order], np.arange(len(by_name) + 1))
+        cost = np.concatenate(([0], np.cumsum(first[owned + 1] - first[owned])))[ends]
+
+        def sums(start: int, stop: int) -> np.ndarray:
+            """Tokens by queries."""
+            own = owned[ends[start] : ends[stop]]
+            size = first[own + 1] - first[own]
+            each = np.repeat(first[own] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+            row = np.repeat(np.repeat(np.arange(stop - start), np.diff(ends[start : stop + 1])), size)
+            return np.bincount(row * len(ids) + query[each], weight[each], (stop - start) * len(ids)).reshape(stop - start, len(ids))
+
+        best_n, best_t = np.zeros((0, len(ids))), np.zeros((0, len(ids)), dtype=np.int64)
+        start = 0
+        while start < len(by_name) and len(ids):
+            stop = max(start + 1, min(int(np.searchsorted(cost, cost[start] + STEP, side="right")) - 1, start + STEP // len(ids)))
+            n = sums(start, stop)
+            if stop - start > 4 * most:
+                top = np.sort(np.argpartition(-n * (stop - start) + np.arange(stop - start)[:, None], most, axis=0)[:most], axis=0)
+            else:
+                top = np.broadcast_to(np.arange(stop - start)[:, None], n.shape)
+            best_n, best_t = np.concatenate((best_n, np.take_along_axis(n, top, 0))), np.concatenate((best_t, top + start))
+            top = np.argsort(-best_n, axis=0, kind="stable")[:most]
+            best_n, best_t = np.take_along_axis(best_n, top, 0), np.take_along_axis(best_t, top, 0)
+            start = stop
         row, column = np.nonzero(best_n)
-        arrays = [pa.array(ids[column], pa.int64()), pa.array(best_t[row, column].tolist(), pa.string()), pa.array(best_n[row, column].astype(np.int64))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "token", "n"])
+        names = token.dictionary.take(pa.array(by_name[best_t[row, column]]))
+        return pa.table([pa.array(ids[column], pa.int64()), names, pa.array(best_n[row, column].astype(np.int64))], names=["query_id", "token", "n"])
 
     return run
 
 
-def nearest(parts: list[tuple[DataFrame, str, int]], qt: DataFrame, most: int) -> DataFrame:
+def nearest(parts: list[tuple[DataFrame, str, int]], qt: DataFrame, most: int, tokens: int = QUERY_TOKENS) -> DataFrame:
     """query_id, token, n: the `most` tokens that most often stand with a query's tokens, ties in token order.
 
-    parts: postings, the name of their owner, and how many owners of a token count. n sums over the query's tokens and the parts.
-    Each pass takes about BLOCK queries: their owners and own tokens, about BLOCK * tokens * owners rows at most, go along with the tasks,
-    which hold whole tokens and return their best few.
+    parts: postings, the name of their owner, and how many owners of a token count; tokens: the most tokens of a query. n sums over the
+    query's tokens and the parts. This is a product of two sparse matrices, queries by owners and owners by tokens, of which the best few of each row are
+    kept: each task takes a block of queries and a range of tokens, whole, and the ranges' best meet in one window. The queries' own
+    tokens are left out after that, so that each range returns that many more.
     """
     met = None
     lists = None
@@ -126,19 +131,16 @@ def nearest(parts: list[tuple[DataFrame, str, int]], qt: DataFrame, most: int) -
         one = qt.join(capped(post, qt, owner, cap), "token").groupBy("query_id", key.alias("owner")).agg(F.count("*").alias("m"))
         own = post.select("token", key.alias("owner"))
         met, lists = (one, own) if met is None else (met.unionByName(one), lists.unionByName(own))
-    met = written(met.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-qt.select("query_id").distinct().count() // BLOCK))))), "met")
-    found = None
-    for (block,) in sorted(met.select("block").distinct().collect()):
-        own = met.filter(F.col("block") == block)
-        sent = own.select("query_id", "owner", "m").toArrow()
-        tokens = qt.join(own.select("query_id").distinct(), "query_id", "left_semi").toArrow()
-        rows = lists.join(own.select("owner").distinct(), "owner", "left_semi").groupBy("token").agg(F.collect_list("owner").alias("owners"))
-        rows = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_nearest_of(sent, tokens, most), "query_id long, token string, n long")
-        found = rows if found is None else found.unionByName(rows)
-    if found is None:
-        return qt.select("query_id", "token", F.lit(0).cast("long").alias("n")).limit(0)
+    blocks = max(1, -(-qt.select("query_id").distinct().count() // BLOCK))
+    met = written(met.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "graph-met")
+    lists = written(lists.join(met.select("block", "owner").distinct(), "owner"), "graph-lists")
+    # As many ranges as keep a share small and all cores at work.
+    ranges = max(-(-lists.count() // (blocks * RANGE)), -(-qt.sparkSession.sparkContext.defaultParallelism // blocks))
+    left = met.withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1)))).groupBy("block", "range")
+    right = lists.withColumn("range", F.pmod(F.xxhash64("token"), F.lit(ranges)).cast("int")).groupBy("block", "range")
+    found = left.cogroup(right).applyInArrow(_block_product(most + tokens), "query_id long, token string, n long")
     w = Window.partitionBy("query_id").orderBy(F.desc("n"), "token")
-    return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).drop("place")
+    return found.join(qt, ["query_id", "token"], "left_anti").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).drop("place")
 
 
 def expand(post: DataFrame, qt: DataFrame) -> DataFrame:
@@ -219,7 +221,7 @@ def tree_rank(docs: DataFrame, queries: DataFrame, ranked: DataFrame, strategy:
     held = written(member.join(post, "doc_id").select("kind", "group_id", "token").distinct(), "tree-groups")
     qt = written(query_tokens(queries, TREE_STOPWORDS, TREE_TOKENS), "tree-tokens")
 
-    near = nearest([(held.filter(F.col("kind") == kind), "group_id", GROUPS_PER_TERM) for kind in range(1 + roots)], qt, TREE_NEIGHBOURS).select("query_id", "token")
+    near = nearest([(held.filter(F.col("kind") == kind), "group_id", GROUPS_PER_TERM) for kind in range(1 + roots)], qt, TREE_NEIGHBOURS, TREE_TOKENS).select("query_id", "token")
     # At most TREE_TOKENS + TREE_NEIGHBOURS rows for a query; used by each of the steps below, as the baseline's few rows are.
     every = written(qt.withColumn("w", F.lit(3)).unionByName(near.withColumn("w", F.lit(1))), "tree-every")
     base = baseline_scores(ranked)

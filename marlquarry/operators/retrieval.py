@@ -37,33 +37,34 @@ def token_stats(docs: DataFrame) -> DataFrame:
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """token and df, the number of documents that hold it."""
+def document_frequencies(docs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, token and df, the number of documents that hold it."""
     # The filter holds for every token; with it all uses of the counts have one plan, and one exchange.
-    return docs.select(F.explode(F.array_distinct(tokens("text"))).alias("token")).filter("token is not null").groupBy("token").agg(F.count("*").alias("df"))
+    return docs.select(*by, F.explode(F.array_distinct(tokens("text"))).alias("token")).filter("token is not null").groupBy(*by, "token").agg(F.count("*").alias("df"))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """query_id, doc_id, score of documents that share a token with a query.
+def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, query_id, doc_id, score of documents that share a token with a query; by: columns of docs that part it into corpora.
 
     idf is ln(N - df + .5) - ln(df + .5); negative ones become epsilon times the mean idf of the vocabulary. A query token
     that occurs n times counts n times. Document tokens that no query has are dropped before anything is counted per document.
     """
-    toks = docs.select("doc_id", tokens("text").alias("t")).withColumn("dl", F.size("t"))
-    corpus = toks.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    vocabulary = document_frequencies(docs).join(corpus)
+    meet = lambda x, y: x.join(y, [*by]) if by else x.join(y)
+    toks = docs.select(*by, "doc_id", tokens("text").alias("t")).withColumn("dl", F.size("t"))
+    corpus = toks.groupBy(*by).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    vocabulary = meet(document_frequencies(docs, by), corpus)
     vocabulary = vocabulary.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = vocabulary.agg(F.avg("raw").alias("mean_idf"))
+    mean = vocabulary.groupBy(*by).agg(F.avg("raw").alias("mean_idf"))
     q = queries.select("query_id", F.explode(tokens("query_text")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     wanted = q.select("token").distinct()
-    idf = vocabulary.join(wanted, "token", "left_semi").join(mean).select(
-        "token", "avgdl", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf")
+    idf = meet(vocabulary.join(wanted, "token", "left_semi"), mean).select(
+        *by, "token", "avgdl", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf")
     )
     # An inner explode would have the optimizer test the array's size first, and so cut every text into tokens twice.
-    tf = toks.select("doc_id", "dl", F.explode_outer("t").alias("token")).join(wanted, "token").groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
+    tf = toks.select(*by, "doc_id", "dl", F.explode_outer("t").alias("token")).join(wanted, "token").groupBy(*by, "doc_id", "dl", "token").agg(F.count("*").alias("tf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    terms = tf.join(idf, "token").select("doc_id", "token", weight.alias("weight"))
-    return q.join(terms, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+    terms = tf.join(idf, [*by, "token"]).select(*by, "doc_id", "token", weight.alias("weight"))
+    return q.join(terms, "token").groupBy(*by, "query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
 
 
 def pad_zero(ranked: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:

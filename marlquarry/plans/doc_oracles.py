@@ -218,6 +218,104 @@ ci as (select *, printf('parent-%d-%06d-%02d', doc_id, (before + parent_no)::big
 cc as (select *, printf('%s-child-%04d', parent_id, child_no) as child_id from ci)"""
 
 
+#: Least, target and most length of a chunk, overlapping blocks, most useful length of a parent that is merged; no headings.
+CUTS = {
+    "C0": (250, 700, 1100, 1, 0, False), "C1": (180, 450, 800, 1, 0, False), "C2": (350, 900, 1400, 1, 0, False), "C3": (250, 700, 1100, 1, 250, False),
+    "C4": (250, 700, 1100, 0, 0, False), "C5": (250, 700, 1100, 2, 0, False), "C6": (250, 700, 1100, 0, 0, True),
+}
+
+
+def chunks_sql(t: str, low: int, target: int, high: int, overlap: int, merge: int, fixed: bool) -> str:
+    """CTEs of one policy's chunks, block by block, over blocks; the last is ch_t with the texts' blocks."""
+    head = "false" if fixed else "(element_type = 'heading1')"
+    merged = f"""mp_{t} as (select doc_id, parent_no, n, u, sum(n) over (partition by doc_id order by parent_no) - n as t0, sum(n) over (partition by doc_id order by parent_no) as t1
+  from (select doc_id, parent_no, sum(text_length) as n, coalesce(sum(text_length) filter (keep), 0) as u from pq_{t} group by all)),
+mr_{t} as (select doc_id, -1::bigint as k, null::bigint as w, null::hugeint as tw, null::bigint as ls, null::hugeint as tls, null::bigint as a, null::bigint as b from (select distinct doc_id from mp_{t})
+  union all select doc_id, k, case when small and not joins then k end, case when small and not joins then t0 end,
+    case when joins then w when not small then k else ls1 end, case when joins then tw when not small then t0 else tls1 end,
+    case when w is not null then case when joins then w else ls1 end end, case when joins then w when not small then k end
+  from (select *, case when w is not null and not joins and not extends then w else ls end as ls1, case when w is not null and not joins and not extends then tw else tls end as tls1
+    from (select r.doc_id, p.parent_no as k, r.w, r.tw, r.ls, r.tls, p.t0, p.u > 0 and p.u < {merge} as small, coalesce(p.t1 - r.tw <= 6000, false) as joins, coalesce(p.t0 - r.tls <= 6000, false) as extends
+      from mr_{t} r join mp_{t} p on p.doc_id = r.doc_id and p.parent_no = r.k + 1))),
+me_{t} as (select m.doc_id, m.w as k, case when z.t1 - m.tls <= 6000 then m.ls else m.w end as st from mr_{t} m join mp_{t} z on z.doc_id = m.doc_id and z.parent_no = m.k
+    where m.w is not null and m.k = (select max(parent_no) from mp_{t} x where x.doc_id = m.doc_id)
+  union all select doc_id, k - 1, a from mr_{t} where a is not null union all select doc_id, k, b from mr_{t} where b is not null),
+pm_{t} as (select q.* exclude (parent_no), dense_rank() over (partition by q.doc_id order by st) - 1 as parent_no from pq_{t} q join me_{t} e on e.doc_id = q.doc_id and e.k = q.parent_no),"""
+    k = "doc_id, parent_no, part_no"
+    return f"""sg_{t} as (select *, sum({head}::int) over (partition by doc_id order by line rows unbounded preceding) as seg, (not {head} and text_length > 0) as keep, {head} as ctx from blocks),
+pq_{t} as (select *, dense_rank() over (partition by doc_id order by seg) - 1 as parent_no from sg_{t}),
+{merged if merge else ''}
+pr_{t} as (select *, row_number() over (partition by doc_id, parent_no order by line) as i from {'pm' if merge else 'pq'}_{t}),
+pw_{t} as (select doc_id, parent_no, 0::bigint as i, 0 as part_no, 0::bigint as used, false as has from (select distinct doc_id, parent_no from pr_{t})
+  union all select w.doc_id, w.parent_no, r.i, w.part_no + f::int, case when f then r.text_length else w.used + r.text_length end, case when f then r.keep else w.has or r.keep end
+  from (select w.*, w.i > 0 and w.used + r.text_length > 6000 and w.has as f from pw_{t} w join pr_{t} r on r.doc_id = w.doc_id and r.parent_no = w.parent_no and r.i = w.i + 1) w join pr_{t} r on r.doc_id = w.doc_id and r.parent_no = w.parent_no and r.i = w.i + 1),
+pb_{t} as (select r.*, w.part_no from pr_{t} r join pw_{t} w using (doc_id, parent_no, i)),
+gl_{t} as (select {k}, list(text_length order by line) filter (keep) as l, (count(*) filter (keep))::int as n, list(block_id order by line) filter (keep) as ids, list(text order by line) filter (keep) as texts,
+  coalesce(sum(text_length) filter (ctx), 0) as extra, coalesce(string_agg(text, chr(10) order by line) filter (ctx) || chr(10), '') as lead from pb_{t} group by all),
+gw_{t} as (select {k}, 0 as k, 0 as lo, null::int as a, null::int as b, null::int as c, null::int as d from gl_{t} where n > 0
+  union all select {k}, k + 1, case when c2 then greatest(lo1, k + 1 - {overlap}) else lo1 end, case when c1 then lo end, case when c1 then k end, case when c2 then lo1 end, case when c2 then k + 1 end
+  from (select *, list_sum(l[lo1 + 1:k + 1]) >= {target} and k + 1 < n as c2 from (select *, case when c1 then greatest(lo, k - {overlap}) else lo end as lo1
+    from (select w.*, l, n, k > lo and list_sum(l[lo + 1:k + 1]) > {high} and list_sum(l[lo + 1:k]) >= {low} as c1 from gw_{t} w join gl_{t} using ({k}) where k < n)))),
+em_{t} as (select {k}, k * 2 as o, a as lo, b as hi from gw_{t} where a is not null union all select {k}, k * 2 + 1, c, d from gw_{t} where c is not null),
+ed_{t} as (select * from (select *, lag(lo) over (partition by {k} order by o) as pl, lag(hi) over (partition by {k} order by o) as ph from em_{t}) where pl is distinct from lo or ph is distinct from hi),
+la_{t} as (select {k}, max(o) as o, arg_max(lo, o) as llo, arg_max(hi, o) as lhi from ed_{t} group by all),
+tl_{t} as (select w.doc_id, w.parent_no, w.part_no, w.lo, g.n, la.o, llo, lhi, coalesce(list_sum(l[w.lo + 1:n]) < {low} and list_sum(l[llo + 1:n]) <= {high}, false) as joins
+  from gw_{t} w join gl_{t} g using ({k}) left join la_{t} la using ({k}) where k = g.n),
+gr_{t} as (select {k}, o, lo, hi from ed_{t} where ({k}, o) not in (select {k}, o from tl_{t} where joins) union all select {k}, o, llo, n from tl_{t} where joins
+  union all select {k}, 1000000000, lo, n from tl_{t} where not joins and (llo is distinct from lo or lhi is distinct from n)),
+ch_{t} as (select '{t}' as variant, {k}, row_number() over (partition by {k} order by o) - 1 as child_no, hi - lo as n_blocks, (list_sum(l[lo + 1:hi]) + extra)::bigint as text_length, ids[lo + 1:hi] as ids,
+  lead || array_to_string(texts[lo + 1:hi], chr(10)) as text from gr_{t} join gl_{t} using ({k}))"""
+
+
+def _taken(rank: int) -> str:
+    """The state after a rank: the best target that its candidate contains, and that none before took, is used."""
+    return f"""s{rank} as (select z.variant, z.query_id, case when z.i is null then used else list_append(used, z.i) end as used, dcg + coalesce(grade, 0) / log2({rank + 1}.0::double) as dcg
+from (select s.variant, s.query_id, any_value(used) as used, any_value(dcg) as dcg, min(i) filter (i is not null and not list_contains(used, i)) as i from s{rank - 1} s left join (select * from mt where rank = {rank}) m using (variant, query_id) group by all) z
+left join gi on gi.query_id = z.query_id and gi.i = z.i)"""
+
+
+def _limit(place: int) -> str:
+    return "case variant " + " ".join(f"when '{t}' then {c[place]}" for t, c in CUTS.items()) + " end"
+
+
+ABLATION = f"""with recursive {BLOCKS}, {BASE}, {', '.join(chunks_sql(t, *c) for t, c in CUTS.items())},
+vc as ({' union all '.join(f'select * from ch_{t}' for t in CUTS)}),
+vk as (select *, printf('%019d-%06d-%02d-%04d', doc_id, parent_no::bigint, part_no, child_no) as key from vc),
+kept as ({' union all '.join(f"select '{t}' as variant, count(*) filter (keep) as retrievable from sg_{t}" for t in CUTS)}),
+sb as (select *, count(*) over (partition by variant, doc_id, parent_no, part_no) as siblings from vc),
+sz as (select variant, count(*) as child_count, round(avg(n_blocks), 6) as mean_blocks, list_sort(list(text_length)) as v, count(*) filter (n_blocks = 0 or text_length <= 0) as empty,
+  count(*) filter (text_length < {_limit(0)} and n_blocks = 1 and siblings > 1) as short from sb group by all),
+cv as (select variant, count(distinct block_id) as covered from (select variant, unnest(ids) as block_id from vc) group by all),
+gt as (select variant, child_count, mean_blocks, v[cast(round_even((child_count - 1) * 0.5, 0) as int) + 1] as p50, v[cast(round_even((child_count - 1) * 0.95, 0) as int) + 1] as p95,
+  round(covered / retrievable::double, 6) as coverage, empty, short from sz join cv using (variant) join kept using (variant)),
+gf as (select * exclude (empty, short), array_to_string(list_filter([case when empty > 0 then 'empty_child_count' end, case when coverage < 1 then 'retrievable_block_coverage_below_threshold' end,
+  case when p95 > {_limit(2)} then 'child_length_p95_above_max' end, case when short > 0 then 'short_standalone_child' end], lambda x: x is not null), ',') as failures from gt),
+vtok as (select variant, key, doc_id, ids, list_transform(regexp_extract_all(text, '[0-9A-Za-z가-힣]+'), lambda x: lower(x)) as t from vk),
+vcorp as (select variant, count(*) as n, avg(len(t)) as avgdl from vtok group by all),
+vdf as (select variant, tok, count(*) as df from (select variant, unnest(list_distinct(t)) as tok from vtok) group by all),
+vraw as (select variant, tok, ln(n - df + 0.5) - ln(df + 0.5) as raw from vdf join vcorp using (variant)),
+vmean as (select variant, avg(raw) as mean from vraw group by all),
+vidf as (select variant, tok, case when raw < 0 then 0.25 * mean else raw end as idf from vraw join vmean using (variant)),
+vtf as (select variant, key, dl, tok, count(*) as tf from (select variant, key, len(t) as dl, unnest(t) as tok from vtok) where tok in (select tok from qt) group by all),
+vs as (select variant, query_id, key, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score from qt join vtf using (tok) join vidf using (variant, tok) join vcorp using (variant) group by all),
+vr as (select variant, query_id, key, row_number() over (partition by variant, query_id order by round(score, 8) desc, key desc) as rank from vs qualify rank <= 5),
+vh as (select variant, query_id, rank, doc_id, list_append(ids, 'doc:' || doc_id) as held from vr join vtok using (variant, key)),
+gc as (select rel.query_id, rel.doc_id, parent_no, part_no, child_no, grade, ids as blocks from rel join benchmark b on item_id = rel.query_id join vc on variant = 'C0' and vc.doc_id = rel.doc_id and contains(vc.text, {norm('b.text')})),
+gd as (select * from gc union all select query_id, doc_id, -1, -1, -1, grade, ['doc:' || doc_id] from rel where (query_id, doc_id) not in (select query_id, doc_id from gc)),
+gi as (select *, row_number() over (partition by query_id order by grade desc, doc_id, parent_no, part_no, child_no) as i from gd),
+mt as (select variant, query_id, rank, i from vh join gi using (query_id, doc_id) where list_has_all(held, blocks)),
+s0 as (select variant, query_id, []::bigint[] as used, 0.0::double as dcg from (select distinct variant from vc), jq), {', '.join(_taken(r) for r in range(1, 6))},
+fr as (select variant, query_id, min(rank) as first from mt group by all), hc as (select variant, query_id, count(*) as n_hits from vh group by all),
+idl as (select query_id, sum(grade / log2(i + 1.0::double)) as ideal from gi where i <= 5 group by all),
+pq as (select s5.variant, query_id, expected, coalesce((first <= 1)::double, 0) as hit_1, coalesce((first <= 3)::double, 0) as hit_3, coalesce((first <= 5)::double, 0) as hit_5, coalesce(round(1.0 / first, 6), 0) as rr,
+  coalesce(least(1.0, round(dcg / ideal, 6)), 0) as ndcg, coalesce(n_hits, 0) as n_hits from s5 join jq using (query_id) left join fr using (variant, query_id) left join hc using (variant, query_id) left join idl using (query_id)),
+ms as (select variant, count(*) filter (expected = 'retrieve') as n_queries, {', '.join(f"round(coalesce(avg({c}) filter (expected = 'retrieve'), 0), 6) as {n}" for n, c in (('recall_1', 'hit_1'), ('recall_3', 'hit_3'), ('recall_5', 'hit_5'), ('mrr', 'rr'), ('ndcg_5', 'ndcg')))},
+  count(*) filter (expected = 'abstain' and n_hits > 0) as abstain_with_candidates from pq group by all),
+al as (select * from gf join ms using (variant)), el as (select variant from al a, (select recall_5 as br, mrr as bm, abstain_with_candidates as ba from al where variant = 'C0')
+  where failures = '' and abstain_with_candidates <= ba and (recall_5 > br or mrr > bm) order by recall_5 desc, mrr desc, ndcg_5 desc, variant limit 1)
+select *, variant = coalesce((select variant from el), 'C0') as selected from al"""
+
+
 HEARD = """heard as (select pair_id, reference, heard from (select conv_id * 1000 + turn as pair_id, regexp_replace(text, '[^ -~]', '', 'g') as reference,
   lead(regexp_replace(text, '[^ -~]', '', 'g')) over (partition by conv_id order by turn) as heard from conversations) where heard is not null)"""
 _CH = lambda c: f"regexp_replace(lower({c}), '[^0-9a-z가-힣]', '', 'g')"
@@ -273,6 +371,7 @@ select doc_id, count(*) as n_blocks from (select doc_id, island, count(*) as n f
     "parent_segments": f"""with {BLOCKS}, s as (select *, sum((element_type = 'heading1')::int) over (partition by doc_id order by line rows unbounded preceding)::int as segment from blocks)
 select doc_id, segment, coalesce(min(case when element_type = 'heading1' then text end), 'front_matter') as title, min(case when element_type = 'heading1' then block_id end) as heading_block_id, count(*) as n_blocks, sum(text_length)::bigint as text_length,
 sum(case when element_type <> 'heading1' then text_length else 0 end)::bigint as retrievable_length from s group by all""",
+    "chunk_ablation": ABLATION,
     "child_groups": f"with recursive {CHILDREN} select child_id, parent_id, doc_id, n_blocks, text_length from cc",
     "child_chunks": f"""with recursive {CHILDREN}, x as (select child_id, parent_id, doc_id, unnest(ids) as block_id, generate_subscripts(ids, 1) as place from cc),
 j as (select child_id, parent_id, x.doc_id, string_agg(text, chr(10) order by place) as text, sha256(string_agg(text_hash || ':' || text_length, '|' order by place)) as text_hash, bool_or(contains(text, '�')) as broken, bool_or(element_type = 'table') as tabled from x join blocks using (block_id) group by all)

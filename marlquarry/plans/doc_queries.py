@@ -88,7 +88,8 @@ def chunk_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_ablation(spark: SparkSession, sf: str) -> DataFrame:
-    return C.ablation(blocks(spark, sf))
+    rel = written(I.qrels(spark, sf), "qrels")
+    return C.ablation(blocks(spark, sf), I.judged_queries(spark, sf, rel), rel)
 
 
 def _grains(spark: SparkSession, sf: str) -> DataFrame:
