@@ -14,9 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlquarry.functions.scalars import tokens
-
-#: Raw scores are ordered at this many digits, so that sums of equal terms in another order still tie.
-ORDER_DIGITS = 8
+from marlquarry.operators.products import ORDER_DIGITS, top_products
 
 
 def searchable_text(*parts: Column) -> Column:
@@ -43,8 +41,10 @@ def document_frequencies(docs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame
     return docs.select(*by, F.explode(F.array_distinct(tokens("text"))).alias("token")).filter("token is not null").groupBy(*by, "token").agg(F.count("*").alias("df"))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, query_id, doc_id, score of documents that share a token with a query; by: columns of docs that part it into corpora.
+def bm25_weights(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Counts of the queries' tokens (query_id, token, qtf) and weights of these in documents (by, doc_id, token, weight).
+
+    by: columns of docs that part it into corpora. A score is the sum over tokens of qtf * weight.
 
     idf is ln(N - df + .5) - ln(df + .5); negative ones become epsilon times the mean idf of the vocabulary. A query token
     that occurs n times counts n times. Document tokens that no query has are dropped before anything is counted per document.
@@ -63,8 +63,14 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float =
     # An inner explode would have the optimizer test the array's size first, and so cut every text into tokens twice.
     tf = toks.select(*by, "doc_id", "dl", F.explode_outer("t").alias("token")).join(wanted, "token").groupBy(*by, "doc_id", "dl", "token").agg(F.count("*").alias("tf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    terms = tf.join(idf, [*by, "token"]).select(*by, "doc_id", "token", weight.alias("weight"))
-    return q.join(terms, "token").groupBy(*by, "query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+    return q, tf.join(idf, [*by, "token"]).select(*by, "doc_id", "token", weight.alias("weight"))
+
+
+def bm25_best(docs: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, query_id, doc_id, score, rank of the k best documents of each query that share a token with it; ties: doc_id down."""
+    q, terms = bm25_weights(docs, queries, by=by)
+    best = top_products(q.select("query_id", F.col("token").alias("term"), F.col("qtf").alias("w")), terms.select(*by, F.col("doc_id").alias("item"), F.col("token").alias("term"), F.col("weight").alias("w")), k, by)
+    return best.select(*by, "query_id", F.col("item").alias("doc_id"), "score", F.col("place").alias("rank"))
 
 
 def pad_zero(ranked: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -79,7 +85,7 @@ def pad_zero(ranked: DataFrame, docs: DataFrame, queries: DataFrame, k: int) ->
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, pad: bool = False) -> DataFrame:
     """The k best documents of every query; with pad every list is full."""
-    ranked = top_k(bm25_scores(docs, queries), k).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    ranked = bm25_best(docs, queries, k).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
     return pad_zero(ranked, docs, queries, k) if pad else ranked
 
 
