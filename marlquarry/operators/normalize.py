@@ -156,16 +156,6 @@ def line_leaks(df: DataFrame, key: str, value: str) -> DataFrame:
     return rows.filter(found).select(key, (F.col("place") + 1).alias("line_number"))
 
 
-def string_values(df: DataFrame, key: str) -> DataFrame:
-    """key and each string in any column, nested ones and keys included, by way of JSON as a variant."""
-    variant = df.select(key, F.parse_json(F.to_json(F.struct(*(c for c in df.columns if c != key)))).alias("v"))
-    variant.createOrReplaceTempView("_string_values")
-    sql = f"""with recursive w(k, v) max recursion level 16 as (select {key} as k, v from _string_values
-      union all select w.k, e.value from w, lateral variant_explode(w.v) e)
-      select k as {key}, cast(v as string) as value from w where schema_of_variant(v) = 'STRING'"""
-    return df.sparkSession.sql(sql)
-
-
 def roots_in(df: DataFrame, value: str, roots: DataFrame) -> DataFrame:
     """Rows of df that hold one of roots (root), whatever the case and kind of slashes; roots are few."""
     text = F.lower(F.replace(F.col(value), F.lit("\\"), F.lit("/")))
@@ -173,18 +163,22 @@ def roots_in(df: DataFrame, value: str, roots: DataFrame) -> DataFrame:
     return df.withColumn("_t", text).join(own, F.expr("contains(_t, root)"), "left_semi").drop("_t")
 
 
+#: What marks a line as code or a table, the least length of a line of prose and its least share of letters.
+CODE_MARKERS = ("Path(", " = ", "    ", "{", "}", "```", "|", "report_", "result_", "metric", "contains_", "assert ", "from ", "import ")
+PROSE_LEAST, PROSE_LETTERS = 40, 0.3
+
+
 def prose_line(text: Column) -> Column:
-    """40 characters or more, none of them typical of code, and three in ten of them letters."""
-    code = F.lit(False)
-    for mark in ("{", "}", "=>", "://", "();", "def ", "import "):
-        code = code | F.contains(text, F.lit(mark))
-    letters = F.char_length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    return (F.char_length(text) >= 40) & ~code & (letters / F.greatest(F.char_length(text), F.lit(1)) >= 0.3)
+    """Long enough without the white space, quotes and commas at its ends, without a mark of code, and of letters enough."""
+    line = F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), '^[",]+|[",]+$', "")
+    code = F.exists(F.array(*(F.lit(m) for m in CODE_MARKERS)), lambda m: F.contains(line, m))
+    letters = F.char_length(F.regexp_replace(line, r"[^\p{L}]", ""))
+    return (F.char_length(line) >= PROSE_LEAST) & ~code & (letters / F.greatest(F.char_length(line), F.lit(1)) >= PROSE_LETTERS)
 
 
 def consecutive_blocks(lines: DataFrame, least: int = 3) -> DataFrame:
     """doc_id and n_blocks: runs of at least `least` lines of prose that follow each other. lines: doc_id, line, text."""
-    rows = lines.filter(prose_line(F.trim("text")))
+    rows = lines.filter(prose_line(F.col("text")))
     island = F.col("line") - F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
     runs = rows.select("doc_id", island.alias("island")).groupBy("doc_id", "island").agg(F.count("*").alias("n"))
     return runs.filter(F.col("n") >= least).groupBy("doc_id").agg(F.count("*").alias("n_blocks"))

@@ -192,6 +192,11 @@ sg as (select query_id, doc_id, round({score}, 9) as score from g)
 select query_id, doc_id, round(score, 6) as score, rank from (select *, cast(row_number() over (partition by query_id order by score desc, doc_id desc) as int) as rank from sg) where rank <= 5"""
 
 
+#: Runs of three lines of prose or more.
+PROSE = f"""{LINES}, pl as (select doc_id, line, trim(regexp_replace(text, '^{SPACE}|{SPACE}$', '', 'g'), '",') as t from lines), pk as (select doc_id, line - row_number() over (partition by doc_id order by line) as island from pl
+where length(t) >= 40 and not regexp_matches(t, 'Path\\(| = |    |\\{{|\\}}|```|\\||report_|result_|metric|contains_|assert |from |import ') and length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) / length(t)::double >= 0.3),
+pb as (select doc_id, count(*) as n_blocks from (select doc_id, island, count(*) as n from pk group by all) where n >= 3 group by doc_id)"""
+
 #: Child chunks, block by block: parts of parents up to 6000, then groups from 250 to 1100 about 700 that share one block.
 _K = "doc_id, parent_no, part_no"
 CHILDREN = f"""{BLOCKS}, sg as (select *, sum((element_type = 'heading1')::int) over (partition by doc_id order by line rows unbounded preceding) as seg, (element_type <> 'heading1' and text_length > 0) as keep from blocks),
@@ -364,9 +369,7 @@ select doc_id, expected_pages, coalesce(block_count, 0) as block_count, coalesce
     "leak_scan": f"""select doc_id, regexp_matches(replace(t, '/', '\\'), '([A-Za-z]:[\\\\/]|\\\\\\\\[^\\\\/]+[\\\\/][^\\\\/]+)') or regexp_matches(t, '(?i)(^|{SPACE[:-1]})/(home|users|mnt|var|tmp|private|runner|workspace|root)/') as private_path,
 regexp_matches(lower(t), 'sk-|api_key=|apikey=|ghp_|github_pat_|hf_|xoxb-|bearer |password=|token=|secret=') as secret_like, contains(s, chr(10)) or contains(s, chr(13)) or length(s) > 600 as source_like
 from (select doc_id, t, regexp_replace(t, '^{SPACE}|{SPACE}$', '', 'g') as s from (select doc_id, coalesce(text, '') as t from documents union all select doc_id, coalesce(text, '') from {_values(LEAKY, 'doc_id, text')}))""",
-    "consecutive_blocks": f"""with {LINES}, p as (select doc_id, line, trim(text) as t from lines), k as (select doc_id, line - row_number() over (partition by doc_id order by line) as island from p
-where length(t) >= 40 and not regexp_matches(t, '\\{{|\\}}|=>|://|\\(\\);|def |import ') and length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) / length(t)::double >= 0.3)
-select doc_id, count(*) as n_blocks from (select doc_id, island, count(*) as n from k group by all) where n >= 3 group by doc_id""",
+    "consecutive_blocks": f"with {PROSE} select doc_id, n_blocks from pb",
     "stratified_sample": "select doc_id, source from (select doc_id, source, row_number() over (partition by source order by doc_id) as r from documents) where r <= 3",
     "parent_segments": f"""with {BLOCKS}, s as (select *, sum((element_type = 'heading1')::int) over (partition by doc_id order by line rows unbounded preceding)::int as segment from blocks)
 select doc_id, segment, coalesce(min(case when element_type = 'heading1' then text end), 'front_matter') as title, min(case when element_type = 'heading1' then block_id end) as heading_block_id, count(*) as n_blocks, sum(text_length)::bigint as text_length,
@@ -469,3 +472,22 @@ ORACLES["line_leaks"] = f"""with d as (select doc_id, text from documents union
 l as (select doc_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) as line, generate_subscripts(string_split_regex(text, '\\r\\n|\\r|\\n'), 1) as n from d),
 c as (select *, trim(trim(regexp_extract(line, '(?i)(?:api[_-]?key|apikey|password|token|secret)[ \\t]*[:=](.*)$', 1), ' ' || chr(9)), chr(34) || chr(39)) as v from l)
 select doc_id, n::int as line_number from c where regexp_matches(line, '[A-Za-z]:\\\\') or regexp_matches(line, 'sk-[A-Za-z0-9]') or v <> ''"""
+
+
+_BARE = f"regexp_replace(v, '^{SPACE}|{SPACE}$', '', 'g')"
+ORACLES["artifact_quality"] = f"""with {PROSE},
+art as (select 'doc:' || doc_id as artifact_id, repeat('{{"in":[', (doc_id % 41)::int) || json_object('rank', 1, 'source', source, 'meta', json_object('lang', lang, 'n_chars', n_chars), 'lines', string_split(text, chr(10)))::varchar || repeat(']}}', (doc_id % 41)::int) as payload,
+  coalesce(n_blocks, 0) as n_blocks from documents left join pb using (doc_id)
+  union all select 'turn:' || conv_id || ':' || turn, json_object('results', [json_object('query_id', conv_id * 1000 + turn, 'role', role, case when turn % 2 = 0 then 'answer' else 'note' end, text)], 'raw_text', [role])::varchar, 0 from conversations
+  union all select 'told:' || doc_id, json_object('value', text)::varchar, 0 from {_values(LEAKY, 'doc_id, text')} union all select 'cut', '{{"a": ["b"', 0),
+ok as (select artifact_id, payload from art where artifact_id <> 'cut'), nodes as (select artifact_id, t.key, t.type, t.fullkey, t.atom->>'$' as v from ok, json_tree(ok.payload) t),
+strs as (select artifact_id, 'value' as kind, fullkey, v from nodes where type = 'VARCHAR' union all select artifact_id, 'key', fullkey, key from nodes where key is not null and not ends_with(fullkey, ']')),
+cnt as (select artifact_id, count(v) as n_strings, max(length(regexp_replace(fullkey, '[^.\\[]', '', 'g'))) as depth,
+  count(*) filter (kind = 'key' and v in ('answer', 'answer_text', 'context_text', 'content', 'html', 'markdown', 'raw_text', 'search_text', 'source_text', 'text')) as forbidden,
+  count(*) filter (kind = 'key' and v in ('answer', 'answer_text', 'context_text', 'content', 'html', 'markdown', 'raw_text', 'search_text', 'source_text', 'text') and regexp_matches(fullkey, '^\\$\\.results\\[[0-9]+\\]\\.[^.\\[]*$')) as rf,
+  count(*) filter (contains({_BARE}, chr(10)) or contains({_BARE}, chr(13)) or length({_BARE}) > 600) as source_like,
+  count(*) filter (regexp_matches(replace(v, '/', '\\'), '([A-Za-z]:[\\\\/]|\\\\\\\\[^\\\\/]+[\\\\/][^\\\\/]+)') or regexp_matches(v, '(?i)(^|{SPACE[:-1]})/(home|users|mnt|var|tmp|private|runner|workspace|root)/')) as pp,
+  count(*) filter (regexp_matches(lower(v), 'sk-|api_key=|apikey=|ghp_|github_pat_|hf_|xoxb-|bearer |password=|token=|secret=')) as sl from strs group by all)
+select artifact_id, coalesce(n_strings, 0) as n_strings, coalesce(depth, 0)::int as depth, coalesce(forbidden + source_like, 0) + n_blocks as public_raw_text_leakage_count, coalesce(pp, 0) as private_path_leakage_count, coalesce(sl, 0) as secret_like_leakage_count,
+  coalesce(rf, 0) as forbidden_result_field_count, {FLAG(public_raw_text_leakage='coalesce(forbidden + source_like, 0) + n_blocks > 0', private_path_leakage='pp > 0', secret_like_leakage='sl > 0', forbidden_result_fields='rf > 0', unreadable_payload="artifact_id = 'cut'")} as failures
+from art left join cnt using (artifact_id)"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlquarry.functions import scalars as S
 from marlquarry.functions.lineage import written
+from marlquarry.operators import artifacts as A
 from marlquarry.operators import chunking as C
 from marlquarry.operators import evidence as E
 from marlquarry.operators import graph as G
@@ -65,6 +66,20 @@ def consecutive_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return N.consecutive_blocks(I.lines(spark, sf))
 
 
+def artifact_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in up to 40 levels of objects and lists, turns as result rows, and strings with known leaks."""
+    docs, level = I.documents(spark, sf), F.pmod("doc_id", F.lit(41)).cast("int")
+    whole = {"ignoreNullFields": "false"}
+    inner = F.to_json(F.struct(F.lit(1).alias("rank"), "source", F.struct("lang", "n_chars").alias("meta"), F.split("text", "\n").alias("lines")), whole)
+    nested = docs.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("artifact_id"), F.concat(F.expr("repeat('{\"in\":[', cast(pmod(doc_id, 41) as int))"), inner, F.repeat(F.lit("]}"), level)).alias("payload"))
+    row = lambda name: F.to_json(F.struct(F.array(F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "role", F.col("text").alias(name))).alias("results"), F.array("role").alias("raw_text")), whole)
+    turns = I.table(spark, sf, "conversations").select(F.concat_ws(":", F.lit("turn"), F.col("conv_id").cast("string"), F.col("turn").cast("string")), F.when(F.pmod("turn", F.lit(2)) == 0, row("answer")).otherwise(row("note")))
+    told = spark.createDataFrame(I.LEAKY, "doc_id long, text string").select(F.concat(F.lit("told:"), F.col("doc_id").cast("string")), F.to_json(F.struct(F.col("text").alias("value")), whole))
+    cut = spark.createDataFrame([("cut", '{"a": ["b"')], "artifact_id string, payload string")
+    blocks = N.consecutive_blocks(I.lines(spark, sf)).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("artifact_id"), "n_blocks")
+    return A.artifact_quality(nested.union(turns).union(told).union(cut), blocks)
+
+
 def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
     return N.stratified_first(I.documents(spark, sf).select("doc_id", "source"), "source", "doc_id", 3)
 
@@ -361,7 +376,7 @@ def event_as_of(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        normalize_pages, page_elements, page_offsets, block_quality, parser_quality, leak_scan, line_leaks, consecutive_blocks, stratified_sample, parent_segments,
+        normalize_pages, page_elements, page_offsets, block_quality, parser_quality, leak_scan, line_leaks, consecutive_blocks, artifact_quality, stratified_sample, parent_segments,
         child_chunks, child_groups, chunk_quality, chunk_ablation, pack_metrics, public_pack_rows, pack_summary, evidence_context, evidence_stats, citation_eval, citation_summary,
         classify_turns, guard_turns, route_turns, rewrite_followups, rewrite_summary, confusion_matrix, class_prf, label_summary, tradeoff_tags, guardrail_routes, regression_tags, postings_expand, graph_score,
         graph_community, wer_cer, cer, char_f1, speech_ratio, score_aggregates, dataset_profile, dataset_shortfall, order_subset, input_faults, benchmark_rubric, resolvability, table_manifest,

@@ -419,8 +419,6 @@ def test_leaks_and_islands(spark):
     prose = "these are plain words of a sentence that runs on for a while"
     lines = spark.createDataFrame([(1, i, prose) for i in (1, 2, 3, 5, 6, 8, 9, 10, 11)], "doc_id long, line int, text string")
     assert N.consecutive_blocks(lines).first().n_blocks == 2
-    nested = spark.createDataFrame([(1, {"k": ["v", "w"]}, "x")], "id long, m map<string, array<string>>, s string")
-    assert sorted(r.value for r in N.string_values(nested, "id").collect()) == ["v", "w", "x"]
 
 
 def test_sources(spark, tmp_path):
