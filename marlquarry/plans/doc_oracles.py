@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlquarry.plans.inputs import LEAKY, QUESTIONS, TOLD
+from marlquarry.plans.inputs import LEAKY, PLACES, QUESTIONS, TOLD
 from marlquarry.plans.rank_queries import A, B, BASE
 
 SPACE = "[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x0B]+"
@@ -407,12 +407,6 @@ select query_id, expected, n::int as n_citations, round(pr, 6) as citation_preci
     "guard_turns": f"""with {GUARDED} select query_id, predicted, guarded, guard_applied, case when not is_rel then 'not_relationship_prediction' when guard_applied then {FLAG(block_overview_tie_risk='tie', block_fact_reason_risk='not strong and reason0', block_weak_relationship_intent='not strong')}
 else 'allow_strong_relationship_intent' end as guard_reasons from gy""",
     "route_turns": f"with {GUARDED} select guarded, case when guarded = 'no_answer' then 'abstain' when guarded = 'relationship' then 'hybrid_weighted' else 'dense' end as execution_mode, count(*) as n from gy group by all",
-    "rewrite_followups": f"""with {TURNS}, al as (select n_nationkey::varchar as place_id, lower(n_name) as alias, 0 as ord from nation union all select n_nationkey::varchar, lower(n_name)[1:3], 1 from nation),
-sp as (select *, {norm("lower(concat_ws(' ', query_text, user_context))")} as s from turns), hit as (select distinct query_id, place_id from sp, al where contains(' ' || regexp_replace(s, '[^0-9a-z가-힣]+', ' ', 'g') || ' ', ' ' || alias || ' ')),
-nm as (select query_id, list_distinct(list(alias order by place_id, ord)) as l, string_agg(distinct place_id, ',' order by place_id) as places from hit join al using (place_id) group by 1),
-un as (select query_id, array_to_string(list(alias order by first), ' ') as names from (select query_id, alias, min(k) as first from (select query_id, alias, row_number() over (partition by query_id order by place_id, ord) as k from hit join al using (place_id)) group by all) group by 1),
-pt as (select query_id, trim(query_text) as q, rtrim({norm("coalesce(user_context, '')")}[1:240]) as c, names, places from turns left join un using (query_id) left join nm using (query_id))
-select query_id, concat_ws(' ', q, case when c <> '' then 'context: ' || c end, case when names <> '' then 'places: ' || names end) as rewritten, (c <> '' or coalesce(names, '') <> '') as changed, coalesce(places, '') as places from pt""",
     "confusion_matrix": "select quality::varchar as expected, case when length(text) > 1000 then '1' else '0' end as predicted, count(*) as n from labels join documents using (doc_id) group by all",
     "class_prf": """with p as (select quality::varchar as e, case when length(text) > 1000 then '1' else '0' end as p from labels join documents using (doc_id)), c as (select unnest(['0', '1', '2']) as label),
 n as (select label, count(*) filter (e = label and p = label) as tp, count(*) filter (p = label) as pn, count(*) filter (e = label) as support from c, p group by label),
@@ -454,8 +448,41 @@ case when count(quality) > 1 then round(stddev_pop(quality), 6) end as stddev fr
     "event_as_of": """select l.event_id, r.v as last_value from (select * from events where event_type <> 'purchase') l asof left join (select user_id, ts, max(value) as v from events where event_type = 'purchase' group by all) r on l.user_id = r.user_id and l.ts >= r.ts""",
 }
 
+_TOLD_PLACES = ", ".join(f"('{i}', {100 + k}, '{name}', {aliases}::varchar[], {related}::varchar[])" for k, (i, name, aliases, related) in enumerate(PLACES))
+PLACE_INDEX = f"""pl as (select 'n' || n_nationkey as place_id, n_nationkey::bigint as ord, n_name as name, [lower(n_name)[1:3], lower(n_name)] as aliases, ['n' || (n_nationkey + 1) % 25, 'n' || n_regionkey] as related from nation
+  union all select * from (values {_TOLD_PLACES}) as v),
+pw as (select *, list_filter(w, lambda x, i: list_position(w, x) = i)[1:4] as names from (select *, list_prepend(name, aliases) as w from pl)),
+te as (select place_id, ord, unnest(list_prepend(name, aliases)) as term, generate_subscripts(list_prepend(name, aliases), 1) as k from pl),
+nx as (select {norm("lower(term)")} as name, place_id, min((ord * 1000 + k)) as own from te group by 1, 2 having {norm("lower(term)")} <> ''),
+ix as (select *, min(own) over (partition by name) as first from nx)"""
+
+
+def _stands(text: str) -> str:
+    return f"case when regexp_matches(name, '[0-9a-z]') then regexp_matches({text}, '(^|[^0-9a-z])' || regexp_escape(name) || '([^0-9a-z]|$)') else contains({text}, name) end"
+
+
+ORACLES["name_mentions"] = f"""with nm as (select item_id, list_sort(list_transform(regexp_extract_all(text, '[0-9A-Za-z가-힣]+'), lambda x: {{'n': length(x), 'x': lower(x)}}))[-1].x as name from benchmark),
+d as (select doc_id, {norm("lower(coalesce(text, ''))")} as t from documents)
+select doc_id, item_id, name from d, nm where name <> '' and {_stands('t')}"""
+ORACLES["rewrite_followups"] = f"""with {CLASSIFIED}, {PLACE_INDEX},
+aq as (select query_id, predicted as query_type, query_text, user_context, query_id % 17 = 0 as abstain, case when n_places > 0 then ['n' || ((query_id % 30) + 30) % 30, 'bukchon'] else []::varchar[] end as given,
+  {norm("lower(concat_ws(' ', nullif(query_text, ''), nullif(user_context, '')))")} as t from cls),
+wt as (select * from aq where not abstain and query_type in ('place_fact', 'place_story', 'route_context', 'voice_followup')),
+pm as (select query_id, place_id, min(o) as o from (select query_id, ix.place_id, 1000000000 + first * 1000 + own // 1000 as o from wt, ix where {_stands('t')}
+  union all select query_id, unnest(given), generate_subscripts(given, 1) from wt) where place_id in (select place_id from pl) group by all),
+pn as (select query_id, list(place_id order by o) as ids, flatten(list(names order by o)) as l, flatten(list(related order by o)) as r from pm join pw using (place_id) group by all),
+ol as (select query_id, array_to_string(list(x order by i), ' ') as names from (select query_id, x, min(i) as i from (select query_id, unnest(l) as x, generate_subscripts(l, 1) as i from pn) group by all) group by all),
+rl as (select query_id, x, min(i) as i from (select query_id, unnest(r) as x, generate_subscripts(r, 1) as i from pn) group by all),
+rn as (select query_id, string_agg(name, ' ' order by i) as names from (select *, row_number() over (partition by query_id order by i) as place from rl) join pl on place_id = x where place <= 3 group by all),
+sg as (select aq.query_id, aq.query_type, abstain or aq.query_type = 'no_answer' as guarded, regexp_replace(coalesce(query_text, ''), '^{SPACE}|{SPACE}$', '', 'g') as q,
+  case when user_context <> '' then rtrim('이전 맥락: ' || rtrim({norm('user_context')}[1:240])) end as c, case when ol.names <> '' then '장소 단서: ' || ol.names end as p, case when aq.query_type = 'route_context' then '관련 장소: ' || rn.names end as r,
+  case aq.query_type when 'place_fact' then '검색 의도: 한양 조선 역사 장소' when 'place_story' then '검색 의도: 한양 조선 역사 이야기 관광 설명' when 'route_context' then '검색 의도: 한양 서울 동선 연결' when 'voice_followup' then '검색 의도: 한양 조선 이전 맥락 장소' end as i,
+  array_to_string(pn.ids, ',') as places from aq left join ol using (query_id) left join rn using (query_id) left join pn using (query_id)),
+st as (select *, case when guarded then 'no_answer_guard' when i is null then 'query_type_passthrough' end as stop from sg)
+select query_id, case when stop is not null then q else array_to_string(list_filter([nullif({norm('q')}, ''), case when lower(c) is distinct from lower({norm('q')}) then c end, p, r, i], lambda x: x is not null), ' ') end as rewritten, rewritten <> q as changed, coalesce(places, '') as places,
+coalesce(stop, {FLAG(place_alias_expansion='places is not null', voice_context_expansion="query_type = 'voice_followup' and c is not null", route_related_place_expansion='r is not null', query_type_intent_terms='i is not null')}) as rules from st"""
 ORACLES["rewrite_summary"] = f"""select count(*) as n, count(*) filter (rewritten <> '') as success_count, count(*) filter (changed) as changed_count, count(*) filter (rewritten = '') as invalid_count,
-round(coalesce(count(*) filter (rewritten = '') / nullif(count(*), 0)::double, 0), 6) as invalid_rate, count(*) filter (places = '') as no_answer_guard_count from ({ORACLES["rewrite_followups"]})"""
+round(coalesce(count(*) filter (rewritten = '') / nullif(count(*), 0)::double, 0), 6) as invalid_rate, count(*) filter (rules = 'no_answer_guard') as no_answer_guard_count from ({ORACLES["rewrite_followups"]})"""
 ORACLES["label_summary"] = f"""select (select sum(n) from ({ORACLES["confusion_matrix"]}))::bigint as n, (select round(sum(case when expected = predicted then n else 0 end) / sum(n)::double, 6) from ({ORACLES["confusion_matrix"]})) as accuracy,
 round(avg(precision), 6) as macro_precision, round(avg(recall), 6) as macro_recall, round(avg(f1), 6) as macro_f1 from ({ORACLES["class_prf"]})"""
 ORACLES["public_pack_rows"] = f"""{PACK0}, {PM} select 'first' as comparison_id, 'P0_rank_order' as policy_id, eq.query_id, eq.query_type, p.pack_rank, p.rank as source_rank, p.doc_id as child_id, p.parent_id, p.root_id as doc_id,

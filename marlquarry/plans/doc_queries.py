@@ -15,6 +15,7 @@ from marlquarry.operators import evidence as E
 from marlquarry.operators import graph as G
 from marlquarry.operators import normalize as N
 from marlquarry.operators import quality as Q
+from marlquarry.operators import rewriting as X
 from marlquarry.operators import routing as R
 from marlquarry.operators import speech as V
 from marlquarry.plans import inputs as I
@@ -197,17 +198,31 @@ def route_turns(spark: SparkSession, sf: str) -> DataFrame:
     return made.groupBy("guarded", "execution_mode").agg(F.count("*").alias("n"))
 
 
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns with the type that the rules give them, whether they expect an answer, and places that some are given."""
+    given = F.when(F.col("n_places") > 0, F.array(F.concat(F.lit("n"), F.pmod("query_id", F.lit(30)).cast("string")), F.lit("bukchon"))).otherwise(F.array().cast("array<string>"))
+    typed = R.classify(_turns(spark, sf)).select("query_id", F.col("predicted").alias("query_type"))
+    rows = _turns(spark, sf).join(typed, "query_id")
+    return rows.select("query_id", "query_type", "query_text", "user_context", F.when(F.pmod("query_id", F.lit(17)) == 0, "abstain").otherwise("retrieve").alias("expected"), given.alias("place_ids"))
+
+
 def rewrite_followups(spark: SparkSession, sf: str) -> DataFrame:
-    names = I.table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("place_id"), F.lower("n_name").alias("alias"), F.lit(0).alias("ord"))
-    short = names.select("place_id", F.substring("alias", 1, 3).alias("alias"), F.lit(1).alias("ord"))
-    return R.rewrite(_turns(spark, sf).withColumn("query_type", F.lit("voice_followup")), names.unionByName(short))
+    return X.rewrite_queries(_asked(spark, sf), I.places(spark, sf))
 
 
 def rewrite_summary(spark: SparkSession, sf: str) -> DataFrame:
-    made = rewrite_followups(spark, sf).withColumns({"invalid": F.col("rewritten") == "", "abstains": F.col("places") == ""})
+    made = rewrite_followups(spark, sf).withColumns({"invalid": F.col("rewritten") == "", "abstains": F.col("rules") == "no_answer_guard"})
     return R.rewrite_summary(made)
 
 
+def name_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in whose whole text the longest word of a benchmark passage stands as a name."""
+    longest = F.array_max(F.transform(S.tokens("text"), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    names = I.table(spark, sf, "benchmark").select("item_id", longest.alias("name"))
+    texts = I.documents(spark, sf).select("doc_id", X.lookup_text(F.col("text")).alias("text"))
+    return X.mentions(texts, names, "doc_id").join(names, "name").select("doc_id", "item_id", "name")
+
+
 def _label_pairs(spark: SparkSession, sf: str) -> DataFrame:
     rows = I.table(spark, sf, "labels").join(I.documents(spark, sf).select("doc_id", "text"), "doc_id")
     return rows.select("doc_id", F.col("quality").cast("string").alias("expected"), F.when(F.length("text") > 1000, "1").otherwise("0").alias("predicted"))
@@ -378,7 +393,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         normalize_pages, page_elements, page_offsets, block_quality, parser_quality, leak_scan, line_leaks, consecutive_blocks, artifact_quality, stratified_sample, parent_segments,
         child_chunks, child_groups, chunk_quality, chunk_ablation, pack_metrics, public_pack_rows, pack_summary, evidence_context, evidence_stats, citation_eval, citation_summary,
-        classify_turns, guard_turns, route_turns, rewrite_followups, rewrite_summary, confusion_matrix, class_prf, label_summary, tradeoff_tags, guardrail_routes, regression_tags, postings_expand, graph_score,
+        classify_turns, guard_turns, route_turns, rewrite_followups, rewrite_summary, name_mentions, confusion_matrix, class_prf, label_summary, tradeoff_tags, guardrail_routes, regression_tags, postings_expand, graph_score,
         graph_community, wer_cer, cer, char_f1, speech_ratio, score_aggregates, dataset_profile, dataset_shortfall, order_subset, input_faults, benchmark_rubric, resolvability, table_manifest,
         catalog_quality, event_tumbling, event_sliding, event_session, event_as_of,
     )

@@ -81,3 +81,23 @@ LEAKY = [
     (-10, "key sk-abc"), (-11, "the secret password"), (-12, "Password=x"), (-13, "API_KEY=1"), (-14, "api_key: 1"), (-15, "GHP_x"), (-16, "Bearer  x"), (-17, "half_done"), (-18, "  one line \n"), (-19, "two\nlines"),
     (-20, "가" * 600), (-21, "가" * 601), (-22, " " * 700), (-23, "a\rb"), (-24, None), (-25, "xoxb-1 hf_2 github_pat_3"), (-26, "AKIA0000 private key"), (-27, "access_token=1"), (-28, "e:x"),
 ]
+
+#: Places beside the nations: id, name, aliases and related places.
+PLACES = [
+    ("gyeongbokgung", "경복궁", ["Gyeongbokgung", "북궐"], ["gwanghwamun", "bukchon"]),
+    ("gwanghwamun", "광화문", ["Gwanghwamun Gate", "문"], ["gyeongbokgung", "nowhere", "bukchon", "jongno"]),
+    ("bukchon", "북촌", ["Bukchon", "북촌", "윗마을", "Bukchon Village", "한옥"], ["doseong"]),
+    ("doseong", "도성", ["성", "LIVE", "live Crowd"], []),
+    ("blank", " ", [""], ["doseong"]),
+]
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """place_id, ord, name, aliases, related: nations, and the few above."""
+    own = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("place_id"), F.col("n_nationkey").cast("long").alias("ord"), F.col("n_name").alias("name"),
+        F.array(F.substring(F.lower("n_name"), 1, 3), F.lower("n_name")).alias("aliases"),
+        F.array(F.concat(F.lit("n"), F.pmod(F.col("n_nationkey") + 1, F.lit(25)).cast("string")), F.concat(F.lit("n"), F.col("n_regionkey").cast("string"))).alias("related"),
+    )
+    told = [(i, 100 + k, name, aliases, related) for k, (i, name, aliases, related) in enumerate(PLACES)]
+    return own.unionByName(spark.createDataFrame(told, "place_id string, ord long, name string, aliases array<string>, related array<string>"))
