@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlquarry.plans.inputs import LEAKY, PLACES, QUESTIONS, TOLD
+from marlquarry.plans.inputs import LEAKY, PLACES, QUESTIONS, SPOKEN, TOLD
 from marlquarry.plans.rank_queries import A, B, BASE
 
 SPACE = "[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x0B]+"
@@ -321,8 +321,8 @@ al as (select * from gf join ms using (variant)), el as (select variant from al
 select *, variant = coalesce((select variant from el), 'C0') as selected from al"""
 
 
-HEARD = """heard as (select pair_id, reference, heard from (select conv_id * 1000 + turn as pair_id, regexp_replace(text, '[^ -~]', '', 'g') as reference,
-  lead(regexp_replace(text, '[^ -~]', '', 'g')) over (partition by conv_id order by turn) as heard from conversations) where heard is not null)"""
+HEARD = f"""heard as (select pair_id, reference, heard from (select conv_id * 1000 + turn as pair_id, text as reference, lead(text) over (partition by conv_id order by turn) as heard from conversations) where heard is not null
+  union all select * from {_values(SPOKEN, 'pair_id, reference, heard')})"""
 _CH = lambda c: f"regexp_replace(lower({c}), '[^0-9a-z가-힣]', '', 'g')"
 FLAG = lambda **w: "array_to_string(list_filter([" + ", ".join(f"case when {c} then '{n}' end" for n, c in w.items()) + "], lambda x: x is not null), ',')"
 
@@ -427,7 +427,10 @@ select query_id, case when tags = '' then 'no_material_change' else tags end as
     "graph_community": graph("0.46::double * base + 0.18::double * dr + 0.26::double * wr + 0.10::double * rr"),
     "tree_parent": tree(False),
     "tree_summary": tree(True),
-    "cer": f"with {HEARD} select pair_id, round(levenshtein({_CH('reference')}, {_CH('heard')}) / greatest(length({_CH('reference')}), 1)::double, 6) as cer from heard",
+    # The distance counts bytes here, so each of a pair's characters becomes one byte.
+    "cer": f"""with {HEARD}, c as (select pair_id, list_filter(string_split({_CH('reference')}, ''), lambda x: x <> '') as a, list_filter(string_split({_CH('heard')}, ''), lambda x: x <> '') as b from heard),
+e as (select pair_id, len(a) as n, array_to_string(list_transform(a, lambda x: chr(list_position(k, x)::int)), '') as a, array_to_string(list_transform(b, lambda x: chr(list_position(k, x)::int)), '') as b from (select *, list_distinct(list_concat(a, b)) as k from c))
+select pair_id, round(levenshtein(a, b) / greatest(n, 1)::double, 6) as cer from e""",
     "char_f1": f"""with {HEARD}, r as (select pair_id, ch, count(*) as r from (select pair_id, unnest(string_split({_CH('reference')}, '')) as ch from heard) where ch <> '' group by all),
 h as (select pair_id, ch, count(*) as h from (select pair_id, unnest(string_split({_CH('heard')}, '')) as ch from heard) where ch <> '' group by all),
 s as (select pair_id, sum(least(coalesce(r, 0), coalesce(h, 0))) as same, sum(coalesce(r, 0)) as r, sum(coalesce(h, 0)) as h from r full join h using (pair_id, ch) group by 1),

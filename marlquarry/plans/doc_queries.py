@@ -292,11 +292,11 @@ def _tree(strategy: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _heard(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of ASCII conversation turns that follow each other."""
+    """Pairs of conversation turns that follow each other, and a few of Korean."""
     rows = I.table(spark, sf, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
-    pairs = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.regexp_replace("text", "[^ -~]", "").alias("reference"), F.lead(F.regexp_replace("text", "[^ -~]", "")).over(w).alias("heard"))
-    return pairs.filter("heard is not null")
+    pairs = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.col("text").alias("reference"), F.lead("text").over(w).alias("heard"))
+    return pairs.filter("heard is not null").unionByName(spark.createDataFrame(I.SPOKEN, "pair_id long, reference string, heard string"))
 
 
 def wer_cer(spark: SparkSession, sf: str) -> DataFrame:

@@ -82,6 +82,10 @@ LEAKY = [
     (-20, "가" * 600), (-21, "가" * 601), (-22, " " * 700), (-23, "a\rb"), (-24, None), (-25, "xoxb-1 hf_2 github_pat_3"), (-26, "AKIA0000 private key"), (-27, "access_token=1"), (-28, "e:x"),
 ]
 
+#: Spoken texts beside the conversations': id, what was said, what was heard.
+SPOKEN = [
+    (-1, "경복궁은 조선의 궁궐입니다", "경복궁은 조선에 궁궐 입니다"), (-2, "광화문", "광화문"), (-3, "북촌 한옥마을 3길", "북촌 하녹마을 삼길"), (-4, "", "무언가"), (-5, "Été à Séoul, 서울", "ete a seoul 서울"), (-6, "한 글자", ""),
+]
 #: Places beside the nations: id, name, aliases and related places.
 PLACES = [
     ("gyeongbokgung", "경복궁", ["Gyeongbokgung", "북궐"], ["gwanghwamun", "bukchon"]),
