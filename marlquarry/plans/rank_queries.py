@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlquarry.functions.lineage import shared_folder
+from marlquarry.operators import encoding as V
 from marlquarry.operators import metrics as M
 from marlquarry.operators import retrieval as R
 from marlquarry.plans import inputs as I
@@ -91,6 +93,17 @@ def svd_dense(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("doc_id", F.size("embedding").alias("dim"), "embedding")
 
 
+def encode_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of documents of which some were edited, some are gone and some came since the table's first batch; only new texts are encoded."""
+    docs = I.documents(spark, sf).select("doc_id", "text")
+    folder = shared_folder(spark, "vectors")
+    V.refresh_vectors(docs.filter("doc_id % 25 <> 4"), folder, "first")
+    edited = F.when(F.pmod("doc_id", F.lit(10)) == 0, F.concat("text", F.lit(" (edited)"))).when(F.pmod("doc_id", F.lit(10)) == 1, F.lit("the same")).otherwise(F.col("text"))
+    found = V.refresh_vectors(docs.filter("doc_id % 25 <> 3").withColumn("text", edited), folder, "second")
+    signs = F.filter(F.transform("embedding", lambda x, i: F.when(x > 0, F.concat(i.cast("string"), F.lit("+"))).when(x < 0, F.concat(i.cast("string"), F.lit("-")))), lambda x: x.isNotNull())
+    return found.select("doc_id", "fresh", F.array_join(signs, ",").alias("signs"), (F.abs(F.sqrt(R.dot(F.col("embedding"), F.col("embedding"))) - 1) < 1e-4).alias("unit"))
+
+
 def qrels(spark: SparkSession, sf: str) -> DataFrame:
     return I.qrels(spark, sf)
 
@@ -171,7 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         token_stats, document_frequencies, bm25_topk, bm25_zero_pad, dense_topk, hybrid_rrf, hybrid_weighted, rerank_scorer, context_boost, maxsim,
-        tfidf_weights, svd_dense, qrels, ir_per_query, ir_metrics, ir_metrics_unique, ir_metrics_binary, ir_metrics_by_group, abstain_counts,
+        tfidf_weights, svd_dense, encode_edits, qrels, ir_per_query, ir_metrics, ir_metrics_unique, ir_metrics_binary, ir_metrics_by_group, abstain_counts,
         metric_deltas, paired_metrics, metric_facts, hit_overlap, overlap_summary, bootstrap_ci, grain_coverage, latency_percentiles,
     )
 }
@@ -265,6 +278,12 @@ c as (select doc_id, term, count(*) as tf from (select doc_id, unnest(t) as term
 v as (select term, count(*) as df from c group by term order by sum(tf) desc, term limit 50000), n as (select count(*) as n from documents),
 r as (select doc_id, term, tf * (ln((1 + n) / (1 + df)::double) + 1) as raw from c join v using (term), n), w as (select doc_id, raw / sqrt(sum(raw * raw) over (partition by doc_id)) as weight from r)
 select doc_id, count(*) as n_terms, round(max(weight), 6) as max_weight, round(sum(weight), 4) as sum_weight from w group by doc_id""",
+    "encode_edits": f"""with f as (select text from documents where doc_id % 25 <> 4),
+s as (select doc_id, case when doc_id % 10 = 0 then text || ' (edited)' when doc_id % 10 = 1 then 'the same' else text end as text from documents where doc_id % 25 <> 3),
+w as (select doc_id, ('0x' || substr(md5(unnest({TOK.format("'passage: ' || text")})), 1, 8))::bigint as h from s),
+c as (select doc_id, h % 64 as place, sum(1 - 2 * (h // 64 % 2)) as n from w group by all having sum(1 - 2 * (h // 64 % 2)) <> 0),
+g as (select doc_id, string_agg(place || case when n > 0 then '+' else '-' end, ',' order by place) as signs from c group by doc_id)
+select doc_id, coalesce(s.text not in (select text from f), true) as fresh, coalesce(signs, '') as signs, signs is not null as unit from s left join g using (doc_id)""",
     "qrels": f"with {BASE} select query_id, doc_id, grade from rel",
     "ir_per_query": f"with {BASE} select query_id, hit_1, hit_3, hit_5, round(rr, 6) as rr, round(ndcg, 6) as ndcg, ndcg > 1 as overflow from {PQ}",
     "ir_metrics": f"with {BASE} select count(*) as n_queries, {MEANS} from {PQ}",
