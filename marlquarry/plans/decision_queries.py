@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlquarry.functions.lineage import written
 from marlquarry.operators import decisions as D
 from marlquarry.operators import evidence as E
 from marlquarry.operators import metrics as M
@@ -15,8 +16,8 @@ from marlquarry.operators import routing as R
 from marlquarry.plans import doc_queries as Doc
 from marlquarry.plans import inputs as I
 from marlquarry.plans import rank_queries as K
-from marlquarry.plans.doc_oracles import CLASSIFIED, FLAG, GUARDED, ORACLES as DOC, PACK0
-from marlquarry.plans.rank_queries import A, B, BASE, MEANS, ORACLES as RANK
+from marlquarry.plans.doc_oracles import CLASSIFIED, FLAG, GUARDED, ORACLES as DOC, PACK0, TURNS
+from marlquarry.plans.rank_queries import A, B, BASE, MEANS, ORACLES as RANK, _fused, _scaled, per_query_sql
 
 
 def overlap_decision(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,6 +36,33 @@ def locked_decision(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("shift", F.expr("concat_ws('', %s)" % ", ".join(D.STOPS)).alias("stops"), "p95_delta_ms", "interval_tag", "decision")
 
 
+#: What is asked with a passage, by its number modulo five.
+ASKS = ("두 사건의 관계와 갈등은 어떻게 이어졌나요?", "이 일대의 관계 전체 요약", "이 관계의 배경", "이 전각의 이름", "오늘 예약")
+
+
+def _shadow_rows(spark: SparkSession, sf: str) -> DataFrame:
+    from marlquarry.plans import methods
+
+    rel = written(I.qrels(spark, sf), "qrels")
+    queries = I.judged_queries(spark, sf, rel)
+    ask = F.element_at(F.array(*(F.lit(a) for a in ASKS)), (F.pmod("query_id", F.lit(5)) + 1).cast("int"))
+    asked = queries.select("query_id", ask.alias("query_text"), F.lit(2).alias("n_places"), F.lit(False).alias("has_context"))
+    kind = F.when(F.pmod("query_id", F.lit(5)).isin(0, 2), "relationship").when(F.pmod("query_id", F.lit(11)) == 0, "overview").otherwise("place_fact")
+    typed = R.guard(R.classify(asked)).select("query_id", kind.alias("query_type"), "predicted", "guarded", "guard_applied")
+    x = methods.Inputs(I.documents(spark, sf), queries, I.doc_vectors(spark, sf), I.query_vectors(spark, sf))
+    return methods.shadow_rows(x, rel, typed)
+
+
+def shadow_run(spark: SparkSession, sf: str) -> DataFrame:
+    return _shadow_rows(spark, sf)
+
+
+def shadow_summary(spark: SparkSession, sf: str) -> DataFrame:
+    from marlquarry.plans import methods
+
+    return methods.shadow_summary(_shadow_rows(spark, sf))
+
+
 def shadow_decision(spark: SparkSession, sf: str) -> DataFrame:
     """Each query type's deltas as those of a shadow run."""
     rows = type_deltas(spark, sf).select("query_type", "n", "delta")
@@ -152,7 +180,7 @@ def corpus_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        overlap_decision, locked_decision, shadow_decision, type_deltas, rank_movement, guard_effect, failure_tags, failure_summary, score_margins, answer_contract, evidence_movement,
+        overlap_decision, locked_decision, shadow_run, shadow_summary, shadow_decision, type_deltas, rank_movement, guard_effect, failure_tags, failure_summary, score_margins, answer_contract, evidence_movement,
         request_reuse, policy_floor, expected_behaviour, method_comparison, strategy_summary, strategy_choice, hard_case_causes, corpus_fingerprint,
     )
 }
@@ -225,3 +253,24 @@ ORACLES["hard_case_causes"] = f"""with m as ({DOC["pack_metrics"]}), x as (selec
 select query_id, case when c and p and d and (worse or few) then 'generation_contract_candidate' when not (c or p or d) then 'retrieval_or_packing_miss' when not c then 'target_grain_mismatch' else 'monitor_only' end as cause,
 concat_ws(',', case when c then 'target_child_in_pack' end, case when p then 'target_parent_in_pack' end, case when d then 'target_doc_in_pack' end, 'target_retrieval_rank_' || f, 'target_pack_rank_' || f, 'citation_recoverable', case when rw then 'query_rewrite_changed' else 'query_rewrite_not_changed' end,
 case when worse then 'generation_correctness_regression' end, case when few then 'generation_unsupported_regression' end, case when n_items between 1 and 3 then 'v2_citation_count_reduction' end, case when duplicate_doc_rate > 0 then 'v2_precision_regression' end) as tags from x"""
+
+_ASKED = "(values " + ", ".join(f"({i}, '{a}')" for i, a in enumerate(ASKS)) + ") as v(i, ask)"
+_SIDE = lambda n, run: f"{n} as (select jq.query_id, coalesce(hit_1, 0) as {n}_hit_1, coalesce(hit_3, 0) as {n}_hit_3, coalesce(hit_5, 0) as {n}_hit_5, round(coalesce(rr, 0), 6) as {n}_rr, round(coalesce(ndcg, 0), 6) as {n}_ndcg, case when rr > 0 then round(1 / rr)::int end as {n}_relevant_rank, (select count(*) from {run} r where r.query_id = jq.query_id and rank <= 5) as {n}_candidate_count from jq left join {per_query_sql(run)} m using (query_id))"
+SHADOW = f"""with {BASE}, turns as (select query_id, ask as query_text, 2 as n_places, false as has_context, null as user_context from jq join {_ASKED} on i = query_id % 5),
+{GUARDED.replace(TURNS + ', ', '')},
+hy as ({_fused("0.5 * coalesce(a.score, 0) + 0.5 * coalesce(b.score, 0) + 1e-10", _scaled("bm"), _scaled("dn")).replace(f'with {BASE} ', '')}),
+rt as (select query_id, expected, case when query_id % 5 in (0, 2) then 'relationship' when query_id % 11 = 0 then 'overview' else 'place_fact' end as query_type, predicted, guarded, guard_applied, expected = 'retrieve' and guarded = 'relationship' as candidate_route_applied from jq join gy using (query_id)),
+br as (select query_id, doc_id, rank from dn where rank <= 5 and query_id in (select query_id from rt where expected = 'retrieve')),
+sr as (select * from br where query_id not in (select query_id from rt where candidate_route_applied) union all select query_id, doc_id, rank from hy where query_id in (select query_id from rt where candidate_route_applied)),
+{_SIDE('baseline', 'br')}, {_SIDE('shadow', 'sr')},
+sh as (select rt.* exclude (guard_applied), baseline.* exclude (query_id), shadow.* exclude (query_id), case when predicted <> 'relationship' then 'not_applicable' when not guard_applied then 'allow' when guarded = 'relationship' then 'fallback' else 'block' end as guard_decision,
+  case when expected <> 'retrieve' then 'no_answer_abstain' when candidate_route_applied then 'safe_relationship_shadow_route' when predicted = 'relationship' and guard_applied and guarded <> 'relationship' then 'blocked_by_relationship_guard' else 'fallback_to_default_route' end as decision_reason_tag,
+  candidate_route_applied and query_type <> 'relationship' as false_hybrid_route, not candidate_route_applied and query_type = 'relationship' as missed_hybrid_route, expected <> 'retrieve' and shadow_candidate_count > 0 as no_answer_candidate_route
+  from rt join baseline using (query_id) join shadow using (query_id))"""
+ORACLES["shadow_run"] = f"{SHADOW} select * from sh"
+_GAIN = lambda m, n, when="expected = 'retrieve'": f"round(round(coalesce(avg(shadow_{m}) filter ({when}), 0), 6) - round(coalesce(avg(baseline_{m}) filter ({when}), 0), 6), 6) as {n}_delta"
+ORACLES["shadow_summary"] = f"""{SHADOW}, su as (select count(*) as query_count, count(*) filter (expected = 'retrieve') as answerable_query_count, count(*) filter (baseline_candidate_count > 0) as baseline_run_count, count(*) filter (shadow_candidate_count > 0) as shadow_run_count,
+count(*) filter (candidate_route_applied) as routed_count, count(*) filter (decision_reason_tag = 'blocked_by_relationship_guard') as blocked_by_guard_count, count(*) filter (decision_reason_tag = 'fallback_to_default_route') as fallback_default_count,
+count(*) filter (false_hybrid_route) as false_route_count, count(*) filter (missed_hybrid_route) as missed_route_count, count(*) filter (no_answer_candidate_route) as no_answer_candidate_route_count,
+{_GAIN('hit_1', 'recall_1')}, {_GAIN('hit_3', 'recall_3')}, {_GAIN('hit_5', 'recall_5')}, {_GAIN('rr', 'mrr')}, {_GAIN('ndcg', 'ndcg')}, {_GAIN('hit_5', 'relationship_recall', "expected = 'retrieve' and query_type = 'relationship'")} from sh)
+select *, case when false_route_count > 0 then 'reject_active_route_for_now' when relationship_recall_delta <= 0 or mrr_delta < -0.01 or ndcg_delta < -0.01 then 'keep_shadow_only' else 'ready_for_active_route_dry_run_contract' end as decision from su"""

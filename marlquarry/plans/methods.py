@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlquarry.functions.lineage import written
+from marlquarry.operators import decisions as D
 from marlquarry.operators import graph as G
 from marlquarry.operators import metrics as M
 from marlquarry.operators import retrieval as R
@@ -92,8 +94,91 @@ def compare(inputs: Inputs, qrels: DataFrame, names: list[str]) -> DataFrame:
     return made
 
 
-def routed(inputs: Inputs, routes: DataFrame) -> DataFrame:
-    """Results of each query by its execution_mode (query_id, execution_mode): dense, hybrid_weighted or abstain."""
-    dense = _dense(inputs).join(routes.filter("execution_mode = 'dense'").select("query_id"), "query_id", "left_semi")
-    hybrid = METHODS["hybrid_weighted_05"](inputs).join(routes.filter("execution_mode = 'hybrid_weighted'").select("query_id"), "query_id", "left_semi")
-    return dense.select("query_id", "doc_id", "score", "rank").unionByName(hybrid.select("query_id", "doc_id", "score", "rank"))
+def only(x: Inputs, queries: DataFrame) -> Inputs:
+    """x for queries (query_id) alone: the methods then score no others."""
+    keep = queries.select("query_id")
+    vectors = x.query_vectors.join(keep, "query_id", "left_semi") if x.query_vectors is not None else None
+    return replace(x, queries=x.queries.join(keep, "query_id", "left_semi"), query_vectors=vectors)
+
+
+#: The method of each execution mode; to abstain is to have none.
+MODES: dict[str, str] = {"dense": "dense", "hybrid_weighted": "hybrid_weighted_05"}
+
+
+def routed(x: Inputs, routes: DataFrame) -> DataFrame:
+    """Results of each query by the method of its execution mode (query_id, execution_mode); each method gets its own queries only, and
+    one that no query takes doesn't run."""
+    taken = {r[0] for r in routes.select("execution_mode").distinct().collect()}
+    made = x.queries.sparkSession.createDataFrame([], f"query_id {x.queries.schema['query_id'].dataType.simpleString()}, doc_id {x.docs.schema['doc_id'].dataType.simpleString()}, score double, rank int")
+    for mode, name in MODES.items():
+        if mode not in taken:
+            continue
+        own = METHODS[name](only(x, routes.filter(F.col("execution_mode") == mode))).select("query_id", "doc_id", "score", "rank")
+        made = made.unionByName(own)
+    return made
+
+
+#: The policy that is tried in the shadow of the default one.
+CANDIDATE = "relationship"
+
+
+def shadow_rows(x: Inputs, qrels: DataFrame, typed: DataFrame) -> DataFrame:
+    """One row per query: how the default route and a shadow route fare, and whether the shadow's was the right one.
+
+    x.queries: query_id, query_text, expected. typed: query_id, query_type (the true one), predicted, guarded, guard_applied. The default route
+    is dense for all that expect an answer; the shadow takes queries that the guard leaves as relationships to weighted fusion, and has
+    the default's results for the others, which are not searched again.
+    """
+    rows = x.queries.select("query_id", "expected").join(typed, "query_id")
+    answered = F.col("expected") == "retrieve"
+    candidate = answered & (F.col("guarded") == CANDIDATE)
+    rows = written(rows.withColumn("candidate_route_applied", F.coalesce(candidate, F.lit(False))), "shadow-routes")
+    base = written(routed(x, rows.filter(answered).select("query_id", F.lit("dense").alias("execution_mode"))), "shadow-base")
+    tried = rows.filter("candidate_route_applied").select("query_id", F.lit("hybrid_weighted").alias("execution_mode"))
+    shadow = base.join(tried.select("query_id"), "query_id", "left_anti").unionByName(routed(x, tried))
+
+    def side(ranked: DataFrame, name: str) -> DataFrame:
+        scored = M.per_query(ranked, qrels, x.queries, x.k)
+        counts = ranked.groupBy("query_id").agg(F.count("*").alias("n"))
+        both = x.queries.select("query_id").join(scored, "query_id", "left").join(counts, "query_id", "left").fillna(0)
+        first = F.when(F.col("rr") > 0, F.round(1 / F.col("rr")).cast("int"))
+        metrics = (F.round(c, 6).alias(f"{name}_{c}") for c in ("hit_1", "hit_3", "hit_5", "rr", "ndcg"))
+        return both.select("query_id", F.col("n").alias(f"{name}_candidate_count"), first.alias(f"{name}_relevant_rank"), *metrics)
+
+    made = rows.join(side(base, "baseline"), "query_id").join(side(shadow, "shadow"), "query_id")
+    relation = F.col("predicted") == CANDIDATE
+    guard = F.when(~relation, "not_applicable").when(~F.col("guard_applied"), "allow").when(F.col("guarded") == CANDIDATE, "fallback").otherwise("block")
+    tag = F.when(~answered, "no_answer_abstain").when(F.col("candidate_route_applied"), "safe_relationship_shadow_route").when(F.col("guard_decision") == "block", "blocked_by_relationship_guard")
+    made = made.withColumn("guard_decision", guard)
+    return made.withColumns(
+        {
+            "decision_reason_tag": tag.otherwise("fallback_to_default_route"),
+            "false_hybrid_route": F.col("candidate_route_applied") & (F.col("query_type") != CANDIDATE),
+            "missed_hybrid_route": ~F.col("candidate_route_applied") & (F.col("query_type") == CANDIDATE),
+            "no_answer_candidate_route": ~answered & (F.col("shadow_candidate_count") > 0),
+        }
+    ).drop("guard_applied")
+
+
+def shadow_summary(rows: DataFrame) -> DataFrame:
+    """One row: counts of routes and guards, the shadow's gains in mean metrics, and the decision. The latency isn't measured here; pass 0."""
+    answered = F.col("expected") == "retrieve"
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    mean = lambda c, when=answered: F.round(F.coalesce(F.avg(F.when(when, F.col(c))), F.lit(0.0)), 6)
+    gain = lambda m, when=answered: F.round(mean(f"shadow_{m}", when) - mean(f"baseline_{m}", when), 6)
+    relation = answered & (F.col("query_type") == CANDIDATE)
+    made = rows.agg(
+        F.count("*").alias("query_count"),
+        n(answered).alias("answerable_query_count"),
+        n(F.col("baseline_candidate_count") > 0).alias("baseline_run_count"),
+        n(F.col("shadow_candidate_count") > 0).alias("shadow_run_count"),
+        n(F.col("candidate_route_applied")).alias("routed_count"),
+        n(F.col("decision_reason_tag") == "blocked_by_relationship_guard").alias("blocked_by_guard_count"),
+        n(F.col("decision_reason_tag") == "fallback_to_default_route").alias("fallback_default_count"),
+        n(F.col("false_hybrid_route")).alias("false_route_count"),
+        n(F.col("missed_hybrid_route")).alias("missed_route_count"),
+        n(F.col("no_answer_candidate_route")).alias("no_answer_candidate_route_count"),
+        *(gain(m).alias(f"{name}_delta") for name, m in (("recall_1", "hit_1"), ("recall_3", "hit_3"), ("recall_5", "hit_5"), ("mrr", "rr"), ("ndcg", "ndcg"))),
+        F.when(F.count_if(F.col("query_type") == CANDIDATE) > 0, gain("hit_5", relation)).alias("relationship_recall_delta"),
+    )
+    return D.shadow_decision(made.withColumn("p95_delta_ms", F.lit(0.0))).drop("p95_delta_ms")
