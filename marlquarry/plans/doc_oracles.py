@@ -218,7 +218,7 @@ tl as (select w.doc_id, w.parent_no, w.part_no, w.lo, g.n, la.o, llo, lhi, coale
 gr as (select {_K}, o, lo, hi from ed where ({_K}, o) not in (select {_K}, o from tl where joins) union all select {_K}, o, llo, n from tl where joins
   union all select {_K}, 1000000000, lo, n from tl where not joins and (llo is distinct from lo or lhi is distinct from n)),
 ch as (select {_K}, row_number() over (partition by {_K} order by o) - 1 as child_no, hi - lo as n_blocks, (list_sum(l[lo + 1:hi]) + extra)::bigint as text_length, ids[lo + 1:hi] as ids from gr join gl using ({_K})),
-po as (select doc_id, coalesce(sum(n) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as before from (select doc_id, max(parent_no) + 1 as n from ch group by 1)),
+po as (select doc_id, coalesce(sum(n) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as before from (select doc_id, max(parent_no) + 1 as n from pr group by 1)),
 ci as (select *, printf('parent-%d-%06d-%02d', doc_id, (before + parent_no)::bigint, part_no) as parent_id from ch join po using (doc_id)),
 cc as (select *, printf('%s-child-%04d', parent_id, child_no) as child_id from ci)"""
 
@@ -379,11 +379,6 @@ sum(case when element_type <> 'heading1' then text_length else 0 end)::bigint as
     "child_chunks": f"""with recursive {CHILDREN}, x as (select child_id, parent_id, doc_id, unnest(ids) as block_id, generate_subscripts(ids, 1) as place from cc),
 j as (select child_id, parent_id, x.doc_id, string_agg(text, chr(10) order by place) as text, sha256(string_agg(text_hash || ':' || text_length, '|' order by place)) as text_hash, bool_or(contains(text, '�')) as broken, bool_or(element_type = 'table') as tabled from x join blocks using (block_id) group by all)
 select child_id, parent_id, doc_id, 1 as page_start, 1 as page_end, list_filter([case when broken then 'replacement_character' end, case when tabled then 'has_table' end], lambda y: y is not null) as quality_flags, text, text_hash from j""",
-    "chunk_quality": f"""with recursive {CHILDREN}, x as (select child_id, unnest(ids) as block_id from cc), s as (select *, count(*) over (partition by parent_id) as siblings from cc), z as (select list_sort(list(text_length)) as v, count(*) as n from cc),
-m as (select count(*) as child_count, count(distinct parent_id) as parent_count, 0::bigint as duplicate_child_id_count, count(*) filter (n_blocks = 0 or text_length <= 0) as empty_child_count, count(*) filter (text_length < 250 and n_blocks = 1 and siblings > 1) as short_standalone_child_count,
- (select v[cast(round_even((n - 1) * 0.5, 0) as int) + 1] from z) as child_length_p50, (select v[cast(round_even((n - 1) * 0.95, 0) as int) + 1] from z) as child_length_p95, 0::bigint as missing_source_block_ref_count, 0::bigint as cross_document_child_count, 0::bigint as header_footer_retrieval_child_count,
- (select count(distinct block_id) from x) as covered_count, (select count(*) from sg where keep) as retrievable_count from s)
-select *, round(covered_count / retrievable_count::double, 6) as coverage, {FLAG(empty_child_count='empty_child_count > 0', coverage_below_threshold='covered_count < retrievable_count', child_length_p95_above_max='child_length_p95 > 1100', short_standalone_child='short_standalone_child_count > 0')} as failures from m""",
     "evidence_pack_p0": packed(P0),
     "evidence_pack_p1": packed(P1, most="7"),
     "evidence_pack_p2": packed(P2),
@@ -521,3 +516,44 @@ cnt as (select artifact_id, count(v) as n_strings, max(length(regexp_replace(ful
 select artifact_id, coalesce(n_strings, 0) as n_strings, coalesce(depth, 0)::int as depth, coalesce(forbidden + source_like, 0) + n_blocks as public_raw_text_leakage_count, coalesce(pp, 0) as private_path_leakage_count, coalesce(sl, 0) as secret_like_leakage_count,
   coalesce(rf, 0) as forbidden_result_field_count, {FLAG(public_raw_text_leakage='coalesce(forbidden + source_like, 0) + n_blocks > 0', private_path_leakage='pp > 0', secret_like_leakage='sl > 0', forbidden_result_fields='rf > 0', unreadable_payload="artifact_id = 'cut'")} as failures
 from art left join cnt using (artifact_id)"""
+
+
+def _report(blocks: str, rows: str, leaks: int) -> str:
+    zero = "duplicate_parent_id_count duplicate_child_id_count orphan_child_count parent_without_child_count empty_child_count missing_source_block_ref_count unknown_element_ref_count invalid_page_range_count cross_document_parent_count cross_document_child_count header_footer_retrieval_child_count table_provenance_loss_count private_path_leakage_count public_sample_raw_text_count public_sample_private_path_count public_candidate_path_secret_leakage_count".split()
+    gates = {c: f"{c} > 0" for c in zero} | {"citation_recoverability_below_threshold": "citation_recoverability < 0.99", "retrievable_block_coverage_below_threshold": "retrievable_block_coverage < 1", "child_length_p95_above_max": "child_length_p95 > 1100", "short_standalone_child": "short_standalone_child_count > 0"}
+    nth = lambda kind, p: f"(select v[cast(round_even((len(v) - 1) * {p}, 0) as int) + 1] from (select list_sort(list(text_length)) as v from k where kind = '{kind}'))"
+    return f"""with recursive {CHILDREN},
+gp as (select doc_id, parent_no, part_no, list(block_id order by line) as ids, sum(text_length)::bigint as text_length, list(block_id order by line) filter (element_type = 'heading1') as heads from pb group by all),
+pa as (select printf('parent-%d-%06d-%02d', gp.doc_id, (before + parent_no)::bigint, part_no) as parent_id, gp.*, (select count(*) from ch c where c.doc_id = gp.doc_id and c.parent_no = gp.parent_no and c.part_no = gp.part_no) as n from gp join po using (doc_id)),
+fb as ({blocks}),
+rw as (select 'parent' as kind, parent_id, null::varchar as child_id, doc_id, text_length, n, ids, []::varchar[] as heads, -1 as child_no from pa
+  union all select 'child', cc.parent_id, child_id, cc.doc_id, cc.text_length, n_blocks, cc.ids, coalesce(pa.heads, []), child_no from cc join pa using (parent_id)),
+rx as ({rows}),
+k as (select *, row_number() over () as rid, count(*) over (partition by kind, parent_id) as siblings from rx where kind = 'child' or n > 0),
+rf as (select rid, unnest(ids) as block_id, generate_subscripts(ids, 1) as pos from k),
+rj as (select rf.*, fb.block_id is null as gone, fb.doc_id as block_doc, element_type, no_refs, no_file, broken, 1 < page_start or 1 > page_end as outside, fb.text_hash, fb.text_length as bl from rf join k using (rid) left join fb on fb.block_id = rf.block_id),
+ag as (select rid, count(*) filter (gone) as missing, count(distinct block_doc) as docs, count(*) filter (no_refs) as unknown, count(*) filter (not gone and (no_refs or no_file or outside)) as lost, count(*) filter (not gone and outside) as outside, count(*) filter (broken) as broken,
+  string_agg(case when gone then '' else text_hash || ':' || bl end, '|' order by pos) as h from rj group by all),
+hd as (select rid, string_agg(text_hash || ':' || text_length, '|' order by line) as h from (select rid, unnest(heads) as block_id from k) join fb using (block_id) group by all),
+z as (select k.*, missing, docs, unknown, lost, outside, broken, concat_ws('|', hd.h, ag.h) as h from k join ag using (rid) left join hd using (rid)),
+us as (select distinct unnest(ids) as block_id from k where kind = 'child'),
+c as (select count(*) filter (kind = 'parent') as parent_chunk_count, count(*) filter (kind = 'child') as child_chunk_count, count(*) filter (kind = 'parent') - count(distinct parent_id) filter (kind = 'parent') as duplicate_parent_id_count,
+  count(*) filter (kind = 'child') - count(distinct child_id) filter (kind = 'child') as duplicate_child_id_count, 0::bigint as parent_without_child_count, count(*) filter (kind = 'child' and (n = 0 or text_length <= 0)) as empty_child_count,
+  coalesce(sum(missing) filter (kind = 'child'), 0)::bigint as missing_source_block_ref_count, coalesce(sum(unknown) filter (kind = 'child'), 0)::bigint as unknown_element_ref_count, count(*) filter (page_end < page_start or outside > 0) as invalid_page_range_count,
+  count(*) filter (kind = 'parent' and docs > 1) as cross_document_parent_count, count(*) filter (kind = 'child' and docs > 1) as cross_document_child_count, 0::bigint as header_footer_retrieval_child_count,
+  count(*) filter (kind = 'parent' and text_length < 250) as micro_parent_count, count(*) filter (kind = 'child' and text_length < 250 and n = 1 and siblings > 1) as short_standalone_child_count,
+  count(*) filter (kind = 'child') - count(distinct h) filter (kind = 'child') as duplicate_child_text_hash_count,
+  round(count(*) filter (kind = 'child' and missing = 0 and lost = 0) / count(*) filter (kind = 'child')::double, 6) as citation_recoverability, round(count(*) filter (kind = 'child' and broken > 0) / count(*) filter (kind = 'child')::double, 6) as replacement_char_child_rate from z),
+m as (select c.*, (select count(*) from k where kind = 'child' and parent_id not in (select parent_id from k where kind = 'parent')) as orphan_child_count, (select count(*) from rx where kind = 'parent' and n = 0) as filtered_parent_count,
+  (select count(*) from fb) as source_block_count, (select count(*) from sg where keep) as retrievable_block_count, (select count(*) from sg where keep and block_id in (select block_id from us)) as covered_retrievable_block_count,
+  (select count(*) from fb where element_type = 'table' and block_id not in (select block_id from us)) as table_provenance_loss_count, {nth('child', 0.5)} as child_length_p50, {nth('child', 0.95)} as child_length_p95, {nth('parent', 0.5)} as parent_length_p50, {nth('parent', 0.95)} as parent_length_p95,
+  {leaks}::bigint as private_path_leakage_count, 0::bigint as public_sample_raw_text_count, 0::bigint as public_sample_private_path_count, 0::bigint as public_candidate_path_secret_leakage_count from c),
+y as (select *, round(covered_retrievable_block_count / retrievable_block_count::double, 6) as retrievable_block_coverage from m)
+select *, {FLAG(**gates)} as failures from y"""
+
+
+_SPOILT = """select * replace (case when child_no = 0 and doc_id % 73 = 4 then list_append(ids, 'lost') when child_no = 0 and doc_id % 71 = 5 then list_append(ids, 'block-' || (doc_id + 1) || '-00000') else ids end as ids), 1 as page_start, case when doc_id % 89 = 3 then 0 else 1 end as page_end
+  from (select * from rw where not (kind = 'parent' and doc_id % 83 = 1) union all select * from rw where child_no = 0 and doc_id % 79 = 2)"""
+_FULL = "select blocks.*, contains(text, '�') as broken, {} as no_refs, {} as no_file from blocks"
+ORACLES["chunk_quality"] = _report(_FULL.format("false", "false"), "select *, 1 as page_start, 1 as page_end from rw", 0)
+ORACLES["chunk_report"] = _report(_FULL.format("doc_id % 97 = 5", "doc_id % 101 = 7"), _SPOILT, 2)

@@ -90,17 +90,37 @@ def parent_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def child_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    rows = C.with_ids(C.children(blocks(spark, sf), C.ChunkPolicy()))
+    rows = C.chunks(blocks(spark, sf), C.ChunkPolicy()).filter("child_no >= 0")
     return C.assemble(rows, blocks(spark, sf))
 
 
 def child_groups(spark: SparkSession, sf: str) -> DataFrame:
-    rows = C.with_ids(C.children(blocks(spark, sf), C.ChunkPolicy()))
+    rows = C.chunks(blocks(spark, sf), C.ChunkPolicy()).filter("child_no >= 0")
     return rows.select("child_id", "parent_id", "doc_id", "n_blocks", "text_length")
 
 
+def _report_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    made = blocks(spark, sf).join(I.documents(spark, sf).select("doc_id", "source"), "doc_id")
+    refs = F.when(F.pmod("doc_id", F.lit(97)) == 5, F.array().cast("array<string>")).otherwise(F.array("block_id"))
+    return made.withColumns({"element_refs": refs, "source_file": F.when(F.pmod("doc_id", F.lit(101)) != 7, F.col("source"))})
+
+
+def chunk_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of the documents' chunks, in which a few are spoilt in each way that it counts."""
+    of = lambda n: F.pmod("doc_id", F.lit(n))
+    rows = C.chunks(blocks(spark, sf), C.ChunkPolicy()).withColumns({"page_start": F.lit(1), "page_end": F.when(of(89) == 3, 0).otherwise(1)})
+    rows = rows.filter(~((F.col("child_no") < 0) & (of(83) == 1)))
+    strange = F.when(of(73) == 4, F.array(F.lit("lost"))).when(of(71) == 5, F.array(F.format_string("block-%d-00000", F.col("doc_id") + 1))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("block_ids", F.when(F.col("child_no") == 0, F.concat("block_ids", strange)).otherwise(F.col("block_ids")))
+    again = rows.filter((F.col("child_no") == 0) & (of(79) == 2))
+    return C.chunk_report(_report_blocks(spark, sf), rows.unionByName(again), C.ChunkPolicy(), {"private_path_leakage_count": 2})
+
+
 def chunk_quality(spark: SparkSession, sf: str) -> DataFrame:
-    return C.chunk_quality(blocks(spark, sf), C.with_ids(C.children(blocks(spark, sf), C.ChunkPolicy())), C.ChunkPolicy())
+    """The report of the documents' chunks as they are."""
+    whole = blocks(spark, sf).withColumns({"element_refs": F.array("block_id"), "source_file": F.lit("documents")})
+    rows = C.chunks(whole, C.ChunkPolicy()).withColumns({"page_start": F.lit(1), "page_end": F.lit(1)})
+    return C.chunk_report(whole, rows, C.ChunkPolicy())
 
 
 def chunk_ablation(spark: SparkSession, sf: str) -> DataFrame:
@@ -392,7 +412,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         normalize_pages, page_elements, page_offsets, block_quality, parser_quality, leak_scan, line_leaks, consecutive_blocks, artifact_quality, stratified_sample, parent_segments,
-        child_chunks, child_groups, chunk_quality, chunk_ablation, pack_metrics, public_pack_rows, pack_summary, evidence_context, evidence_stats, citation_eval, citation_summary,
+        child_chunks, child_groups, chunk_quality, chunk_report, chunk_ablation, pack_metrics, public_pack_rows, pack_summary, evidence_context, evidence_stats, citation_eval, citation_summary,
         classify_turns, guard_turns, route_turns, rewrite_followups, rewrite_summary, name_mentions, confusion_matrix, class_prf, label_summary, tradeoff_tags, guardrail_routes, regression_tags, postings_expand, graph_score,
         graph_community, wer_cer, cer, char_f1, speech_ratio, score_aggregates, dataset_profile, dataset_shortfall, order_subset, input_faults, benchmark_rubric, resolvability, table_manifest,
         catalog_quality, event_tumbling, event_sliding, event_session, event_as_of,

@@ -272,15 +272,19 @@ def test_chunks_end_to_end(spark):
     policy = C.ChunkPolicy()
     parents = {(r.doc_id, r.segment): (r.heading_block_id, r.n_blocks) for r in C.parent_segments(blocks, policy).collect()}
     assert parents == {(1, 0): (None, 1), (1, 1): ("1-1", 4), (2, 0): (None, 2)}
-    kids = C.with_ids(C.children(blocks, policy))
+    kids = C.chunks(blocks, policy).filter("child_no >= 0")
     got = sorted((r.child_id, r.block_ids, r.context_ids) for r in kids.collect())
     assert got == [("parent-1-000000-00-child-0000", ["1-0"], []), ("parent-1-000001-00-child-0000", ["1-2"], ["1-1"]), ("parent-1-000001-00-child-0001", ["1-2", "1-3"], ["1-1"]), ("parent-2-000002-00-child-0000", ["2-1"], [])]
     made = {r.child_id: r for r in C.assemble(kids, blocks).collect()}
     last = made["parent-1-000001-00-child-0001"]
     assert last.quality_flags == ["has_table"] and (last.page_start, last.page_end) == (2, 3) and last.text == "x" * 800 + "\n" + "x" * 100
-    report = C.chunk_quality(blocks, kids, policy).first()
-    assert report.coverage == 1.0 and report.failures == "" and report.child_count == 4
-    again = C.with_ids(C.children(blocks.orderBy(F.desc("block_id")).repartition(4), policy))
+    rows = C.chunks(blocks, policy).withColumns({"page_start": F.lit(1), "page_end": F.lit(9)})
+    whole = blocks.withColumns({"element_refs": F.array("block_id"), "source_file": F.lit("f")})
+    report = C.chunk_report(whole, rows, policy).first()
+    assert report.retrievable_block_coverage == 1.0 and report.failures == "" and (report.child_chunk_count, report.parent_chunk_count, report.filtered_parent_count) == (4, 3, 0)
+    nothing = C.chunk_report(whole.limit(0), rows.limit(0), policy).first()
+    assert (nothing.child_chunk_count, nothing.citation_recoverability, nothing.child_length_p95, nothing.failures) == (0, 1.0, None, "")
+    again = C.chunks(blocks.orderBy(F.desc("block_id")).repartition(4), policy).filter("child_no >= 0")
     assert sorted((r.child_id, r.block_ids, r.context_ids) for r in again.collect()) == got
 
 
