@@ -7,10 +7,12 @@ is at most 1, 'binary' looks at the first hit only.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlquarry.functions.scalars import dcg_gain, flags, pct_nearest
+from marlquarry.functions.scalars import dcg_gain, flags, nearest_percentiles
 
 
 def ideal_dcg(qrels: DataFrame, k: int = 5, variant: str = "standard") -> DataFrame:
@@ -139,15 +141,54 @@ def bootstrap_ci(values: DataFrame, resamples: int = 10_000, seed: int = 42, mul
     return values.agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n")).join(interval)
 
 
+def _resampled(seed: int, n: int, totals: list[int], step: int):
+    """Sums of one range of values over the draws that each of a block of resamples takes from it."""
+
+    def run(key: tuple, hist: pa.Table) -> pa.Table:
+        part, block = key[0].as_py(), key[1].as_py()
+        hist = hist.sort_by("value")
+        values, share = hist["value"].to_numpy(), hist["c"].to_numpy() / totals[part]
+        weights = np.array(totals) / n
+        sums = []
+        for i in range(block * step, (block + 1) * step):
+            # A resample's draws depend on the seed, its number and the range alone.
+            own = np.random.Generator(np.random.Philox(key=[seed, i])).multinomial(n, weights)[part]
+            taken = np.random.Generator(np.random.Philox(key=[seed + 1 + part, i])).multinomial(own, share)
+            sums.append(float(taken @ values))
+        return pa.table([pa.array(range(block * step, (block + 1) * step), pa.int64()), pa.array(sums, pa.float64())], names=["i", "s"])
+
+    return run
+
+
+def bootstrap_interval(values: DataFrame, resamples: int = 10_000, seed: int = 42, most: int = 50_000, step: int = 500) -> DataFrame:
+    """mean, n, ci_low, ci_high: the mean of values (value) and the 2.5 and 97.5 percentiles of resampled means, interpolated.
+
+    A resample of n draws is a multinomial count of the distinct values, so it costs a draw for each of these and not one for
+    each row. Distinct values are dealt to ranges of about `most`; a resample's draws fall to the ranges by a multinomial too, and each range
+    counts its own, which together is the same. Rows made: resamples for each range. Draws come from counters, so any task, and a task that
+    runs again, makes the same. Null values are left out; without values the interval is null.
+    """
+    if resamples % step:
+        raise ValueError("resamples must be a multiple of step")
+    hist = values.filter("value is not null").groupBy(F.col("value").cast("double").alias("value")).agg(F.count("*").alias("c"))
+    ranges = max(1, -(-hist.count() // most))
+    hist = hist.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(ranges)).cast("int"))
+    found = {r["part"]: r["n"] for r in hist.groupBy("part").agg(F.sum("c").alias("n")).collect()}
+    totals = [found.get(p, 0) for p in range(ranges)]
+    blocks = hist.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(resamples // step - 1))))
+    means = blocks.groupBy("part", "block").applyInArrow(_resampled(seed, sum(totals), totals, step), "i long, s double").groupBy("i").agg((F.sum("s") / max(1, sum(totals))).alias("m"))
+    ends = means.agg(*(F.round(F.percentile("m", F.lit(p)), 6).alias(c) for c, p in (("ci_low", 0.025), ("ci_high", 0.975))))
+    return values.agg(F.round(F.avg("value"), 6).alias("mean"), F.count("value").alias("n")).join(ends)
+
+
 def latency_percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
     """p50 and p95 of value by group, nearest-rank and interpolated."""
-    return rows.groupBy(by).agg(
-        F.count("*").alias("n"),
-        F.round(pct_nearest(value, 0.5), 6).alias("p50_nearest"),
-        F.round(pct_nearest(value, 0.95), 6).alias("p95_nearest"),
-        F.round(F.percentile(value, F.lit(0.5)), 6).alias("p50_linear"),
-        F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95_linear"),
+    linear = rows.groupBy(by).agg(
+        F.count("*").alias("n"), F.round(F.percentile(value, F.lit(0.5)), 6).alias("p50_linear"), F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95_linear")
     )
+    near = nearest_percentiles(rows, [by], value, {"p50_nearest": 0.5, "p95_nearest": 0.95}).withColumnRenamed(by, "_by")
+    made = linear.join(near, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return made.select(by, "n", *(F.round(c, 6).alias(c) for c in ("p50_nearest", "p95_nearest")), "p50_linear", "p95_linear")
 
 
 def grain_coverage(ranked: DataFrame, grains: DataFrame, targets: DataFrame, queries: DataFrame) -> DataFrame:

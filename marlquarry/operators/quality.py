@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlquarry.functions.scalars import flags, pct_nearest
+from marlquarry.functions.scalars import flags, nearest_percentiles
 
 
 def dataset_profile(items: DataFrame, *columns: str) -> DataFrame:
@@ -121,14 +121,15 @@ def catalog_quality(places: DataFrame, aliases: DataFrame, edges: DataFrame) ->
 
 def score_aggregates(scores: DataFrame, by: str, value: str) -> DataFrame:
     """n, mean, least, largest, median and population deviation by group; the deviation of one value is null."""
-    return scores.groupBy(by).agg(
+    made = scores.groupBy(by).agg(
         F.count(value).alias("n"),
         F.round(F.avg(value), 6).alias("mean"),
         F.min(value).alias("least"),
         F.max(value).alias("largest"),
-        pct_nearest(value, 0.5).alias("p50"),
         F.when(F.count(value) > 1, F.round(F.stddev_pop(value), 6)).alias("stddev"),
     )
+    middle = nearest_percentiles(scores, [by], value, {"p50": 0.5}).withColumnRenamed(by, "_by")
+    return made.join(middle, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
 
 
 def score_decision(rows: DataFrame, accept: float, reject: float, expected: int) -> DataFrame:

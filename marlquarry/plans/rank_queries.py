@@ -168,6 +168,11 @@ def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     return M.bootstrap_ci(values)
 
 
+def bootstrap_interval(spark: SparkSession, sf: str) -> DataFrame:
+    """The interval of the mean value of purchases, among the table's events."""
+    return M.bootstrap_interval(I.table(spark, sf, "events").filter("event_type = 'purchase'").select(F.round("value", 2).alias("value")))
+
+
 def grain_coverage(spark: SparkSession, sf: str) -> DataFrame:
     docs = I.documents(spark, sf)
     grains = docs.select("doc_id", F.concat("source", F.lit(":"), "lang").alias("parent_id"), F.col("source").alias("root_id"))
@@ -185,7 +190,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         token_stats, document_frequencies, bm25_topk, bm25_zero_pad, dense_topk, hybrid_rrf, hybrid_weighted, rerank_scorer, context_boost, maxsim,
         tfidf_weights, svd_dense, encode_edits, qrels, ir_per_query, ir_metrics, ir_metrics_unique, ir_metrics_binary, ir_metrics_by_group, abstain_counts,
-        metric_deltas, paired_metrics, metric_facts, hit_overlap, overlap_summary, bootstrap_ci, grain_coverage, latency_percentiles,
+        metric_deltas, paired_metrics, metric_facts, hit_overlap, overlap_summary, bootstrap_ci, bootstrap_interval, grain_coverage, latency_percentiles,
     )
 }
 
