@@ -557,3 +557,4 @@ _SPOILT = """select * replace (case when child_no = 0 and doc_id % 73 = 4 then l
 _FULL = "select blocks.*, contains(text, '�') as broken, {} as no_refs, {} as no_file from blocks"
 ORACLES["chunk_quality"] = _report(_FULL.format("false", "false"), "select *, 1 as page_start, 1 as page_end from rw", 0)
 ORACLES["chunk_report"] = _report(_FULL.format("doc_id % 97 = 5", "doc_id % 101 = 7"), _SPOILT, 2)
+ORACLES["event_session_stream"] = ORACLES["event_session"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlquarry.functions import scalars as S
-from marlquarry.functions.lineage import written
+from marlquarry.functions.lineage import shared_folder, written
 from marlquarry.operators import artifacts as A
 from marlquarry.operators import chunking as C
 from marlquarry.operators import evidence as E
@@ -401,6 +401,17 @@ def event_session(spark: SparkSession, sf: str) -> DataFrame:
     return W.sessions(I.table(spark, sf, "events"))
 
 
+def event_session_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The sessions as a stream writes them: one run takes the events, the next, from the same checkpoint, closes what is open."""
+    folder, events = shared_folder(spark, "sessions"), f"{sf}/events.parquet*"
+    paths = events, f"{folder}/ticks", f"{folder}/out", f"{folder}/mark"
+    W.stream_sessions(spark, *paths)
+    W.close_sessions(spark, *paths[:2])
+    kind = I.table(spark, sf, "events").schema["ts"].dataType
+    found = W.stream_sessions(spark, *paths)
+    return found.select("user_id", F.col("session_start").cast(kind).alias("session_start"), F.col("session_end").cast(kind).alias("session_end"), "n")
+
+
 def event_as_of(spark: SparkSession, sf: str) -> DataFrame:
     e = I.table(spark, sf, "events")
     left = e.filter("event_type <> 'purchase'").select("event_id", "user_id", "ts")
@@ -415,7 +426,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         child_chunks, child_groups, chunk_quality, chunk_report, chunk_ablation, pack_metrics, public_pack_rows, pack_summary, evidence_context, evidence_stats, citation_eval, citation_summary,
         classify_turns, guard_turns, route_turns, rewrite_followups, rewrite_summary, name_mentions, confusion_matrix, class_prf, label_summary, tradeoff_tags, guardrail_routes, regression_tags, postings_expand, graph_score,
         graph_community, wer_cer, cer, char_f1, speech_ratio, score_aggregates, dataset_profile, dataset_shortfall, order_subset, input_faults, benchmark_rubric, resolvability, table_manifest,
-        catalog_quality, event_tumbling, event_sliding, event_session, event_as_of,
+        catalog_quality, event_tumbling, event_sliding, event_session, event_session_stream, event_as_of,
     )
 } | {"tree_parent": _tree("parent_summary"), "tree_summary": _tree("summary_node")} | {f"evidence_pack_p{k}": _pack(p) for k, p in enumerate(E.POLICIES)}
 

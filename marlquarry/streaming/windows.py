@@ -40,3 +40,31 @@ def stream_tumbling(spark: SparkSession, path: str, width: str = "1 hour", late:
     events = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     made = events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"))
     return made.select(F.col("w.start").alias("window_start"), "event_type", "n")
+
+
+def stream_sessions(spark: SparkSession, events: str, ticks: str, output: str, checkpoint: str, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
+    """Run the sessions of a stream of Parquet files as far as they have come, and return what is closed: user_id, session_start, session_end, n.
+
+    events and ticks: folders or patterns of files with user_id and ts. A session is closed, and written once, when the watermark, `late` behind the
+    greatest time seen, has passed its end by gap; until then it is state, kept with the checkpoint, and the next run goes on with it. Rows
+    that come later than the watermark are dropped. Rows of ticks count as no events but move the watermark, see close_sessions().
+    """
+    spark.createDataFrame([], "user_id long, ts timestamp").write.mode("ignore").parquet(ticks)
+
+    def side(path: str, tick: bool) -> DataFrame:
+        rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+        return rows.select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.lit(tick).alias("tick"))
+
+    rows = side(events, False).unionByName(side(ticks, True)).withWatermark("ts", late)
+    # Ticks go by what was counted: a filter on a key would be pushed below the watermark, which then would not see them.
+    made = rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count_if(~F.col("tick")).alias("n"), F.max("ts").alias("session_end"))
+    made = made.filter("n > 0").select("user_id", F.col("w.start").alias("session_start"), "session_end", "n")
+    query = made.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(made.schema).parquet(output)
+
+
+def close_sessions(spark: SparkSession, events: str, ticks: str, gap: str = "6 hours", late: str = "1 hour") -> None:
+    """Write a tick so late that the next run of stream_sessions() closes all sessions of the events that are there now."""
+    after = F.max(F.col("ts").cast("timestamp")) + F.expr(f"interval {gap}") + F.expr(f"interval {late}") + F.expr("interval 1 day")
+    spark.read.parquet(events).agg(F.lit(None).cast("long").alias("user_id"), after.alias("ts")).filter("ts is not null").write.mode("append").parquet(ticks)
