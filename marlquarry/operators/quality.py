@@ -215,6 +215,62 @@ def spoken_naturalness(text: Column, abstained: Column) -> Column:
     return F.when((t != "") & plain & fits, 1.0).otherwise(0.0)
 
 
+#: The risk that stands for an unsupported claim, and the least and most characters of a useful answer.
+HIGH, ANSWER_LEAST, ANSWER_MOST = "high", 20, 1200
+
+
+def generation_records(answers: DataFrame, targets: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row per query: how an answer cites, whether it is right, and whether a guide could use it.
+
+    answers: query_id, abstained, citations, answer, spoken_answer, risk, place_ids; targets as in citation_scores(); queries: query_id,
+    expected, query_type, place_ids. A query without an answer counts as abstained. An answer is correct with evidence if it was expected,
+    cites a target, and isn't of high risk; it is an unsupported claim if of high risk or, where one was expected, citing no target.
+    """
+    none = F.array().cast("array<string>")
+    asked = queries.select("query_id", "query_type", F.array_distinct(F.coalesce("place_ids", none)).alias("wanted"))
+    given = answers.select("query_id", F.coalesce("abstained", F.lit(True)).alias("ab"), "answer", "spoken_answer", "risk", F.coalesce("place_ids", none).alias("places"), F.transform("citations", lambda c: c["doc_id"].cast("string")).alias("cited"))
+    rows = citation_scores(answers, targets, queries.select("query_id", "expected")).drop("unsupported_claim").join(asked, "query_id").join(given, "query_id", "left").fillna(True, ["ab"])
+    retrieve, high = F.col("expected") == "retrieve", F.coalesce(F.col("risk") == HIGH, F.lit(False))
+    text = F.trim(F.coalesce("answer", F.lit("")))
+    relevance = F.when(F.size("wanted") == 0, 1.0).when(F.col("ab"), 0.0).otherwise(F.round(F.coalesce(F.size(F.array_intersect("wanted", "places")), F.lit(0)) / F.greatest(F.size("wanted"), F.lit(1)), 6))
+    rows = rows.withColumns({
+        "correct_with_evidence": retrieve & ~F.col("ab") & (F.col("n_citations") > 0) & (F.col("citation_precision") > 0) & (F.col("citation_recall") > 0) & ~high,
+        "place_relevance": relevance,
+        "spoken_naturalness": spoken_naturalness(F.col("spoken_answer"), F.col("ab")),
+        "unsupported_claim": ~F.col("ab") & (high | (retrieve & (F.col("citation_precision") == 0))),
+        "high_risk": high,
+    })
+    useful = F.col("correct_with_evidence") & (F.col("place_relevance") > 0) & (F.col("spoken_naturalness") > 0) & ~F.col("unsupported_claim") & F.length(text).between(ANSWER_LEAST, ANSWER_MOST)
+    digest = F.sha2(F.concat_ws("\x1f", F.coalesce("answer", F.lit("")), F.coalesce("spoken_answer", F.lit("")), F.array_join(F.coalesce("cited", none), ",")), 256)
+    return rows.select(
+        "query_id", "query_type", "expected", F.col("ab").alias("abstained"), "n_citations", "citation_precision", "citation_recall", "abstention_correct", "correct_with_evidence", "place_relevance", "spoken_naturalness",
+        F.when(F.col("expected") == "abstain", F.col("abstention_correct") & ~F.col("unsupported_claim")).otherwise(useful).cast("double").alias("usefulness"), "unsupported_claim", "high_risk",
+        F.length(F.coalesce("answer", F.lit(""))).alias("answer_chars"), F.length(F.coalesce("spoken_answer", F.lit(""))).alias("spoken_chars"), F.substring(digest, 1, 16).alias("answer_fingerprint"),
+    )
+
+
+def generation_summary(records: DataFrame) -> DataFrame:
+    """Means and counts by query type and, as 'all', over all. Citation means and correctness look at queries that expect an answer."""
+    retrieve = F.col("expected") == "retrieve"
+    mean = lambda c, when=F.lit(True): F.round(F.coalesce(F.avg(F.when(when, F.col(c).cast("double"))), F.lit(0.0)), 6)
+    made = records.groupingSets([["query_type"], []], "query_type").agg(
+        F.count("*").alias("eval_count"),
+        F.count_if(retrieve).alias("answerable_count"),
+        F.count_if(F.col("expected") == "abstain").alias("no_answer_count"),
+        F.count_if(~F.col("abstained")).alias("answered_count"),
+        F.count_if("abstained").alias("abstained_count"),
+        mean("correct_with_evidence", retrieve).alias("correct_with_evidence_rate"),
+        *(mean(c, retrieve).alias(c) for c in ("citation_precision", "citation_recall")),
+        *(mean(c).alias(c) for c in ("place_relevance", "usefulness", "spoken_naturalness")),
+        mean("unsupported_claim").alias("unsupported_claim_rate"),
+        mean("abstention_correct").alias("abstention_accuracy"),
+        F.count_if(retrieve & ~F.col("abstained") & (F.col("n_citations") == 0)).alias("missing_citation_count"),
+        F.count_if("high_risk").alias("unsupported_high_count"),
+        F.grouping("query_type").alias("g"),
+    )
+    return made.withColumn("query_type", F.when(F.col("g") == 1, "all").otherwise(F.col("query_type"))).drop("g")
+
+
 def tradeoff_tags(pairs: DataFrame) -> DataFrame:
     """Paired rows with tags of what changed and the surface where a loss lies.
 

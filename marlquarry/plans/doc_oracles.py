@@ -558,3 +558,24 @@ _FULL = "select blocks.*, contains(text, '�') as broken, {} as no_refs, {} as
 ORACLES["chunk_quality"] = _report(_FULL.format("false", "false"), "select *, 1 as page_start, 1 as page_end from rw", 0)
 ORACLES["chunk_report"] = _report(_FULL.format("doc_id % 97 = 5", "doc_id % 101 = 7"), _SPOILT, 2)
 ORACLES["event_session_stream"] = ORACLES["event_session"]
+
+_ANSWERED = """ct as (select query_id, string_agg(doc_id, ',' order by case when query_id % 2 = 0 then -pack_rank else pack_rank end) as cited, arg_min(root_id, case when query_id % 2 = 0 then -pack_rank else pack_rank end) as place from packed where query_id % 2 = 1 or pack_rank in (1, 2) group by all),
+wp as (select query_id, list_distinct([min(root_id), max(root_id)]) as w from tgt group by all),
+ga as (select ce.*, eq.query_type, b.text as q, not exists (select 1 from packed p where p.query_id = ce.query_id) as ab, ce.query_id % 7 = 0 as high, coalesce(cited, '') as cited, place, case when ce.query_id % 5 <> 0 then w end as w
+  from ce join eq using (query_id) join benchmark b on b.item_id = ce.query_id left join ct using (query_id) left join wp using (query_id)),
+gb as (select *, case when ab then '' else q end as answer, split_part(q, '.', 1) || '.' as spoken, expected = 'retrieve' as re from ga),
+gc as (select *, re and not ab and n_citations > 0 and citation_precision > 0 and citation_recall > 0 and not high as correct_with_evidence, case when w is null then 1.0 when ab then 0.0 else round(list_contains(w, place)::int / len(w)::double, 6) end as place_relevance,
+  case when not regexp_matches(trim(spoken), '[\\n\\r\\[\\]]') and not contains(spoken, 'http://') and not contains(spoken, 'https://') and length(trim(spoken)) between case when ab then 10 else 15 end and case when ab then 160 else 260 end then 1.0 else 0.0 end as spoken_naturalness,
+  not ab and (high or (re and citation_precision = 0)) as claim from gb)"""
+_CITED = ORACLES["citation_eval"][len(PACK0) + 2 :]
+_HEAD, _LAST = _CITED.rsplit("\nselect ", 1)
+GENERATED = f"{PACK0}, {_HEAD}, ce as (select {_LAST}), {_ANSWERED}"
+_RECORD = """select query_id, query_type, expected, ab as abstained, n_citations, citation_precision, citation_recall, abstention_correct, correct_with_evidence, place_relevance, spoken_naturalness,
+(case when not re then abstention_correct and not claim else correct_with_evidence and place_relevance > 0 and spoken_naturalness > 0 and not claim and length(trim(answer)) between 20 and 1200 end)::int::double as usefulness, claim as unsupported_claim, high as high_risk,
+length(answer) as answer_chars, length(spoken) as spoken_chars, sha256(answer || chr(31) || spoken || chr(31) || cited)[1:16] as answer_fingerprint from gc"""
+ORACLES["generation_record"] = f"{GENERATED} {_RECORD}"
+_GM = lambda c, n, when="true": f"round(coalesce(avg({c}::double) filter ({when}), 0), 6) as {n}"
+ORACLES["generation_summary"] = f"""{GENERATED}, gr as ({_RECORD}) select coalesce(query_type, 'all') as query_type, count(*) as eval_count, count(*) filter (expected = 'retrieve') as answerable_count, count(*) filter (expected = 'abstain') as no_answer_count,
+count(*) filter (not abstained) as answered_count, count(*) filter (abstained) as abstained_count, {_GM('correct_with_evidence::int', 'correct_with_evidence_rate', "expected = 'retrieve'")}, {_GM('citation_precision', 'citation_precision', "expected = 'retrieve'")}, {_GM('citation_recall', 'citation_recall', "expected = 'retrieve'")},
+{_GM('place_relevance', 'place_relevance')}, {_GM('usefulness', 'usefulness')}, {_GM('spoken_naturalness', 'spoken_naturalness')}, {_GM('unsupported_claim::int', 'unsupported_claim_rate')}, {_GM('abstention_correct::int', 'abstention_accuracy')},
+count(*) filter (expected = 'retrieve' and not abstained and n_citations = 0) as missing_citation_count, count(*) filter (high_risk) as unsupported_high_count from gr group by grouping sets ((query_type), ())"""

@@ -193,6 +193,26 @@ def citation_summary(spark: SparkSession, sf: str) -> DataFrame:
     return Q.citation_summary(citation_eval(spark, sf))
 
 
+def generation_record(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers that are the passages asked with, spoken as their first sentences, and cite packed evidence."""
+    ranked, corpus, targets, queries = _evidence(spark, sf)
+    told = I.passages(spark, sf).select("query_id", "query_text")
+    chosen = F.when(F.pmod("query_id", F.lit(2)) == 0, F.array(F.lit(2), F.lit(1)))
+    drafts = queries.join(told, "query_id").select("query_id", F.col("query_text").alias("answer"), chosen.alias("selected"))
+    answers = Q.assemble_answers(E.pack(ranked, corpus, E.POLICIES[0]), drafts).join(told, "query_id")
+    answers = answers.withColumns({
+        "spoken_answer": F.concat(F.substring_index("query_text", ".", 1), F.lit(".")), "risk": F.when(F.pmod("query_id", F.lit(7)) == 0, "high").otherwise("low"),
+        "place_ids": F.slice(F.transform("citations", lambda c: c["root_id"]), 1, 1),
+    })
+    places = targets.groupBy("query_id").agg(F.array_distinct(F.array(F.min("root_id"), F.max("root_id"))).alias("p"))
+    wanted = F.when(F.pmod("query_id", F.lit(5)) != 0, F.col("p"))
+    return Q.generation_records(answers, targets, queries.join(places, "query_id", "left").select("query_id", "expected", "query_type", wanted.alias("place_ids")))
+
+
+def generation_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.generation_summary(generation_record(spark, sf))
+
+
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
     rows = I.table(spark, sf, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -423,7 +443,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         normalize_pages, page_elements, page_offsets, block_quality, parser_quality, leak_scan, line_leaks, consecutive_blocks, artifact_quality, stratified_sample, parent_segments,
-        child_chunks, child_groups, chunk_quality, chunk_report, chunk_ablation, pack_metrics, public_pack_rows, pack_summary, evidence_context, evidence_stats, citation_eval, citation_summary,
+        child_chunks, child_groups, chunk_quality, chunk_report, chunk_ablation, pack_metrics, public_pack_rows, pack_summary, evidence_context, evidence_stats, citation_eval, citation_summary, generation_record, generation_summary,
         classify_turns, guard_turns, route_turns, rewrite_followups, rewrite_summary, name_mentions, confusion_matrix, class_prf, label_summary, tradeoff_tags, guardrail_routes, regression_tags, postings_expand, graph_score,
         graph_community, wer_cer, cer, char_f1, speech_ratio, score_aggregates, dataset_profile, dataset_shortfall, order_subset, input_faults, benchmark_rubric, resolvability, table_manifest,
         catalog_quality, event_tumbling, event_sliding, event_session, event_session_stream, event_as_of,
