@@ -250,7 +250,8 @@ def generation_records(answers: DataFrame, targets: DataFrame, queries: DataFram
 
 
 def generation_summary(records: DataFrame) -> DataFrame:
-    """Means and counts by query type and, as 'all', over all. Citation means and correctness look at queries that expect an answer."""
+    """Means and counts by query type and, as 'all', over all. Citation means and correctness look at queries that expect an answer.
+    Without records there are no rows."""
     retrieve = F.col("expected") == "retrieve"
     mean = lambda c, when=F.lit(True): F.round(F.coalesce(F.avg(F.when(when, F.col(c).cast("double"))), F.lit(0.0)), 6)
     made = records.groupingSets([["query_type"], []], "query_type").agg(
