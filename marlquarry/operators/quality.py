@@ -373,3 +373,70 @@ def policy_floor(packs: DataFrame, floors: DataFrame) -> DataFrame:
     """query_type, query_id, n_evidence and whether it reaches the type's floor; types without a floor pass."""
     rows = packs.join(floors, "query_type", "left")
     return rows.select("query_id", "query_type", "n_evidence", (F.col("n_evidence") >= F.coalesce("floor", F.lit(0))).alias("floor_met"))
+
+
+#: Evidence that an answer of each query type must use at least, types that may fall back to the first policy, and the
+#: policy under which stories always do.
+LEAST_EVIDENCE = {"place_fact": 1, "place_story": 2, "relationship": 2, "overview": 2, "route_context": 1, "voice_followup": 2, "no_answer": 0}
+MAY_FALL_BACK = ("place_story", "relationship", "voice_followup")
+ROUTER = "v2_repair_query_type_router"
+
+
+def prompt_policy(drafts: DataFrame, packs: DataFrame) -> DataFrame:
+    """One row per draft: whether it uses evidence as its query type demands, and whether it passes, falls back or fails.
+
+    drafts: query_id, query_type, expected, policy_id, has_draft, ranks (an array), coverage_intent, risk; packs: query_id, pack_rank. A query that
+    expects no answer must have neither draft nor evidence. An unknown query type demands nothing.
+    """
+    available = packs.filter("pack_rank is not null").groupBy("query_id").agg(F.collect_set(F.col("pack_rank").cast("int")).alias("available"))
+    least = F.coalesce(*(F.when(F.col("query_type") == t, F.lit(n)) for t, n in LEAST_EVIDENCE.items()), F.lit(0))
+    rows = drafts.join(available, "query_id", "left").withColumns({"available": F.coalesce("available", F.array().cast("array<int>")), "min_required": least, "ranks": F.coalesce("ranks", F.array().cast("array<int>"))})
+    abstains, drafted = F.col("expected") == "abstain", F.coalesce("has_draft", F.lit(False))
+    judged = ~abstains & drafted
+    invalid = F.when(judged, F.size(F.filter("ranks", lambda r: ~F.array_contains(F.col("available"), r)))).otherwise(0)
+    selected = F.when(judged, F.size("ranks")).otherwise(0)
+    faulty = abstains & (drafted | (F.size("available") > 0))
+    floor = F.when(abstains, faulty).otherwise(~drafted | (selected < F.col("min_required")))
+    intent = judged & (F.col("min_required") >= 2) & (F.coalesce("coverage_intent", F.lit("")) != "multi_evidence")
+    risk = F.when(judged, (floor | intent) & (F.coalesce("risk", F.lit("")) == "low")).otherwise(~abstains)
+    rows = rows.withColumns({"invalid_rank_count": invalid, "selected_count": selected, "evidence_floor_violation": floor, "coverage_intent_violation": intent, "unsupported_risk_violation": risk})
+    story = judged & (F.col("policy_id") == ROUTER) & (F.col("query_type") == "place_story")
+    short = F.col("evidence_floor_violation") | F.col("coverage_intent_violation")
+    may = F.col("query_type").isin(*MAY_FALL_BACK)
+    status = (
+        F.when(abstains, F.when(faulty, "fail").otherwise("pass")).when(~drafted, "fail").when(F.col("invalid_rank_count") > 0, "fail").when(story, "fallback_required")
+        .when(short, F.when(may, "fallback_required").otherwise("fail")).otherwise("pass")
+    )
+    tags = flags(
+        unexpected_draft_for_abstain=abstains & drafted,
+        abstain_with_evidence=abstains & (F.size("available") > 0),
+        no_answer_abstain_path=abstains & ~faulty,
+        missing_draft=~abstains & ~drafted,
+        invalid_evidence_rank=F.col("invalid_rank_count") > 0,
+        evidence_floor_violation=~abstains & F.col("evidence_floor_violation"),
+        coverage_intent_violation=F.col("coverage_intent_violation"),
+        unsupported_risk_too_low=judged & F.col("unsupported_risk_violation"),
+        v1_fallback_required=story,
+        monitor_only_query_type=story,
+    )
+    return rows.select(
+        "query_id", "query_type", "policy_id", status.alias("status"), "selected_count", "min_required", F.size("available").alias("available_count"), "invalid_rank_count", "evidence_floor_violation",
+        "coverage_intent_violation", "unsupported_risk_violation", (~abstains & may).alias("fallback_allowed"), F.when(F.size(tags) == 0, "policy_pass").otherwise(F.array_join(tags, ",")).alias("tags"),
+    )
+
+
+def prompt_policy_summary(rows: DataFrame) -> DataFrame:
+    """One row: counts of the outcomes and of each violation, and whether the policy is ready for a dry run."""
+    is_ = lambda s: F.count_if(F.col("status") == s)
+    made = rows.agg(
+        F.count("*").alias("row_count"),
+        F.countDistinct("query_type").alias("query_type_count"),
+        F.countDistinct("policy_id").alias("policy_count"),
+        is_("pass").alias("pass_count"),
+        is_("fallback_required").alias("fallback_required_count"),
+        is_("fail").alias("fail_count"),
+        F.coalesce(F.sum("invalid_rank_count"), F.lit(0)).alias("invalid_rank_count"),
+        *(F.count_if(c).alias(f"{c}_count") for c in ("evidence_floor_violation", "coverage_intent_violation", "unsupported_risk_violation")),
+        F.count_if((F.col("query_type") == "no_answer") & (F.col("status") == "pass")).alias("no_answer_pass_count"),
+    )
+    return made.withColumn("decision", F.when(F.col("fail_count") == 0, "ready_for_repaired_prompt_dry_run").otherwise("reject_repaired_prompt_policy"))

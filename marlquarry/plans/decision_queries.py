@@ -124,6 +124,24 @@ def request_reuse(spark: SparkSession, sf: str) -> DataFrame:
     return Q.reuse_by_fingerprint(a.unionByName(b), ["ids"])
 
 
+def prompt_policy(spark: SparkSession, sf: str) -> DataFrame:
+    """Drafts that choose evidence of real packs by the number of their query."""
+    ranked, corpus, _, queries = Doc._evidence(spark, sf)
+    of = lambda n: F.pmod("query_id", F.lit(n))
+    kinds = F.array(*(F.lit(t) for t in ("place_fact", "place_story", "relationship", "overview", "route_context", "voice_followup")))
+    abstains = F.col("expected") == "abstain"
+    ranks = F.when(of(3) == 0, F.array(F.lit(1))).when(of(3) == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1), F.lit(9)))
+    drafts = queries.select(
+        "query_id", F.when(abstains, "no_answer").otherwise(F.element_at(kinds, (of(6) + 1).cast("int"))).alias("query_type"), "expected", F.when(of(4) == 1, Q.ROUTER).otherwise("v2_balanced").alias("policy_id"),
+        F.when(abstains, of(13) == 0).otherwise(of(11) != 0).alias("has_draft"), ranks.alias("ranks"), F.when(of(2) == 0, "multi_evidence").alias("coverage_intent"), F.when(of(5) == 0, "high").otherwise("low").alias("risk"),
+    )
+    return Q.prompt_policy(drafts, E.pack(ranked, corpus, E.POLICIES[0]))
+
+
+def prompt_policy_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.prompt_policy_summary(prompt_policy(spark, sf))
+
+
 def policy_floor(spark: SparkSession, sf: str) -> DataFrame:
     ranked, corpus, _, queries = Doc._evidence(spark, sf)
     n = E.pack(ranked, corpus, E.POLICIES[0]).groupBy("query_id").agg(F.count("*").alias("n_evidence"))
@@ -181,7 +199,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         overlap_decision, locked_decision, shadow_run, shadow_summary, shadow_decision, type_deltas, rank_movement, guard_effect, failure_tags, failure_summary, score_margins, answer_contract, evidence_movement,
-        request_reuse, policy_floor, expected_behaviour, method_comparison, strategy_summary, strategy_choice, hard_case_causes, corpus_fingerprint,
+        request_reuse, policy_floor, prompt_policy, prompt_policy_summary, expected_behaviour, method_comparison, strategy_summary, strategy_choice, hard_case_causes, corpus_fingerprint,
     )
 }
 
@@ -274,3 +292,17 @@ count(*) filter (candidate_route_applied) as routed_count, count(*) filter (deci
 count(*) filter (false_hybrid_route) as false_route_count, count(*) filter (missed_hybrid_route) as missed_route_count, count(*) filter (no_answer_candidate_route) as no_answer_candidate_route_count,
 {_GAIN('hit_1', 'recall_1')}, {_GAIN('hit_3', 'recall_3')}, {_GAIN('hit_5', 'recall_5')}, {_GAIN('rr', 'mrr')}, {_GAIN('ndcg', 'ndcg')}, {_GAIN('hit_5', 'relationship_recall', "expected = 'retrieve' and query_type = 'relationship'")} from sh)
 select *, case when false_route_count > 0 then 'reject_active_route_for_now' when relationship_recall_delta <= 0 or mrr_delta < -0.01 or ndcg_delta < -0.01 then 'keep_shadow_only' else 'ready_for_active_route_dry_run_contract' end as decision from su"""
+
+ORACLES["prompt_policy"] = f"""{PACK0}, dr as (select query_id, expected = 'abstain' as ab, case when expected = 'abstain' then 'no_answer' else ['place_fact', 'place_story', 'relationship', 'overview', 'route_context', 'voice_followup'][(query_id % 6 + 1)::int] end as query_type,
+  case when query_id % 4 = 1 then 'v2_repair_query_type_router' else 'v2_balanced' end as policy_id, case when expected = 'abstain' then query_id % 13 = 0 else query_id % 11 <> 0 end as dd, case when query_id % 3 = 0 then [1] when query_id % 3 = 1 then [1, 2] else [1, 9] end as ranks,
+  query_id % 2 = 0 as multi, query_id % 5 <> 0 as low, (select count(distinct pack_rank) from packed p where p.query_id = eq.query_id) as av from eq),
+dx as (select *, case query_type when 'place_fact' then 1 when 'route_context' then 1 when 'no_answer' then 0 else 2 end as mn, not ab and dd as ju from dr),
+dy as (select *, case when ju then len(list_filter(ranks, lambda x: x > av)) else 0 end as bad, case when ju then len(ranks) else 0 end as sel from dx),
+dz as (select *, case when ab then dd or av > 0 else not dd or sel < mn end as fl, ju and mn >= 2 and not multi as it, ju and policy_id = 'v2_repair_query_type_router' and query_type = 'place_story' as story from dy),
+dw as (select *, case when ju then (fl or it) and low else not ab end as ri, case when ab then case when fl then 'fail' else 'pass' end when not dd or bad > 0 then 'fail' when story then 'fallback_required' when fl or it then case when query_type in ('place_story', 'relationship', 'voice_followup') then 'fallback_required' else 'fail' end else 'pass' end as status,
+  {FLAG(unexpected_draft_for_abstain='ab and dd', abstain_with_evidence='ab and av > 0', no_answer_abstain_path='ab and not fl', missing_draft='not ab and not dd', invalid_evidence_rank='bad > 0', evidence_floor_violation='not ab and fl', coverage_intent_violation='it', unsupported_risk_too_low='ju and (fl or it) and low', v1_fallback_required='story', monitor_only_query_type='story')} as tags from dz)
+select query_id, query_type, policy_id, status, sel::int as selected_count, mn as min_required, av::int as available_count, bad::int as invalid_rank_count, fl as evidence_floor_violation, it as coverage_intent_violation, ri as unsupported_risk_violation,
+not ab and query_type in ('place_story', 'relationship', 'voice_followup') as fallback_allowed, case when tags = '' then 'policy_pass' else tags end as tags from dw"""
+ORACLES["prompt_policy_summary"] = f"""select count(*) as row_count, count(distinct query_type) as query_type_count, count(distinct policy_id) as policy_count, count(*) filter (status = 'pass') as pass_count, count(*) filter (status = 'fallback_required') as fallback_required_count, count(*) filter (status = 'fail') as fail_count,
+sum(invalid_rank_count)::bigint as invalid_rank_count, count(*) filter (evidence_floor_violation) as evidence_floor_violation_count, count(*) filter (coverage_intent_violation) as coverage_intent_violation_count, count(*) filter (unsupported_risk_violation) as unsupported_risk_violation_count,
+count(*) filter (query_type = 'no_answer' and status = 'pass') as no_answer_pass_count, case when count(*) filter (status = 'fail') = 0 then 'ready_for_repaired_prompt_dry_run' else 'reject_repaired_prompt_policy' end as decision from ({ORACLES["prompt_policy"]})"""

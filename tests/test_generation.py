@@ -35,3 +35,33 @@ def test_generation_records_and_summary(spark):
     assert set(s) == {"all", "fact", "story"} and (s["all"].eval_count, s["all"].answerable_count, s["all"].no_answer_count, s["all"].abstained_count) == (9, 8, 1, 3)
     assert s["all"].correct_with_evidence_rate == 0.375 and s["all"].unsupported_claim_rate == round(3 / 9, 6) and (s["all"].missing_citation_count, s["all"].unsupported_high_count) == (1, 1)
     assert Q.generation_summary(records.limit(0)).collect() == []
+
+
+def test_prompt_policies(spark):
+    drafts = [
+        (1, "place_fact", "retrieve", "p", True, [1], None, "low"),
+        (2, "overview", "retrieve", "p", True, [1], "multi_evidence", "low"),
+        (3, "relationship", "retrieve", "p", True, [1, 2], "one", "high"),
+        (4, "place_story", "retrieve", Q.ROUTER, True, [1, 2], "multi_evidence", "low"),
+        (5, "place_story", "retrieve", Q.ROUTER, True, [1, 7], "multi_evidence", "low"),
+        (6, "overview", "retrieve", "p", False, None, None, None),
+        (7, "no_answer", "abstain", "p", False, None, None, None),
+        (8, "no_answer", "abstain", "p", True, [1], None, "low"),
+    ]
+    schema = "query_id long, query_type string, expected string, policy_id string, has_draft boolean, ranks array<int>, coverage_intent string, risk string"
+    packs = spark.createDataFrame([(q, r) for q in (1, 2, 3, 4, 5, 8) for r in (1, 2)], "query_id long, pack_rank int")
+    rows = Q.prompt_policy(spark.createDataFrame(drafts, schema), packs)
+    assert {r.query_id: (r.status, r.tags) for r in rows.collect()} == {
+        1: ("pass", "policy_pass"),
+        2: ("fail", "evidence_floor_violation,unsupported_risk_too_low"),
+        3: ("fallback_required", "coverage_intent_violation"),
+        4: ("fallback_required", "v1_fallback_required,monitor_only_query_type"),
+        5: ("fail", "invalid_evidence_rank,v1_fallback_required,monitor_only_query_type"),
+        6: ("fail", "missing_draft,evidence_floor_violation"),
+        7: ("pass", "no_answer_abstain_path"),
+        8: ("fail", "unexpected_draft_for_abstain,abstain_with_evidence"),
+    }
+    s = Q.prompt_policy_summary(rows).first()
+    assert (s.row_count, s.pass_count, s.fallback_required_count, s.fail_count, s.invalid_rank_count, s.no_answer_pass_count, s.decision) == (8, 2, 2, 4, 1, 1, "reject_repaired_prompt_policy")
+    none = Q.prompt_policy_summary(rows.limit(0)).first()
+    assert (none.row_count, none.decision) == (0, "ready_for_repaired_prompt_dry_run")
