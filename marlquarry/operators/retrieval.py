@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlquarry.functions.lineage import written
 from marlquarry.functions.scalars import tokens
 from marlquarry.operators.products import ORDER_DIGITS, top_products
 
@@ -51,8 +52,12 @@ def bm25_weights(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float
     """
     meet = lambda x, y: x.join(y, [*by]) if by else x.join(y)
     toks = docs.select(*by, "doc_id", tokens("text").alias("t")).withColumn("dl", F.size("t"))
-    corpus = toks.groupBy(*by).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    vocabulary = meet(document_frequencies(docs, by), corpus)
+    # One pass counts tokens and, under the empty one, documents and their lengths; what is read from here on is small.
+    # An inner explode would have the optimizer test the array's size first, and so cut every text into tokens twice.
+    each = toks.select(*by, "dl", F.explode_outer(F.array_append(F.array_distinct("t"), F.lit(""))).alias("token"))
+    counts = written(each.groupBy(*by, "token").agg(F.count("*").alias("df"), F.sum(F.when(F.col("token") == "", F.col("dl"))).alias("length")), "lexical-counts")
+    corpus = counts.filter("token = ''").select(*by, F.col("df").alias("n_docs"), (F.col("length") / F.col("df")).alias("avgdl"))
+    vocabulary = meet(counts.filter("token <> ''").select(*by, "token", "df"), corpus)
     vocabulary = vocabulary.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = vocabulary.groupBy(*by).agg(F.avg("raw").alias("mean_idf"))
     q = queries.select("query_id", F.explode(tokens("query_text")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
@@ -60,7 +65,6 @@ def bm25_weights(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float
     idf = meet(vocabulary.join(wanted, "token", "left_semi"), mean).select(
         *by, "token", "avgdl", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf")
     )
-    # An inner explode would have the optimizer test the array's size first, and so cut every text into tokens twice.
     tf = toks.select(*by, "doc_id", "dl", F.explode_outer("t").alias("token")).join(wanted, "token").groupBy(*by, "doc_id", "dl", "token").agg(F.count("*").alias("tf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return q, tf.join(idf, [*by, "token"]).select(*by, "doc_id", "token", weight.alias("weight"))
