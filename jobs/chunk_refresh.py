@@ -27,6 +27,7 @@ if ROOT not in sys.path:
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
+from marlquarry.functions.lineage import written  # noqa: E402
 from marlquarry.operators import chunking as C  # noqa: E402
 from marlquarry.operators import normalize as N  # noqa: E402
 
@@ -94,10 +95,11 @@ def take(batch: DataFrame, number: int, output: str, cfg: RefreshConfig) -> None
     """Write the chunks and the versions of a micro-batch, as partitions of its number."""
     spark = batch.sparkSession
     known = _known(spark, output).filter(F.col("batch") != number).groupBy("doc_id").agg(F.max_by("version", "batch").alias("version"))
-    changed = versions_of(batch).join(known, ["doc_id", "version"], "left_anti")
+    # Read by several steps below; without a table each would read the batch's texts anew.
+    changed = written(versions_of(batch).join(known, ["doc_id", "version"], "left_anti"), "refresh")
     _write(cut(changed, cfg.policy).withColumn("batch", F.lit(number).cast("long")), f"{output}/chunks", "batch", "lang")
-    written = spark.read.schema(CHUNKS).parquet(f"{output}/chunks").filter(F.col("batch") == number)
-    counts = written.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    made = spark.read.schema(CHUNKS).parquet(f"{output}/chunks").filter(F.col("batch") == number)
+    counts = made.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
     taken = changed.select("doc_id", "version").join(counts, "doc_id", "left").fillna(0, ["n_chunks"])
     _write(taken.withColumn("batch", F.lit(number).cast("long")), f"{output}/versions", "batch")
     new = _known(spark, output).filter(F.col("batch") == number).agg(F.count("*"), F.sum("n_chunks")).first()

@@ -17,6 +17,9 @@ from marlquarry.operators.normalize import LONGEST, has_private_path, has_secret
 FORBIDDEN_FIELDS = ("answer", "answer_text", "context_text", "content", "html", "markdown", "raw_text", "search_text", "source_text", "text")
 CATALOG_LONGEST = 120
 
+#: Strings, about, that a task holds before it hands them on.
+ROWS = 20_000
+
 _TOKENS = re.compile(r'\s*(?:("(?:[^"\\\x00-\x1f]|\\.)*")|([{}\[\],:])|(true|false|null|-?[0-9][0-9.eE+-]*)|$)')
 
 
@@ -74,6 +77,11 @@ def string_rows(artifacts: DataFrame, key: str = "artifact_id", payload: str = "
     narrow: no row is shuffled, and the number of jobs doesn't follow the depth.
     """
 
+    def made(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        types = (kind, pa.string(), pa.int32(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[key, "kind", "depth", "path", "value"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -86,9 +94,10 @@ def string_rows(artifacts: DataFrame, key: str = "artifact_id", payload: str = "
                 except ValueError:
                     del out[done:]
                     out.append((k.as_py(), "unreadable", 0, "$", None))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            types = (batch.schema.field(0).type, pa.string(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[key, "kind", "depth", "path", "value"])
+                if len(out) >= ROWS:
+                    yield made(out, batch.schema.field(0).type)
+                    out = []
+            yield made(out, batch.schema.field(0).type)
 
     kind = artifacts.schema[key].dataType.simpleString()
     return artifacts.select(key, F.col(payload).cast("string")).mapInArrow(run, f"{key} {kind}, kind string, depth int, path string, value string")

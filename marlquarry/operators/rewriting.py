@@ -14,6 +14,8 @@ from marlquarry.functions.scalars import flags, norm_space
 
 #: Most names that one automaton holds and that go along with the tasks; more are dealt to several, which texts then visit in turn.
 MOST = 100_000
+#: Texts, about, that meet a shard of names in one task.
+TEXTS = 10_000
 WORDS = "0123456789abcdefghijklmnopqrstuvwxyz"
 
 #: What stands before each part of a rewritten query, and the words of intent of each query type that is rewritten.
@@ -91,7 +93,7 @@ def mentions(texts: DataFrame, names: DataFrame, key: str = "query_id", most: in
 
         return rows.mapInArrow(run, kind)
     shards = -(-known.count() // most)
-    blocks = max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+    blocks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TEXTS))
 
     def meet(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         automaton = _automaton(right["name"].to_pylist())
