@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import html
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -128,20 +128,25 @@ def line_blocks(docs: DataFrame) -> DataFrame:
     )
 
 
+def _once(value: Column, holds: Callable[[Column], Column]) -> Column:
+    """holds(value), with value worked out once however often holds looks at it."""
+    return F.exists(F.array(value), holds)
+
+
 def has_private_path(value: Column) -> Column:
     """Any drive, share or home path. Slashes count as backslashes, so 'scheme://' counts as a drive: a known quirk."""
-    return F.translate(value, "/", "\\").rlike(PRIVATE_PATH) | value.rlike(POSIX_PATH)
+    slashed = F.contains(value, F.lit("/")) | F.contains(value, F.lit("\\"))
+    return slashed & (F.translate(value, "/", "\\").rlike(PRIVATE_PATH) | value.rlike(POSIX_PATH))
 
 
 def has_secret_marker(value: Column) -> Column:
-    low = F.lower(value)
-    return F.exists(F.array(*(F.lit(m) for m in SECRET_MARKERS)), lambda m: F.contains(low, m))
+    return _once(F.lower(value), lambda low: reduce(lambda a, b: a | b, (F.contains(low, F.lit(m)) for m in SECRET_MARKERS)))
 
 
 def is_source_like(value: Column, longest: int = LONGEST) -> Column:
-    """Text of several lines, or longer than what may be public."""
-    trimmed = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
-    return F.contains(trimmed, F.lit("\n")) | F.contains(trimmed, F.lit("\r")) | (F.char_length(trimmed) > longest)
+    """Text of several lines, or longer than what may be public, without the white space at its ends."""
+    long = lambda v: F.contains(v, F.lit("\n")) | F.contains(v, F.lit("\r")) | (F.char_length(v) > longest)
+    return long(value) & _once(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""), long)
 
 
 def leak_flags(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -171,9 +176,13 @@ PROSE_LEAST, PROSE_LETTERS = 40, 0.3
 def prose_line(text: Column) -> Column:
     """Long enough without the white space, quotes and commas at its ends, without a mark of code, and of letters enough."""
     line = F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), '^[",]+|[",]+$', "")
-    code = F.exists(F.array(*(F.lit(m) for m in CODE_MARKERS)), lambda m: F.contains(line, m))
-    letters = F.char_length(F.regexp_replace(line, r"[^\p{L}]", ""))
-    return (F.char_length(line) >= PROSE_LEAST) & ~code & (letters / F.greatest(F.char_length(line), F.lit(1)) >= PROSE_LETTERS)
+
+    def prose(x: Column) -> Column:
+        code = reduce(lambda a, b: a | b, (F.contains(x, F.lit(m)) for m in CODE_MARKERS))
+        letters = F.char_length(F.regexp_replace(x, r"[^\p{L}]+", ""))
+        return (F.char_length(x) >= PROSE_LEAST) & ~code & (letters / F.greatest(F.char_length(x), F.lit(1)) >= PROSE_LETTERS)
+
+    return (F.char_length(text) >= PROSE_LEAST) & _once(line, prose)
 
 
 def consecutive_blocks(lines: DataFrame, least: int = 3) -> DataFrame:
