@@ -156,6 +156,14 @@ def pack_summary(metrics: DataFrame) -> DataFrame:
     return made.withColumn("query_type", F.when(F.col("g") == 1, "all").otherwise(F.col("query_type"))).drop("g")
 
 
+def pack_deltas(summary: DataFrame, baseline: str) -> DataFrame:
+    """policy and what each policy's totals in pack_summary() are above the baseline policy's. A row for each policy, so few."""
+    shares = ("child_covered", "parent_covered", "doc_covered", "order_proxy", "chars")
+    total = summary.filter("query_type = 'all'")
+    base = total.filter(F.col("policy") == baseline).select(*(F.col(c).alias(f"b_{c}") for c in shares))
+    return total.join(F.broadcast(base)).select("policy", *(F.round(F.col(c) - F.col(f"b_{c}"), 6).alias(f"delta_{c}") for c in shares))
+
+
 def evidence_context(packs: DataFrame, texts: DataFrame, limit: int = 4200) -> DataFrame:
     """query_id and the context that its evidence makes: header and text of each item, joined by blank lines, within limit.
 

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlquarry.functions.lineage import written
 from marlquarry.operators import decisions as D
 from marlquarry.operators import evidence as E
 from marlquarry.operators import metrics as M
@@ -43,7 +42,7 @@ ASKS = ("두 사건의 관계와 갈등은 어떻게 이어졌나요?", "이 일
 def _shadow_rows(spark: SparkSession, sf: str) -> DataFrame:
     from marlquarry.plans import methods
 
-    rel = written(I.qrels(spark, sf), "qrels")
+    rel = I.relevance(spark, sf)
     queries = I.judged_queries(spark, sf, rel)
     ask = F.element_at(F.array(*(F.lit(a) for a in ASKS)), (F.pmod("query_id", F.lit(5)) + 1).cast("int"))
     asked = queries.select("query_id", ask.alias("query_text"), F.lit(2).alias("n_places"), F.lit(False).alias("has_context"))
@@ -159,13 +158,13 @@ def expected_behaviour(spark: SparkSession, sf: str) -> DataFrame:
 def method_comparison(spark: SparkSession, sf: str) -> DataFrame:
     from marlquarry.plans import methods
 
-    rel = I.qrels(spark, sf)
+    rel = I.relevance(spark, sf)
     x = methods.Inputs(I.documents(spark, sf), I.judged_queries(spark, sf, rel), I.doc_vectors(spark, sf), I.query_vectors(spark, sf))
     return methods.compare(x, rel, ["bm25", "dense", "hybrid_rrf"])
 
 
 def strategy_summary(spark: SparkSession, sf: str) -> DataFrame:
-    rel = I.qrels(spark, sf)
+    rel = I.relevance(spark, sf)
     asked = I.judged_queries(spark, sf, rel)
     grains = Doc._grains(spark, sf)
     targets = rel.join(grains, "doc_id").select("query_id", "doc_id", "parent_id", "root_id")

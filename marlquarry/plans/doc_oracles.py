@@ -579,3 +579,6 @@ ORACLES["generation_summary"] = f"""{GENERATED}, gr as ({_RECORD}) select coales
 count(*) filter (not abstained) as answered_count, count(*) filter (abstained) as abstained_count, {_GM('correct_with_evidence::int', 'correct_with_evidence_rate', "expected = 'retrieve'")}, {_GM('citation_precision', 'citation_precision', "expected = 'retrieve'")}, {_GM('citation_recall', 'citation_recall', "expected = 'retrieve'")},
 {_GM('place_relevance', 'place_relevance')}, {_GM('usefulness', 'usefulness')}, {_GM('spoken_naturalness', 'spoken_naturalness')}, {_GM('unsupported_claim::int', 'unsupported_claim_rate')}, {_GM('abstention_correct::int', 'abstention_accuracy')},
 count(*) filter (expected = 'retrieve' and not abstained and n_citations = 0) as missing_citation_count, count(*) filter (high_risk) as unsupported_high_count from gr group by grouping sets ((query_type), ())"""
+
+ORACLES["pack_deltas"] = f"""with s as (select * from ({ORACLES["pack_summary"]}) where query_type = 'all')
+select s.policy, {', '.join(f'round(s.{c} - b.{c}, 6) as delta_{c}' for c in ('child_covered', 'parent_covered', 'doc_covered', 'order_proxy'))}, s.chars - b.chars as delta_chars from s, (select * from s where policy = 'P0_rank_order') b"""

@@ -124,7 +124,7 @@ def chunk_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_ablation(spark: SparkSession, sf: str) -> DataFrame:
-    rel = written(I.qrels(spark, sf), "qrels")
+    rel = I.relevance(spark, sf)
     return C.ablation(blocks(spark, sf), I.judged_queries(spark, sf, rel), rel)
 
 
@@ -133,11 +133,12 @@ def _grains(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    rel = I.qrels(spark, sf)
+    rel = I.relevance(spark, sf)
     kind = F.when(F.pmod("query_id", F.lit(3)) == 0, "voice_followup").otherwise("place_fact")
     queries = I.judged_queries(spark, sf, rel).select("query_id", "expected", kind.alias("query_type"))
     grains = _grains(spark, sf)
-    ranked = K._bm25(spark, sf, 20).join(grains, "doc_id").join(queries, "query_id")
+    # A few rows for each query, which every policy reads.
+    ranked = written(K._bm25(spark, sf, 20).join(grains, "doc_id").join(queries, "query_id"), "candidates")
     place = F.row_number().over(Window.partitionBy("parent_id").orderBy("doc_id"))
     return ranked, grains.withColumn("place", place), rel.join(grains, "doc_id").select("query_id", "doc_id", "parent_id", "root_id"), queries
 
@@ -171,6 +172,10 @@ def pack_summary(spark: SparkSession, sf: str) -> DataFrame:
     return E.pack_summary(made)
 
 
+def pack_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    return E.pack_deltas(pack_summary(spark, sf), E.POLICIES[0])
+
+
 def evidence_context(spark: SparkSession, sf: str) -> DataFrame:
     ranked, corpus, _, _ = _evidence(spark, sf)
     made = E.evidence_context(E.pack(ranked, corpus, E.POLICIES[0]), I.documents(spark, sf))
@@ -443,7 +448,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         normalize_pages, page_elements, page_offsets, block_quality, parser_quality, leak_scan, line_leaks, consecutive_blocks, artifact_quality, stratified_sample, parent_segments,
-        child_chunks, child_groups, chunk_quality, chunk_report, chunk_ablation, pack_metrics, public_pack_rows, pack_summary, evidence_context, evidence_stats, citation_eval, citation_summary, generation_record, generation_summary,
+        child_chunks, child_groups, chunk_quality, chunk_report, chunk_ablation, pack_metrics, public_pack_rows, pack_summary, pack_deltas, evidence_context, evidence_stats, citation_eval, citation_summary, generation_record, generation_summary,
         classify_turns, guard_turns, route_turns, rewrite_followups, rewrite_summary, name_mentions, confusion_matrix, class_prf, label_summary, tradeoff_tags, guardrail_routes, regression_tags, postings_expand, graph_score,
         graph_community, wer_cer, cer, char_f1, speech_ratio, score_aggregates, dataset_profile, dataset_shortfall, order_subset, input_faults, benchmark_rubric, resolvability, table_manifest,
         catalog_quality, event_tumbling, event_sliding, event_session, event_session_stream, event_as_of,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlquarry.functions.lineage import written
 from marlquarry.operators.normalize import text_lines
 from marlquarry.operators.retrieval import containment
 
@@ -29,6 +30,11 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.join(quality, "doc_id", "left").select("query_id", "doc_id", F.when(F.col("quality") == 1, 2).otherwise(1).alias("grade"))
 
 
+def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qrels(), worked out once for all that looks at them."""
+    return written(qrels(spark, sf_dir), "qrels")
+
+
 def judged_queries(spark: SparkSession, sf_dir: str, rel: DataFrame | None = None) -> DataFrame:
     """query_id, query_text, expected: passages that some document contains are to be retrieved, the rest to be abstained from."""
     found = (rel if rel is not None else qrels(spark, sf_dir)).select("query_id").distinct().withColumn("r", F.lit(True))

@@ -25,8 +25,8 @@ def _dense(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
     return R.dense_topk(I.doc_vectors(spark, sf), I.query_vectors(spark, sf), k)
 
 
-def _per_query(spark: SparkSession, sf: str, ranked: DataFrame, variant: str = "standard") -> DataFrame:
-    rel = I.qrels(spark, sf)
+def _per_query(spark: SparkSession, sf: str, ranked: DataFrame, variant: str = "standard", rel: DataFrame | None = None) -> DataFrame:
+    rel = rel if rel is not None else I.relevance(spark, sf)
     return M.per_query(ranked, rel, I.judged_queries(spark, sf, rel), K, variant)
 
 
@@ -132,11 +132,12 @@ def ir_metrics_by_group(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def abstain_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return M.abstain_counts(_bm25(spark, sf), I.judged_queries(spark, sf))
+    return M.abstain_counts(_bm25(spark, sf), I.judged_queries(spark, sf, I.relevance(spark, sf)))
 
 
-def _runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return _per_query(spark, sf, _bm25(spark, sf)), _per_query(spark, sf, _dense(spark, sf))
+def _runs(spark: SparkSession, sf: str, rel: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    rel = rel if rel is not None else I.relevance(spark, sf)
+    return _per_query(spark, sf, _bm25(spark, sf), rel=rel), _per_query(spark, sf, _dense(spark, sf), rel=rel)
 
 
 def metric_deltas(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,7 +157,8 @@ def metric_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hit_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return M.hit_overlap(*_runs(spark, sf), I.judged_queries(spark, sf))
+    rel = I.relevance(spark, sf)
+    return M.hit_overlap(*_runs(spark, sf, rel), I.judged_queries(spark, sf, rel))
 
 
 def overlap_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -176,7 +178,7 @@ def bootstrap_interval(spark: SparkSession, sf: str) -> DataFrame:
 def grain_coverage(spark: SparkSession, sf: str) -> DataFrame:
     docs = I.documents(spark, sf)
     grains = docs.select("doc_id", F.concat("source", F.lit(":"), "lang").alias("parent_id"), F.col("source").alias("root_id"))
-    rel = I.qrels(spark, sf)
+    rel = I.relevance(spark, sf)
     targets = rel.join(grains, "doc_id").select("query_id", "doc_id", "parent_id", "root_id")
     return M.grain_coverage(_bm25(spark, sf, 20), grains, targets, I.judged_queries(spark, sf, rel))
 
