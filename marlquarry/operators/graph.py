@@ -156,11 +156,6 @@ def baseline_scores(ranked: DataFrame) -> DataFrame:
     return ranked.select("query_id", "doc_id", F.greatest(scaled, 1.0 / (F.col("rank") + 1)).alias("base"))
 
 
-def _count(rows: DataFrame, post: DataFrame, tokens: DataFrame, name: str) -> DataFrame:
-    hit = rows.select("query_id", "doc_id").join(tokens, "query_id").join(post, ["doc_id", "token"]).groupBy("query_id", "doc_id").agg(F.count("*").alias(name))
-    return rows.join(hit, ["query_id", "doc_id"], "left").fillna(0, [name])
-
-
 def graph_rank(docs: DataFrame, queries: DataFrame, ranked: DataFrame, strategy: str, hints: tuple[str, ...] = RELATION_HINTS, k: int = 5) -> DataFrame:
     """Rescore the baseline's documents and a pool of POOL others by shared tokens, pairs of them and relation words.
 
@@ -174,12 +169,12 @@ def graph_rank(docs: DataFrame, queries: DataFrame, ranked: DataFrame, strategy:
     found = weighted.join(capped(post, weighted), "token").groupBy("query_id", "doc_id").agg(F.sum("w").alias("s"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "doc_id"))
     pool = found.withColumn("place", place).filter(F.col("place") <= POOL).select("query_id", "doc_id").unionByName(ranked.select("query_id", "doc_id")).distinct()
-    every = qt.unionByName(near)
-    rows = _count(pool, post, qt, "direct")
-    rows = _count(rows, post, every, "expanded")
+    # Own tokens weigh 3, neighbours 1: one meeting of pool, tokens and postings counts both.
+    hit = pool.join(weighted, "query_id").join(post, ["doc_id", "token"]).groupBy("query_id", "doc_id").agg(F.count_if(F.col("w") == 3).alias("direct"), F.count("*").alias("expanded"))
+    rows = pool.join(hit, ["query_id", "doc_id"], "left").fillna(0, ["direct", "expanded"])
     related = post.filter(F.col("token").isin(*hints)).groupBy("doc_id").agg(F.count("*").alias("related"))
     rows = rows.join(related, "doc_id", "left").fillna(0, ["related"]).join(baseline_scores(ranked), ["query_id", "doc_id"], "left").fillna(0.0, ["base"])
-    sizes = qt.groupBy("query_id").agg(F.count("*").alias("nq")).join(every.groupBy("query_id").agg(F.count("*").alias("ne")), "query_id")
+    sizes = weighted.groupBy("query_id").agg(F.count_if(F.col("w") == 3).alias("nq"), F.count("*").alias("ne"))
     rows = rows.join(sizes, "query_id")
     pairs = lambda n: n * (n - 1) / 2
     direct, wide = F.col("direct") / F.greatest("nq", F.lit(1)), F.col("expanded") / F.greatest("ne", F.lit(1))
@@ -216,9 +211,10 @@ def tree_rank(docs: DataFrame, queries: DataFrame, ranked: DataFrame, strategy:
     own = docs.select("doc_id", "text", F.col("parent_id").cast("string").alias("parent"), F.concat(F.lit("doc::"), F.col("root_id").cast("string")).alias("root"))
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("parent").alias("group_id")), *([F.struct(F.lit(1).alias("kind"), F.col("root").alias("group_id"))] if roots else []))
     member = own.select("doc_id", F.inline(kinds))
-    # Tokens of chunks and of groups are read by several steps.
-    post = written(postings(docs, TREE_STOPWORDS), "tree-postings")
-    held = written(member.join(post, "doc_id").select("kind", "group_id", "token").distinct(), "tree-groups")
+    # Tokens of chunks and of groups are read by several steps; a chunk's tokens come with its groups, so that these need no join.
+    post = written(own.select("doc_id", "parent", "root", F.explode(graph_tokens("text", TREE_STOPWORDS)).alias("token")), "tree-postings")
+    held = written(post.select("token", F.inline(kinds)).select("kind", "group_id", "token").distinct(), "tree-groups")
+    post = post.select("token", "doc_id")
     qt = written(query_tokens(queries, TREE_STOPWORDS, TREE_TOKENS), "tree-tokens")
 
     near = nearest([(held.filter(F.col("kind") == kind), "group_id", GROUPS_PER_TERM) for kind in range(1 + roots)], qt, TREE_NEIGHBOURS, TREE_TOKENS).select("query_id", "token")
