@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlquarry.functions.lineage import written
 from marlquarry.operators import decisions as D
 from marlquarry.operators import evidence as E
 from marlquarry.operators import metrics as M
@@ -168,8 +169,10 @@ def strategy_summary(spark: SparkSession, sf: str) -> DataFrame:
     asked = I.judged_queries(spark, sf, rel)
     grains = Doc._grains(spark, sf)
     targets = rel.join(grains, "doc_id").select("query_id", "doc_id", "parent_id", "root_id")
+    # The fused list begins from both others, of which each is worked out once; 20 ranks are the longer lists' beginning.
+    lexical, dense = written(K._bm25(spark, sf, K.CANDIDATES), "lexical-list"), written(K._dense(spark, sf, K.CANDIDATES), "dense-list")
     made = None
-    for name, ranked, ms in (("bm25", K._bm25(spark, sf, 20), 20.0), ("dense", K._dense(spark, sf, 20), 30.0), ("hybrid_rrf", K.hybrid_rrf(spark, sf), 130.0)):
+    for name, ranked, ms in (("bm25", lexical.filter("rank <= 20"), 20.0), ("dense", dense.filter("rank <= 20"), 30.0), ("hybrid_rrf", K.R.fuse_rrf(lexical, dense, K.K), 130.0)):
         own = M.grain_coverage(ranked, grains, targets, asked).join(M.per_query(ranked, rel, asked).select("query_id", "rr", "ndcg"), "query_id")
         own = own.withColumns({"strategy_id": F.lit(name), "latency_ms": F.lit(ms), "hard_case": F.contains("tags", F.lit("child_miss"))})
         made = own if made is None else made.unionByName(own)

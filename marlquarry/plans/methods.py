@@ -32,6 +32,9 @@ class Inputs:
     places: tuple[str, ...] = ()
     story: tuple[str, ...] = ()
     scorer: Callable = field(default=R.overlap_scorer)
+    #: Lists of candidate_k that several methods begin from, where they are worked out already.
+    lexical: DataFrame | None = None
+    dense: DataFrame | None = None
 
     def answerable(self) -> DataFrame:
         """Queries that may be searched; the rest are left out before any scoring."""
@@ -39,11 +42,17 @@ class Inputs:
 
 
 def _bm25(x: Inputs, k: int | None = None, queries: DataFrame | None = None) -> DataFrame:
-    return R.bm25_topk(x.docs, queries if queries is not None else x.queries, k or x.k)
+    k = k or x.k
+    if x.lexical is not None and queries is None and k <= x.candidate_k:
+        return x.lexical.filter(F.col("rank") <= k)
+    return R.bm25_topk(x.docs, queries if queries is not None else x.queries, k)
 
 
 def _dense(x: Inputs, k: int | None = None) -> DataFrame:
-    return R.dense_topk(x.doc_vectors, x.query_vectors, k or x.k)
+    k = k or x.k
+    if x.dense is not None and k <= x.candidate_k:
+        return x.dense.filter(F.col("rank") <= k)
+    return R.dense_topk(x.doc_vectors, x.query_vectors, k)
 
 
 def _sides(x: Inputs) -> tuple[DataFrame, DataFrame]:
@@ -76,9 +85,24 @@ METHODS: dict[str, Callable[[Inputs], DataFrame]] = {
 }
 
 
+#: Methods that don't begin from the lexical list of all queries, and those that begin from the dense one.
+NO_LEXICAL = ("dense", "bm25_padded", "generated_bm25", "rewritten_bm25")
+DENSE = ("dense", "hybrid_rrf", "hybrid_weighted_03", "hybrid_weighted_05", "hybrid_weighted_07", "rerank_hybrid_30")
+
+
+def shared(x: Inputs, names: list[str]) -> Inputs:
+    """x with the lists that more than one of the named methods begin from, each worked out once; a shorter list is a longer one's beginning."""
+    k = x.candidate_k
+    if x.lexical is None and sum(n not in NO_LEXICAL for n in names) > 1:
+        x = replace(x, lexical=written(R.bm25_topk(x.docs, x.queries, k), "lexical-list"))
+    if x.dense is None and sum(n in DENSE for n in names) > 1:
+        x = replace(x, dense=written(R.dense_topk(x.doc_vectors, x.query_vectors, k), "dense-list"))
+    return x
+
+
 def run(inputs: Inputs, names: list[str]) -> DataFrame:
     """query_id, doc_id, score, rank and run_label of every named method."""
-    made = None
+    made, inputs = None, shared(inputs, names)
     for name in names:
         own = METHODS[name](inputs).select("query_id", "doc_id", "score", "rank", F.lit(name).alias("run_label"))
         made = own if made is None else made.unionByName(own)
@@ -87,7 +111,7 @@ def run(inputs: Inputs, names: list[str]) -> DataFrame:
 
 def compare(inputs: Inputs, qrels: DataFrame, names: list[str]) -> DataFrame:
     """Mean metrics of every named method."""
-    made = None
+    made, inputs = None, shared(inputs, names)
     for name in names:
         own = M.summarize(M.per_query(METHODS[name](inputs), qrels, inputs.queries, inputs.k)).withColumn("run_label", F.lit(name))
         made = own if made is None else made.unionByName(own)
@@ -98,7 +122,7 @@ def only(x: Inputs, queries: DataFrame) -> Inputs:
     """x for queries (query_id) alone: the methods then score no others."""
     keep = queries.select("query_id")
     vectors = x.query_vectors.join(keep, "query_id", "left_semi") if x.query_vectors is not None else None
-    return replace(x, queries=x.queries.join(keep, "query_id", "left_semi"), query_vectors=vectors)
+    return replace(x, queries=x.queries.join(keep, "query_id", "left_semi"), query_vectors=vectors, lexical=None, dense=None)
 
 
 #: The method of each execution mode; to abstain is to have none.

@@ -75,3 +75,68 @@ def test_products_are_those_of_dense_matrices(spark, monkeypatch):
     one = P.top_products(spark.createDataFrame([(1, "t", 2.0)], "query_id long, term string, w double"), signed, 5).collect()
     assert sorted((r.item, r.score, r.place) for r in one) == [(1, -2.0, 2), (2, 0.0, 1)]
     assert P.top_products(queries.limit(0), items, 3, by=("corpus",)).collect() == [] and P.top_products(queries, signed.limit(0), 3).collect() == []
+
+
+def test_terms_are_counted_as_columns_cut_them(spark, monkeypatch):
+    from marlquarry.functions import terms
+    from marlquarry.functions.scalars import GRAPH_TOKEN, tokens
+
+    texts = ["The the cat, 서울 CAT", "", None, "!!", "xKy İz", "one two one two", "a " * 5000, "Ab9-9bA"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size in (1 << 20, 4):
+        monkeypatch.setattr(terms, "SLICE", size)
+        got = {(r.doc_id, r.token): (r.dl, r.tf) for r in terms.term_counts(df).collect()}
+        want = {}
+        for r in df.select("doc_id", tokens("text").alias("t")).collect():
+            want |= {(r.doc_id, x): (len(r.t), r.t.count(x)) for x in ["", *r.t]}
+        assert got == want
+    grams = {r.token: r.tf for r in terms.term_counts(df.filter("doc_id = 5"), n=3).collect()}
+    assert grams == {"": 0, "one": 2, "two": 2, "one two": 2, "two one": 1, "one two one": 1, "two one two": 1}
+    assert {r.token for r in terms.term_counts(df.filter("doc_id = 4"), pattern=GRAPH_TOKEN, n=1).collect()} == {""}
+
+
+def test_dense_groups_hold_one_pair_of_blocks(spark, monkeypatch):
+    """However many vectors there are, a group of the dense search is one block of queries and one of documents."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    from marlquarry.operators import retrieval as R
+
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-3, 4, (400, 8)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "doc_id long, embedding array<double>")
+    queries = df.filter("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id")
+    sizes = spark.sparkContext.accumulator(0)
+    grouped = PandasCogroupedOps.applyInArrow
+
+    def counted(self, run, schema):
+        def seen(left, right):
+            sizes.add(int(left.num_rows > 40 or right.num_rows > 100))
+            return run(left, right)
+
+        return grouped(self, seen, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", counted)
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in R.dense_topk(df, queries, 7, 50, 20).collect()}
+    assert sizes.value == 0
+    for q in range(0, 400, 10):
+        scores = vectors @ vectors[q]
+        best = sorted(range(400), key=lambda d: (-scores[d], -d))[:7]
+        assert [got[q, r + 1] for r in range(7)] == [(d, scores[d]) for d in best]
+    assert R.dense_topk(df.limit(0), queries, 3).collect() == [] and R.dense_topk(df, queries.limit(0), 3).collect() == []
+
+
+def test_methods_share_the_lists_they_begin_from(spark, monkeypatch):
+    from marlquarry.operators import retrieval as R
+    from marlquarry.plans import methods
+
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} w{i % 3}") for i in range(40)], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, f"w{i} w{i + 1}", "retrieve") for i in range(6)], "query_id long, query_text string, expected string")
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(40)], "doc_id long, embedding array<double>")
+    x = methods.Inputs(docs, queries, vectors, vectors.filter("doc_id < 6").withColumnRenamed("doc_id", "query_id"))
+    alone = {n: sorted(map(tuple, methods.METHODS[n](x).select("query_id", "doc_id", "score", "rank").collect())) for n in ("bm25", "dense", "hybrid_rrf")}
+    calls = []
+    for name in ("bm25_topk", "dense_topk"):
+        monkeypatch.setattr(R, name, lambda *a, f=getattr(R, name), n=name: calls.append(n) or f(*a))
+    rows = methods.run(x, ["bm25", "dense", "hybrid_rrf"]).collect()
+    assert sorted(calls) == ["bm25_topk", "dense_topk"]
+    assert {n: sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in rows if r.run_label == n) for n in alone} == alone
