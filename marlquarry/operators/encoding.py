@@ -11,7 +11,7 @@ from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +46,7 @@ class HashingModel:
 
     def __init__(self, dim: int):
         self.dim = dim
-        self.place = lru_cache(1 << 18)(self._place)
+        self.place = lru_cache(1 << 16)(self._place)
 
     def _place(self, word: str) -> tuple[int, int]:
         h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
@@ -69,12 +69,17 @@ def vectors(text: Column, cfg: EncoderConfig, kind: str = "document", load: Call
     """The vectors of texts behind their kind's prefix; null texts are empty. load makes the model, once for each task."""
     make, prefix, size = load or hashing(cfg), cfg.prefix(kind), cfg.batch
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make()
         for batch in batches:
-            texts = [prefix + (t or "") for t in batch]
-            yield pd.Series([row for at in range(0, len(texts), size) for row in np.asarray(model.encode(texts[at : at + size]), dtype=np.float32)], dtype=object)
+            # Texts of one call at a time become Python's; what is kept of a batch is its vectors.
+            rows = [np.zeros((0, cfg.dim), dtype=np.float32)]
+            for at in range(0, len(batch), size):
+                rows.append(np.asarray(model.encode([prefix + (t or "") for t in batch.slice(at, size).to_pylist()]), dtype=np.float32))
+            made = np.concatenate(rows[1:] or rows)
+            offsets = np.arange(0, made.size + 1, made.shape[1], dtype=np.int32) if made.shape[1] else np.zeros(len(made) + 1, dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(made.reshape(-1)))
 
     return run(text)
 
