@@ -140,3 +140,9 @@ def test_methods_share_the_lists_they_begin_from(spark, monkeypatch):
     rows = methods.run(x, ["bm25", "dense", "hybrid_rrf"]).collect()
     assert sorted(calls) == ["bm25_topk", "dense_topk"]
     assert {n: sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in rows if r.run_label == n) for n in alone} == alone
+
+
+def test_encoder_keeps_few_words():
+    from marlquarry.operators.encoding import HashingModel
+
+    assert HashingModel(8).place.cache_info().maxsize <= 1 << 16
