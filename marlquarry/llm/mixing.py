@@ -1,6 +1,6 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
-Topics are those of a model trained on a bounded sample, or a given column. Tokens are summed in cells of source, language and topic. Raking scales the cells until their sums over each of the
+Topics are those of a model trained on all documents, or a given column. Tokens are summed in cells of source, language and topic. Raking scales the cells until their sums over each of the
 three agree with the target marginals. What a cell should have over what it has is its weight; weights times a
 common factor, at most 1, are the probabilities with which documents are drawn. Every value has its own target; few
 cells are raked on the driver, many in passes over a table with a row for each value of the longest axis.
@@ -31,8 +31,8 @@ class MixConfig:
     """targets: for each axis the share of each value; values without a share fall under REST, whose share may be given.
     An axis without targets gets its tokens' shares to the power temperature[axis], over all its values; nulls are one value.
 
-    topic: column that holds a document's topic; without it topics come from a model of so many topics (see train_topics),
-    trained on at most sample documents. floor: where values have too few tokens for their targets, the budget falls as
+    topic: column that holds a document's topic; without it topics come from a model of so many topics (see train_topics) of all
+    documents, whose rounds begin with the centres of at most sample of them. floor: where values have too few tokens for their targets, the budget falls as
     far as they need, but not below this share of all tokens; values that are short even then are drawn whole.
 
     dense: most cells (of all combinations of values) that are raked on the driver; beyond it the same fit is made over a
@@ -98,8 +98,44 @@ def fit_topics(bags: list[tuple[np.ndarray, np.ndarray]], cfg: MixConfig) -> Top
     return Topics(idf.astype(np.float32), np.stack(centres, 1).astype(np.float32))
 
 
+#: Shares of a centre are summed as whole numbers of this fineness, so that no order of rows changes them.
+UNIT = 1 << 24
+#: Rows that are looked at together in a pass over all documents.
+ROWS = 2048
+
+
+def _opened(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Row, feature and count of each entry, and the number of rows, of ROWS rows at a time."""
+    for start in range(0, batch.num_rows, ROWS):
+        part = batch.slice(start, ROWS)
+        at, times = (part.column(c).flatten().to_numpy() for c in ("feature", "times"))
+        yield np.repeat(np.arange(part.num_rows), np.diff(part.column("feature").offsets.to_numpy())), at, times, part.num_rows
+
+
+def _summed(bags: DataFrame, step: Callable, size: int) -> np.ndarray:
+    """The sum of step(row, feature, count, rows), an array of size whole numbers, over all bags."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            for opened in _opened(batch):
+                own += step(*opened)
+        some = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(own[some])], names=["at", "x"])
+
+    out = np.zeros(size, dtype=np.int64)
+    for at, x in bags.mapInArrow(run, "at long, x long").groupBy("at").agg(F.sum("x")).collect():
+        out[at] = x
+    return out
+
+
 def train_topics(documents: DataFrame, cfg: MixConfig) -> Topics | None:
-    """Topics of the cfg.sample documents whose ids have the least hashes; None without ids or words."""
+    """Topics of all documents with an id and a word; None if there are none.
+
+    Weights of features are counted over all of them, and each round of k-means passes over all of them. Only the places where the rounds begin
+    are those that fit_topics() finds for the cfg.sample documents whose ids have the least hashes. A round returns sums of whole numbers, a
+    number for each feature and topic, so neither their order nor the partitions matter; it ends where no centre turns any more.
+    """
     if cfg.topic:
         return None
 
@@ -107,17 +143,40 @@ def train_topics(documents: DataFrame, cfg: MixConfig) -> Topics | None:
         for batch in batches:
             for at, texts in chunks(batch.column("text")):
                 row, feature, times, _ = _bags(texts, cfg)
-                cut = np.searchsorted(row, np.arange(len(texts) + 1))
-                packed = [np.stack((feature[a:b], times[a:b])).astype("<u4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("hash").slice(at, len(texts)), pa.array(packed, pa.binary())], names=["hash", "bag"])
+                cut = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(cut, pa.array(x, pa.int32())) for x in (feature, times)]
+                yield pa.RecordBatch.from_arrays([batch.column("hash").slice(at, len(texts)), *lists], names=["hash", "feature", "times"])
 
+    ws = Workspace(documents.sparkSession, "topics")
     rows = documents.filter("doc_id is not null").select(F.xxhash64(F.col("doc_id").cast("long")).alias("hash"), F.col("text").cast("string").alias("text"))
-    last = [r[0] for r in rows.select("hash").distinct().orderBy("hash").limit(cfg.sample).collect()][-1:]
+    bags = ws.table(rows.mapInArrow(run, "hash long, feature array<int>, times array<int>").filter("size(feature) > 0"), "bags")
+    last = [r[0] for r in bags.select("hash").distinct().orderBy("hash").limit(cfg.sample).collect()][-1:]
     if not last:
+        ws.drop("bags")
         return None
-    # Rows that repeat an id count once, so the driver gets cfg.sample bags at most.
-    bags = rows.filter(F.col("hash") <= last[0]).mapInArrow(run, "hash long, bag binary").groupBy("hash").agg(F.min("bag").alias("bag")).orderBy("hash").collect()
-    return fit_topics([tuple(np.frombuffer(r["bag"], "<u4").reshape(2, -1).astype(np.int64)) for r in bags], cfg)
+    # Rows that repeat an id count once here, so the driver gets cfg.sample bags at most.
+    first = bags.filter(F.col("hash") <= last[0]).groupBy("hash").agg(F.min(F.struct("feature", "times")).alias("b")).orderBy("hash").collect()
+    centres = fit_topics([(np.array(r["b"]["feature"]), np.array(r["b"]["times"])) for r in first], cfg).centres.astype(float)
+    counts = _summed(bags, lambda row, at, times, n: np.bincount(np.append(at, np.full(n, cfg.features)), minlength=cfg.features + 1), cfg.features + 1)
+    idf = np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 1e-3
+    k = centres.shape[1]
+    for _ in range(30):
+
+        def step(row: np.ndarray, at: np.ndarray, times: np.ndarray, n: int, centres: np.ndarray = centres) -> np.ndarray:
+            x = (1 + np.log(times)) * idf[at]
+            x /= np.sqrt(np.bincount(row, x**2, n))[row]
+            of = np.stack([np.bincount(row, x * centres[at, j], n) for j in range(k)]).argmax(0)
+            return np.bincount(at * k + of[row], np.rint(x * UNIT), cfg.features * k).astype(np.int64)
+
+        sums = _summed(bags, step, cfg.features * k).reshape(-1, k).astype(float)
+        length = np.sqrt((sums**2).sum(0))
+        turned = np.where(length > 0, sums / np.maximum(length, 1.0), centres)
+        still = (turned * centres).sum(0).min() > 1 - 1e-5
+        centres = turned
+        if still:
+            break
+    ws.drop("bags")
+    return Topics(idf.astype(np.float32), centres.astype(np.float32))
 
 
 def topics_of(texts: pa.Array, model: Topics | None, cfg: MixConfig) -> tuple[list[str | None], np.ndarray]:
@@ -462,7 +521,7 @@ def _cells(seen: DataFrame) -> DataFrame:
 def sample(documents: DataFrame, cfg: MixConfig | None = None) -> DataFrame:
     """The rows of documents that mix() selects, with all their columns.
 
-    Two passes over the texts (and one over the sample that topics are trained on): cells are summed, then each row is kept or not where it lies. Only where the cells are
+    Three passes over the texts (topics are trained on words that the first one writes): cells are summed, then each row is kept or not where it lies. Only where the cells are
     too many for the driver do the rows move, to meet them.
     """
     cfg = cfg or MixConfig()
