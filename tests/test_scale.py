@@ -171,3 +171,34 @@ def test_chunks_are_handed_on_in_slices(spark, monkeypatch):
     monkeypatch.setattr(C, "SLICE", 10_000, raising=False)
     assert sorted(map(str, C.variant_children(blocks, C.VARIANTS, text=True, parents=True).collect())) == whole
     assert len(whole) > 600 and longest.value == 0
+
+
+def test_tree_scores_chunks_without_listing_pairs(spark, monkeypatch):
+    """Of each chosen group a query gets its best chunks and the baseline's, from tasks that hold a bounded range of chunks."""
+    from marlquarry.operators import graph as G
+
+    rng = random.Random(6)
+    words = [f"t{i}" for i in range(40)]
+    docs = [(i, rng.randrange(4), rng.sample(words, rng.randrange(0, 20)), rng.randrange(7)) for i in range(300)]
+    texts = spark.createDataFrame([(i, 0, f"g{g}", t, h) for i, g, t, h in docs], "doc_id long, kind int, group_id string, tokens array<string>, hints int")
+    every = {(q, t): w for q in range(12) for k, t in enumerate(rng.sample(words, 12)) for w in [3 if k < 5 else 1]}
+    chosen = [(q, g, r + 1) for q in range(12) for r, g in enumerate(rng.sample(range(4), 2))]
+    sizes = {g: sum(d[1] == g for d in docs) for g in range(4)}
+    base = {(q, i): rng.random() for q in range(12) for i in rng.sample(range(300), 8)}
+    weights = (0.5, 0.32, 0.13, 0.05)
+    for block, chunks, cells in ((256, 2048, 1 << 21), (5, 30, 200)):
+        for name, value in (("BLOCK", block), ("CHUNKS", chunks), ("CELLS", cells)):
+            monkeypatch.setattr(G, name, value, raising=False)
+        got = G.best_chunks(
+            texts, spark.createDataFrame([(q, 0, f"g{g}", r, sizes[g]) for q, g, r in chosen], "query_id long, kind int, group_id string, gr int, size long"),
+            spark.createDataFrame([(q, t, w) for (q, t), w in every.items()], "query_id long, token string, w int"), spark.createDataFrame([(q, i) for q, i in base], "query_id long, doc_id long"), weights, 5, 2,
+        ).distinct().collect()
+        assert len(got) < 12 * 2 * 300 / 2
+        found = {(r.query_id, r.gr, r.doc_id): (r.direct, r.wide, r.hints) for r in got}
+        for q, g, r in chosen:
+            own, near = [{t for (x, t), w in every.items() if x == q and w == k} for k in (3, 1)]
+            held = {i: (len(own & set(t)), len((own | near) & set(t)), h) for i, x, t, h in docs if x == g}
+            value = lambda i: round(0.5 * base.get((q, i), 0.0) + 0.32 * held[i][0] / 5 + 0.13 * held[i][1] / 12 + 0.05 * min(held[i][2] / 5, 1), 9)  # noqa: E731, B023
+            for i in sorted(held, key=lambda i: (-value(i), -i))[:2]:
+                assert found[q, r, i] == held[i]
+            assert all(held[i] == x for (a, b, i), x in found.items() if (a, b) == (q, r))
