@@ -202,3 +202,67 @@ def test_tree_scores_chunks_without_listing_pairs(spark, monkeypatch):
             for i in sorted(held, key=lambda i: (-value(i), -i))[:2]:
                 assert found[q, r, i] == held[i]
             assert all(held[i] == x for (a, b, i), x in found.items() if (a, b) == (q, r))
+
+
+def test_lexical_ranking_shuffles_texts_in_bounded_shares(spark, monkeypatch):
+    """Any size of blocks and ranges gives the plain ranking, by corpus, and a task meets no more than its share."""
+    import math
+    from collections import Counter
+
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    from marlquarry.operators import retrieval as R
+
+    rng = random.Random(9)
+    rows = [(f"c{i % 2}", i, " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(0, 40)))) for i in range(400)] + [("c0", 400, None), ("c1", 401, "!!")]
+    docs = spark.createDataFrame(rows, "corpus string, doc_id long, text string")
+    queries = spark.createDataFrame([(q, " ".join(f"W{rng.randrange(1, 30)}" for _ in range(8))) for q in range(25)], "query_id long, query_text string")
+    want = {}
+    for c in ("c0", "c1"):
+        own = {i: (t or "").replace("!", "").split() for x, i, t in rows if x == c}
+        df = Counter(w for t in own.values() for w in set(t))
+        raw = {w: math.log(len(own) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+        low, avg = 0.25 * sum(raw.values()) / len(raw), sum(map(len, own.values())) / len(own)
+        for r in queries.collect():
+            q = Counter(r.query_text.lower().split())
+            s = {i: sum(n * (raw[w] if raw[w] >= 0 else low) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / avg)) for w, n in q.items() if w in t) for i, t in own.items() if set(t) & set(q)}
+            want |= {(c, r.query_id, k + 1): (i, s[i]) for k, i in enumerate(sorted(s, key=lambda i: (-round(s[i], 8), -i))[:6])}
+    most = spark.sparkContext.accumulator(0)
+    grouped = PandasCogroupedOps.applyInArrow
+
+    def counted(self, run, schema):
+        def seen(key, left, right):
+            most.add(int(left.num_rows > 12 or right.num_rows > 60))
+            return run(key, left, right)
+
+        return grouped(self, seen, schema)
+
+    for block, size in ((1024, 500_000), (5, 200)):
+        monkeypatch.setattr(R, "BLOCK", block, raising=False)
+        monkeypatch.setattr(R, "TOKENS", size, raising=False)
+        if block == 5:
+            monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", counted)
+        got = {(r.corpus, r.query_id, r["rank"]): (r.doc_id, r.score) for r in R.bm25_best(docs, queries, 6, ("corpus",)).collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 1e-7 for k in want)
+    assert most.value == 0
+    assert R.bm25_best(docs.limit(0), queries, 3).collect() == [] and R.bm25_best(docs, queries.limit(0), 3).collect() == []
+
+
+def test_frequencies_are_counts_of_rows(spark, monkeypatch):
+    from marlquarry.functions import terms
+
+    df = spark.createDataFrame([("a", "x y X"), ("a", None), ("b", "x z"), (None, ""), ("b", "z z")], "c string, text string")
+    for held in (1 << 17, 1):
+        monkeypatch.setattr(terms, "HELD", held, raising=False)
+        got = {(r.c, r.token): (r.df, r.length) for r in terms.frequencies(df, ("c",)).collect()}
+        assert got == {("a", "x"): (1, 0), ("a", "y"): (1, 0), ("a", ""): (2, 3), ("b", "x"): (1, 0), ("b", "z"): (2, 0), ("b", ""): (2, 4), (None, ""): (1, 0)}
+
+
+def test_filled_lists_rank_once(spark, monkeypatch):
+    from marlquarry.operators import retrieval as R
+
+    docs = spark.createDataFrame([(i, f"w{i % 3}") for i in range(9)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "w1"), (2, "none")], "query_id long, query_text string")
+    made = R.bm25_topk(docs, queries, 4, True)
+    assert "FlatMapCoGroupsInArrow" not in made._jdf.queryExecution().toString()
+    assert sorted((r.query_id, r["rank"], r.doc_id) for r in made.collect()) == [(1, 1, 7), (1, 2, 4), (1, 3, 1), (1, 4, 8), (2, 1, 8), (2, 2, 7), (2, 3, 6), (2, 4, 5)]
