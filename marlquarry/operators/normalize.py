@@ -116,15 +116,15 @@ def text_lines(docs: DataFrame, *columns: str) -> DataFrame:
     return rows.filter(F.trim("text") != "")
 
 
-def line_blocks(docs: DataFrame) -> DataFrame:
-    """Lines of docs (doc_id, text) as blocks; one of fewer than 30 characters is a heading, one with '|' a table."""
+def line_blocks(docs: DataFrame, *columns: str) -> DataFrame:
+    """Lines of docs (doc_id, text) as blocks, with columns of their documents; one of fewer than 30 characters is a heading, one with '|' a table."""
     text = norm_space(F.col("text"))
     kind = F.when(F.length("text") < 30, "heading1").when(F.contains(F.col("text"), F.lit("|")), "table").otherwise("paragraph")
-    rows = text_lines(docs).withColumn("text", text)
+    rows = text_lines(docs, *columns).withColumn("text", text)
     return rows.select(
         F.format_string("block-%d-%05d", "doc_id", "line").alias("block_id"), "doc_id", F.lit(1).alias("page_local"), F.lit(1).alias("page_global"), F.col("line").alias("element_index"),
         kind.alias("element_type"), "text", F.sha2("text", 256).alias("text_hash"), F.char_length("text").cast("long").alias("text_length"),
-        F.when(F.contains(F.col("text"), F.lit("\ufffd")), F.array(F.lit("replacement_character"))).otherwise(F.array().cast("array<string>")).alias("quality_flags"),
+        F.when(F.contains(F.col("text"), F.lit("\ufffd")), F.array(F.lit("replacement_character"))).otherwise(F.array().cast("array<string>")).alias("quality_flags"), *columns,
     )
 
 

@@ -266,3 +266,21 @@ def test_filled_lists_rank_once(spark, monkeypatch):
     made = R.bm25_topk(docs, queries, 4, True)
     assert "FlatMapCoGroupsInArrow" not in made._jdf.queryExecution().toString()
     assert sorted((r.query_id, r["rank"], r.doc_id) for r in made.collect()) == [(1, 1, 7), (1, 2, 4), (1, 3, 1), (1, 4, 8), (2, 1, 8), (2, 2, 7), (2, 3, 6), (2, 4, 5)]
+
+
+def test_refreshed_chunks_are_assembled_from_their_own_row(spark):
+    """The job's chunks are those of the joins with all blocks, by one shuffle of the texts."""
+    from jobs import chunk_refresh as J
+    from marlquarry.operators import chunking as C
+    from marlquarry.operators import normalize as N
+
+    text = "\n".join(["Short head", "a | b | table of many words that is long enough", "long � words " * 30, "other words " * 40] * 4)
+    docs = spark.createDataFrame([(1, text, "en", "s"), (2, None, "en", None), (3, "", None, "s"), (4, "one", None, None), (5, text[:700], "ko", "t")], "doc_id long, text string, lang string, source string")
+    got = J.cut(docs, C.ChunkPolicy())
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    blocks = N.line_blocks(docs)
+    rows = C.children(blocks, C.ChunkPolicy()).withColumn("parent_id", F.format_string("doc-%d-p%06d-%02d", "doc_id", "parent_no", "part_no"))
+    rows = rows.withColumn("child_id", F.format_string("%s-c%04d", "parent_id", "child_no"))
+    want = C.assemble(rows, blocks).join(rows.select("child_id", "n_blocks", "text_length"), "child_id").join(docs.select("doc_id", "lang", "source"), "doc_id")
+    columns = ["doc_id", "parent_id", "source", "n_blocks", "text_length", "quality_flags", "text", "text_hash", "lang"]
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect())) and want.count() >= 5
