@@ -104,22 +104,32 @@ UNIT = 1 << 24
 ROWS = 2048
 
 
-def _opened(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """Row, feature and count of each entry, and the number of rows, of ROWS rows at a time."""
-    for start in range(0, batch.num_rows, ROWS):
-        part = batch.slice(start, ROWS)
-        at, times = (part.column(c).flatten().to_numpy() for c in ("feature", "times"))
-        yield np.repeat(np.arange(part.num_rows), np.diff(part.column("feature").offsets.to_numpy())), at, times, part.num_rows
+def _binary(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """For each row the bytes of its numbers, which pass from tables to Python without a step for each number."""
+    offsets = pa.py_buffer((cut * values.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows, one after another, and where each row's begin and end."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind), (at - at[0]) // np.dtype(kind).itemsize
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """ROWS rows at a time."""
+    return (batch.slice(start, ROWS) for start in range(0, batch.num_rows, ROWS))
 
 
 def _summed(bags: DataFrame, step: Callable, size: int) -> np.ndarray:
-    """The sum of step(row, feature, count, rows), an array of size whole numbers, over all bags."""
+    """The sum of step(some rows), an array of size whole numbers, over all bags."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for opened in _opened(batch):
-                own += step(*opened)
+            for part in _parts(batch):
+                own += step(part)
         some = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(own[some])], names=["at", "x"])
 
@@ -129,6 +139,11 @@ def _summed(bags: DataFrame, step: Callable, size: int) -> np.ndarray:
     return out
 
 
+def _nearness(feature: np.ndarray, x: np.ndarray, first: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """For each centre (a row of centres) its products with the rows of entries that begin at first, none of them empty."""
+    return np.stack([np.add.reduceat(c.take(feature) * x, first) for c in centres]) if len(first) else np.zeros((len(centres), 0))
+
+
 def train_topics(documents: DataFrame, cfg: MixConfig) -> Topics | None:
     """Topics of all documents with an id and a word; None if there are none.
 
@@ -143,39 +158,55 @@ def train_topics(documents: DataFrame, cfg: MixConfig) -> Topics | None:
         for batch in batches:
             for at, texts in chunks(batch.column("text")):
                 row, feature, times, _ = _bags(texts, cfg)
-                cut = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)), pa.int32())
-                lists = [pa.ListArray.from_arrays(cut, pa.array(x, pa.int32())) for x in (feature, times)]
-                yield pa.RecordBatch.from_arrays([batch.column("hash").slice(at, len(texts)), *lists], names=["hash", "feature", "times"])
+                cut = np.searchsorted(row, np.arange(len(texts) + 1))
+                yield pa.RecordBatch.from_arrays([batch.column("hash").slice(at, len(texts)), *(_binary(x.astype(np.int32), cut) for x in (feature, times))], names=["hash", "feature", "times"])
 
     ws = Workspace(documents.sparkSession, "topics")
     rows = documents.filter("doc_id is not null").select(F.xxhash64(F.col("doc_id").cast("long")).alias("hash"), F.col("text").cast("string").alias("text"))
-    bags = ws.table(rows.mapInArrow(run, "hash long, feature array<int>, times array<int>").filter("size(feature) > 0"), "bags")
+    bags = ws.table(rows.mapInArrow(run, "hash long, feature binary, times binary").filter("octet_length(feature) > 0"), "bags")
     last = [r[0] for r in bags.select("hash").distinct().orderBy("hash").limit(cfg.sample).collect()][-1:]
     if not last:
         ws.drop("bags")
         return None
     # Rows that repeat an id count once here, so the driver gets cfg.sample bags at most.
     first = bags.filter(F.col("hash") <= last[0]).groupBy("hash").agg(F.min(F.struct("feature", "times")).alias("b")).orderBy("hash").collect()
-    centres = fit_topics([(np.array(r["b"]["feature"]), np.array(r["b"]["times"])) for r in first], cfg).centres.astype(float)
-    counts = _summed(bags, lambda row, at, times, n: np.bincount(np.append(at, np.full(n, cfg.features)), minlength=cfg.features + 1), cfg.features + 1)
+    centres = fit_topics([tuple(np.frombuffer(r["b"][c], np.int32) for c in ("feature", "times")) for r in first], cfg).centres.astype(float)
+
+    def seen(part: pa.RecordBatch) -> np.ndarray:
+        return np.append(np.bincount(_numbers(part.column("feature"), np.int32)[0], minlength=cfg.features), part.num_rows)
+
+    counts = _summed(bags, seen, cfg.features + 1)
     idf = np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 1e-3
     k = centres.shape[1]
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch):
+                (at, cut), (times, _) = (_numbers(part.column(c), np.int32) for c in ("feature", "times"))
+                row = np.repeat(np.arange(part.num_rows), np.diff(cut))
+                x = (1 + np.log(times)) * idf[at]
+                x /= np.sqrt(np.bincount(row, x**2, part.num_rows))[row]
+                yield pa.RecordBatch.from_arrays([part.column("feature"), _binary(x, cut)], names=["feature", "x"])
+
+    # What no round changes is worked out once.
+    weighed = ws.table(bags.select("feature", "times").mapInArrow(weigh, "feature binary, x binary"), "weighed")
+    ws.drop("bags")
     for _ in range(30):
 
-        def step(row: np.ndarray, at: np.ndarray, times: np.ndarray, n: int, centres: np.ndarray = centres) -> np.ndarray:
-            x = (1 + np.log(times)) * idf[at]
-            x /= np.sqrt(np.bincount(row, x**2, n))[row]
-            of = np.stack([np.bincount(row, x * centres[at, j], n) for j in range(k)]).argmax(0)
-            return np.bincount(at * k + of[row], np.rint(x * UNIT), cfg.features * k).astype(np.int64)
+        def step(part: pa.RecordBatch, centres: np.ndarray = np.ascontiguousarray(centres.T)) -> np.ndarray:
+            at, cut = _numbers(part.column("feature"), np.int32)
+            x, _ = _numbers(part.column("x"), np.float64)
+            of = _nearness(at, x, cut[:-1], centres).argmax(0)
+            return np.bincount(at * np.int64(k) + np.repeat(of, np.diff(cut)), np.rint(x * UNIT), cfg.features * k).astype(np.int64)
 
-        sums = _summed(bags, step, cfg.features * k).reshape(-1, k).astype(float)
+        sums = _summed(weighed, step, cfg.features * k).reshape(-1, k).astype(float)
         length = np.sqrt((sums**2).sum(0))
         turned = np.where(length > 0, sums / np.maximum(length, 1.0), centres)
         still = (turned * centres).sum(0).min() > 1 - 1e-5
         centres = turned
         if still:
             break
-    ws.drop("bags")
+    ws.drop("weighed")
     return Topics(idf.astype(np.float32), centres.astype(np.float32))
 
 
@@ -186,9 +217,11 @@ def topics_of(texts: pa.Array, model: Topics | None, cfg: MixConfig) -> tuple[li
     if model is None:
         return [None] * n, np.diff(words.first)
     x = (1 + np.log(times)) * model.idf[feature]
-    near = np.stack([np.bincount(row, x * model.centres[feature, k], n) for k in range(model.centres.shape[1])], 1)
-    some = np.bincount(row, minlength=n) > 0
-    return [f"t{k}" if c else None for k, c in zip(near.argmax(1).tolist(), some.tolist(), strict=True)], np.diff(words.first)
+    size = np.bincount(row, minlength=n)
+    some = size > 0
+    of = np.zeros(n, dtype=np.int64)
+    of[some] = _nearness(feature, x, (np.cumsum(size) - size)[some], np.ascontiguousarray(model.centres.T)).argmax(0)
+    return [f"t{k}" if c else None for k, c in zip(of.tolist(), some.tolist(), strict=True)], np.diff(words.first)
 
 
 def draws(doc_id: pa.Array, seed: int) -> np.ndarray:

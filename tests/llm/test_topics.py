@@ -27,3 +27,31 @@ def test_topics_are_those_of_all_documents(spark):
     split = train_topics(df.repartition(7), cfg)
     assert (split.idf == model.idf).all() and (split.centres == model.centres).all()
     assert train_topics(df.filter("doc_id >= 1000"), cfg) is None
+
+
+def test_entries_pass_as_bytes_and_are_weighed_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    from marlquarry.llm import mixing as X
+
+    values, cut = np.arange(9, dtype=np.int32), np.array([0, 2, 2, 5, 9])
+    made = X._binary(values, cut)
+    for start, size in ((0, 4), (1, 3), (2, 1), (1, 1), (4, 0)):
+        own, at = X._numbers(made.slice(start, size), np.int32)
+        assert own.tolist() == values[cut[start] : cut[start + size]].tolist() and at.tolist() == (cut[start : start + size + 1] - cut[start]).tolist()
+    rng = np.random.default_rng(4)
+    feature, x, centres, row = rng.integers(0, 20, 50), rng.random(50), rng.random((3, 20)), np.repeat(np.arange(5), 10)
+    assert np.allclose(X._nearness(feature, x, np.arange(0, 50, 10), centres), [np.bincount(row, x * c[feature], 5) for c in centres])
+    assert X._nearness(feature[:0], x[:0], feature[:0], centres).shape == (3, 0)
+    # Texts without a longer word lie between others, at the ends and alone.
+    model = X.Topics(np.ones(4096, np.float32), rng.random((4096, 3)).astype(np.float32))
+    texts = pa.array([None, "alpha words", "a b", "", "gamma gamma delta", "x"])
+    found, n = topics_of(texts, model, MixConfig())
+    assert [f is None for f in found] == [True, False, True, True, False, True] and n.tolist() == [0, 2, 2, 0, 3, 1]
+    assert found[4] == topics_of(texts.slice(4, 1), model, MixConfig())[0][0] and topics_of(texts.slice(2, 2), model, MixConfig())[0] == [None, None]
+    # The rounds read a table of shares; only what makes it looks at the counts.
+    read = []
+    monkeypatch.setattr(X, "_summed", lambda bags, step, size, own=X._summed: (read.append(tuple(bags.columns)), own(bags, step, size))[1])
+    df = spark.createDataFrame([(i, f"theme{i % 2}word{i % 7} theme{i % 2}word common") for i in range(50)], "doc_id long, text string")
+    train_topics(df, MixConfig(topics=2, sample=4))
+    assert read[0] == ("hash", "feature", "times") and set(read[1:]) == {("feature", "x")}
