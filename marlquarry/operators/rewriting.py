@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlquarry.functions.lineage import written
 from marlquarry.functions.scalars import flags, norm_space
 
 #: Most names that one automaton holds and that go along with the tasks; more are dealt to several, which texts then visit in turn.
@@ -137,6 +138,8 @@ def rewrite_queries(queries: DataFrame, places: DataFrame, cfg: RewriteConfig |
     part that repeats one before it, whatever its case, is left out.
     """
     cfg = cfg or RewriteConfig()
+    # Five steps look at the queries, whose types may be dear to find.
+    queries = written(queries.select("query_id", "query_type", "query_text", "user_context", "expected", "place_ids"), "rewrite-queries")
     guarded = (F.col("expected") == "abstain") | (F.col("query_type") == "no_answer")
     types = F.col("query_type").isin(*INTENT_TERMS)
     wanted = queries.filter(~F.coalesce(guarded, F.lit(False)) & types)

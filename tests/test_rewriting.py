@@ -66,3 +66,21 @@ def test_rewritten_queries(spark):
     assert got[9].rewritten == "이전 맥락: A 검색 의도: 한양 조선 역사 이야기 관광 설명"
     assert X.rewrite_queries(spark.createDataFrame([], QUERIES), places).collect() == []
     assert {r.places for r in X.rewrite_queries(spark.createDataFrame(asked, QUERIES), places.limit(0)).collect()} == {""}
+
+
+def test_queries_are_typed_once(spark, sf):
+    from pyspark.sql import functions as F
+
+    from marlquarry.plans import doc_queries as Doc
+
+    assert "Join" not in Doc._asked(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def typed(text):
+        seen.add(1)
+        return "route_context"
+
+    asked = spark.createDataFrame([(i, "route_context", "경복궁에서 북촌까지", None, "retrieve", []) for i in range(20)], QUERIES).withColumn("query_type", typed("query_text"))
+    places = spark.createDataFrame([("a", 1, "경복궁", ["x"], ["b"]), ("b", 2, "북촌", [], [])], PLACES)
+    assert {r.places for r in X.rewrite_queries(asked, places).collect()} == {"a,b"} and seen.value == 20
