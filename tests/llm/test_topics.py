@@ -55,3 +55,27 @@ def test_entries_pass_as_bytes_and_are_weighed_once(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"theme{i % 2}word{i % 7} theme{i % 2}word common") for i in range(50)], "doc_id long, text string")
     train_topics(df, MixConfig(topics=2, sample=4))
     assert read[0] == ("hash", "feature", "times") and set(read[1:]) == {("feature", "x")}
+
+
+def test_rounds_move_six_bytes_for_an_entry(spark, monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from marlquarry.llm import mixing as X
+
+    seen = []
+
+    def sizes(bags, step, size, own=X._summed):
+        seen.append(bags.agg(*(F.sum(F.octet_length(c)) for c in bags.columns if c != "hash")).first())
+        return own(bags, step, size)
+
+    monkeypatch.setattr(X, "_summed", sizes)
+    # Two counts of a row are over 255, which takes four bytes for each count of that row.
+    texts = ["alpha beta beta gamma", "alpha " * 300 + "delta " * 70_000 + "beta", "beta gamma delta", None, "a b"]
+    model = train_topics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), MixConfig(topics=2))
+    assert seen[0] == (9 * 2, 3 + 3 * 4 + 3) and set(seen[1:]) == {(9 * 2, 9 * 4)}
+    _, at, times, _ = X._bags(pa.array(texts), MixConfig())
+    cut = np.array([0, 3, 6, 9])
+    assert X._all_counts(X._counts(times, cut), cut).tolist() == times.tolist() and times.max() == 70_000
+    idf = np.log(4 / (np.bincount(at, minlength=4096) + 1)) + 1e-3
+    assert np.allclose(model.idf, idf) and np.allclose(np.linalg.norm(model.centres, axis=0), 1)
