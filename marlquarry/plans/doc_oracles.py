@@ -156,9 +156,7 @@ ev as (select query_id, token, 3 as w from gq union all select query_id, token,
 bl as (select query_id, doc_id, greatest(case when hi - lo < 1e-9 then 1.0 / rank else (score - lo) / nullif(hi - lo, 0) end, 1.0 / (rank + 1)) as base
   from (select *, min(score) over (partition by query_id) as lo, max(score) over (partition by query_id) as hi from bm where rank <= 20)),
 gb as (select query_id, kind, g, max(base) as base from bl join mb using (doc_id) group by all),
-fg as (select query_id, kind, g, sum(w) as s from ev join cg using (token) group by all),
-pl as (select query_id, kind, g from gb union select query_id, kind, g from (select *, row_number() over (partition by query_id, kind order by s desc, g) as place from fg) where place <= case when kind = 0 then 160 else 80 end),
-pool as (select query_id, kind, g from (select *, row_number() over (partition by query_id order by kind, g) as place from pl) where place <= 160),
+pool as (select query_id, kind, g from gb union select query_id, kind, g from ev join gt using (token)),
 ns as (select query_id, count(*) filter (w = 3) as nq, count(*) as ne from ev group by 1),
 gs as (select query_id, kind, g, count(*) filter (w = 3) as direct, count(*) as wide from pool join ev using (query_id) join gt using (kind, g, token) group by all),
 gh as (select kind, g, count(*) as hints from gt where token in {HINTS} group by all),

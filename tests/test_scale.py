@@ -284,3 +284,37 @@ def test_refreshed_chunks_are_assembled_from_their_own_row(spark):
     want = C.assemble(rows, blocks).join(rows.select("child_id", "n_blocks", "text_length"), "child_id").join(docs.select("doc_id", "lang", "source"), "doc_id")
     columns = ["doc_id", "parent_id", "source", "n_blocks", "text_length", "quality_flags", "text", "text_hash", "lang"]
     assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect())) and want.count() >= 5
+
+
+def _groups_against_sql(spark, folder, rows, query, name):
+    """Rows of a tree query over documents of many sources, and those of its SQL."""
+    import duckdb
+
+    from marlquarry.plans import doc_queries as D
+
+    spark.createDataFrame([(i, t, "en", s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(q, t) for q, t in enumerate(query)], "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    got = sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 5)) for r in D.QUERIES[name](spark, folder).collect())
+    want = sorted((q, r, d, round(s, 5)) for q, d, s, r in con.execute(f"select query_id, doc_id, score, rank from ({D.ORACLES[name]})").fetchall())
+    return got, want
+
+
+def _many_groups(n):
+    """Twenty-five short texts of one source, then a longer one of each of n sources, of which only the last holds words of narration."""
+    filler = " ".join(f"w{i}" for i in range(20))
+    return [("a", "alpha beta")] * 25 + [(f"s{i:03}", f"alpha beta {filler}") for i in range(n - 1)] + [("z", f"alpha beta the and of tion {filler}")]
+
+
+def test_tree_looks_at_every_group_that_shares_a_token(spark, tmp_path, monkeypatch):
+    """Of 200 groups with the same tokens the last by name is the best; it must not be dropped before it is scored, at any size of blocks."""
+    from marlquarry.operators import graph as G
+
+    rows = _many_groups(200)
+    for query, block, size, cells in (("tree_parent", 256, 250_000, 1 << 21), ("tree_summary", 1, 60, 200)):
+        for name, value in (("BLOCK", block), ("RANGE", size), ("CELLS", cells)):
+            monkeypatch.setattr(G, name, value)
+        got, want = _groups_against_sql(spark, f"{tmp_path}/{query}", rows, ["alpha beta", "beta w1 gamma"], query)
+        assert got == want and len(rows) - 1 in [d for q, r, d, _ in got if q == 0], query
