@@ -150,8 +150,7 @@ def tree(roots: bool) -> str:
     more = " union all select 1, 'doc::' || source, doc_id from documents" if roots else ""
     return f"""with {BASE}, {_post(TSTOP, 18)}, mb as (select 0 as kind, source || ':' || lang as g, doc_id from documents{more}),
 gt as (select distinct kind, g, token from mb join post using (doc_id)), sz as (select kind, g, count(*) as size from mb group by all),
-cg as (select * from (select *, row_number() over (partition by kind, token order by g) as place from gt) where place <= 250),
-nb as (select query_id, o.token, count(*) as n from gq join cg c on c.token = gq.token join gt o on o.kind = c.kind and o.g = c.g where (query_id, o.token) not in (select query_id, token from gq) group by all),
+nb as (select query_id, o.token, count(*) as n from gq join gt c on c.token = gq.token join gt o on o.kind = c.kind and o.g = c.g where (query_id, o.token) not in (select query_id, token from gq) group by all),
 ev as (select query_id, token, 3 as w from gq union all select query_id, token, 1 from (select *, row_number() over (partition by query_id order by n desc, token) as place from nb) where place <= 32),
 bl as (select query_id, doc_id, greatest(case when hi - lo < 1e-9 then 1.0 / rank else (score - lo) / nullif(hi - lo, 0) end, 1.0 / (rank + 1)) as base
   from (select *, min(score) over (partition by query_id) as lo, max(score) over (partition by query_id) as hi from bm where rank <= 20)),

@@ -318,3 +318,19 @@ def test_tree_looks_at_every_group_that_shares_a_token(spark, tmp_path, monkeypa
             monkeypatch.setattr(G, name, value)
         got, want = _groups_against_sql(spark, f"{tmp_path}/{query}", rows, ["alpha beta", "beta w1 gamma"], query)
         assert got == want and len(rows) - 1 in [d for q, r, d, _ in got if q == 0], query
+
+
+def test_tree_neighbours_come_from_all_groups_of_a_token(spark, tmp_path, monkeypatch):
+    """Of 300 groups that hold the query's token only the last ones share a word; a group that holds this word alone is found by it."""
+    from marlquarry.operators import graph as G
+
+    rows = [("a", "alpha")] * 25 + [(f"s{i:03}", "alpha " + ("kin" if i >= 260 else f"w{i} v{i}")) for i in range(300)] + [("z", "kin the and of tion")]
+    docs = spark.createDataFrame([(i, t, s, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, parent_id string, root_id string")
+    queries = spark.createDataFrame([(0, "alpha")], "query_id long, query_text string")
+    ranked = spark.createDataFrame([(0, i, 1.0, i + 1) for i in range(5)], "query_id long, doc_id long, score double, rank int")
+    for most in (1 << 21, 50):
+        monkeypatch.setattr(G, "MET", most, raising=False)
+        found = [r.doc_id for r in G.tree_rank(docs, queries, ranked, k=400, hints=("the", "and", "of", "tion")).collect()]
+        assert len(rows) - 1 in found and len(found) == len(rows) - 20
+    got, want = _groups_against_sql(spark, str(tmp_path), rows, ["alpha", "kin w1", ""], "tree_summary")
+    assert got == want
