@@ -57,3 +57,22 @@ def test_bytes_of_slices_are_their_rows():
     batch = pa.RecordBatch.from_arrays([svd.as_bytes(np.arange(5, dtype=np.int32), cut), svd.as_bytes(np.arange(5.0) / 2, cut)], names=["column", "weight"])
     ((n, row, column, weight),) = svd._opened(batch.slice(1, 2))
     assert (n, row.tolist(), column.tolist(), weight.tolist()) == (2, [1, 1, 1], [2, 3, 4], [1.0, 1.5, 2.0])
+
+
+def test_a_slab_multiplies_all_vectors_of_an_entry_together():
+    """Columns of many entries and of one, rows without any, numbers over two bytes: the products are those of the full matrix."""
+    rng = np.random.default_rng(5)
+    for size, full in ((40, 8), (70_000, 8), (40, 40), (40, 0)):
+        x = np.where(rng.random((90, 40)) < np.linspace(0.9, 0.01, 40), rng.random((90, 40)), 0)
+        x[7] = x[:, 20] = 0
+        place = np.concatenate((np.arange(20), np.arange(size - 20, size)))
+        row, column = np.nonzero(x)
+        slab = svd._Slab(90, row, place[column].astype(np.int32), x[row, column])
+        block, y, own = rng.random((size, 5)), rng.random((90, 5)), np.ones((size, 5))
+        assert np.allclose(slab.times(block), x @ block[place])
+        slab.add(y, own, full)
+        want = np.ones((size, 5))
+        want[place] += x.T @ y
+        assert np.allclose(own, want)
+    nothing = svd._Slab(2, *(np.zeros(0, t) for t in (np.int64, np.int32, float)))
+    assert not nothing.times(block).any() and nothing.add(np.ones((2, 5)), own, 3) is None
